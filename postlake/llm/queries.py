@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postlake.llm.bpe import encode_documents, token_digests
+from postlake.llm.media import media_features, store_media
 from postlake.llm.minhash import near_duplicates
+from postlake.llm.secret_scan import scan_documents, span_digests
 from postlake.runtime import table
 
 
@@ -12,7 +15,19 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(store_media(table(spark, sf_dir, "documents")))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(scan_documents(table(spark, sf_dir, "documents")))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_documents(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op8_secrets, op9_bpe)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 with recursive words as (
