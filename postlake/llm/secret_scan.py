@@ -179,7 +179,8 @@ def span_digests(scanned: DataFrame) -> DataFrame:
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     names = [k.name for k in BASE]
     base = F.filter("secrets", lambda s: s["kind"].isin(*names))
-    counts = [F.size(F.filter("secrets", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{n}") for n in names]
+    of = lambda name: F.filter("secrets", lambda s: s["kind"] == name)
+    counts = [F.size(of(n)).cast("long").alias(f"n_{n}") for n in names]
     joined = lambda spans: F.array_join(F.transform(spans, text), ",")
     return scanned.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 

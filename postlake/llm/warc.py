@@ -31,6 +31,14 @@ STRETCH, GAP, READ = 4 << 20, 64 << 10, 8 << 20
 FILE_BYTES = 1 << 30
 
 
+def uri_of(scratch: Scratch, name: str) -> str:
+    """The URI of a folder in the shared folder, as every executor can open it."""
+    jvm, jsc = scratch.spark.sparkContext._jvm, scratch.spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(scratch.path(name))
+    found = path.getFileSystem(jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
