@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlake.llm.bpe import encode_documents, token_digests
+from postlake.llm.langid import fit_profiles, identify
 from postlake.llm.media import media_features, store_media
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.secret_scan import scan_documents, span_digests
-from postlake.runtime import table
+from postlake.llm.warc import read_archives, uri_of, write_archives
+from postlake.runtime import Scratch, table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,13 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(table(spark, sf_dir, "documents")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    folder = uri_of(scratch, "archives")
+    index = write_archives(table(spark, sf_dir, "pages"), folder, scratch)
+    return read_archives(index, folder).drop("payload", "url")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(scan_documents(table(spark, sf_dir, "documents")))
 
@@ -27,7 +37,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op8_secrets, op9_bpe)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    profiles = fit_profiles(docs.where(~held_out))
+    found = identify(docs, profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op6_warc, op8_secrets, op9_bpe, op10_language_id)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 with recursive words as (

@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: i
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{root}/{name}")
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
                     kind, digest = "response" if to is None else "revisit", digest_of(payload)
                     member = gzip_member(record(kind, page_id, url, payload, digest, to))
                     out.write(member)
