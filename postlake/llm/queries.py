@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.llm.bpe import encode_documents, token_digests
+from postlake.llm.embed_dedup import near_duplicate_vectors
 from postlake.llm.langid import fit_profiles, identify
 from postlake.llm.media import media_features, store_media
 from postlake.llm.minhash import near_duplicates
@@ -22,6 +23,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(table(spark, sf_dir, "documents")))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     folder = uri_of(scratch, "archives")
@@ -45,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op6_warc, op8_secrets, op9_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op6_warc, op8_secrets, op9_bpe, op10_language_id)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 with recursive words as (
@@ -69,5 +74,24 @@ reach as (
 roots as (select x as doc_id, min(y) as component_id from reach group by x)
 select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d left join sizes using (doc_id) join roots using (doc_id)
+""",
+    "op3_embedding_dedup": """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from v a join v b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (
+  select vec_id as x, vec_id as y from embeddings
+  union
+  select r.x, l.y from reach r join links l on l.x = r.y),
+roots as (select x as vec_id, min(y) as component_id from reach group by x),
+degree as (select x as vec_id, count(*) as n from links group by x)
+select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e left join degree using (vec_id) left join roots using (vec_id)
 """,
 }
