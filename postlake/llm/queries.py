@@ -10,7 +10,9 @@ from postlake.llm.embed_dedup import near_duplicate_vectors
 from postlake.llm.langid import fit_profiles, identify
 from postlake.llm.media import media_features, store_media
 from postlake.llm.minhash import near_duplicates
+from postlake.llm.quality import quality_scores
 from postlake.llm.secret_scan import scan_documents, span_digests
+from postlake.llm.token_counts import count_tokens
 from postlake.llm.warc import read_archives, uri_of, write_archives
 from postlake.runtime import Scratch, table
 
@@ -27,6 +29,14 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     folder = uri_of(scratch, "archives")
@@ -50,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op6_warc, op8_secrets, op9_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op8_secrets, op9_bpe, op10_language_id)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 with recursive words as (
