@@ -10,6 +10,7 @@ from postlake.llm.embed_dedup import near_duplicate_vectors
 from postlake.llm.langid import fit_profiles, identify
 from postlake.llm.media import media_features, store_media
 from postlake.llm.minhash import near_duplicates
+from postlake.llm.mixing import fit_rates
 from postlake.llm.quality import quality_scores
 from postlake.llm.secret_scan import scan_documents, span_digests
 from postlake.llm.token_counts import count_tokens
@@ -44,6 +45,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(index, folder).drop("payload", "url")
 
 
+#: Domains of the labelled table, and the weights that they are mixed to.
+TARGETS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and domain of the labelled documents: toxic before junk before clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fit_rates(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS)
+    return found.select("doc_id", "tokens", "domain", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(scan_documents(table(spark, sf_dir, "documents")))
 
@@ -60,7 +76,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op8_secrets, op9_bpe, op10_language_id)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op7_mixing, op8_secrets, op9_bpe, op10_language_id, pipeline)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 with recursive words as (
