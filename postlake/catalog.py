@@ -1,7 +1,524 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postlake.functions import text as T
+from postlake.functions.embedtext import embedding_text
+from postlake.functions.html import html_to_text
+from postlake.operators import listing, maintain, search
+from postlake.operators.staging import numbered_names
+from postlake.params import SETTINGS, Filters
+from postlake.plans.mapping import DOCS_SQL, EMAILS_SQL, document_emails, embedding_vectors, line_attachments, order_emails
+from postlake.plans.nlq import coerced_columns
+from postlake.runtime import ship_package, table
+from postlake.streaming.ingest import late_candidates
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_search"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def mail(select: str) -> str:
+    return f"with {EMAILS_SQL} {select}"
+
+
+def docs(select: str) -> str:
+    return f"with {DOCS_SQL} {select}"
+
+
+def _rows(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(columns or ("id", "date", "from_addr", "subject")))
+
+
+# -- metadata queries --------------------------------------------------------------------------------
+
+FROM, TO = datetime(1995, 1, 1), datetime(1995, 12, 31)
+
+
+def _metadata(spark: SparkSession, sf_dir: str, f: Filters, limit: int | None) -> DataFrame:
+    counts = f.has_attachments is not None
+    return _rows(listing.metadata_query(order_emails(spark, sf_dir, counts), line_attachments(spark, sf_dir), f, limit))
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where from_addr ilike '%#00000001%' order by date desc nulls last, id limit 1000"))
+def meta_query_from(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(from_addr="#00000001"), None)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where from_addr ilike '%CUSTOMER#0000_00%' order by date desc nulls last, id limit 500"))
+def meta_query_wildcard(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(from_addr="CUSTOMER#0000_00"), 500)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where date >= timestamp '1995-01-01' and date <= timestamp '1995-12-31' order by date desc nulls last, id limit 400"))
+def meta_query_dates(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(date_after=FROM, date_before=TO), 400)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails e where exists (select 1 from line_attachments a where a.email_id = e.id and a.file_extension = 'pdf' and a.filename ilike '%DOC-3%') order by date desc nulls last, id limit 300"))
+def meta_query_attachment(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(attachment_type=".PDF", attachment_name="DOC-3"), 300)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails e where exists (select 1 from line_attachments a where a.email_id = e.id) order by date desc nulls last, id limit 300"))
+def meta_query_any_attachment(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(attachment_type=""), 300)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where has_attachments order by date desc nulls last, id limit 300"))
+def meta_query_has_attachments(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(has_attachments=True), 300)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where not has_attachments order by date desc nulls last, id limit 1000"))
+def meta_query_no_attachments(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(has_attachments=False), None)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where to_addrs ilike '%P-DESK%' or cc_addrs ilike '%P-DESK%' or bcc_addrs ilike '%P-DESK%' order by date desc nulls last, id limit 500"))
+def meta_query_any_recipient(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(to_addr="P-DESK"), 500)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where subject = '1-URGENT' and from_addr ilike '%7%' order by date desc nulls last, id limit 500"))
+def meta_query_subject_exact(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(subject="1-URGENT", from_addr="7"), 500)
+
+
+@query(mail("select id, date, from_addr, subject from order_emails where subject ilike '%urgent%' order by date desc nulls last, id limit 250"))
+def meta_query_subject_like(spark, sf_dir):
+    return _metadata(spark, sf_dir, Filters(subject_like="urgent"), 250)
+
+
+@query(mail("select (select count(*) from order_emails where subject ilike '%HIGH%') > 100 as truncated"))
+def meta_query_truncated(spark, sf_dir):
+    return listing.truncated(order_emails(spark, sf_dir), line_attachments(spark, sf_dir), Filters(subject_like="HIGH"), 100)
+
+
+@query(
+    mail("""
+select e.id, cast(count(a.id) as bigint) as n, coalesce(string_agg(a.filename, ',' order by a.id), '') as names
+from (select * from order_emails where subject = '2-HIGH' order by date desc nulls last, id limit 200) e
+left join line_attachments a on a.email_id = e.id group by e.id""")
+)
+def meta_query_nested_attachments(spark, sf_dir):
+    att = line_attachments(spark, sf_dir)
+    rows = listing.metadata_query(order_emails(spark, sf_dir), att, Filters(subject="2-HIGH"), 200)
+    nested = listing.with_attachments(rows, att)
+    return nested.select("id", F.size("attachments").cast("long").alias("n"), F.array_join(F.transform("attachments", lambda a: a["filename"]), ",").alias("names"))
+
+
+# -- inbox -------------------------------------------------------------------------------------------
+
+INBOX_SQL = "select id, message_id, from_addr as \"from\", to_addrs as \"to\", subject, date, has_attachments, substr(coalesce(body_preview, ''), 1, 200) as body_snippet from order_emails where file_path ilike '%/INBOX.mailbox/%'"
+
+
+@query(mail(INBOX_SQL + " order by date desc nulls last, id limit 50"))
+def inbox_page1(spark, sf_dir):
+    return listing.inbox(order_emails(spark, sf_dir, True))
+
+
+@query(mail(INBOX_SQL + " and date < timestamp '1996-03-01' and date > timestamp '1995-06-01' order by date desc nulls last, id limit 500"))
+def inbox_page2(spark, sf_dir):
+    return listing.inbox(order_emails(spark, sf_dir, True), limit=10_000, date_before=datetime(1996, 3, 1), date_after=datetime(1995, 6, 1))
+
+
+@query(mail(INBOX_SQL + " and file_path ilike '%building%40example.com%/INBOX.mailbox/%' order by date desc nulls last, id limit 100"))
+def inbox_account(spark, sf_dir):
+    return listing.inbox(order_emails(spark, sf_dir, True), limit=100, account="building@example.com")
+
+
+@query(mail(INBOX_SQL + " and (date < timestamp '1996-03-01' or (date = timestamp '1996-03-01' and id > 500)) order by date desc nulls last, id limit 50"))
+def inbox_cursor(spark, sf_dir):
+    return listing.inbox_after(order_emails(spark, sf_dir, True), datetime(1996, 3, 1), 500)
+
+
+# -- statistics and lookups --------------------------------------------------------------------------
+
+
+@query(
+    mail("""
+select cast((select count(*) from order_emails) as bigint) as total_emails, cast((select count(*) from order_emails where has_attachments) as bigint) as emails_with_attachments,
+  (select min(date) from order_emails) as min_date, (select max(date) from order_emails) as max_date, (select max(file_mtime) from order_emails) as max_file_mtime,
+  cast((select count(*) from line_attachments) as bigint) as total_attachments, cast((select count(*) from embeddings) as bigint) as total_indexed_emails""")
+)
+def index_stats(spark, sf_dir):
+    return listing.statistics(order_emails(spark, sf_dir, True), line_attachments(spark, sf_dir), embedding_vectors(spark, sf_dir))
+
+
+@query(mail("select id, subject from order_emails where file_path = '/mail/building%40example.com/INBOX.mailbox/Messages/1.eml' or id = 33 union all select id, subject from order_emails where md5(file_path) = (select md5(file_path) from order_emails where id = 77)"))
+def point_lookups(spark, sf_dir):
+    e = order_emails(spark, sf_dir)
+    one = listing.by_path(e, "/mail/building%40example.com/INBOX.mailbox/Messages/1.eml").unionByName(listing.by_id(e, 33)).dropDuplicates(["id"])
+    return one.unionByName(listing.by_hashes(e, listing.by_id(e, 77).select("file_hash"))).select("id", "subject")
+
+
+@query(mail("select id, message_id from order_emails where message_id = '<m42@example.com>' order by indexed_at desc nulls last, id desc limit 1"))
+def lookup_message_id(spark, sf_dir):
+    return listing.by_message_id(order_emails(spark, sf_dir), "m42@example.com").select("id", "message_id")
+
+
+@query(docs("select d.id, v.vec_id from document_emails d join vectors v on v.id = md5(d.file_path) where d.from_addr = 'src3'"))
+def indexed_vectors(spark, sf_dir):
+    wanted = document_emails(spark, sf_dir).where("from_addr = 'src3'")
+    return wanted.select(F.col("id").alias("doc"), F.col("file_hash").alias("id")).join(embedding_vectors(spark, sf_dir).select("id", "vec_id"), "id").select(F.col("doc").alias("id"), "vec_id")
+
+
+@query(docs("select key, file_path, subject, label from (select coalesce(md5(d.file_path), v.id) as key, '/docs/9.eml' as file_path, d.subject, v.label from (select * from document_emails where file_path = '/docs/9.eml') d full join (select * from vectors where id = md5('/docs/9.eml')) v on v.id = md5(d.file_path))"))
+def inspect_path(spark, sf_dir):
+    v = embedding_vectors(spark, sf_dir).withColumn("document", F.col("label"))
+    return listing.inspect(document_emails(spark, sf_dir), v, "/docs/9.eml").select("key", "file_path", "subject", F.col("document").alias("label"))
+
+
+@query(mail("select id, extraction_version from order_emails where extraction_version < 3 order by id limit 200"))
+def stale_rows(spark, sf_dir):
+    return listing.stale(order_emails(spark, sf_dir)).orderBy("id").limit(200).select("id", "extraction_version")
+
+
+@query(mail("select cast(count(*) as bigint) as stale from order_emails where extraction_version < 3"))
+def stale_count(spark, sf_dir):
+    return listing.stale(order_emails(spark, sf_dir)).agg(F.count(F.lit(1)).alias("stale"))
+
+
+# -- vectors -----------------------------------------------------------------------------------------
+
+
+def _query_vector(spark, sf_dir) -> list[float]:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]
+
+
+DISTANCE = "1 - list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe)))"
+
+
+@query(docs(f"select vec_id, round({DISTANCE}, 6) as distance from vectors, q order by {DISTANCE}, id limit 20"))
+def knn_topk(spark, sf_dir):
+    return search.nearest(embedding_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(docs("select vec_id, round(1 - list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))), 6) as distance from vectors, q"))
+def vector_distances(spark, sf_dir):
+    one = table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.col("embedding").alias("query_vector"))
+    return search.pairwise(embedding_vectors(spark, sf_dir), one).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    docs(f"""
+select h.vec_id, d.id as doc_id, d.subject, round(1 - h.distance, 6) as similarity
+from (select id, vec_id, {DISTANCE} as distance from vectors, q order by distance, id limit 30) h left join document_emails d on md5(d.file_path) = h.id""")
+)
+def knn_similarity_hydrated(spark, sf_dir):
+    hits = search.nearest(embedding_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 30)
+    rows = search.hydrate(hits.withColumn("rank", F.col("vec_id")).drop("label"), document_emails(spark, sf_dir))
+    return rows.select(F.col("rank").alias("vec_id"), F.col("id").alias("doc_id"), "subject", F.round("similarity", 6).alias("similarity"))
+
+
+@query(docs(f"select vec_id, round({DISTANCE}, 6) as distance from vectors v, q where exists (select 1 from document_emails d where md5(d.file_path) = v.id and d.subject = 'en') order by {DISTANCE}, id limit 15"))
+def knn_prefiltered(spark, sf_dir):
+    keys = listing.matching(document_emails(spark, sf_dir), line_attachments(spark, sf_dir), Filters(subject="en")).select(F.col("file_hash").alias("id"))
+    return search.nearest(embedding_vectors(spark, sf_dir).join(keys, "id", "left_semi"), _query_vector(spark, sf_dir), 15).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(docs(f"select vec_id from (select id, vec_id from vectors, q order by {DISTANCE}, id limit 40) h where exists (select 1 from document_emails d where md5(d.file_path) = h.id and d.subject = 'fr')"))
+def knn_postfiltered(spark, sf_dir):
+    keys = document_emails(spark, sf_dir).where("subject = 'fr'").select(F.col("file_hash").alias("id"))
+    return search.nearest(embedding_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 40).join(keys, "id", "left_semi").select("vec_id")
+
+
+@query(
+    docs("""
+select vec_id, label, round(1 - c, 6) as distance, rank from (
+  select a.vec_id as label, b.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as c,
+    row_number() over (partition by a.vec_id order by 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), b.id) as rank
+  from vectors a, vectors b where a.vec_id < 5) where rank <= 10""")
+)
+def knn_many(spark, sf_dir):
+    v = embedding_vectors(spark, sf_dir)
+    queries = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = search.nearest_many(v, queries, 10)
+    return found.join(v.select("id", "vec_id"), "id").select("vec_id", F.col("query_id").alias("label"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    docs(f"""
+, h as (select id, vec_id, {DISTANCE} as distance from vectors, q order by distance, id limit 60),
+m as (select h.*, d.message_id, row_number() over (order by distance, h.id) as rank from h left join document_emails d on md5(d.file_path) = h.id)
+select vec_id, rank from (
+  select vec_id, min(rank) over (partition by coalesce(nullif(message_id, ''), cast(rank as varchar))) as rank,
+    row_number() over (partition by coalesce(nullif(message_id, ''), cast(rank as varchar)) order by distance, rank) as n from m) where n = 1""")
+)
+def knn_dedup_results(spark, sf_dir):
+    hits = search.nearest(embedding_vectors(spark, sf_dir).drop("message_id"), _query_vector(spark, sf_dir), 60)
+    ranked = search.ranked_hits(hits).join(document_emails(spark, sf_dir).select(F.col("file_hash").alias("id"), "message_id"), "id", "left")
+    return maintain.best_per_message(ranked).select("vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    docs(f"""
+select h.vec_id, d.subject, round(case when d.id is not null then 1 - h.distance end, 6) as similarity
+from (select md5(concat('/docs/', cast(vec_id + 700 as varchar), '.eml')) as id, vec_id, {DISTANCE} as distance from vectors, q order by distance, id limit 50) h
+left join document_emails d on md5(d.file_path) = h.id""")
+)
+def knn_orphans_kept(spark, sf_dir):
+    hits = search.nearest(embedding_vectors(spark, sf_dir, 700), _query_vector(spark, sf_dir), 50)
+    rows = search.hydrate(hits.withColumn("rank", F.col("vec_id")).drop("label"), document_emails(spark, sf_dir))
+    return rows.select(F.col("rank").alias("vec_id"), "subject", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    docs(f"""
+, h as (select v.id, v.vec_id, {DISTANCE} as distance from vectors v, q where exists (select 1 from document_emails d where md5(d.file_path) = v.id and d.subject = 'en' and d.date >= timestamp '2024-01-02') order by distance, v.id limit 40),
+m as (select h.*, d.id as doc_id, d.message_id, row_number() over (order by distance, h.id) as rank from h join document_emails d on md5(d.file_path) = h.id)
+select doc_id as id, round(distance, 6) as distance, round(1 - distance, 6) as similarity from (
+  select *, min(rank) over (partition by message_id) as place, row_number() over (partition by message_id order by distance, rank) as n from m) where n = 1 order by place limit 20""")
+)
+def hybrid_search(spark, sf_dir):
+    f = Filters(subject="en", date_after=datetime(2024, 1, 2))
+    found = search.hybrid_search(document_emails(spark, sf_dir), line_attachments(spark, sf_dir), embedding_vectors(spark, sf_dir).drop("vec_id", "label"), _query_vector(spark, sf_dir), f, limit=20)
+    return found.select("id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def hybrid_search_reranked(spark, sf_dir):
+    v = embedding_vectors(spark, sf_dir).drop("vec_id", "label")
+    found = search.hybrid_search(document_emails(spark, sf_dir), line_attachments(spark, sf_dir), v, _query_vector(spark, sf_dir), limit=10, query="the and that with", scorer=search.word_overlap)
+    return found.select("id", F.round("distance", 6).alias("distance"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(
+    docs(f"""
+, f as (select md5(file_path) as id from (select * from document_emails where subject = 'de' order by date desc nulls last, id limit 1000)),
+s as (select count(*) as n from f),
+r as (select v.id, vec_id, {DISTANCE} as distance, row_number() over (order by {DISTANCE}, v.id) as place from vectors v, q),
+a as (select r.* from r, s where place <= case when n <= 20 then n else least(40, n, 1000) end and id in (select id from f)),
+b as (select r.* from r, s where place <= case when n <= 20 then n when (select count(*) from a) < 20 and least(40, n, 1000) < n then least(n, 1000) else least(40, n, 1000) end and id in (select id from f))
+select doc_id as id from (
+  select d.id as doc_id, b.distance, b.id, row_number() over (partition by d.message_id order by b.distance, b.id) as n
+  from (select * from b order by distance, id limit 20) b join document_emails d on md5(d.file_path) = b.id) where n = 1 order by distance, id limit 10""")
+)
+def hybrid_search_postfilter(spark, sf_dir):
+    v = embedding_vectors(spark, sf_dir).drop("vec_id", "label")
+    return search.hybrid_search(document_emails(spark, sf_dir), line_attachments(spark, sf_dir), v, _query_vector(spark, sf_dir), Filters(subject="de"), limit=10, mode="postfilter").select("id")
+
+
+# -- maintenance -------------------------------------------------------------------------------------
+
+
+@query(mail("select message_id, cast(count(*) as bigint) as cnt from order_emails where message_id is not null and message_id <> '' group by message_id having count(*) > 1"))
+def dup_groups(spark, sf_dir):
+    return maintain.duplicate_groups(order_emails(spark, sf_dir))
+
+
+@query(docs("select cast(count(*) as bigint) as groups, cast(coalesce(sum(c - 1), 0) as bigint) as surplus from (select count(*) as c from document_emails group by message_id having count(*) > 1)"))
+def dup_counts(spark, sf_dir):
+    return maintain.duplicate_counts(document_emails(spark, sf_dir))
+
+
+@query(mail("select id from order_emails where message_id = '' or message_id is null union all select id from (select id, row_number() over (partition by message_id order by indexed_at desc nulls last, id desc) as n from order_emails where message_id <> '') where n = 1"))
+def dedup_keep_latest(spark, sf_dir):
+    return maintain.keep_latest(order_emails(spark, sf_dir)).select("id")
+
+
+@query(docs("select id from document_emails d where not exists (select 1 from embeddings where vec_id = d.id)"))
+def prune_orphans(spark, sf_dir):
+    return maintain.orphans(document_emails(spark, sf_dir), embedding_vectors(spark, sf_dir).select("file_path"), "/docs").select("id")
+
+
+@query(docs("select cast(count(*) filter (where v.id is null) as bigint) as missing, cast(count(*) filter (where v.id is not null) as bigint) as present from document_emails d left join vectors v on v.id = md5(d.file_path)"))
+def prune_counts(spark, sf_dir):
+    return maintain.orphan_counts(document_emails(spark, sf_dir), embedding_vectors(spark, sf_dir).select("file_path"))
+
+
+@query(mail("select file_path from order_emails a where id % 3 = 0 or not exists (select 1 from order_emails b where b.file_path = a.file_path and b.file_mtime = a.file_mtime and b.id % 2 = 0)"))
+def unchanged_skip(spark, sf_dir):
+    from postlake.sources.mailfiles import unchanged_removed
+
+    e = order_emails(spark, sf_dir)
+    # every third file has another time than the index
+    candidates = e.select("file_path", (F.col("file_mtime") + F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.0)).alias("file_mtime"))
+    return unchanged_removed(candidates, e.where("id % 2 = 0")).select("file_path")
+
+
+@query(docs("select id from document_emails a where exists (select 1 from document_emails b where b.message_id = a.message_id and b.file_path <> a.file_path and b.id >= 500)"))
+def move_detection(spark, sf_dir):
+    e = document_emails(spark, sf_dir)
+    return maintain.moved(e, e.where("id >= 500")).select("id")
+
+
+@query(
+    """
+with old as (select doc_id as id, concat('/docs/', cast(doc_id as varchar), '.eml') as file_path, lang as subject, source as from_addr from documents where doc_id < 700),
+new as (select concat('/docs/', cast(doc_id as varchar), '.eml') as file_path, upper(lang) as subject, case when doc_id % 2 = 0 then source else '' end as from_addr from documents where doc_id >= 400)
+select coalesce(old.id, (select max(id) from old) + row_number() over (partition by old.id is null order by coalesce(new.file_path, old.file_path))) as id,
+  coalesce(new.file_path, old.file_path) as file_path, case when new.file_path is not null then new.subject else old.subject end as subject,
+  case when new.file_path is not null then new.from_addr else old.from_addr end as from_addr
+from old full join new on old.file_path = new.file_path"""
+)
+def upsert_result(spark, sf_dir):
+    from postlake.schema import ATTACHMENTS, PARSED, conform, empty
+    from postlake.sources.store import upsert_messages
+
+    e = document_emails(spark, sf_dir)
+    new = e.where("id >= 400").select("file_path", F.upper("subject").alias("subject"), F.when(F.col("id") % 2 == 0, F.col("from_addr")).alias("from"), "message_id", F.col("body_preview").alias("body"), "file_mtime")
+    out, _ = upsert_messages(e.where("id < 700"), empty(spark, ATTACHMENTS), conform(new, PARSED))
+    return out.select("id", "file_path", "subject", "from_addr")
+
+
+@query(mail("select id, concat('/archive/', substr(file_path, 7)) as file_path, md5(concat('/archive/', substr(file_path, 7))) as file_hash from order_emails"))
+def path_migration(spark, sf_dir):
+    from postlake.schema import VECTORS, empty
+
+    emails, _ = maintain.migrate_paths(order_emails(spark, sf_dir), empty(spark, VECTORS), "/mail", "/archive/")
+    return emails.select("id", "file_path", "file_hash")
+
+
+@query("select arg_max(value, ts) as value, event_type as key from events group by event_type")
+def state_kv_latest(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.max_by("value", "ts").alias("value"))
+
+
+@query("select event_id, ts from events where ts > timestamp '2024-01-20' - interval 86400 second")
+def incremental_candidates(spark, sf_dir):
+    return late_candidates(table(spark, sf_dir, "events"), "2024-01-20", SETTINGS.overlap_seconds).select("event_id", "ts")
+
+
+# -- text --------------------------------------------------------------------------------------------
+
+ENCODED = "replace(replace(replace(replace(url_encode({}), '%40', '@'), '%2F', '/'), '%7E', '~'), '+', '%20')"
+
+
+@query(
+    f"""
+with m as (select doc_id, case when doc_id % 11 = 0 then '  <>  ' else concat(' <', cast(doc_id as varchar), case doc_id % 4 when 0 then '%25' when 1 then '(x)' when 2 then '/y' else ' z' end, '@ex.com> ') end as raw,
+  case when doc_id % 5 = 0 then '[List]  Re:' || chr(10) || lang when doc_id % 7 = 0 then null else source end as subject from documents),
+n as (select doc_id, subject, nullif(trim(regexp_replace(trim(raw), '^<(.*)>$', '\\1')), '') as mid from m)
+select doc_id, 'message:' || {ENCODED.format("'<' || mid || '>'")} as message_url, 'mid:' || mid as mid_url,
+  '[' || coalesce(nullif(trim(regexp_replace(regexp_replace(coalesce(subject, ''), '[\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), ''), '(no subject)') || '](message:' || {ENCODED.format("'<' || mid || '>'")} || ')' as markdown_link
+from n"""
+)
+def link_fields(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    tail = F.element_at(F.array(*map(F.lit, ("%25", "(x)", "/y", " z"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    raw = F.when(F.col("doc_id") % 11 == 0, "  <>  ").otherwise(F.concat(F.lit(" <"), F.col("doc_id").cast("string"), tail, F.lit("@ex.com> ")))
+    subject = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("[List]  Re:\n"), F.col("lang"))).when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("source"))
+    return d.select("doc_id", *(c.alias(n) for n, c in T.link_fields(raw, subject).items()))
+
+
+NAMES = "select p_partkey, concat(case p_partkey % 6 when 0 then 'dir.d/.bashrc' when 1 then 'a.tar.GZ' when 2 then 'plain' when 3 then 'Report.PDF' when 4 then 'x/y.z/name' else 'end.' end) as filename from part"
+
+
+@query(f"select p_partkey, case when regexp_extract(filename, '[^/]*$') like '_%.%' then lower(regexp_extract(regexp_extract(filename, '[^/]*$'), '^.+\\.([^.]+)$', 1)) else '' end as relational, case when filename like '%.%' then lower(split_part(filename, '.', -1)) end as vector from ({NAMES})")
+def file_extensions(spark, sf_dir):
+    names = F.element_at(F.array(*map(F.lit, ("dir.d/.bashrc", "a.tar.GZ", "plain", "Report.PDF", "x/y.z/name", "end."))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.file_extension(names).alias("relational"), T.meta_extension(names).alias("vector"))
+
+
+@query(
+    mail("""
+, named as (select email_id, id, case when filename like '%.%' then lower(split_part(filename, '.', -1)) end as ext, row_number() over (partition by email_id order by id) as n from line_attachments),
+firsts as (select email_id, ext, min(n) as n from named where n <= 10 and ext is not null and ext <> '' group by email_id, ext)
+select a.email_id, coalesce(string_agg(f.ext, ',' order by f.n), '') as attachment_types from (select distinct email_id from line_attachments) a left join firsts f using (email_id) group by a.email_id""")
+)
+def attachment_types_meta(spark, sf_dir):
+    nested = line_attachments(spark, sf_dir).groupBy("email_id").agg(F.sort_array(F.collect_list(F.struct("id", "filename"))).alias("attachments"))
+    return nested.select("email_id", T.attachment_types("attachments").alias("attachment_types"))
+
+
+@query(
+    mail("""
+select e.id, md5(trim(concat_ws(chr(10), e.subject, e.from_addr, coalesce(e.body_preview, '')) || coalesce(chr(10) || 'Attachments:' || chr(10) || string_agg(a.filename || chr(10) || a.file_extension || 'x', chr(10) order by a.id), ''), chr(10))) as digest
+from order_emails e left join line_attachments a on a.email_id = e.id where e.date >= timestamp '1998-01-01' group by e.id, e.subject, e.from_addr, e.body_preview""")
+)
+def embedding_texts(spark, sf_dir):
+    att = line_attachments(spark, sf_dir).withColumn("extracted_text", F.concat("file_extension", F.lit("x")))
+    rows = listing.matching(order_emails(spark, sf_dir), att, Filters(date_after=datetime(1998, 1, 1)))
+    nested = att.groupBy(F.col("email_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "extracted_text"))).alias("attachments"))
+    return rows.join(nested, "id", "left").select("id", F.md5(embedding_text("subject", "from_addr", "body_preview", "attachments")).alias("digest"))
+
+
+FOOT = "concat(text, chr(10), '| Unsubscribe here', chr(10), 'tail ', source)"
+
+
+@query(f"select doc_id, md5(case when length(text) >= 200 then rtrim(regexp_replace(text, '\\s+$', '')) else {FOOT} end) as digest from documents where not regexp_matches(text, '(?i)unsubscribe|preferences|receiving|subscription')")
+def footer_truncate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("(?i)unsubscribe|preferences|receiving|subscription"))
+    whole = F.concat("text", F.lit("\n| Unsubscribe here\ntail "), F.col("source"))
+    return d.select("doc_id", F.md5(T.before_footer(whole)).alias("digest"))
+
+
+@query("select doc_id, md5(trim(regexp_replace(replace(text, ' the ', chr(10) || chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) as digest from documents")
+def blank_squeeze(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.squeeze_blank(F.replace("text", F.lit(" the "), F.lit("\n\n\n\n")))).alias("digest"))
+
+
+@query("select page_id, 'see ' || url || ' now' as body from pages")
+def redundant_link(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.redundant_links(F.concat(F.lit("see ["), "url", F.lit("]("), "url", F.lit(") now"))).alias("body"))
+
+
+@query()
+def html_to_text_pages(spark, sf_dir):
+    ship_package(spark)
+
+    @F.pandas_udf("string")
+    def clean(s):
+        return s.map(html_to_text)
+
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", clean("html").alias("body"))
+
+
+@query("select doc_id, (text like '%>%' or lower(text) like '%wrote:%' or lower(text) like '%original message%' or text like '%-----%' or lower(text) like '%' || chr(10) || 'from:%') as markers, length(text) <= 50000 and length(text) - length(replace(text, chr(10), '')) + 1 <= 1500 and (text like '%>%' or lower(text) like '%wrote:%' or lower(text) like '%original message%' or text like '%-----%' or lower(text) like '%' || chr(10) || 'from:%') as strip from documents")
+def reply_markers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.reply_markers("text").alias("markers"), T.quotes_to_strip("text").alias("strip"))
+
+
+@query(mail("select id, substr(case when id % 3 = 0 then trim(subject || ' doc') else concat_ws(chr(10), nullif(trim(subject), ''), nullif(trim(coalesce(body_preview, '')), '')) end, 1, 1200) as body from order_emails"))
+def rerank_texts(spark, sf_dir):
+    e = order_emails(spark, sf_dir)
+    return e.select("id", T.rerank_text(F.when(F.col("id") % 3 == 0, F.concat("subject", F.lit(" doc "))), "subject", "body_preview").alias("body"))
+
+
+@query("select l_orderkey, l_linenumber, case when n = 1 then s || '.txt' else s || '-' || cast(n as varchar) || '.txt' end as safe_filename from (select l_orderkey, l_linenumber, regexp_replace(l_returnflag || '-' || l_linestatus, '[^A-Za-z0-9._ -]+', '_', 'g') as s, row_number() over (partition by l_orderkey, l_returnflag, l_linestatus order by l_linenumber) as n from lineitem)")
+def staged_file_names(spark, sf_dir):
+    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.lit("-"), "l_linestatus", F.lit(".txt")).alias("filename"))
+    return numbered_names(parts, "l_orderkey", "filename", "l_linenumber").select("l_orderkey", "l_linenumber", "safe_filename")
+
+
+@query("select page_id, '/x/' || regexp_replace(trim(url), '[^A-Za-z0-9._ -]+', '_', 'g') as path, substr(md5(url), 1, 12) as short_hash, regexp_matches(url, '%40') as coded, replace('a@b.c', '@', '%40') as account from pages")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/x/"), T.safe_name("url")).alias("path"), T.short_hash("url").alias("short_hash"), F.contains("url", F.lit("%40")).alias("coded"), F.replace(F.lit("a@b.c"), F.lit("@"), F.lit("%40")).alias("account"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%d %H:%M') as shown, cast(epoch(date_trunc('second', ts)) as bigint) as seconds from events")
+def display_dates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.display_date("ts").alias("shown"), F.unix_timestamp("ts").alias("seconds"))
+
+
+@query(
+    """
+select event_id, case when event_id % 4 = 1 then null else event_type end as subject, case event_id % 3 when 0 then true when 1 then false end as has_attachments, case when event_id % 2 = 0 then 'pdf' else 'docx' end as attachment_type from events"""
+)
+def nl_filter_parse(spark, sf_dir):
+    subject = F.when(F.col("event_id") % 4 == 1, F.lit("12")).otherwise(F.concat(F.lit('" '), "event_type", F.lit(' "')))
+    flag = F.element_at(F.array(*map(F.lit, ('"Yes"', "false", '"maybe"'))), (F.col("event_id") % 3 + 1).cast("int"))
+    kind = F.when(F.col("event_id") % 2 == 0, '"..PDF"').otherwise('"docx"')
+    answer = F.concat(F.lit('Sure: {"subject": '), subject, F.lit(', "has_attachments": '), flag, F.lit(', "attachment_type": '), kind, F.lit("} done"))
+    c = coerced_columns("answer")
+    return table(spark, sf_dir, "events").select("event_id", answer.alias("answer")).select("event_id", *(c[k].alias(k) for k in ("subject", "has_attachments", "attachment_type")))
