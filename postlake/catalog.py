@@ -114,7 +114,7 @@ def meta_query_truncated(spark, sf_dir):
 
 @query(
     mail("""
-select e.id, cast(count(a.id) as bigint) as n, coalesce(string_agg(a.filename, ',' order by a.id), '') as names
+select e.id, cast(count(a.id) as bigint) as n, coalesce(string_agg(a.filename, ',' order by a.id, a.filename), '') as names
 from (select * from order_emails where subject = '2-HIGH' order by date desc nulls last, id limit 200) e
 left join line_attachments a on a.email_id = e.id group by e.id""")
 )
@@ -243,7 +243,7 @@ def knn_postfiltered(spark, sf_dir):
 
 @query(
     docs("""
-select vec_id, label, round(1 - c, 6) as distance, rank from (
+select vec_id, label, round(1 - c, 6) + 0.0 as distance, rank from (
   select a.vec_id as label, b.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as c,
     row_number() over (partition by a.vec_id order by 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), b.id) as rank
   from vectors a, vectors b where a.vec_id < 5) where rank <= 10""")
@@ -252,7 +252,7 @@ def knn_many(spark, sf_dir):
     v = embedding_vectors(spark, sf_dir)
     queries = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = search.nearest_many(v, queries, 10)
-    return found.join(v.select("id", "vec_id"), "id").select("vec_id", F.col("query_id").alias("label"), F.round("distance", 6).alias("distance"), "rank")
+    return found.join(v.select("id", "vec_id"), "id").select("vec_id", F.col("query_id").alias("label"), (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -431,7 +431,7 @@ def file_extensions(spark, sf_dir):
 
 @query(
     mail("""
-, named as (select email_id, id, case when filename like '%.%' then lower(split_part(filename, '.', -1)) end as ext, row_number() over (partition by email_id order by id) as n from line_attachments),
+, named as (select email_id, id, case when filename like '%.%' then lower(split_part(filename, '.', -1)) end as ext, row_number() over (partition by email_id order by id, filename) as n from line_attachments),
 firsts as (select email_id, ext, min(n) as n from named where n <= 10 and ext is not null and ext <> '' group by email_id, ext)
 select a.email_id, coalesce(string_agg(f.ext, ',' order by f.n), '') as attachment_types from (select distinct email_id from line_attachments) a left join firsts f using (email_id) group by a.email_id""")
 )
@@ -442,7 +442,7 @@ def attachment_types_meta(spark, sf_dir):
 
 @query(
     mail("""
-select e.id, md5(trim(concat_ws(chr(10), e.subject, e.from_addr, coalesce(e.body_preview, '')) || coalesce(chr(10) || 'Attachments:' || chr(10) || string_agg(a.filename || chr(10) || a.file_extension || 'x', chr(10) order by a.id), ''), chr(10))) as digest
+select e.id, md5(trim(concat_ws(chr(10), e.subject, e.from_addr, coalesce(e.body_preview, '')) || coalesce(chr(10) || 'Attachments:' || chr(10) || string_agg(a.filename || chr(10) || a.file_extension || 'x', chr(10) order by a.id, a.filename), ''), chr(10))) as digest
 from order_emails e left join line_attachments a on a.email_id = e.id where e.date >= timestamp '1998-01-01' group by e.id, e.subject, e.from_addr, e.body_preview""")
 )
 def embedding_texts(spark, sf_dir):
@@ -455,7 +455,12 @@ def embedding_texts(spark, sf_dir):
 FOOT = "concat(text, chr(10), '| Unsubscribe here', chr(10), 'tail ', source)"
 
 
-@query(f"select doc_id, md5(case when length(text) >= 200 then rtrim(regexp_replace(text, '\\s+$', '')) else {FOOT} end) as digest from documents where not regexp_matches(text, '(?i)unsubscribe|preferences|receiving|subscription')")
+@query(
+    rf"""
+with w as (select doc_id, {FOOT} as whole from documents where not regexp_matches(text, '(?i)unsubscribe|preferences|receiving|subscription')),
+h as (select doc_id, whole, regexp_extract(whole, '(?is)^(.*?)\n[\s>|*\-\[]*unsubscribe', 1) as head from w)
+select doc_id, md5(case when length(head) < 200 then whole else regexp_replace(regexp_replace(head, '\n[^\n]*$', ''), '\s+$', '') end) as digest from h"""
+)
 def footer_truncate(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("(?i)unsubscribe|preferences|receiving|subscription"))
     whole = F.concat("text", F.lit("\n| Unsubscribe here\ntail "), F.col("source"))

@@ -21,8 +21,8 @@ def embedding_text(subject, sender, body, attachments, s: Settings = SETTINGS) -
     ``attachments`` is an array of structs with filename and extracted_text.
     """
     full = lambda x: F.coalesce(_c(x), F.lit(""))
-    start = F.struct(F.array(full(subject), full(sender), cut(full(body), s.embed_chars)).alias("parts"), F.lit(0).alias("used"), F.lit(False).alias("over"))
-    begun = F.when(F.size(_c(attachments)) > 0, F.array_append(start["parts"], F.lit("Attachments:"))).otherwise(start["parts"])
+    base = F.array(full(subject), full(sender), cut(full(body), s.embed_chars))
+    begun = F.when(F.size(_c(attachments)) > 0, F.array_append(base, F.lit("Attachments:"))).otherwise(base)
     start = F.struct(begun.alias("parts"), F.lit(0).alias("used"), F.lit(False).alias("over"))
 
     def add(state: Column, a: Column) -> Column:
@@ -37,7 +37,8 @@ def embedding_text(subject, sender, body, attachments, s: Settings = SETTINGS) -
         new = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, bare).when(state["used"] + F.length(short) > s.embed_chars, closed).otherwise(more)
         return F.when(state["over"], state).otherwise(new)
 
-    state = F.aggregate(F.coalesce(_c(attachments), F.expr("cast(array() as array<struct<filename:string,extracted_text:string>>)")), start, add)
+    pairs = F.transform(_c(attachments), lambda a: F.struct(a["filename"].alias("filename"), a["extracted_text"].alias("extracted_text")))
+    state = F.aggregate(F.coalesce(pairs, F.expr("cast(array() as array<struct<filename:string,extracted_text:string>>)")), start, add)
     return strip(F.array_join(state["parts"], "\n"))
 
 

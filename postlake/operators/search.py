@@ -155,7 +155,8 @@ def rerank(results: DataFrame, query: str, score: Scorer, top_k: int, s: Setting
         for x in batches:
             yield pd.Series([float(v) for v in score(query, x.tolist())])
 
-    texts = results.withColumn("_text", rerank_text("document", "subject", "body_preview", s))
+    document = "document" if "document" in results.columns else F.lit(None).cast("string")
+    texts = results.withColumn("_text", rerank_text(document, "subject", "body_preview", s))
     some = texts.where("_text <> ''")
     if some.isEmpty():
         return results.withColumn("rerank_score", F.lit(None).cast("double")).orderBy("rank").limit(top_k)
