@@ -220,7 +220,7 @@ def vector_distances(spark, sf_dir):
 
 @query(
     docs(f"""
-select h.vec_id, d.id as doc_id, d.subject, round(1 - h.distance, 6) as similarity
+select h.vec_id, d.id as doc_id, d.subject, round(case when d.id is not null then 1 - h.distance end, 6) as similarity
 from (select id, vec_id, {DISTANCE} as distance from vectors, q order by distance, id limit 30) h left join document_emails d on md5(d.file_path) = h.id""")
 )
 def knn_similarity_hydrated(spark, sf_dir):

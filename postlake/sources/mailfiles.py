@@ -28,9 +28,8 @@ def _reader(spark, directory: str, modified_after: datetime | str | None, stream
 
 
 def plain_path(column="path"):
-    """The path without the ``file:`` scheme and with its escapes undone."""
-    bare = F.regexp_replace(F.col(column) if isinstance(column, str) else column, r"^file:/+", "/")
-    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
+    """The path without the ``file:`` scheme."""
+    return F.regexp_replace(F.col(column) if isinstance(column, str) else column, r"^file:/+", "/")
 
 
 def mtime(column="modificationTime"):
@@ -113,4 +112,4 @@ def parse_messages(files: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 def _arrow(schema: StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(schema, timezone="UTC")
+    return to_arrow_schema(schema)
