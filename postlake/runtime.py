@@ -13,11 +13,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in every Python worker of the session."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:  # else a batch has 10,000 rows, however long
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
