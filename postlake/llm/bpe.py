@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.streams import texts_of
+from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import ship_package
 
 #: A stretch of more bytes than this without a pre-token boundary is encoded as a tree.
@@ -145,7 +145,7 @@ def encode_documents(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", t
                     names=["doc_id", "input_ids", "decoded"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, input_ids array<int>, decoded string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, input_ids array<int>, decoded string")
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:
@@ -159,4 +159,4 @@ def token_digests(encoded: DataFrame) -> DataFrame:
             decoded = [hashlib.sha256(t).hexdigest() for t in texts_of(batch.column("decoded"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(shas), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(tidy(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

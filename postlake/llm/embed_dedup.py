@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.components import connected_components
-from postlake.llm.streams import block_pairs, map_groups, roots
+from postlake.llm.streams import block_pairs, map_groups, roots, tidy
 from postlake.runtime import Scratch
 
 #: Vectors to fit centroids on, vectors a cell aims at, most cells, vectors of a block.
@@ -78,7 +78,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
             _, vectors = unit_rows(batch)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(vectors, pa.binary())], names=["vec_id", "label", "vec"])
 
-    rows = source.mapInArrow(prepare, "vec_id long, label string, vec binary")
+    rows = source.mapInArrow(tidy(prepare), "vec_id long, label string, vec binary")
     usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("copy", F.when(usable, F.sha2(F.concat(F.concat(F.col("label"), F.lit("\n")).cast("binary"), F.col("vec")), 256)))
     rows = scratch.keep(rows, "vectors")
@@ -116,7 +116,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
                 names=["id", "w", "label", "vec", "dims", "cell", "home"],
             )
 
-    placed = reps.mapInArrow(assign, "id long, w long, label string, vec binary, dims int, cell int, home boolean")
+    placed = reps.mapInArrow(tidy(assign), "id long, w long, label string, vec binary, dims int, cell int, home boolean")
     placed = placed.withColumn("place", F.sha2(F.concat_ws("\n", F.col("dims").cast("string"), F.col("cell").cast("string"), F.col("label")), 256)).drop("label", "dims", "cell")
 
     def compare(group: pa.Table) -> dict | None:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake.llm.streams import tidy
 from postlake.runtime import Scratch, ship_package
 
 #: n-grams of a language's profile and of a document's.
@@ -140,7 +141,7 @@ def fit_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     ship_package(labelled.sparkSession)
     texts = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    total = texts.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    total = texts.mapInArrow(tidy(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     scratch = Scratch(labelled.sparkSession, "langid")
     total = scratch.keep(total, "ngrams")
     profiles: dict[str, list[int]] = {}
@@ -176,4 +177,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
                 score.append(1 / sum(math.exp(-SHARP * (x - d[k])) for x in d.tolist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.streams import texts_of
+from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import ship_package
 
 WIDTH, HEIGHT = 16, 12
@@ -185,7 +185,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts = texts_of(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_media(pad(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
 PROBE = "handler:string,codec:string,duration_s:double,n_samples:long,keyframes:array<struct<offset:long,size:long>>"
@@ -204,7 +204,7 @@ def probe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
                 found.append([{"handler": t["handler"], "codec": t["codec"], "duration_s": t["duration"] / t["timescale"] if t["timescale"] else None, "n_samples": len(t["sizes"]), "keyframes": [{"offset": o, "size": s} for o, s in t["keys"].tolist()]} for t in read_tracks(media or b"")])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "tracks"])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "tracks") + f", tracks array<struct<{PROBE}>>")
+    return df.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "tracks") + f", tracks array<struct<{PROBE}>>")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
@@ -225,4 +225,4 @@ def media_features(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return stored.mapInArrow(run, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(tidy(run), f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.components import connected_components
-from postlake.llm.streams import block_pairs, map_groups, roots, texts_of
+from postlake.llm.streams import block_pairs, map_groups, roots, texts_of, tidy
 from postlake.runtime import Scratch
 
 ROWS, BANDS = 6, 32
@@ -40,7 +40,7 @@ U = np.uint64
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the words a worker meets often."""
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -58,6 +58,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def _own_words(run):
+    """``run`` with the worker's word hashes emptied after it (looked up there: the cache stays with the module)."""
+
+    def wrapped(batches):
+        from postlake.llm import minhash
+
+        yield from tidy(run, minhash._words)(batches)
+
+    return wrapped
+
+
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``size``-word shingles of lower-cased (A-Z) text.
 
@@ -216,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_shingles long, lo long, hi long, keys array<long>, sketch binary"
-    seen = scratch.keep(source.mapInArrow(_sketches(ngram, rows, bands), schema), "sketches")
+    seen = scratch.keep(source.mapInArrow(_own_words(_sketches(ngram, rows, bands)), schema), "sketches")
 
     has = seen.where("n_shingles > 0 and doc_id is not null")
     first = has.groupBy("lo", "hi").agg(F.min("doc_id").alias("id"))
@@ -245,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cluster", "size", "shingles"])
 
     texts = clusters.select("id", F.col("component").alias("cluster")).join(source, F.col("id") == F.col("doc_id")).select("id", "cluster", "text")
-    sets = scratch.keep(texts.mapInArrow(to_sets, "id long, cluster long, size long, shingles binary"), "shingles")
+    sets = scratch.keep(texts.mapInArrow(_own_words(to_sets), "id long, cluster long, size long, shingles binary"), "shingles")
     blocks = block_pairs(sets, scratch, "cluster-sizes", "cluster", "id", 256, "size", 1_000_000)
     links = map_groups(blocks, _compare_sets(percent), "a long, b long", ["a", "b"])
     linked = scratch.keep(connected_components(links, scratch, "links"), "linked")

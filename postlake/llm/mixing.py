@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from postlake.llm.streams import texts_of
+from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import Scratch, ship_package
 
 #: Labelled documents to train on, hashed words, passes over the sample.
@@ -37,7 +37,7 @@ STEPS, TOLERANCE = 60, 1e-4
 
 
 class WordBuckets(dict):
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -65,6 +65,8 @@ class Classifier:
     bias: np.ndarray
 
     def posteriors(self, words: np.ndarray) -> np.ndarray:
+        if not self.domains:
+            return np.empty(0)
         s = self.bias + (self.weights[words].sum(axis=0) / np.sqrt(len(words)) if len(words) else 0)
         e = np.exp(s - s.max())
         return e / e.sum()
@@ -111,7 +113,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
     # the sample is at most FIT rows of two columns, whatever the size of the tables
     sample = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).join(F.broadcast(table), "i").select("i", "domain", "text")
-    rows = sample.mapInArrow(words, "i long, domain string, words binary").limit(2 * FIT).collect()
+    rows = sample.mapInArrow(tidy(words), "i long, domain string, words binary").limit(2 * FIT).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["i"])), r["words"]))
     return train([np.frombuffer(r["words"], np.int32) for r in rows], [r["domain"] for r in rows])
 
@@ -133,7 +135,7 @@ def with_membership(docs: DataFrame, classifier: Classifier, text_col: str = "te
                 p.append(known.posteriors(words))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))], names=[*batch.schema.names, tokens, posteriors])
 
-    return docs.mapInArrow(run, type(docs.schema)(list(docs.schema.fields)).add(tokens, "long").add(posteriors, ArrayType(DoubleType())))
+    return docs.mapInArrow(tidy(run), type(docs.schema)(list(docs.schema.fields)).add(tokens, "long").add(posteriors, ArrayType(DoubleType())))
 
 
 def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -163,7 +165,7 @@ def fit_steps(members: DataFrame, k: int, weights: np.ndarray, total: float | No
                 sums += (rates_of(p, steps) * batch.column("tokens").to_numpy()) @ p
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(sums)], names=["k", "s"])
 
-        rows = members.select("tokens", "posteriors").mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+        rows = members.select("tokens", "posteriors").mapInArrow(tidy(run), "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
         out = np.zeros(k)
         for r in rows:
             out[r["k"]] = r["s"]
@@ -217,7 +219,7 @@ def with_rates(members: DataFrame, classifier: Classifier, steps: list[np.ndarra
             r = rates_of(_matrix(batch, "posteriors", k), steps) if k else np.ones(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
 
-    rated = members.mapInArrow(run, type(members.schema)(list(members.schema.fields)).add("rate", "double"))
+    rated = members.mapInArrow(tidy(run), type(members.schema)(list(members.schema.fields)).add("rate", "double"))
     names = F.array(*(F.lit(d) for d in classifier.domains)) if k else F.expr("cast(array() as array<string>)")
     best = F.element_at(names, F.array_position(F.col("posteriors"), F.array_max("posteriors")).cast("int")) if k else F.lit(None).cast("string")
     return rated.select("doc_id", "tokens", best.alias("domain"), F.map_from_arrays(names, "posteriors").alias("posteriors"), "rate")
@@ -247,6 +249,6 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
             p = _matrix(batch, names["posteriors"], k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps))], names=[*batch.schema.names, names["rate"]])
 
-    rated = rated.mapInArrow(run, type(rated.schema)(list(rated.schema.fields)).add(names["rate"], "double"))
+    rated = rated.mapInArrow(tidy(run), type(rated.schema)(list(rated.schema.fields)).add(names["rate"], "double"))
     copies = copies_of(F.col(names["rate"]), F.col(id_col))
     return rated.withColumn(names["copies"], F.explode(F.sequence(F.lit(0), copies))).where(F.col(names["copies"]) > 0).select(*docs.columns)

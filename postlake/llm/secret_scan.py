@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.streams import texts_of
+from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import ship_package
 
 # The alphabet of base-62 checksums, from digit 0 to digit 61.
@@ -171,7 +171,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows.append([{"kind": names[k], "start": a, "end": b} for a, b, k in code_points(t, s.scan(t))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "secrets"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, secrets array<{SPAN}>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, secrets array<{SPAN}>")
 
 
 def span_digests(scanned: DataFrame) -> DataFrame:
@@ -215,4 +215,4 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 columns[n] = pa.array([size if size is not None else o for size, o in zip(sizes, old, strict=True)], batch.column(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

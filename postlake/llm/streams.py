@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,32 @@ from pyspark.sql import functions as F
 from postlake.runtime import Scratch
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on every platform
+        pass
+
+
+def tidy(run: Callable[[Batches], Batches], *caches: dict) -> Callable[[Batches], Batches]:
+    """``run``, after which the given caches are emptied and memory is given back."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c.clear()
+            release()
+
+    return wrapped
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[pa.Table]:
     """The rows of one key after the other, from batches sorted by ``key``."""
     held: list[pa.RecordBatch] = []
@@ -49,7 +76,7 @@ def map_groups(df: DataFrame, work: Callable[[pa.Table], dict | None], schema: s
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[n] for x in found])) for n in names], names=names)
 
-    return df.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+    return df.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), schema)
 
 
 def block_pairs(df: DataFrame, scratch: Scratch, name: str, key: str, row_id: str, block: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:

@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake.llm.streams import tidy
 from postlake.runtime import ship_package
 
 MARK = "▁"
 RANK_OFFSET, UNKNOWN = 3.0, 10.0
 #: Longer pre-tokens are scored on their own instead of filling the trie; nodes and stored counts after which
 #: a worker's trie and counts are emptied.
-LONG, NODES, COUNTS = 64, 300_000, 600_000
+LONG, NODES, COUNTS = 64, 200_000, 200_000
 
 
 def public_pieces() -> str:
@@ -145,5 +146,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_chars", "n_pretokens", "n_tokens"])
         finally:
             gc.enable()
+            trie.clear()
+            trie.counts.clear()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars long, n_pretokens long, n_tokens long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars long, n_pretokens long, n_tokens long")

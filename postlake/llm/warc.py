@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.streams import texts_of
+from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import Scratch, ship_package
 
 INDEX = "file string, offset long, length long, url string, digest string, kind string, page_id long, payload_bytes long, refers_to long"
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: i
             if out is not None:
                 out.close()
 
-    index = scratch.keep(dealt.mapInArrow(run, INDEX), "index")
+    index = scratch.keep(dealt.mapInArrow(tidy(run), INDEX), "index")
     scratch.drop("first-pages")
     return index
 
@@ -171,4 +171,4 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
     stretch = F.floor(F.col("offset") / F.lit(STRETCH))
     chosen = index.select("file", "offset", "length").withColumn("stretch", stretch).repartition("file", "stretch").sortWithinPartitions("file", "offset")
-    return chosen.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return chosen.mapInArrow(tidy(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
