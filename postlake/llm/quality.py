@@ -1,15 +1,18 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two generative models over hashed features are counted: the target's from a bounded sample of
-labelled good documents (``FIT``), the raw one from every document.  Features are byte trigrams
+labelled good documents (``FIT``), the raw one from every document; each document counts alike,
+whatever its length (its counts are scaled to ``LENGTH`` features).  Features are byte trigrams
 in 2**16 buckets and one more for a word bigram whose words are equal (so that a text that says
 one word again and again is unlike the target whatever the word).  A document's log importance
 weight is the sum of its features' log ratios; documents are drawn without replacement by Gumbel
 top-k: the k largest of weight plus Gumbel noise, the noise being a hash of the document's id, so
 that a run that is repeated draws the same.
 
-k is given, or is the number of documents whose weight is above a cut; the cut lies ``MARGIN``
-below nearly all (all but ``LOST``) of a second bounded sample of labelled good documents.
+k is given, or is the number of documents whose weight is above a cut.  The cut is placed on a second
+bounded sample of labelled good documents and one of labelled bad ones (``CALIBRATE`` each): where the
+share of good ones lost, weighed ``WEIGHT`` times, and that of bad ones kept are smallest together,
+less ``MARGIN``.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.streams import texts_of
+from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import Scratch, ship_package
 
 BITS = 16
 BUCKETS = (1 << BITS) + 1
 SAME = BUCKETS - 1
-#: Labelled good documents to fit the target on, and to place the cut by (smallest hashes of ids first).
+#: Labelled good documents to fit the target on, and labelled ones to place the cut by (smallest hashes of ids first).
 FIT, CALIBRATE = 16_384, 4_096
-#: Pseudo-counts of a bucket in either model, share of good documents that may lie below the cut, nats below.
-SMOOTH, LOST, MARGIN = 10.0, 0.0005, 2.0
+#: Pseudo-counts of a bucket in either model, cost of a good document lost to a bad one kept, nats below the best cut.
+SMOOTH, WEIGHT, MARGIN = 10.0, 30.0, 2.0
+LENGTH = 1_000.0
 BINS = 4_096
 
 
@@ -45,25 +49,27 @@ def features(text: bytes) -> tuple[np.ndarray, int]:
 
 
 def fit_log_ratios(docs: DataFrame, target_ids: list[int], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """log(target / raw) of each bucket.  Counts cover all documents; only sums by bucket are shuffled."""
+    """log(target / raw) of each bucket.  The raw counts cover all documents; only sums by bucket are shuffled."""
     ship_package(docs.sparkSession)
     wanted = np.array(sorted(target_ids), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in batches:
             good = np.isin(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), wanted) & ~np.asarray(batch.column("doc_id").is_null())
             for is_target, text in zip(good.tolist(), texts_of(batch.column("text")), strict=True):
                 h, same = features(text)
-                n = np.bincount(h, minlength=BUCKETS)
-                n[SAME] += same
+                if not len(h):
+                    continue
+                n = np.bincount(h, minlength=BUCKETS) * (LENGTH / len(h))
+                n[SAME] += same * (LENGTH / len(h))
                 raw += n
                 if is_target:
                     target += n
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, "bucket int, raw long, target long")
+    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(count), "bucket int, raw double, target double")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most BUCKETS rows
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -86,7 +92,7 @@ def with_weights(docs: DataFrame, ratios: np.ndarray, text_col: str, name: str)
                 weights.append(float(ratios[h].sum() + same * ratios[SAME]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, type(schema)(list(schema.fields)).add(name, "double"))
+    return docs.mapInArrow(tidy(run), type(schema)(list(schema.fields)).add(name, "double"))
 
 
 def gumbel_key(weight: str, id_col, temperature: float = 1.0, seed: int = 5):
@@ -131,25 +137,42 @@ class Selection:
     last: int
 
 
-def _good_ids(labels: DataFrame) -> tuple[list[int], list[int]]:
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    ids = [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.col("doc_id").cast("long")).limit(FIT + CALIBRATE).collect()]
+def _labelled_ids(labels: DataFrame, quality: int, most: int) -> list[int]:
+    """Ids with a quality (of several the lowest), by hash; at most ``most``."""
+    rows = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("quality").alias("q")).where(F.col("q") == quality)
+    return [r[0] for r in rows.orderBy(F.xxhash64("i"), "i").select("i").limit(most).collect()]
+
+
+def split_good(labels: DataFrame) -> tuple[list[int], list[int]]:
+    """Good documents to fit on, and others to calibrate with."""
+    ids = _labelled_ids(labels, 1, FIT + CALIBRATE)
     cut = len(ids) * FIT // (FIT + CALIBRATE)
     return ids[:cut], ids[cut:]
 
 
+def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
+    """The weight from which documents are kept (the lowest of equally good ones)."""
+    if not len(good):
+        return float("-inf")
+    cuts = np.sort(good)
+    lost = np.searchsorted(cuts, cuts, "left") / len(good)
+    kept = 1 - np.searchsorted(np.sort(bad), cuts, "left") / len(bad) if len(bad) else np.zeros(len(cuts))
+    return float(cuts[np.argmin(WEIGHT * lost + kept)]) - MARGIN
+
+
 def fit_selection(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[Selection, DataFrame]:
     """The selection, and a written table of doc_id and log_weight.  Without good labels all weights are 0."""
     scratch = Scratch(docs.sparkSession, "quality")
-    fit, calibrate = _good_ids(labels)
+    fit, calibrate = split_good(labels)
     ratios = fit_log_ratios(docs, fit, id_col, text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = with_weights(source, ratios, "text", "log_weight").select("doc_id", "log_weight")
     scored = scratch.keep(scored, "weights")
     if k is None:
-        held = scored.where(F.col("doc_id").isin(calibrate)) if len(calibrate) <= 64 else scored.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in calibrate], "doc_id long")), "doc_id", "left_semi")
-        good = np.array([r[0] for r in held.select("log_weight").limit(4 * CALIBRATE).collect()])
-        cut = float(np.quantile(good, LOST)) - MARGIN if len(good) else float("-inf")
+        bad = _labelled_ids(labels, 0, CALIBRATE)
+        ids = docs.sparkSession.createDataFrame([(i, True) for i in calibrate] + [(i, False) for i in bad], "doc_id long, good boolean")
+        held = scored.join(F.broadcast(ids), "doc_id").select("good", "log_weight").limit(8 * CALIBRATE).collect()
+        cut = best_cut(np.array([r[1] for r in held if r[0]]), np.array([r[1] for r in held if not r[0]]))
         k = scored.where(F.col("log_weight") >= cut).count()
     keys = scored.select(gumbel_key("log_weight", "doc_id").alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     key, last = kth_largest(keys, k)

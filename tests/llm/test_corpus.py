@@ -1,0 +1,236 @@
+"""Operators that fit something on the corpus, archives, and the pipeline."""
+
+import hashlib
+import math
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline
+from postlake.llm import mixing, quality, warc
+from postlake.llm.queries import TARGETS, labelled_domains
+from postlake.runtime import Scratch
+from tests.llm.helpers import DOCS, ODD
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark, sf):
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+# -- quality -----------------------------------------------------------------------------------------
+
+
+def test_weights_equal_a_plain_count(docs, labels):
+    from collections import Counter
+
+    def grams(text):
+        raw = b" " + text.encode() + b" "
+        out = Counter()
+        for i in range(len(raw) - 2):
+            h = (raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF
+            out[h >> 16] += 1
+        words = text.encode().split()
+        out["same"] = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        return out
+
+    fit, _ = quality.split_good(labels)
+    texts = {r["doc_id"]: grams(r["text"]) for r in docs.collect()}
+    raw, target = Counter(), Counter()
+    for i, g in texts.items():
+        size = sum(n for b, n in g.items() if b != "same")
+        part = {b: n * quality.LENGTH / size for b, n in g.items()}
+        raw.update(part)
+        if i in set(fit):
+            target.update(part)
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = lambda b: math.log((target[b] + quality.SMOOTH) / (raw[b] * scale + quality.SMOOTH))
+    got = {r["doc_id"]: r["log_weight"] for r in quality.quality_scores(docs, labels).collect()}
+    for i, g in texts.items():
+        assert got[i] == pytest.approx(sum(n * ratio(b) for b, n in g.items()), abs=1e-6)
+
+
+def test_quality_separates_labels(spark, sf):
+    d = sf.replace("0.001", "0.1")
+    rows = quality.quality_scores(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    good, bad = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
+    assert np.mean(good) >= 0.998 and np.mean(bad) <= 0.05
+
+
+@pytest.mark.parametrize("k", [0, 1, 57, 199, 200, 500])
+def test_gumbel_top_k_draws_exactly_k(docs, labels, k):
+    kept = [r["doc_id"] for r in quality.quality_scores(docs, labels, k=k).where("kept").collect()]
+    assert len(kept) == min(k, 200)
+    assert sorted(kept) == sorted(r["doc_id"] for r in quality.select_documents(docs, labels, k=k).collect())
+
+
+def test_kth_largest_narrows_down(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 7)
+    rng = np.random.default_rng(1)
+    keys = [(float(x), i) for i, x in enumerate(np.concatenate([rng.standard_normal(500), [3.0] * 40, [-1e9, 1e9]]))]
+    df = spark.createDataFrame(keys, "key double, id long")
+    order = sorted(keys, key=lambda r: (-r[0], r[1]))
+    for k in (1, 2, 20, 60, 300, 541):
+        assert quality.kth_largest(df, k) == order[k - 1]
+
+
+def test_quality_odd_rows(spark, docs, labels):
+    odd = spark.createDataFrame([(*r, 1.0, True) for r in ODD], DOCS + ", log_weight double, kept boolean")
+    got = quality.quality_scores(odd, labels).collect()
+    assert len(got) == len(ODD)
+    assert {r["log_weight"] for r in quality.quality_scores(odd, labels.limit(0)).collect()} == {0.0}
+    assert quality.select_documents(odd, labels.limit(0)).count() == len(ODD)
+    assert quality.select_documents(odd, labels).columns == odd.columns
+    empty = spark.createDataFrame([], DOCS)
+    assert quality.quality_scores(empty, labels).collect() == [] and quality.select_documents(empty, labels).collect() == []
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 0), (5, None, None)], LABELS))
+    assert quality.quality_scores(docs, twice).count() == 200
+
+
+# -- mixing ------------------------------------------------------------------------------------------
+
+
+def test_rates_reach_the_targets(spark, sf):
+    d = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    domains = labelled_domains(spark, d)
+    rows = mixing.fit_rates(docs, domains, TARGETS).collect()
+    total = {k: sum(r["rate"] * r["tokens"] * r["posteriors"][k] for r in rows) for k in TARGETS}
+    for k, w in TARGETS.items():
+        assert total[k] / sum(total.values()) == pytest.approx(w, abs=0.002)
+    assert all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 for r in rows)
+    by = {r["doc_id"]: r["domain"] for r in rows}
+    known = domains.where("domain is not null").collect()
+    assert np.mean([by[r["doc_id"]] == r["domain"] for r in known]) > 0.9
+
+
+def test_steps_solve_the_least_squares_problem(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 300)
+    t = rng.integers(1, 500, 300)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, posteriors array<double>")
+    target = np.array([0.2, 0.5, 0.3])
+    steps, natural, now = mixing.fit_steps(df, 3, target, total=float(t.sum()))
+    assert natural == pytest.approx(t @ p) and now == pytest.approx(target * t.sum(), rel=2e-3)
+    assert (mixing.rates_of(p, steps) * t) @ p == pytest.approx(now)
+
+
+def test_mixing_decisions_take_effect(spark, sf):
+    d = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("rate", F.lit("mine"))
+    out = mixing.mix_documents(docs, labelled_domains(spark, d), TARGETS)
+    assert out.columns == docs.columns
+    copies = {r["doc_id"]: r["copies"] for r in mixing.fit_rates(docs, labelled_domains(spark, d), TARGETS).collect()}
+    got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {i: n for i, n in copies.items() if n}
+
+
+def test_mixing_odd_rows(spark, sf):
+    odd, none = spark.createDataFrame(ODD, DOCS), spark.createDataFrame([], DOCS)
+    domains = spark.createDataFrame([(1, "a"), (11, "b"), (12, "b"), (None, "a"), (8, None), (1, "a")], "doc_id long, domain string")
+    rows = mixing.fit_rates(odd, domains, {"a": 0.5, "b": 0.5, "zz": 1.0}).collect()
+    assert len(rows) == len(ODD) and all(r["tokens"] == 0 for r in rows if r["doc_id"] in (4, 5, 6, 7))
+    assert mixing.fit_rates(none, domains, {"a": 1.0}).collect() == []
+    free = mixing.fit_rates(odd, domains.limit(0), {"a": 1.0}).collect()
+    assert {(r["rate"], r["copies"]) for r in free} == {(1.0, 1)}
+    assert mixing.mix_documents(odd, domains.limit(0), {"a": 1.0}).count() == len(ODD)
+
+
+# -- archives ----------------------------------------------------------------------------------------
+
+
+def archive(spark, pages, **options):
+    scratch = Scratch(spark, "warc-test")
+    folder = warc.uri_of(scratch, "archives")
+    return warc.write_archives(pages, folder, scratch, **options), folder
+
+
+def test_archive_round_trip(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    index, folder = archive(spark, pages)
+    got = {r["page_id"]: r for r in warc.read_archives(index, folder).collect()}
+    for r in pages.collect():
+        g = got[r["page_id"]]
+        assert (g["payload"], g["url"], g["record_type"], g["payload_digest"]) == (r["html"], r["url"], "response", warc.digest_of(r["html"].encode()))
+        assert g["payload_bytes"] == len(r["html"].encode())
+    some = index.where("page_id % 7 = 3")
+    assert {r["page_id"] for r in warc.read_archives(some, folder).collect()} == {i for i in got if i % 7 == 3}
+
+
+def test_archive_revisits_and_odd_rows(spark):
+    rows = [(5, "u5", "same"), (3, "u3", "same"), (9, None, "same"), (4, "u4", None), (6, "u6", ""), (7, "u\r\n7", "é\r\n\r\nx"), (3, "u3", "same"), (None, "n", "same"), (8, "u8", "z" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
+    index, folder = archive(spark, pages)
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(index, folder).collect()), key=str)
+    assert got == sorted([(5, "revisit", 3, 4), (3, "response", None, 4), (9, "revisit", 3, 4), (4, "response", None, 0), (6, "revisit", 4, 0), (7, "response", None, 7), (3, "response", None, 4), (None, "response", None, 4), (8, "response", None, 3_000_000)], key=str)
+    index, folder = archive(spark, pages, min_bytes=5)
+    assert {r["record_type"] for r in warc.read_archives(index, folder).collect()} == {"response"}
+    index, folder = archive(spark, pages.limit(0))
+    assert warc.read_archives(index, folder).collect() == []
+    assert warc.digest_of(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest()[:4] == "da39"
+
+
+# -- pipeline and registration -----------------------------------------------------------------------
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, scratch, seen = docs.columns, Scratch(spark, "stages"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = scratch.keep(stage(spark, docs, sf), name)
+        seen[name] = (before, docs)
+        if name != "tokens":
+            assert docs.columns == columns
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+    assert ids(seen["quality"][1]) < ids(seen["quality"][0])
+    from tests.llm.helpers import components, near_pairs
+
+    before, after = seen["near_dedup"]
+    sets, links = near_pairs([(r["doc_id"], r["text"]) for r in before.collect()])
+    assert ids(after) == set(components(sets, links).values()) and after.count() == len(ids(after))
+    assert seen["secrets"][1].count() == seen["secrets"][0].count()
+    assert seen["tokens"][1].count() == seen["tokens"][0].count()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] for r in seen["tokens"][0].collect()}
+    for r in seen["tokens"][1].limit(40).collect():
+        assert r["input_ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["input_ids"])
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    spark.createDataFrame(ODD, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (8, 0, 0), (12, 1, 1)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_registration():
+    names = list(__spark_entry__.queries())
+    assert [n for n in (f"op{i}_" for i in range(1, 11)) if sum(x.startswith(n) for x in names) != 1] == [] and "pipeline" in names
+    assert "op1_minhash_dedup" in __spark_entry__.oracle_sql()
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op3_embedding_dedup"])
+def test_sql_of_the_operators(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = __spark_entry__.queries()[name](spark, sf)
+    want = con.sql(__spark_entry__.oracle_sql()[name])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
