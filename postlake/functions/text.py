@@ -130,10 +130,11 @@ def squeeze_blank(text) -> Column:
 def before_footer(text) -> Column:
     """The text before the line of the earliest footer marker, a marker counting where its first line-anchored
     appearance begins at least 200 characters in."""
-    t = _c(text)
+    t, low = _c(text), F.lower(_c(text))
     starts = []
     for m in FOOTER_MARKERS:
-        at = F.regexp_instr(t, F.lit(rf"(?im)(?:^|\n)[\s>|*\-\[]*{m}"))
+        # few texts have a marker at all, and a plain search tells so without the expression
+        at = F.when(F.contains(low, F.lit(m)), F.regexp_instr(t, F.lit(rf"(?im)(?:^|\n)[\s>|*\-\[]*{m}")))
         starts.append(F.when(at > FOOTER_LEAST, at))
     first = F.array_min(F.array(*starts))
     head = F.substr(t, F.lit(1), first - 1)
