@@ -59,6 +59,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/postlake-{name}-{uuid.uuid4().hex}"
+        self._kept = False
         ship_package(spark)
 
     def path(self, name: str) -> str:
@@ -67,15 +68,23 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not self._kept:  # what isn't dropped before goes with the driver
+            root, store = self._store(self.root)
+            store.deleteOnExit(root)
+            self._kept = True
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            path, store = self._store(self.path(name))
+            store.delete(path, True)
+
+    def _store(self, path: str):
+        """A path and the file system it lies in, as Spark sees them."""
+        sc = self.spark.sparkContext
+        found = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

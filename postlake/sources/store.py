@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from postlake.functions.embedtext import fallback_document
 from postlake.functions.text import attachment_types, cut, file_extension, file_hash
 from postlake.params import SETTINGS, Settings
+from postlake.runtime import Scratch
 from postlake.schema import ATTACHMENTS, EMAILS, EXTRACTION_VERSION, TABLES, VECTORS, conform, empty
 
 #: Vectors are many rows of many bytes; messages are sorted by date so that date filters skip row groups.
@@ -73,11 +74,13 @@ class Store:
 
     def upsert(self, parsed: DataFrame, embedded: DataFrame | None = None, s: Settings = SETTINGS) -> None:
         """Insert or replace messages by path, with their attachments and vectors, in one version."""
-        emails, attachments = upsert_messages(self.table("emails"), self.table("attachments"), parsed, s)
+        scratch = Scratch(self.spark, "upsert")
+        emails, attachments = upsert_messages(self.table("emails"), self.table("attachments"), parsed, s, scratch)
         tables = {"emails": emails, "attachments": attachments}
         if embedded is not None:
             tables["vectors"] = upsert_vectors(self.table("vectors"), embedded, s)
         self.commit(**tables)
+        scratch.drop("ranges")
 
     def delete(self, paths: DataFrame) -> None:
         """Delete messages by path (a table with file_path), with their attachments and vectors."""
@@ -204,10 +207,11 @@ def to_email_rows(parsed: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, start: int, order: str) -> DataFrame:
+def numbered(df: DataFrame, start: int, order: str, scratch: Scratch) -> DataFrame:
     """Rows with ids from ``start`` + 1 on: counted within range partitions, whose few sizes are summed up on the
-    driver, so that no task has to see all rows."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    driver, so that no task has to see all rows.  The partitions are written down first: made a second time
+    they could be others."""
+    ranged = scratch.keep(df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, start
     for p in sorted(sizes):
@@ -219,14 +223,15 @@ def numbered(df: DataFrame, start: int, order: str) -> DataFrame:
     return ranged.withColumn("id", (base + F.row_number().over(w)).cast("long")).drop("_p")
 
 
-def upsert_messages(emails: DataFrame, attachments: DataFrame, parsed: DataFrame, s: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
+def upsert_messages(emails: DataFrame, attachments: DataFrame, parsed: DataFrame, s: Settings = SETTINGS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Emails and attachments after replacing by path: ids stay, new paths get the next ids, every other column
     is the new row's (null ones too), and attachments are replaced as a whole."""
     new = to_email_rows(latest_per_path(parsed.where("parse_error is null") if "parse_error" in parsed.columns else parsed), s)
     known = emails.select(F.col("id").alias("old_id"), "file_path")
     joined = new.join(known, "file_path", "left")
     top = emails.agg(F.max("id")).first()[0] or 0
-    fresh = numbered(joined.where("old_id is null").drop("old_id"), top, "file_path")
+    scratch = scratch or Scratch(emails.sparkSession, "upsert")
+    fresh = numbered(joined.where("old_id is null").drop("old_id"), top, "file_path", scratch)
     again = joined.where("old_id is not null").withColumnRenamed("old_id", "id")
     written = again.unionByName(fresh)
     kept = emails.join(new.select("file_path"), "file_path", "left_anti")

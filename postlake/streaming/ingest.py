@@ -53,9 +53,9 @@ class Ingest:
         run.moved, run.indexed = gone.count(), good.count()
         if run.indexed:
             emails, attachments, vectors = delete_paths(emails, attachments, vectors, gone)
-            emails, attachments = upsert_messages(emails, attachments, good, self.s)
+            emails, attachments = upsert_messages(emails, attachments, good, self.s, scratch)
             self.store.commit(emails=emails, attachments=attachments, vectors=upsert_vectors(vectors, self.embedded(good), self.s))
-        scratch.drop("parsed", "moved")
+        scratch.drop("parsed", "moved", "ranges")
         return run
 
     def index(self, directory: str, incremental: bool = True, skip_unchanged: bool = True, limit: int | None = None) -> Run:

@@ -181,6 +181,50 @@ def test_nearest_equals_brute_force(spark, sf):
     assert [r["vec_id"] for r in search.nearest(v, q, 25).collect()] == [rows[i]["vec_id"] for i in want]
 
 
+def test_many_queries_equal_one_by_one(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("id", F.col("vec_id"))
+    queries = v.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = {}
+    for r in search.nearest_many(v, queries, 8).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    for r in queries.collect():
+        assert got[r["query_id"]] == [x["vec_id"] for x in search.nearest(v, r["query_vector"], 8).collect()]
+    assert search.nearest_many(v, queries.limit(0), 8).collect() == []
+
+
+def test_buckets_keep_near_vectors_together(spark, sf):
+    v = search.with_buckets(spark.read.parquet(f"{sf}/embeddings.parquet"), planes=4)
+    assert 8 < v.select("bucket").distinct().count() <= 16
+    twice = v.withColumn("embedding", F.transform("embedding", lambda x: x * 2)).drop("bucket")
+    assert search.with_buckets(twice, planes=4).join(v.select("vec_id", F.col("bucket").alias("b")), "vec_id").where("bucket <> b").isEmpty()
+
+
+def test_stream_drops_repeats_within_the_allowance(spark, sf, tmp_path):
+    from postlake.streaming.ingest import dedup_stream
+
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).limit(200)
+    events.unionByName(events).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = dedup_stream(stream, ["event_id"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+
+
+def test_models():
+    assert search.resolve_model("BGE-base") == "BAAI/bge-base-en-v1.5" and search.resolve_model("my/model") == "my/model"
+    calls = []
+
+    def load(name, **options):
+        calls.append(options)
+        if options:
+            raise OSError("not cached")
+        return name
+
+    assert search.load_local_first("m", load) == "m" and calls == [{"local_files_only": True}, {}]
+    with pytest.raises(ZeroDivisionError):
+        search.load_local_first("m", lambda *a, **k: 1 / 0)
+
+
 def test_best_per_message_keeps_place_and_distance(spark):
     rows = [(1, "a", 0.3), (2, "b", 0.4), (3, "a", 0.2), (4, "", 0.5), (5, None, 0.6), (6, "b", None), (7, "c", None), (8, "c", 1.0)]
     got = maintain.best_per_message(spark.createDataFrame([(*r, r[0]) for r in rows], "rank int, message_id string, distance double, n int")).orderBy("rank").collect()
