@@ -7,13 +7,17 @@ values costs K hash evaluations a shingle.  Signatures are cut into bands whose
 all come from different permutations.  Band collisions are only candidates:
 
 1. documents with equal sets are collapsed onto the smallest id (map-side combined);
-2. members of a band bucket are compared by signature sketch in blocks; pairs that are far
-   from similar (more than five standard errors) go, the rest join a candidate cluster;
-3. within a cluster the full shingle sets are intersected exactly, block by block, and
-   links are reported as one edge a document to the smallest id of its block;
+2. candidate clusters: each member of a band bucket is compared with the bucket's pivot by
+   signature sketch, and those that are not far from similar (within five standard errors)
+   join it; members that this leaves in other clusters than most of their bucket are compared
+   with the whole bucket, block by block;
+3. exact links: the full shingle set of each member of a cluster is intersected with that of the
+   cluster's pivot; members that this leaves apart from the largest component are intersected with
+   the whole cluster, block by block;
 4. connected components of the exact links give the groups.
 
-No pair table is ever built, no group lands in one task (blocks of bounded rows and
+So a large group of copies costs a comparison a member, and only what doesn't fit its pivot meets
+the others.  No pair table is ever built, no group lands in one task (blocks of bounded rows and
 bounded shingles), and nothing but counts reaches the driver.  With the defaults (32 bands
 of 6 rows) a pair at a similarity of 0.85 shares no band with probability 2.6e-7.
 """
@@ -146,6 +150,43 @@ def _sketches(ngram: int, rows: int, bands: int):
     return run
 
 
+def _near_pivot(percent: int, least: float):
+    """Rows (id, n_shingles, sketch and the pivot's) that may be similar to their pivot, as edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "p_sketch"))
+            n, m = batch.column("n_shingles").to_numpy(), batch.column("p_n").to_numpy()
+            near = ((one == two).mean(axis=1) >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            keep = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(keep), batch.column("p_id").take(keep)], names=["a", "b"])
+
+    return run
+
+
+def _linked_to_pivot(percent: int):
+    """Rows (id, shingles and the pivot's) that are similar to their pivot, as edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, pivot = [], None, np.empty(0, U)
+            for i, (mine, theirs) in enumerate(zip(batch.column("shingles").to_pylist(), batch.column("p_shingles").to_pylist(), strict=True)):
+                if theirs != last:
+                    last, pivot = theirs, np.frombuffer(theirs, U)
+                a = np.frombuffer(mine, U)
+                small, large = (a, pivot) if len(a) < len(pivot) else (pivot, a)
+                at = np.searchsorted(large, small)
+                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                if 100 * shared >= percent * (len(a) + len(pivot) - shared):
+                    keep.append(i)
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("p_id").take(take)], names=["a", "b"])
+
+    return run
+
+
 def _compare_sketches(percent: int, least: float):
     """Candidate clusters of a block: pairs whose sizes allow the similarity and whose sketches don't exclude it."""
 
@@ -244,9 +285,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = scratch.keep(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
     members = members.join(full, "bucket")
     members = members.join(reps.select("id", "n_shingles", "sketch"), "id")
-    blocks = block_pairs(members, scratch, "bucket-sizes", "bucket", "id", 512)
+    members = scratch.keep(members, "members")
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("p"))
+    pivots = scratch.keep(pivots.select("bucket", F.col("p.id").alias("p_id"), F.col("p.n_shingles").alias("p_n"), F.col("p.sketch").alias("p_sketch")), "pivots")
+    near = members.join(pivots, "bucket").where("id <> p_id").mapInArrow(tidy(_near_pivot(percent, least)), "a long, b long")
+    first_near = scratch.keep(near.distinct(), "near-pivots")
+    known = scratch.keep(connected_components(first_near, scratch, "near-first"), "near-known")
+    members = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    blocks = block_pairs(members, scratch, "bucket-sizes", "bucket", "id", 512, settled="component")
     near = map_groups(blocks, _compare_sketches(percent, least), "a long, b long", ["a", "b"])
+    # a known component is one edge a member
+    near = near.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
     clusters = scratch.keep(connected_components(near, scratch, "near"), "clusters")
+    scratch.drop("members", "pivots", "near-pivots", "bucket-sizes")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,10 +308,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = clusters.select("id", F.col("component").alias("cluster")).join(source, F.col("id") == F.col("doc_id")).select("id", "cluster", "text")
     sets = scratch.keep(texts.mapInArrow(_own_words(to_sets), "id long, cluster long, size long, shingles binary"), "shingles")
-    blocks = block_pairs(sets, scratch, "cluster-sizes", "cluster", "id", 256, "size", 1_000_000)
+    pivots = sets.groupBy("cluster").agg(F.min("id").alias("p_id"))
+    pivots = sets.select(F.col("id").alias("p_id"), "shingles").join(pivots, "p_id").select("cluster", "p_id", F.col("shingles").alias("p_shingles"))
+    pivots = scratch.keep(pivots, "cluster-pivots")
+    first_links = scratch.keep(sets.join(pivots, "cluster").where("id <> p_id").mapInArrow(tidy(_linked_to_pivot(percent)), "a long, b long"), "pivot-links")
+    # every link leads to a pivot, so these are stars: a member's component is its pivot
+    sets = sets.join(first_links.withColumnRenamed("a", "id"), "id", "left").withColumn("component", F.coalesce("b", "id")).drop("b")
+    blocks = block_pairs(sets, scratch, "cluster-sizes", "cluster", "id", 256, "size", 1_000_000, settled="component")
     links = map_groups(blocks, _compare_sets(percent), "a long, b long", ["a", "b"])
-    linked = scratch.keep(connected_components(links, scratch, "links"), "linked")
-    scratch.drop("shingles", "bucket-sizes", "cluster-sizes", "clusters", "buckets")
+    linked = scratch.keep(connected_components(links.unionByName(first_links), scratch, "links"), "linked")
+    scratch.drop("shingles", "cluster-sizes", "clusters", "buckets", "cluster-pivots", "pivot-links", "near-known")
 
     groups = scratch.keep(first.join(linked, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component_id")), "groups")
     return _grouped(seen, groups)

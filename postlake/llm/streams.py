@@ -79,26 +79,38 @@ def map_groups(df: DataFrame, work: Callable[[pa.Table], dict | None], schema: s
     return df.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), schema)
 
 
-def block_pairs(df: DataFrame, scratch: Scratch, name: str, key: str, row_id: str, block: int, weight: str | None = None, heaviest: int = 0) -> DataFrame:
+def block_pairs(df: DataFrame, scratch: Scratch, name: str, key: str, row_id: str, block: int, weight: str | None = None, heaviest: int = 0, settled: str | None = None) -> DataFrame:
     """Cut each group of ``key`` into blocks of about ``block`` rows and give every
     pair of blocks a group ``g`` of its own.
 
-    A row goes to as many pairs as its group has blocks, and no task ever holds more
-    than two blocks.  ``side`` is 0 or 1 in a pair of two blocks, 0 in a block paired
-    with itself.  Groups of one row are left out: nothing can be linked there.
+    A row goes to as many pairs as it has blocks to meet, and no task ever holds more than
+    two blocks.  ``side`` is 0 or 1 in a pair of two blocks, 0 in a block paired with itself.
+    Groups of one row are left out: nothing can be linked there.
     ``weight``/``heaviest`` also bound the sum of a column within a block.
+
+    With ``settled``, a column of components that are known already, rows of a group's largest
+    component have blocks of their own that aren't paired with each other: they meet only
+    the other rows.  A group that is one component has no pairs at all.
     """
-    n_blocks = F.ceil(F.col("n") / F.lit(block))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if weight:
-        aggs.append(F.sum(weight).alias("w"))
-        n_blocks = F.greatest(n_blocks, F.ceil(F.col("w") / F.lit(heaviest)))
-    sizes = df.groupBy(key).agg(*aggs).where("n > 1").select(F.col(key), n_blocks.cast("int").alias("nb"))
+    total, largest = F.col("n"), F.lit(block)
+    blocks_of = lambda n, w: F.greatest(F.ceil(n / largest), F.ceil(w / F.lit(heaviest))) if weight else F.ceil(n / largest)
+    sums = [F.count(F.lit(1)).alias("n"), (F.sum(weight) if weight else F.lit(0)).alias("w")]
+    if settled is None:
+        sizes = df.groupBy(key).agg(*sums).where("n > 1").select(F.col(key), F.lit(0).alias("na"), blocks_of(total, F.col("w")).cast("int").alias("nb"), F.lit(None).cast("long").alias("main"))
+    else:
+        parts = df.groupBy(key, settled).agg(*sums)
+        sizes = parts.groupBy(key).agg(F.max(F.struct("n", "w", F.col(settled).alias("main"))).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+        sizes = sizes.where("n > top.n")
+        rest_n, rest_w = F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")
+        sizes = sizes.select(F.col(key), blocks_of(F.col("top.n"), F.col("top.w")).cast("int").alias("na"), blocks_of(rest_n, rest_w).cast("int").alias("nb"), F.col("top.main").alias("main"))
     sizes = scratch.keep(sizes, name)
-    b = F.pmod(F.xxhash64(F.col(row_id), F.lit(17)), F.col("nb")).cast("int")
-    dealt = df.join(sizes, key).withColumn("b", b).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = df.join(sizes, key)
+    inside = F.coalesce(F.col(settled) == F.col("main"), F.lit(False)) if settled else F.lit(False)
+    h = F.xxhash64(F.col(row_id), F.lit(17))
+    dealt = dealt.withColumn("b", F.when(inside, F.pmod(h, F.greatest("na", F.lit(1)))).otherwise(F.col("na") + F.pmod(h, F.col("nb"))).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.when(F.col("b") < F.col("na"), F.sequence(F.col("na"), F.col("na") + F.col("nb") - 1)).otherwise(F.sequence(F.lit(0), F.col("na") + F.col("nb") - 1))))
     i, j = F.least("b", "j"), F.greatest("b", "j")
-    return dealt.select("*", F.xxhash64(F.col(key), i, j).alias("g"), (F.col("b") > F.col("j")).cast("int").alias("side")).drop(key, "b", "j", "nb")
+    return dealt.select("*", F.xxhash64(F.col(key), i, j).alias("g"), (F.col("b") > F.col("j")).cast("int").alias("side")).drop(key, "b", "j", "na", "nb", "main")
 
 
 def roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
