@@ -13,7 +13,7 @@ from postlake.llm.bpe import encode_documents
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.mixing import mix_documents
 from postlake.llm.quality import select_documents
-from postlake.llm.queries import TARGETS, labelled_domains
+from postlake.llm.queries import CLEANED_TARGETS, labelled_domains
 from postlake.llm.secret_scan import redact_documents
 from postlake.runtime import Scratch, table
 
@@ -37,8 +37,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the rates say that bring the labelled domains to their target weights."""
-    return mix_documents(docs, labelled_domains(spark, sf_dir), TARGETS)
+    """Each document as often as the rates say that bring clean and toxic tokens to their target weights.  Junk
+    went in the first stage, so the classifier isn't asked for it."""
+    labelled = labelled_domains(spark, sf_dir).where("domain <> 'junk'")
+    return mix_documents(docs, labelled, CLEANED_TARGETS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def fit_steps(members: DataFrame, k: int, weights: np.ndarray, total: float | No
     """Gradient steps, domain totals before, and those that the rates give.
 
     ``weights`` are the targets' shares.  ``total`` is how many tokens they share out; by default as many as let
-    the domain that is scarcest in proportion keep what it has, so that no document has to be repeated much.
+    the domain of the largest share keep what it has, so that its documents are neither dropped nor repeated much.
     """
 
     def totals(steps: list[np.ndarray]) -> np.ndarray:
@@ -177,7 +177,8 @@ def fit_steps(members: DataFrame, k: int, weights: np.ndarray, total: float | No
         return [], natural, natural
     used = used / used.sum()
     if total is None:
-        total = float((natural[used > 0] / used[used > 0]).min())
+        main = int(used.argmax())
+        total = float(natural[main] / used[main])
     target = used * total
     steps: list[np.ndarray] = []
     for _ in range(STEPS):

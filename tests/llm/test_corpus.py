@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -32,8 +33,6 @@ def labels(spark, sf):
 
 
 def test_weights_equal_a_plain_count(docs, labels):
-    from collections import Counter
-
     def grams(text):
         raw = b" " + text.encode() + b" "
         out = Counter()
@@ -200,6 +199,10 @@ def test_stages(spark, sf):
     sets, links = near_pairs([(r["doc_id"], r["text"]) for r in before.collect()])
     assert ids(after) == set(components(sets, links).values()) and after.count() == len(ids(after))
     assert seen["secrets"][1].count() == seen["secrets"][0].count()
+    # labelled clean documents stay; toxic ones become rare
+    labelled = {r["doc_id"]: r["domain"] for r in labelled_domains(spark, sf).collect()}
+    before, after = (Counter(labelled.get(r["doc_id"]) for r in df.collect()) for df in seen["mixing"])
+    assert after["clean"] >= 0.9 * before["clean"] and after["toxic"] <= 0.7 * before["toxic"]
     assert seen["tokens"][1].count() == seen["tokens"][0].count()
     import public_tokenizers
     from tokenizers import Tokenizer
