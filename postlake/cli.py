@@ -10,6 +10,7 @@ from typing import Any
 from postlake.operators.staging import clear_staged
 from postlake.params import Filters, InboxRequest, QueryRequest, SearchRequest, attachment_flag, parse_date
 from postlake.plans.service import MailService, payload, shown
+from postlake.plans.tools import Tools
 from postlake.streaming.ingest import Ingest
 
 
@@ -66,7 +67,11 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("prune")
     p.add_argument("directory")
     p.add_argument("--dry-run", action="store_true")
-    sub.add_parser("reextract").add_argument("--limit", type=int)
+    p = sub.add_parser("reextract", help="all stale messages, or one")
+    p.add_argument("--limit", type=int)
+    p.add_argument("--path")
+    p.add_argument("--message-id")
+    sub.add_parser("serve", help="tools as JSON lines on standard input and output").add_argument("--root", required=True)
     p = sub.add_parser("stage")
     p.add_argument("--root", required=True)
     p.add_argument("--path")
@@ -111,7 +116,12 @@ def run(args: argparse.Namespace, spark) -> Any:
         return ingest.dedup()
     if c == "prune":
         return ingest.prune(args.directory, args.dry_run)
+    if c == "serve":
+        Tools(service, args.root).serve(sys.stdin, sys.stdout)
+        return {"status": "ok"}
     if c == "reextract":
+        if args.path or args.message_id:
+            return ingest.reextract_one(args.path, args.message_id)
         return ingest.reextract(args.limit)
     if c == "stage":
         return service.stage(args.root, args.path, args.message_id, not args.no_eml)

@@ -87,6 +87,24 @@ def read_paths(spark: SparkSession, wanted: DataFrame, most_per_read: int = 10_0
     return wanted.select("file_path", "file_mtime", "file_size").mapInArrow(run, "file_path string, file_mtime double, file_size long, content binary").where("content is not null")
 
 
+def confirmed_missing(rows: DataFrame) -> DataFrame:
+    """Of rows whose ``file_path`` no scan found, those whose file isn't there: guards files outside the
+    scanned folder.  The executors look, so their view of the file system must be the driver's."""
+    ship_package(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            gone = []
+            for path in batch.column("file_path").to_pylist():
+                store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+                gone.append(store.get_file_info(name).type == fs.FileType.NotFound)
+            yield pa.RecordBatch.from_arrays([batch.column("file_path").filter(pa.array(gone))], names=["file_path"])
+
+    return rows.select("file_path").mapInArrow(run, "file_path string")
+
+
 def parse_messages(files: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """One record a file (schema ``PARSED``); what can't be parsed has a ``parse_error`` instead of fields."""
     ship_package(files.sparkSession)

@@ -9,15 +9,16 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from postlake.functions.embedtext import embedding_text
-from postlake.operators.listing import by_path, stale
+from postlake.operators.listing import by_message_id, by_path, stale
 from postlake.operators.maintain import keep_latest, migrate_paths, moved, orphans
 from postlake.operators.search import Embed, embed_column, hashing_embedder
 from postlake.params import SETTINGS, Settings
 from postlake.runtime import Scratch
 from postlake.schema import EXTRACTION_VERSION
-from postlake.sources.mailfiles import inside, list_messages, parse_messages, read_messages, read_paths, unchanged_removed
+from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_messages, read_messages, read_paths, unchanged_removed
 from postlake.sources.store import Store, delete_paths, upsert_messages, upsert_vectors
 
 
@@ -112,6 +113,25 @@ class Ingest:
             scratch.drop("files")
             return {"stale": n, "ok": run.indexed, "parse_failed": run.failed, "missing": n - run.indexed - run.failed}
 
+    def reextract_one(self, file_path: str | None = None, message_id: str | None = None) -> dict[str, Any]:
+        """Parse one indexed message again; what its version and the beginning of its body were, and are."""
+        if not file_path and not message_id:
+            raise ValueError("a file_path or a message_id is needed")
+        emails = self.store.table("emails")
+        row = (by_path(emails, file_path) if file_path else by_message_id(emails, message_id)).first()
+        if row is None:
+            return {"status": "not_indexed", "file_path": file_path or ""}
+        if not Path(row["file_path"]).exists():
+            return {"status": "missing_file", "file_path": row["file_path"]}
+        with self.store.locked("reextract"):
+            found = list_messages(self.spark, str(Path(row["file_path"]).parent)).where(F.col("file_path") == row["file_path"])
+            run = self.write(read_paths(self.spark, found))
+        if not run.indexed:
+            return {"status": "parse_failed", "file_path": row["file_path"]}
+        new = by_path(self.store.table("emails"), row["file_path"]).first()
+        n = self.s.snippet_chars
+        return {"status": "ok", "file_path": row["file_path"], "version": [row["extraction_version"], new["extraction_version"]], "before": (row["body_preview"] or "")[:n], "after": (new["body_preview"] or "")[:n]}
+
     def dedup(self) -> dict[str, int]:
         """Delete all but the newest row of each message id."""
         with self.store.locked("dedup"):
@@ -124,8 +144,8 @@ class Ingest:
             return {"removed": n, "groups": groups}
 
     def prune(self, directory: str, dry_run: bool = False) -> dict[str, int]:
-        """Delete rows below a directory whose file is gone.  A directory that is missing or holds no message
-        is refused: it is more likely not mounted than empty."""
+        """Delete rows whose file is gone: it is neither found by a scan of the directory nor there when looked
+        for.  A directory that is missing or holds no message is refused: it is more likely not mounted than empty."""
         if not Path(directory).is_dir():
             raise ValueError(f"{directory} is no directory")
         scratch = Scratch(self.spark, "prune")
@@ -133,7 +153,7 @@ class Ingest:
         if present.isEmpty():
             raise ValueError(f"{directory} holds no messages; nothing is pruned")
         with self.store.locked("prune"):
-            gone = scratch.keep(orphans(self.store.table("emails"), present, directory).select("file_path"), "gone")
+            gone = scratch.keep(confirmed_missing(orphans(self.store.table("emails"), present)), "gone")
             n = gone.count()
             if n and not dry_run:
                 self.store.delete(gone)
@@ -163,6 +183,34 @@ class Ingest:
         return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+class Heartbeat(StreamingQueryListener):
+    """Keeps the last progress of each streaming query, and says which have been silent for long."""
+
+    def __init__(self) -> None:
+        self.progress: dict[str, dict[str, Any]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._seen(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._seen(str(p.id), p.numInputRows, p.batchId, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        self._seen(str(event.id), 0)
+
+    def onQueryTerminated(self, event) -> None:
+        self.progress.pop(str(event.id), None)
+
+    def _seen(self, query: str, rows: int, batch: int = -1, rate: float | None = None) -> None:
+        old = self.progress.get(query, {"rows": 0, "batch": -1, "rate": None})
+        self.progress[query] = {"at": datetime.now(UTC), "rows": old["rows"] + rows, "batch": max(old["batch"], batch), "rate": rate}
+
+    def stalled(self, seconds: float = 300) -> list[str]:
+        now = datetime.now(UTC)
+        return [q for q, p in self.progress.items() if (now - p["at"]).total_seconds() > seconds]
+
+
 def late_candidates(events: DataFrame, watermark, overlap_seconds: int, time: str = "ts") -> DataFrame:
     """Rows since a watermark less the allowance for late ones."""
     return events.where(F.col(time) > F.lit(watermark).cast("timestamp") - F.make_dt_interval(secs=F.lit(overlap_seconds)))

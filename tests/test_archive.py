@@ -121,6 +121,44 @@ def test_prune_and_its_refusals(ingest, archive, tmp_path):
     assert table(ingest, "emails").count() == 2
 
 
+def test_prune_keeps_files_outside_the_folder(ingest, archive, tmp_path):
+    (tmp_path / "else").mkdir()
+    (tmp_path / "else" / "9.eml").write_bytes(mail("Elsewhere", mid="<9@x>"))
+    ingest.index(str(archive))
+    assert ingest.index_file(str(tmp_path / "else" / "9.eml"))["status"] == "indexed"
+    assert ingest.prune(str(archive)) == {"missing": 0, "removed": 0}
+    (tmp_path / "else" / "9.eml").unlink()
+    assert ingest.prune(str(archive)) == {"missing": 1, "removed": 1}
+
+
+def test_one_message_again(ingest, archive):
+    ingest.index(str(archive))
+    path = listing.by_message_id(table(ingest, "emails"), "2@x").first()["file_path"]
+    ingest.store.commit(emails=table(ingest, "emails").withColumn("extraction_version", F.lit(1)))
+    open(path, "wb").write(mail("Lunch", "Soup today", mid="<2@x>"))
+    out = ingest.reextract_one(message_id="<2@x>")
+    assert out["status"] == "ok" and out["version"] == [1, EXTRACTION_VERSION] and "Pizza" in out["before"] and "Soup" in out["after"]
+    assert ingest.reextract_one(file_path="/nowhere")["status"] == "not_indexed"
+    os.unlink(path)
+    assert ingest.reextract_one(message_id="2@x")["status"] == "missing_file"
+    with pytest.raises(ValueError):
+        ingest.reextract_one()
+
+
+def test_heartbeat(ingest, archive, tmp_path, spark):
+    from postlake.streaming.ingest import Heartbeat
+
+    beat = Heartbeat()
+    spark.streams.addListener(beat)
+    try:
+        ingest.stream(str(archive), str(tmp_path / "cp")).awaitTermination(120)
+    finally:
+        spark.streams.removeListener(beat)
+    assert beat.stalled() == []
+    beat._seen("q", 3)
+    assert beat.stalled(-1) == [*beat.progress]
+
+
 def test_dedup_keeps_the_newest(ingest, archive):
     box = archive / "ann%40ex.org" / "INBOX.mailbox" / "Messages"
     (box / "4.eml").write_bytes(mail("Copy", mid="<1@x>"))

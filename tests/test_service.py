@@ -63,6 +63,22 @@ def test_commands(filled, spark, line, key, capsys):
     assert key in out
 
 
+def test_tools(filled, tmp_path):
+    import io
+
+    from postlake.plans.tools import Tools
+
+    tools = Tools(filled, tmp_path / "staged")
+    asked = [{"tool": "list"}, {"tool": "query_emails", "arguments": {"has_attachments": True}}, {"tool": "query_emails", "arguments": {"has_attachments": True, "no_attachments": True}}, {"tool": "list_inbox_emails", "arguments": {"date_after": "soon"}}, {"tool": "stage_email_attachments"}, {"tool": "stage_email_attachments", "arguments": {"message_id": "1@x"}}, {"tool": "clear_staged_emails"}, {"tool": "drop"}, {"tool": "get_status", "arguments": {"x": 1}}]
+    out = io.StringIO()
+    tools.serve(io.StringIO("\n".join(map(json.dumps, asked)) + "\n{bad\n"), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(got) == 10 and [x["name"] for x in got[0]["result"]] == list(Tools.NAMES)
+    assert [r["subject"] for r in got[1]["result"]["results"]] == ["Budget plan"]
+    assert all("error" in got[i] for i in (2, 3, 7, 8, 9)) and got[4]["result"]["status"] == "failed"
+    assert got[5]["result"]["status"] == "ok" and got[6]["result"]["removed"] == 1
+
+
 def test_bad_dates_are_refused(capsys):
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--index", "x", "query", "--after", "soon"])
