@@ -457,12 +457,12 @@ FOOT = "concat(text, chr(10), '| Unsubscribe here', chr(10), 'tail ', source)"
 
 @query(
     rf"""
-with w as (select doc_id, {FOOT} as whole from documents where not regexp_matches(text, '(?i)unsubscribe|preferences|receiving|subscription')),
+with w as (select doc_id, {FOOT} as whole from documents where not contains(lower(text), 'unsubscribe') and not contains(lower(text), 'subscription')),
 h as (select doc_id, whole, regexp_extract(whole, '(?is)^(.*?)\n[\s>|*\-\[]*unsubscribe', 1) as head from w)
 select doc_id, md5(case when length(head) < 200 then whole else regexp_replace(regexp_replace(head, '\n[^\n]*$', ''), '\s+$', '') end) as digest from h"""
 )
 def footer_truncate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("(?i)unsubscribe|preferences|receiving|subscription"))
+    d = table(spark, sf_dir, "documents").where(~F.contains(F.lower("text"), F.lit("unsubscribe")) & ~F.contains(F.lower("text"), F.lit("subscription")))
     whole = F.concat("text", F.lit("\n| Unsubscribe here\ntail "), F.col("source"))
     return d.select("doc_id", F.md5(T.before_footer(whole)).alias("digest"))
 
