@@ -49,13 +49,15 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means; an empty cell takes the vector that is worst off."""
     centroids = x[np.linspace(0, len(x) - 1, k).astype(int)]
     for _ in range(rounds):
-        s = x @ centroids.T
-        home = s.argmax(axis=1)
+        home, best = np.empty(len(x), np.int64), np.empty(len(x))
+        for i in range(0, len(x), 2048):  # bounded memory however many cells
+            s = x[i : i + 2048] @ centroids.T
+            home[i : i + 2048], best[i : i + 2048] = s.argmax(axis=1), s.max(axis=1)
         total = np.zeros_like(centroids)
         np.add.at(total, home, x)
         empty = np.flatnonzero(np.bincount(home, minlength=k) == 0)
         if len(empty):
-            total[empty] = x[np.argsort(s.max(axis=1))[: len(empty)]]
+            total[empty] = x[np.argsort(best)[: len(empty)]]
         norms = np.linalg.norm(total, axis=1, keepdims=True)
         centroids = np.where(norms > 0, total / np.where(norms > 0, norms, 1), centroids)
     return centroids
@@ -97,7 +99,8 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = None if centroids is None else np.linalg.norm(centroids[:, None] - centroids[None], axis=2) if len(centroids) <= 512 else None
+        # distances between unit centroids; for very many cells those of one home at a time
+        gaps = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T)) + 1e-7 if centroids is not None and len(centroids) <= 1024 else None
         for batch in batches:
             vectors = [np.frombuffer(v) for v in batch.column("vec").to_pylist()]
             at, cell, home = [], [], []
