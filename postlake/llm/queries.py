@@ -121,5 +121,16 @@ roots as (select x as vec_id, min(y) as component_id from reach group by x),
 degree as (select x as vec_id, count(*) as n from links group by x)
 select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, e.vec_id = component_id as kept
 from embeddings e left join degree using (vec_id) left join roots using (vec_id)
+""",
+    "op6_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first from p group by h),
+s as (select page_id, h, sha1(h) as x, first from p join f using (h))
+select page_id, cast(strlen(h) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+    ((16 * (strpos('0123456789abcdef', substr(x, 1 + (5 * i) // 4, 1)) - 1) + strpos('0123456789abcdef', substr(x, 2 + (5 * i) // 4, 1)) - 1)
+      >> (3 - (5 * i) % 4)) & 31 as integer), 1)), '') as payload_digest,
+  case when first < page_id then 'revisit' else 'response' end as record_type, case when first < page_id then first end as refers_to
+from s
 """,
 }
