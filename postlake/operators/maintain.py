@@ -21,20 +21,24 @@ def duplicate_counts(emails: DataFrame) -> DataFrame:
     return duplicate_groups(emails).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).cast("long").alias("surplus"))
 
 
-def surplus_rows(emails: DataFrame) -> DataFrame:
-    """Rows to delete: all but the newest (by indexed_at, then id) of each message id.
+def newest_rows(emails: DataFrame) -> DataFrame:
+    """(message_id, kept_id): the newest row (by indexed_at, then id) of each message id.
 
-    The newest is found by an aggregate that is combined before the shuffle, so an id that very many rows
-    have makes no long task; rows without an id are never surplus.
+    An aggregate that is combined before the shuffle, so an id that very many rows have makes no long task.
     """
-    known = emails.where(_KNOWN)
     order = F.struct(F.coalesce("indexed_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), F.col("id").alias("i"))
-    newest = known.groupBy("message_id").agg(F.max(order)["i"].alias("kept_id"))
-    return known.join(newest, "message_id").where(F.col("id") != F.col("kept_id")).drop("kept_id")
+    return emails.where(_KNOWN).groupBy("message_id").agg(F.max(order)["i"].alias("kept_id"))
+
+
+def surplus_rows(emails: DataFrame) -> DataFrame:
+    """Rows to delete: all but the newest of each message id; rows without an id are never surplus."""
+    return emails.where(_KNOWN).join(newest_rows(emails).select(F.col("kept_id").alias("id")), "id", "left_anti")
 
 
 def keep_latest(emails: DataFrame) -> DataFrame:
-    return emails.join(surplus_rows(emails).select("id"), "id", "left_anti")
+    """Rows that stay: the newest of each message id, and all without one."""
+    newest = emails.where(_KNOWN).join(newest_rows(emails).select(F.col("kept_id").alias("id")), "id", "left_semi")
+    return newest.unionByName(emails.where(~F.coalesce(F.expr(_KNOWN), F.lit(False))))
 
 
 def best_per_message(results: DataFrame, rank: str = "rank") -> DataFrame:

@@ -63,28 +63,35 @@ def unchanged_removed(candidates: DataFrame, emails: DataFrame) -> DataFrame:
     return candidates.join(known, ["file_path", "file_mtime"], "left_anti")
 
 
-def read_paths(spark: SparkSession, wanted: DataFrame, most_per_read: int = 10_000) -> DataFrame:
+def read_paths(spark: SparkSession, wanted: DataFrame, bytes_per_task: int = 64 << 20) -> DataFrame:
     """file_path, file_mtime, file_size and content of the listed files, read where their rows are.
 
-    ``wanted`` (file_path, file_mtime, file_size) is dealt evenly; each task opens its own files, so that only
-    the chosen ones are read.
+    ``wanted`` (file_path, file_mtime, file_size) is a short table of long files, so it is dealt anew: tasks of
+    about ``bytes_per_task``, at least one a core.  Each task opens its own files, so that only those chosen are read.
     """
     ship_package(spark)
+    n, size = wanted.agg(F.count(F.lit(1)), F.sum("file_size")).first()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // bytes_per_task))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
+            held: list[bytes | None] = []
+            start = 0
             for i, path in enumerate(batch.column("file_path").to_pylist()):
                 store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
                 try:
                     with store.open_input_stream(name, compression=None) as f:
-                        content = f.read()
+                        held.append(f.read())
                 except OSError:
-                    content = None
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([content], pa.binary())], names=[*batch.schema.names, "content"])
+                    held.append(None)
+                if len(held) == 64 or sum(len(x or b"") for x in held[-1:]) > 4 << 20 or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(held)) for c in batch.columns), pa.array(held, pa.binary())], names=[*batch.schema.names, "content"])
+                    start, held = i + 1, []
 
-    return wanted.select("file_path", "file_mtime", "file_size").mapInArrow(run, "file_path string, file_mtime double, file_size long, content binary").where("content is not null")
+    chosen = wanted.select("file_path", "file_mtime", "file_size").repartition(tasks)
+    return chosen.mapInArrow(run, "file_path string, file_mtime double, file_size long, content binary").where("content is not null")
 
 
 def confirmed_missing(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from postlake.functions.embedtext import embedding_text
 from postlake.operators.listing import by_message_id, by_path, stale
-from postlake.operators.maintain import keep_latest, migrate_paths, moved, orphans
+from postlake.operators.maintain import migrate_paths, moved, orphans, surplus_rows
 from postlake.operators.search import Embed, embed_column, hashing_embedder
 from postlake.params import SETTINGS, Settings
 from postlake.runtime import Scratch
@@ -135,12 +135,12 @@ class Ingest:
     def dedup(self) -> dict[str, int]:
         """Delete all but the newest row of each message id."""
         with self.store.locked("dedup"):
-            emails = self.store.table("emails")
-            kept = keep_latest(emails)
-            gone = emails.join(kept.select("id"), "id", "left_anti")
+            scratch = Scratch(self.spark, "dedup")
+            gone = scratch.keep(surplus_rows(self.store.table("emails")).select("file_path", "message_id"), "gone")
             n, groups = gone.count(), gone.select("message_id").distinct().count()
             if n:
-                self.store.delete(gone.select("file_path"))
+                self.store.delete(gone)
+            scratch.drop("gone")
             return {"removed": n, "groups": groups}
 
     def prune(self, directory: str, dry_run: bool = False) -> dict[str, int]:

@@ -8,7 +8,7 @@ from postlake.params import Filters, InboxRequest, QueryRequest, SearchRequest,
 from postlake.plans.service import NO_MATCH, NOTHING_INDEXED, MailService, payload
 from postlake.sources.store import Store
 from postlake.streaming.ingest import Ingest
-from tests.test_archive import archive, mail  # noqa: F401
+from tests.test_archive import archive  # noqa: F401
 
 
 @pytest.fixture
