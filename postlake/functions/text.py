@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(x) -> Column:
     return F.regexp_replace(_c(x), _EDGE, "")
 
@@ -136,11 +143,16 @@ def before_footer(text) -> Column:
         # few texts have a marker at all, and a plain search tells so without the expression
         at = F.when(F.contains(low, F.lit(m)), F.regexp_instr(t, F.lit(rf"(?im)(?:^|\n)[\s>|*\-\[]*{m}")))
         starts.append(F.when(at > FOOTER_LEAST, at))
-    first = F.array_min(F.array(*starts))
-    head = F.substr(t, F.lit(1), first - 1)
-    last = F.length(head) - F.locate("\n", F.reverse(head)) + 1
-    line = F.when(F.contains(head, F.lit("\n")), F.substr(head, F.lit(1), last)).otherwise(head)
-    return F.when(first.isNull(), t).otherwise(F.regexp_replace(line, r"\s+$", ""))
+
+    def line_start(head: Column) -> Column:
+        """The head without what follows its last line end."""
+        last = F.length(head) - F.locate("\n", F.reverse(head)) + 1
+        return F.when(F.contains(head, F.lit("\n")), F.substr(head, F.lit(1), last)).otherwise(head)
+
+    def cut_at(at: Column) -> Column:
+        return F.when(at.isNull(), t).otherwise(F.regexp_replace(bound(F.substr(t, F.lit(1), at - 1), line_start), r"\s+$", ""))
+
+    return bound(F.array_min(F.array(*starts)), cut_at)
 
 
 def rerank_text(document, subject, preview, s: Settings = SETTINGS) -> Column:
