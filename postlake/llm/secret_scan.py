@@ -14,7 +14,6 @@ exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
