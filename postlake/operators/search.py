@@ -145,6 +145,22 @@ def ranked_hits(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
 
 
+def nearest_messages(vectors: DataFrame, query: Sequence[float], messages: DataFrame, k: int, known_only: bool = False) -> DataFrame:
+    """The nearest vector of each message id, and of these the k nearest: copies of a message, however many, take
+    one place.  A vector's message id is that of its message (``messages``), else its own; without one it stands alone.
+
+    The minimum of (distance, id) is combined before the shuffle, so a message with very many copies makes no long task.
+    """
+    scored = vectors.withColumn("distance", literal_cosine_distance("embedding", query)).where("distance is not null")
+    own = F.col("message_id") if "message_id" in vectors.columns else F.lit(None).cast("string")
+    ids = messages.select(F.col("file_hash").alias("id"), F.col("message_id").alias("_mid"), F.lit(True).alias("_found"))
+    named = scored.select("id", "distance", own.alias("_own")).join(ids, "id", "inner" if known_only else "left")
+    name = F.nullif(F.when(F.col("_found"), F.col("_mid")).otherwise(F.col("_own")), F.lit(""))
+    key = F.coalesce(name, F.concat(F.lit("\x00row:"), F.col("id").cast("string")))
+    best = named.groupBy(key.alias("_key")).agg(F.min(F.struct("distance", "id")).alias("_best")).select("_best.*")
+    return scored.join(F.broadcast(best.orderBy("distance", "id").limit(k)), ["id", "distance"], "left_semi")
+
+
 def rerank(results: DataFrame, query: str, score: Scorer, top_k: int, s: Settings = SETTINGS) -> DataFrame:
     """Scores the results' texts, best first, ties by rank; those without text are dropped, unless none has any:
     then the input order stands."""
@@ -183,17 +199,18 @@ def hybrid_search(
 ) -> DataFrame:
     """Semantic search: filters, nearest vectors, their messages, without duplicates, reranked or cut.
 
-    ``prefilter`` searches exactly the vectors of matching messages, however many.  ``postfilter`` behaves as an
-    index that can't filter: the newest ``filtered_cap`` matches, a global top-k, widened once if too few are left.
+    ``prefilter`` searches exactly the vectors of matching messages, however many, and removes duplicates before it
+    cuts.  ``postfilter`` behaves as an index that can't filter: the newest ``filtered_cap`` matches, a global top-k,
+    widened once if too few are left; duplicates are removed from what was cut to twice the limit.
     """
     filters = filters or Filters()
     top = search_limit(limit, s)
     want = retrieval_width(top, scorer is not None, s)
-    if not filters.any():
+    if mode == "prefilter":
+        wanted = matching(emails, attachments, filters) if filters.any() else emails
+        hits = nearest_messages(vectors, query_vector, wanted, want if scorer is not None else top, filters.any())
+    elif not filters.any():
         hits = nearest(vectors, query_vector, want)
-    elif mode == "prefilter":
-        keys = matching(emails, attachments, filters).select(F.col("file_hash").alias("id"))
-        hits = nearest(vectors.join(keys, "id", "left_semi"), query_vector, want)
     else:
         keys = newest(matching(emails, attachments, filters), s.filtered_cap).select(F.col("file_hash").alias("id"))
         n = keys.count()

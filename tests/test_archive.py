@@ -230,6 +230,27 @@ def test_many_queries_equal_one_by_one(spark, sf):
     assert search.nearest_many(v, queries.limit(0), 8).collect() == []
 
 
+@pytest.mark.parametrize("filters", [None, Filters(subject="s")])
+def test_many_copies_of_one_message_leave_room_for_others(spark, filters):
+    from postlake.schema import ATTACHMENTS, EMAILS, conform, empty
+
+    # 300 copies lie nearest, then 30 other messages, every fifth without an id
+    ids = ["copy"] * 300 + ["" if i % 5 == 0 else f"m{i}" for i in range(30)]
+    rows = [(i, m, f"/m/{i:03}", f"{i:03}", "s", "text") for i, m in enumerate(ids)]
+    emails = conform(spark.createDataFrame(rows, "id long, message_id string, file_path string, file_hash string, subject string, body_preview string"), EMAILS)
+    # and 4 vectors without a message, of which two have one id
+    own = [None] * len(ids) + ["x", "x", "", None]
+    rows = [(f"{i:03}", [1.0, 0.001 * i], m) for i, m in enumerate(own)]
+    args = (emails, empty(spark, ATTACHMENTS), spark.createDataFrame(rows, "id string, embedding array<double>, message_id string"), [1.0, 0.0], filters)
+    want = ["000", *(f"{i:03}" for i in range(300, 331)), "332", "333"]
+    if filters:
+        want = want[:31]
+    for limit in (20, 40):
+        assert [r["vector_id"] for r in search.hybrid_search(*args, limit=limit).collect()] == want[:limit]
+    assert len(search.hybrid_search(*args, limit=20, query="text", scorer=search.word_overlap).collect()) == 20
+    assert len(search.hybrid_search(*args, limit=20, mode="postfilter").collect()) == 1
+
+
 def test_buckets_keep_near_vectors_together(spark, sf):
     v = search.with_buckets(spark.read.parquet(f"{sf}/embeddings.parquet"), planes=4)
     assert 8 < v.select("bucket").distinct().count() <= 16
