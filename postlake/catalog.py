@@ -255,6 +255,15 @@ def knn_many(spark, sf_dir):
     return found.join(v.select("id", "vec_id"), "id").select("vec_id", F.col("query_id").alias("label"), (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def knn_many_hundredths(spark, sf_dir):
+    """The batch search whole: every vector whose id is divisible by 100 against all (knn_many and its SQL ask five)."""
+    v = embedding_vectors(spark, sf_dir)
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = search.nearest_many(v, queries, 10)
+    return found.join(v.select("id", "vec_id"), "id").select("vec_id", F.col("query_id").alias("label"), (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     docs(f"""
 , h as (select id, vec_id, {DISTANCE} as distance from vectors, q order by distance, id limit 60),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from postlake.functions.vector import cosine_distance, literal_cosine_distance,
 from postlake.operators.listing import matching, newest
 from postlake.operators.maintain import best_per_message
 from postlake.params import SETTINGS, Filters, Settings, filtered_widths, retrieval_width, search_limit
-from postlake.runtime import ship_package
+from postlake.runtime import Scratch, ship_package
 
 Scorer = Callable[[str, list[str]], Sequence[float]]
 Embed = Callable[[list[str]], list[list[float]]]
@@ -69,40 +70,66 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, vector_col: str
     return ranked.where("distance is not null").orderBy("distance", id_col).limit(k)
 
 
+QUERY_BLOCK = 10_000  # queries sent to the tasks at once
+PAIRS = 4_000_000  # distances that a task holds at once
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id") -> DataFrame:
-    """Top-k of each of a few queries (query_id, query_vector): blocks of vectors are multiplied with all queries,
+    """Top-k of each query (query_id, query_vector), ties by id: blocks of vectors are multiplied with blocks of queries,
     each task keeps k rows a query, so what is shuffled doesn't grow with the table.
 
-    The queries are a stated set: they are gathered once and sent to every task (at most 10,000).
+    The queries pass through the driver, at most ``QUERY_BLOCK`` of them at a time, and are sent to every task.  One
+    block stays lazy; of more, each is searched by itself and its hits are written to the shared folder.
     """
     ship_package(vectors.sparkSession)
-    rows = queries.select("query_id", "query_vector").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("nearest_many takes at most 10,000 queries at once")
-    q = np.array([r["query_vector"] for r in rows], np.float64)
+    rows = queries.select("query_id", "query_vector").where("query_vector is not null").toLocalIterator()
+    block, following = list(islice(rows, QUERY_BLOCK)), list(islice(rows, QUERY_BLOCK))
+    search = lambda some: _nearest_block(vectors, some, k, vector_col, id_col, queries.schema["query_id"].dataType.simpleString())
+    if not following:
+        return search(block)
+    scratch, n = Scratch(vectors.sparkSession, "nearest"), 0
+    while block:
+        kept = scratch.keep(search(block), f"block-{n}")
+        block, following, n = following, list(islice(rows, QUERY_BLOCK)), n + 1
+    return vectors.sparkSession.read.schema(kept.schema).parquet(*(scratch.path(f"block-{i}") for i in range(n)))
+
+
+def _nearest_block(vectors: DataFrame, rows: list, k: int, vector_col: str, id_col: str, q_type: str) -> DataFrame:
+    raw = np.array([r["query_vector"] for r in rows], np.float64)
     names = [r["query_id"] for r in rows]
+    size = np.linalg.norm(raw, axis=1) if len(raw) else raw
     with np.errstate(invalid="ignore", divide="ignore"):
-        q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-    id_type, q_type = vectors.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+        q = raw / size[:, None] if len(raw) else raw
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    step = max(1, PAIRS // max(1, len(names)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[tuple[float, object]]] = [[] for _ in names]
+        # the best so far: query, distance and id of at most k rows a query, and each query's k-th distance
+        of, dist, ids, worst = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.full(len(names), np.inf)
         for b in batches:
             b = b[b[vector_col].notna()]
             if not len(b) or not names:
                 continue
-            x = np.array(b[vector_col].tolist(), np.float64)
-            n = np.linalg.norm(x, axis=1)
-            keep = n > 0
-            d = 1 - (x[keep] / n[keep, None]) @ q.T
-            ids = b[id_col].to_numpy()[keep]
-            order = np.argsort(ids, kind="stable")
-            ids, d = ids[order], d[order]
-            for i in range(len(names)):
-                top = np.argsort(d[:, i], kind="stable")[:k]
-                best[i] = sorted([*best[i], *zip(d[top, i].tolist(), ids[top].tolist(), strict=True)])[:k]
-        rows = [(names[i], x, d) for i, found in enumerate(best) for d, x in found if d == d]
-        yield pd.DataFrame(rows, columns=["query_id", "id", "distance"])
+            x_all, id_all = np.array(b[vector_col].tolist(), np.float64), b[id_col].to_numpy(object)
+            n_all = np.linalg.norm(x_all, axis=1)
+            x_all, id_all, n_all = x_all[n_all > 0], id_all[n_all > 0], n_all[n_all > 0]
+            for at in range(0, len(x_all), step):
+                x, n, own = x_all[at : at + step], n_all[at : at + step], id_all[at : at + step]
+                d = 1 - q @ (x / n[:, None]).T
+                # what may be among the k best; equal vectors must tie, so these are computed again one by one
+                bound = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], worst) if len(x) >= k else worst
+                qi, xi = np.nonzero(d <= bound[:, None] + 1e-9)
+                exact = np.empty(len(qi))
+                for s in range(0, len(qi), 65_536):
+                    i, j = qi[s : s + 65_536], xi[s : s + 65_536]
+                    exact[s : s + 65_536] = 1 - np.add.accumulate(raw[i] * x[j], axis=1)[:, -1] / (size[i] * n[j])
+                of, dist, ids = np.concatenate([of, qi]), np.concatenate([dist, exact]), np.concatenate([ids, own[xi]])
+                order = np.lexsort((pd.factorize(ids, sort=True)[0], dist, of))
+                of, dist, ids = of[order], dist[order], ids[order]
+                place = np.arange(len(of)) - np.searchsorted(of, of)
+                of, dist, ids, place = (a[place < k] for a in (of, dist, ids, place))
+                worst[of[place == k - 1]] = dist[place == k - 1]
+        yield pd.DataFrame({"query_id": [names[i] for i in of], "id": ids, "distance": dist})
 
     from pyspark.sql.window import Window
 

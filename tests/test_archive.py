@@ -230,6 +230,45 @@ def test_many_queries_equal_one_by_one(spark, sf):
     assert search.nearest_many(v, queries.limit(0), 8).collect() == []
 
 
+def test_every_hundredth_vector_is_a_query(spark, sf):
+    from postlake.catalog import QUERIES
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", F.md5(F.concat(F.lit("/docs/"), "vec_id", F.lit(".eml"))).alias("id")).orderBy("id").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i, r in enumerate(rows):
+        if r["vec_id"] % 100 == 0:
+            near = np.argsort(np.round(1 - x @ x[i], 12), kind="stable")[:10]
+            want |= {(r["vec_id"], n, rows[j]["vec_id"]) for n, j in enumerate(near, 1)}
+    assert {(r["label"], r["rank"], r["vec_id"]) for r in QUERIES["knn_many_hundredths"](spark, sf).collect()} == want
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    rows = [(f"{i:03}", rng.standard_normal(8).tolist()) for i in range(60)]
+    rows += [(f"{i:03}", rows[i % 2][1]) for i in range(60, 90)] + [("zero", [0.0] * 8), ("null", None)]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    queries = v.where("id < '030' or id = 'null'").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = {}
+    for r in search.nearest_many(v, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    vectors = dict(rows)
+    assert len(got) == 30
+    for i, found in got.items():
+        cosine = lambda y, q=vectors[i]: np.dot(q, y) / np.linalg.norm(q) / np.linalg.norm(y)
+        assert found == sorted((n for n, y in rows[:90]), key=lambda n: (round(1 - cosine(vectors[n]), 12), n))[:5]
+
+
+def test_more_queries_than_10_000(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, embedding array<double>")
+    queries = spark.range(10_050).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(1.0))).alias("query_vector"))
+    found = search.nearest_many(v, queries, 1)
+    assert found.count() == 10_050 and found.where("id <> query_id % 2 + 1").isEmpty()
+
+
 @pytest.mark.parametrize("filters", [None, Filters(subject="s")])
 def test_many_copies_of_one_message_leave_room_for_others(spark, filters):
     from postlake.schema import ATTACHMENTS, EMAILS, conform, empty
