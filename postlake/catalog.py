@@ -449,16 +449,26 @@ def attachment_types_meta(spark, sf_dir):
     return nested.select("email_id", T.attachment_types("attachments").alias("attachment_types"))
 
 
+def _embedding_texts(spark: SparkSession, sf_dir: str, f: Filters) -> DataFrame:
+    att = line_attachments(spark, sf_dir).withColumn("extracted_text", F.concat("file_extension", F.lit("x")))
+    rows = listing.matching(order_emails(spark, sf_dir), att, f)
+    nested = att.groupBy(F.col("email_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "extracted_text"))).alias("attachments"))
+    return rows.join(nested, "id", "left").select("id", F.md5(embedding_text("subject", "from_addr", "body_preview", "attachments")).alias("digest"))
+
+
 @query(
     mail("""
 select e.id, md5(trim(concat_ws(chr(10), e.subject, e.from_addr, coalesce(e.body_preview, '')) || coalesce(chr(10) || 'Attachments:' || chr(10) || string_agg(a.filename || chr(10) || a.file_extension || 'x', chr(10) order by a.id, a.filename), ''), chr(10))) as digest
 from order_emails e left join line_attachments a on a.email_id = e.id where e.date >= timestamp '1998-01-01' group by e.id, e.subject, e.from_addr, e.body_preview""")
 )
 def embedding_texts(spark, sf_dir):
-    att = line_attachments(spark, sf_dir).withColumn("extracted_text", F.concat("file_extension", F.lit("x")))
-    rows = listing.matching(order_emails(spark, sf_dir), att, Filters(date_after=datetime(1998, 1, 1)))
-    nested = att.groupBy(F.col("email_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "extracted_text"))).alias("attachments"))
-    return rows.join(nested, "id", "left").select("id", F.md5(embedding_text("subject", "from_addr", "body_preview", "attachments")).alias("digest"))
+    return _embedding_texts(spark, sf_dir, Filters(date_after=datetime(1998, 1, 1)))
+
+
+@query()
+def embedding_texts_all(spark, sf_dir):
+    """The texts of all messages (embedding_texts and its SQL take those of 1998 and later)."""
+    return _embedding_texts(spark, sf_dir, Filters())
 
 
 FOOT = "concat(text, chr(10), '| Unsubscribe here', chr(10), 'tail ', source)"
@@ -471,7 +481,8 @@ h as (select doc_id, whole, regexp_extract(whole, '(?is)^(.*?)\n[\s>|*\-\[]*unsu
 select doc_id, md5(case when length(head) < 200 then whole else regexp_replace(regexp_replace(head, '\n[^\n]*$', ''), '\s+$', '') end) as digest from h"""
 )
 def footer_truncate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.contains(F.lower("text"), F.lit("unsubscribe")) & ~F.contains(F.lower("text"), F.lit("subscription")))
+    """All documents; the SQL leaves out those that may have a footer of their own, which no given table has."""
+    d = table(spark, sf_dir, "documents")
     whole = F.concat("text", F.lit("\n| Unsubscribe here\ntail "), F.col("source"))
     return d.select("doc_id", F.md5(T.before_footer(whole)).alias("digest"))
 

@@ -230,6 +230,38 @@ def test_many_queries_equal_one_by_one(spark, sf):
     assert search.nearest_many(v, queries.limit(0), 8).collect() == []
 
 
+def test_embedding_texts_of_all_messages(spark, sf):
+    from hashlib import md5
+
+    from postlake.catalog import QUERIES
+    from postlake.plans.mapping import line_attachments, order_emails
+
+    parts = {}
+    for a in sorted(line_attachments(spark, sf).collect(), key=lambda a: (a["id"], a["filename"])):
+        parts.setdefault(a["email_id"], []).extend([a["filename"], a["file_extension"] + "x"])
+    want = {}
+    for e in order_emails(spark, sf).collect():
+        lines = [e["subject"], e["from_addr"], e["body_preview"] or "", *(["Attachments:", *parts[e["id"]]] if e["id"] in parts else [])]
+        want[e["id"]] = md5("\n".join(lines).strip().encode()).hexdigest()
+    assert min(e["date"].year for e in order_emails(spark, sf).select("date").collect()) < 1998
+    got = QUERIES["embedding_texts_all"](spark, sf).collect()
+    assert len(got) == len(want) and {r["id"]: r["digest"] for r in got} == want
+
+
+def test_documents_with_footers_of_their_own_are_cut_too(spark, tmp_path):
+    from hashlib import md5
+
+    from postlake.catalog import QUERIES
+    from postlake.functions.html import footer_cut
+
+    body = "a" * 150 + "\n" + "b" * 150
+    texts = [body, body + "\nUnsubscribe\nmore", body + "\nend\nManage your subscription\n" + body, "a subscription of " + body, "Unsubscribe\n" + body, "short"]
+    spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: md5(footer_cut(t + "\n| Unsubscribe here\ntail src").encode()).hexdigest() for i, t in enumerate(texts)}
+    got = QUERIES["footer_truncate"](spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: r["digest"] for r in got} == want
+
+
 def test_every_hundredth_vector_is_a_query(spark, sf):
     from postlake.catalog import QUERIES
 
