@@ -68,7 +68,7 @@ BASE = (
 )
 CHECKED = (
     Kind("code_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), rb"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])", 0, crc_token),
-    Kind("card", ("card number", "card no", "card:"), rb"card(?: number| no)?[.:]?\x20*((?:[0-9][ -]?){12,18}[0-9])(?![0-9])", re.I, luhn),
+    Kind("card", ("card",), rb"card(?: number| no)?[.:]?\x20*((?:[0-9][ -]?){12,18}[0-9])(?![0-9])", re.I, luhn),
 )
 
 _HEX = np.zeros(256, bool)

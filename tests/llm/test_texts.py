@@ -112,6 +112,29 @@ def test_checksums_decide():
     assert spans_of("card number: 4111 1111 1111 1111") == ["card:0:32"] and spans_of("card number: 4111 1111 1111 1112") == []
 
 
+@pytest.mark.parametrize("kind", secret_scan.BASE + secret_scan.CHECKED, ids=lambda k: k.name)
+def test_keywords_lose_no_match_of_any_kind(kind):
+    rng = random.Random(5)
+    token = "0" * 30  # with its checksum
+    crc, tail = zlib.crc32(token.encode()), ""
+    for _ in range(6):
+        crc, d = divmod(crc, 62)
+        tail = secret_scan.BASE62[d] + tail
+    parts = ["card", "Card", "CARD", " number", " no", ".", ":", " ", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_", token + tail, token + "000000", "password", "Token", "api_key", "APIKEY", "passwd", "secret", "=", '"', "0123456789abcdef01", "AKIA", "ABCDEF0123456789", "é", "\n"]
+    s, pattern, found = secret_scan.scanner(), re.compile(kind.pattern, kind.flags), 0
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(12))).encode()
+        want = [m.span() for m in pattern.finditer(t) if kind.accept(m)]
+        assert [(a, b) for a, b, k in s.scan(t) if s.kinds[k] is kind] == want, t
+        found += len(want)
+    assert found > 20
+
+
+@pytest.mark.parametrize("text", ["Card 4111 1111 1111 1111", "card. 4111 1111 1111 1111", "card4111-1111-1111-1111"])
+def test_cards_without_a_word_between(text):
+    assert spans_of(text) == [f"card:0:{len(text)}"]
+
+
 def test_secret_query(docs, odd, none):
     got = {r["doc_id"]: r for r in secret_scan.span_digests(secret_scan.scan_documents(docs)).collect()}
     for r in docs.collect():
