@@ -44,13 +44,13 @@ class Ingest:
 
     def write(self, files: DataFrame) -> Run:
         """Parse files and write them in one version.  The parsed rows are written to the shared folder first:
-        several plans read them, and none should parse again."""
+        several plans read them, and none should parse again.  A message has moved only where its old file isn't there."""
         scratch = Scratch(self.spark, "ingest")
         parsed = scratch.keep(parse_messages(files, self.s), "parsed")
         good = parsed.where("parse_error is null")
         run = Run(failed=parsed.where("parse_error is not null").count())
         emails, attachments, vectors = (self.store.table(n) for n in ("emails", "attachments", "vectors"))
-        gone = scratch.keep(moved(emails, good).select("file_path"), "moved")
+        gone = scratch.keep(confirmed_missing(moved(emails, good)), "moved")
         run.moved, run.indexed = gone.count(), good.count()
         if run.indexed:
             emails, attachments, vectors = delete_paths(emails, attachments, vectors, gone)

@@ -107,6 +107,19 @@ def test_moved_message_replaces_its_old_path(ingest, archive):
     assert ingest.index_file(str(archive / "gone.eml"))["status"] == "not_found"
 
 
+def test_two_live_copies_of_a_message_both_stay(ingest, archive):
+    ingest.index(str(archive))
+    box = archive / "ann%40ex.org" / "INBOX.mailbox" / "Messages"
+    (archive / "all").mkdir()
+    (archive / "all" / "2.eml").write_bytes((box / "2.eml").read_bytes())
+    assert ingest.index_file(str(archive / "all" / "2.eml"))["status"] == "indexed"
+    assert table(ingest, "emails").where("message_id = '<2@x>'").count() == 2
+    (box / "2.eml").unlink()
+    (archive / "all" / "2.eml").rename(archive / "2.eml")
+    assert ingest.index_file(str(archive / "2.eml"))["status"] == "moved"
+    assert [r["file_path"] for r in table(ingest, "emails").where("message_id = '<2@x>'").collect()] == [str(archive / "2.eml")]
+
+
 def test_prune_and_its_refusals(ingest, archive, tmp_path):
     ingest.index(str(archive))
     (archive / "ann%40ex.org" / "INBOX.mailbox" / "Messages" / "1.eml").unlink()
