@@ -124,6 +124,15 @@ def test_steps_solve_the_least_squares_problem(spark):
     assert (mixing.rates_of(p, steps) * t) @ p == pytest.approx(now)
 
 
+def test_steps_go_on_until_targets_are_met_or_a_miss_is_logged(spark, caplog):
+    p = [(1, [0.63, 0.37]), (1, [0.37, 0.63])] * 50
+    df = spark.createDataFrame(p, "tokens long, posteriors array<double>").coalesce(1).cache()
+    steps, _, now = mixing.fit_steps(df, 2, np.array([0.6, 0.4]), total=100.0)
+    assert len(steps) > 60 and np.abs(now - [60, 40]).max() <= 0.01 and not caplog.records
+    _, _, now = mixing.fit_steps(df, 2, np.array([0.9, 0.1]), total=100.0)
+    assert now[0] < 80 and "missed" in caplog.text
+
+
 def test_mixing_decisions_take_effect(spark, sf):
     d = sf.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("rate", F.lit("mine"))
