@@ -2,8 +2,10 @@
 
 The writer stores a payload as raw 8-bit grey video: frames of 16 x 12 samples (192 bytes),
 one sample-table entry a frame, every 16th frame marked as a keyframe.  The reader walks the
-nested boxes of any such file, decodes the sample tables (sizes, chunks, times, sync samples)
-and yields codec, duration and the byte ranges of the keyframes; it decodes no payload.
+nested boxes of a file that isn't fragmented, decodes stsz, stsc, stco or co64 and stss (sizes,
+chunks, sync samples) and yields codec, duration (of mdhd) and the byte ranges of the keyframes; it
+decodes no payload.  Not read are sample times and edits (stts, ctts, elst), compact sizes (stz2: such a
+track is left out) and fragments (trex, tfhd, trun: their samples are missing).
 """
 
 from __future__ import annotations
