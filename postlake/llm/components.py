@@ -1,24 +1,83 @@
-"""Connected components of a distributed link table (alternating large and small stars)."""
+"""Connected components of a distributed link table: local forests, then alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake.llm.streams import tidy
 from postlake.runtime import Scratch
 
+#: Links that a task contracts at once, and the edges of its forest beyond which that is handed on.
+CHUNK, FOREST = 1 << 20, 1 << 21
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars with the components of the given links: (node, smallest node it reaches), roots left out."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of each task's links (u, v), in bounded memory: a full one is handed on and begun anew."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return forest(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+
+    def batch_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            u, v = merged()
+            held, rows = [(u, v)], 0
+            if len(u) >= FOREST:
+                yield batch_of(u, v)
+                held = []
+    if held:
+        yield batch_of(*merged())
+
 
 def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, component) for every id of ``links(a, b)``; component is the smallest id reachable.
 
-    Links stay in the shared folder; only two counts a round reach the driver.  Minima are
-    aggregated map-side first; the join that follows has plain exchanges, so a node with
-    very many links is split by the skew join of adaptive execution.
+    Every task first replaces its links by a forest of stars, which has the same components and at most one
+    edge a node; what few partitions hold is settled by that alone.  Stars over all tasks follow while edges
+    remain that aren't.  Links stay in the shared folder; only one row a round reaches the driver.  Minima are
+    aggregated map-side first; the join that follows has plain exchanges, so a node with very many links is
+    split by the skew join of adaptive execution.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.keep(edges, f"{name}-0")
+
+    def contracted(edges: DataFrame, step: int) -> DataFrame:
+        return scratch.keep(edges.distinct().mapInArrow(tidy(_contract), "u long, v long").distinct(), f"{name}-{step}")
+
+    edges = contracted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), 0)
     step = 0
     while True:
+        # settled once every node hangs on exactly one root and no root hangs on anything
+        hanging = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if hanging.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         # large star: every larger neighbour of u hangs on the smallest of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-l")
@@ -27,13 +86,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -
         # small star: u and its smaller neighbours hang on the smallest of them
         low2 = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-s")
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        new = scratch.keep(small.where("u <> v").distinct(), f"{name}-{step + 1}")
-        # settled once every node hangs on exactly one root and no root hangs on anything
-        roots = new.select(F.col("v").alias("u"))
-        loose = new.join(roots.distinct(), "u", "left_semi").limit(1).count()
-        many = new.groupBy("u").count().where("count > 1").limit(1).count()
+        new = contracted(small.where("u <> v"), step + 1)
         scratch.drop(f"{name}-{step}", f"{name}-{step}-l", f"{name}-{step}-e", f"{name}-{step}-s")
         edges, step = new, step + 1
-        if not loose and not many:
-            break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -6,7 +6,7 @@ either agrees with a probability equal to their Jaccard similarity, so a signatu
 values costs K hash evaluations a shingle.  Signatures are cut into bands whose values
 all come from different permutations.  Band collisions are only candidates:
 
-1. documents with equal sets are collapsed onto the smallest id (map-side combined);
+1. documents with equal sets are collapsed onto one numbered set (map-side combined);
 2. candidate clusters: each member of a band bucket is compared with the bucket's pivot by
    signature sketch, and those that are not far from similar (within five standard errors)
    join it; members that this leaves in other clusters than most of their bucket are compared
@@ -132,9 +132,9 @@ def _sketches(ngram: int, rows: int, bands: int):
                 for text in texts_of(part.column("text")):
                     s = shingle_set(text, ngram)
                     n.append(len(s))
-                    digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                    lo.append((digest & (2**64 - 1)) - 2**63)
-                    hi.append((digest >> 64) - 2**63)
+                    one, two = digest_of(s)
+                    lo.append(one)
+                    hi.append(two)
                     if len(s):
                         sig = signature(s, k)
                         keys.append(band_keys(sig, rows, bands))
@@ -253,14 +253,17 @@ def _compare_sets(percent: int):
     return work
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, ngram: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def digest_of(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a shingle set, as two signed longs."""
+    digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
 
-    Two documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B|; ``component_id`` is the
-    smallest id reachable over links.  Null and word-free texts have no shingles and are alone.
-    Rows that repeat an id each give a row.  A null id is linked with nothing: its component is
-    null and it is kept.  Other columns of ``docs`` are ignored, whatever their names; an empty
-    table gives an empty result.
+
+def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, ngram: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """``near_duplicates`` with ``lo`` and ``hi``, the digest of the row's shingle set.
+
+    Inside, a node is a distinct set, named by a number of its own: an id whose rows differ names several sets, each
+    with its own links, and what each of them is linked with counts.
     """
     if percent < 80 or ngram < 5:
         raise ValueError("near duplicates take shingles of five words or more and a similarity of 0.8 or more")
@@ -271,11 +274,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = scratch.keep(source.mapInArrow(_own_words(_sketches(ngram, rows, bands)), schema), "sketches")
 
     has = seen.where("n_shingles > 0 and doc_id is not null")
-    first = has.groupBy("lo", "hi").agg(F.min("doc_id").alias("id"))
-    first = scratch.keep(first, "sets")
-    # one signature a distinct set: that of its smallest id
-    reps = first.select("id", F.col("lo").alias("rlo"), F.col("hi").alias("rhi")).join(has, (F.col("id") == F.col("doc_id")) & (F.col("rlo") == F.col("lo")) & (F.col("rhi") == F.col("hi")))
-    reps = scratch.keep(reps.select("id", "n_shingles", "keys", "sketch").dropDuplicates(["id", "n_shingles"]), "reps")
+    first = has.groupBy("lo", "hi").agg(F.min("doc_id").alias("first_id"))
+    # numbers are written down, so a task that is run again can't change them
+    first = scratch.keep(first.select("lo", "hi", "first_id", F.monotonically_increasing_id().alias("id")), "sets")
+    # one signature a distinct set: that of its smallest id; rows that repeat it are alike
+    reps = first.select("id", "first_id", F.col("lo").alias("rlo"), F.col("hi").alias("rhi")).join(has, (F.col("first_id") == F.col("doc_id")) & (F.col("rlo") == F.col("lo")) & (F.col("rhi") == F.col("hi")))
+    reps = scratch.keep(reps.select("id", "n_shingles", "keys", "sketch").dropDuplicates(["id"]), "reps")
 
     # similarity of which fewer sketch bytes agree than here lies five standard errors below the bound
     bound = percent / 100
@@ -289,42 +293,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("p"))
     pivots = scratch.keep(pivots.select("bucket", F.col("p.id").alias("p_id"), F.col("p.n_shingles").alias("p_n"), F.col("p.sketch").alias("p_sketch")), "pivots")
     near = members.join(pivots, "bucket").where("id <> p_id").mapInArrow(tidy(_near_pivot(percent, least)), "a long, b long")
-    first_near = scratch.keep(near.distinct(), "near-pivots")
-    known = scratch.keep(connected_components(first_near, scratch, "near-first"), "near-known")
+    known = scratch.keep(connected_components(near, scratch, "near-first"), "near-known")
     members = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     blocks = block_pairs(members, scratch, "bucket-sizes", "bucket", "id", 512, settled="component")
     near = map_groups(blocks, _compare_sketches(percent, least), "a long, b long", ["a", "b"])
     # a known component is one edge a member
     near = near.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
     clusters = scratch.keep(connected_components(near, scratch, "near"), "clusters")
-    scratch.drop("members", "pivots", "near-pivots", "bucket-sizes")
+    scratch.drop("members", "pivots", "bucket-sizes")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t, ngram) for t in texts_of(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cluster", "size", "shingles"])
-
-    texts = clusters.select("id", F.col("component").alias("cluster")).join(source, F.col("id") == F.col("doc_id")).select("id", "cluster", "text")
+                # the id may have rows with other texts
+                wanted = zip(part.column("lo").to_pylist(), part.column("hi").to_pylist(), strict=True)
+                own = [i for i, (x, s) in enumerate(zip(wanted, sets, strict=True)) if digest_of(s) == x]
+                take = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("cluster").take(take), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["id", "cluster", "size", "shingles"])
+
+    # a text for each set of a cluster: the first row of its smallest id has it, unless that id has other texts too
+    named = clusters.join(first, "id").select("id", F.col("component").alias("cluster"), "first_id", "lo", "hi")
+    texts = named.join(source, F.col("first_id") == F.col("doc_id")).select("id", "cluster", "lo", "hi", "text")
     sets = scratch.keep(texts.mapInArrow(_own_words(to_sets), "id long, cluster long, size long, shingles binary"), "shingles")
     pivots = sets.groupBy("cluster").agg(F.min("id").alias("p_id"))
     pivots = sets.select(F.col("id").alias("p_id"), "shingles").join(pivots, "p_id").select("cluster", "p_id", F.col("shingles").alias("p_shingles"))
-    pivots = scratch.keep(pivots, "cluster-pivots")
+    pivots = scratch.keep(pivots.dropDuplicates(["cluster"]), "cluster-pivots")
     first_links = scratch.keep(sets.join(pivots, "cluster").where("id <> p_id").mapInArrow(tidy(_linked_to_pivot(percent)), "a long, b long"), "pivot-links")
     # every link leads to a pivot, so these are stars: a member's component is its pivot
-    sets = sets.join(first_links.withColumnRenamed("a", "id"), "id", "left").withColumn("component", F.coalesce("b", "id")).drop("b")
+    stars = first_links.select(F.col("a").alias("id"), "b").distinct()
+    sets = sets.join(stars, "id", "left").withColumn("component", F.coalesce("b", "id")).drop("b")
     blocks = block_pairs(sets, scratch, "cluster-sizes", "cluster", "id", 256, "size", 1_000_000, settled="component")
     links = map_groups(blocks, _compare_sets(percent), "a long, b long", ["a", "b"])
     linked = scratch.keep(connected_components(links.unionByName(first_links), scratch, "links"), "linked")
     scratch.drop("shingles", "cluster-sizes", "clusters", "buckets", "cluster-pivots", "pivot-links", "near-known")
 
-    groups = scratch.keep(first.join(linked, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component_id")), "groups")
+    # from numbers of sets to the smallest document id of a component
+    named = linked.join(first.select("id", "first_id"), "id")
+    smallest = scratch.keep(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
+    ids = linked.join(smallest, "component").select("id", "component_id")
+    groups = scratch.keep(first.join(ids, "id", "left").select("lo", "hi", F.coalesce("component_id", "first_id").alias("component_id")), "groups")
     return _grouped(seen, groups)
 
 
 def _grouped(seen: DataFrame, groups: DataFrame) -> DataFrame:
     one = seen.select("doc_id", "n_shingles", "lo", "hi")
-    in_group = one.where("n_shingles > 0 and doc_id is not null").join(groups, ["lo", "hi"]).select("doc_id", "n_shingles", "component_id")
-    alone = one.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return in_group.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    names = ["doc_id", "n_shingles", "component_id", "lo", "hi"]
+    in_group = one.where("n_shingles > 0 and doc_id is not null").join(groups, ["lo", "hi"]).select(names)
+    alone = one.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).select(names)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return in_group.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept, "lo", "hi")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, ngram: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Two documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B|; ``component_id`` is the
+    smallest id reachable over links.  Null and word-free texts have no shingles and are alone.
+    Rows that repeat an id each give a row and are documents of their own: with different texts they have
+    different links.  A null id is linked with nothing: its component is null and it is kept.  Other columns
+    of ``docs`` are ignored, whatever their names; an empty table gives an empty result.
+    """
+    return document_groups(docs, id_col, text_col, percent, ngram, rows, bands).drop("lo", "hi")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with their columns, one of each group: that of the smallest id.
+
+    Where rows repeat an id and a set of shingles one of them stays; rows of one id with unlike texts are judged one
+    by one.  Rows without an id and texts without words have no duplicates and all stay.  Texts are filtered by ids,
+    only rows of repeated ids (few, or none) are compared by contents.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    groups = scratch.keep(document_groups(docs, id_col, text_col, **options), "groups")
+    ngram = options.get("ngram", 5)
+    own, lo, hi, i, x, y = F.col(id_col).cast("long"), *(_free(docs, n) for n in ("lo", "hi", "id_of_set", "lo_of_set", "hi_of_set"))
+    known = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(i)).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    apart = scratch.keep(known.where("n > 1 or not kept").select(i, "n"), "apart")
+    once = docs.join(apart.select(i), own == F.col(i), "left_anti")
+    again = docs.join(apart.where("n > 1").select(i), own == F.col(i), "left_semi")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, ngram) for t in texts_of(batch.column(batch.schema.get_field_index(text_col)))]
+            found = [digest_of(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=[*batch.schema.names, lo, hi])
+
+    again = again.mapInArrow(_own_words(digests), type(docs.schema)(list(docs.schema.fields)).add(lo, "long").add(hi, "long"))
+    wanted = groups.where("kept and doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias(i), F.col("lo").alias(x), F.col("hi").alias(y)).distinct()
+    unlike = again.where(F.col(lo).isNotNull()).join(wanted, (own == F.col(i)) & (F.col(lo) == F.col(x)) & (F.col(hi) == F.col(y)), "left_semi").dropDuplicates([id_col, lo, hi])
+    return once.unionByName(unlike.select(*docs.columns)).unionByName(again.where(F.col(lo).isNull()).select(*docs.columns))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name

@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postlake.llm.components import connected_components
 from postlake.llm.embed_dedup import near_duplicate_vectors
-from postlake.llm.minhash import band_keys, intersections, near_duplicates, shingle_set, signature
+from postlake.llm.minhash import band_keys, intersections, near_duplicates, shingle_set, signature, without_near_duplicates
 from postlake.runtime import Scratch
 from tests.llm.helpers import DOCS, ODD, components, near_pairs, shingles
 
@@ -63,11 +64,56 @@ def test_odd_rows(spark):
     assert by[11][0]["n_shingles"] == 1 and by[10][0]["n_shingles"] == 1
 
 
+def by_rows(rows):
+    """Brute force where rows repeat ids: every row is a document; its component is the smallest id it reaches."""
+    _, links = near_pairs([(n, t) for n, (_, t) in enumerate(rows)])
+    roots = components(range(len(rows)), links)
+    low = {}
+    for n, (i, _) in enumerate(rows):
+        low[roots[n]] = min(i, low.get(roots[n], i))
+    return [low[roots[n]] for n in range(len(rows))]
+
+
+def unlike_rows():
+    text = lambda n, tail="": " ".join(f"t{n}w{i}" for i in range(40)) + tail
+    a, b, c = text("a"), text("b"), text("c")
+    return [(1, a), (1, b), (5, b + " tail"), (6, a + " tail"), (0, a + " x"), (7, c), (7, c), (8, c), (9, text("d")), (9, text("e")), (9, "the end"), (3, "the end"), (10, ""), (10, ""), (10, text("e"))]
+
+
+def test_rows_of_one_id_with_unlike_texts_keep_their_links(spark):
+    rows = unlike_rows()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = by_rows(rows)
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted((i, c, c == i) for (i, _), c in zip(rows, want, strict=True))
+
+
+def test_only_duplicates_are_dropped(spark):
+    rows = [*unlike_rows(), (None, "no id")]
+    df = spark.createDataFrame([(*r, 1, n) for n, r in enumerate(rows)], "doc_id long, text string, lo int, id_of_set int").repartition(3)
+    out = without_near_duplicates(df)
+    assert out.columns == df.columns
+    kept = sorted((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] is not None)
+    want = {(i, t) for (i, t), c in zip(rows, by_rows(rows[:-1]), strict=False) if i == c and t}
+    assert kept == sorted([*want, (10, ""), (10, "")]) and out.where("doc_id is null").count() == 1
+
+
 def test_empty_tables(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_full_forests_are_handed_on(spark, monkeypatch):
+    from postlake.llm import components as c
+
+    monkeypatch.setattr(c, "CHUNK", 8)
+    monkeypatch.setattr(c, "FOREST", 4)
+    rng = random.Random(9)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in links[i : i + 5]]), pa.array([b for _, b in links[i : i + 5]])], names=["u", "v"]) for i in range(0, 50, 5)]
+    out = [(u, v) for b in c._contract(iter(batches)) for u, v in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+    assert components(range(60), out) == components(range(60), links) and len(out) < 60
+
+
 def test_weak_settings_are_refused(spark):
     for bad in ({"percent": 70}, {"ngram": 3}):
         with pytest.raises(ValueError):
