@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.llm.bpe import encode_documents
-from postlake.llm.minhash import near_duplicates
+from postlake.llm.minhash import without_near_duplicates
 from postlake.llm.mixing import mix_documents
 from postlake.llm.quality import select_documents
 from postlake.llm.queries import CLEANED_TARGETS, labelled_domains
@@ -24,11 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; one row of it, where rows repeat an
-    id.  Documents without an id all stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    with_id = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    """The document with the smallest id of each group of near-duplicates; of rows that repeat its id and words one.
+    Rows of one id with unlike texts are judged one by one; documents without an id or without words all stay."""
+    return without_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
