@@ -63,14 +63,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _own_words(run):
-    """``run`` with the worker's word hashes emptied after it (looked up there: the cache stays with the module)."""
-
-    def wrapped(batches):
-        from postlake.llm import minhash
-
-        yield from tidy(run, minhash._words)(batches)
-
-    return wrapped
+    """``run`` with the worker's word hashes emptied after it."""
+    return tidy(run, "postlake.llm.minhash._words")
 
 
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:

@@ -2,12 +2,11 @@
 
 Two generative models over hashed features are counted: the target's from a bounded sample of
 labelled good documents (``FIT``), the raw one from every document; each document counts alike,
-whatever its length (its counts are scaled to ``LENGTH`` features).  Features are byte trigrams
-in 2**16 buckets and one more for a word bigram whose words are equal (so that a text that says
-one word again and again is unlike the target whatever the word).  A document's log importance
-weight is the sum of its features' log ratios; documents are drawn without replacement by Gumbel
-top-k: the k largest of weight plus Gumbel noise, the noise being a hash of the document's id, so
-that a run that is repeated draws the same.
+whatever its length (its counts are scaled to ``LENGTH`` features).  Features are byte trigrams and word
+bigrams, each in 2**16 buckets; bigrams of a word with itself share a bucket, so that a text that says one word again
+and again is unlike the target whatever the word.  A document's log importance weight is the sum of its features'
+log ratios; documents are drawn without replacement by Gumbel top-k: the k largest of weight plus Gumbel noise, the
+noise being a hash of the document's id, so that a run that is repeated draws the same.
 
 k is given, or is the number of documents whose weight is above a cut.  The cut is placed on a second
 bounded sample of labelled good documents and one of labelled bad ones (``CALIBRATE`` each): where the
@@ -19,10 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,22 +29,49 @@ from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import Scratch, ship_package
 
 BITS = 16
-BUCKETS = (1 << BITS) + 1
-SAME = BUCKETS - 1
+BUCKETS = 2 << BITS
+#: The first bucket of word bigrams: that of equal words.
+SAME = 1 << BITS
 #: Labelled good documents to fit the target on, and labelled ones to place the cut by (smallest hashes of ids first).
 FIT, CALIBRATE = 16_384, 4_096
 #: Pseudo-counts of a bucket in either model, cost of a good document lost to a bad one kept, nats below the best cut.
 SMOOTH, WEIGHT, MARGIN = 10.0, 30.0, 2.0
 LENGTH = 1_000.0
-BINS = 4_096
+#: Counts are whole multiples of 1 / UNIT, so that their sums are the same in any order; texts counted at once, bins.
+UNIT, TEXTS, BINS = 1 << 16, 200, 4_096
 
 
-def features(text: bytes) -> tuple[np.ndarray, int]:
-    """Buckets of the byte trigrams of a text (with a blank at either end), and its equal word bigrams."""
+class WordHashes(dict):
+    """32-bit hashes of words, remembered for the words a worker meets often."""
+
+    LIMIT = 100_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh32_intdigest(word)
+        return value
+
+
+_words = WordHashes()
+
+
+def features(text: bytes) -> np.ndarray:
+    """Buckets of the byte trigrams of a text (with a blank at either end) and of its word bigrams."""
     x = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint32)
-    h = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(0x9E3779B1)
+    three = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
     words = text.split()
-    return h >> np.uint32(32 - BITS), sum(map(eq, words, words[1:]))
+    if len(words) < 2:
+        return three
+    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    two = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
+    two = np.where(w[:-1] == w[1:], 0, two).astype(np.uint32) + np.uint32(SAME)
+    return np.concatenate([three, two])
+
+
+def scale_of(n: int) -> int:
+    """What a feature of a text with ``n`` of them counts, in units."""
+    return max(1, round(LENGTH * UNIT / n))
 
 
 def fit_log_ratios(docs: DataFrame, target_ids: list[int], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -54,25 +80,25 @@ def fit_log_ratios(docs: DataFrame, target_ids: list[int], id_col: str = "doc_id
     wanted = np.array(sorted(target_ids), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             good = np.isin(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), wanted) & ~np.asarray(batch.column("doc_id").is_null())
-            for is_target, text in zip(good.tolist(), texts_of(batch.column("text")), strict=True):
-                h, same = features(text)
-                if not len(h):
-                    continue
-                n = np.bincount(h, minlength=BUCKETS) * (LENGTH / len(h))
-                n[SAME] += same * (LENGTH / len(h))
-                raw += n
-                if is_target:
-                    target += n
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = [features(t) for t in texts_of(part.column("text"))]
+                for counts, which in ((raw, np.arange(len(found))), (target, np.flatnonzero(good[at : at + TEXTS]))):
+                    some = [found[i] for i in which.tolist() if len(found[i])]
+                    if some:
+                        sizes = [len(f) for f in some]
+                        # whole numbers well below 2 ** 53: exact
+                        counts += np.bincount(np.concatenate(some), np.repeat([scale_of(n) for n in sizes], sizes), BUCKETS).astype(np.int64)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(count), "bucket int, raw double, target double")
+    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(count, "postlake.llm.quality._words"), "bucket int, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most BUCKETS rows
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+        raw[r["bucket"]], target[r["bucket"]] = r["raw"] / UNIT, r["target"] / UNIT
     if not target.sum():
         return np.zeros(BUCKETS)
     expected = raw * (target.sum() / raw.sum())
@@ -88,11 +114,10 @@ def with_weights(docs: DataFrame, ratios: np.ndarray, text_col: str, name: str)
         for batch in batches:
             weights = []
             for text in texts_of(batch.column(batch.schema.get_field_index(text_col))):
-                h, same = features(text)
-                weights.append(float(ratios[h].sum() + same * ratios[SAME]))
+                weights.append(float(ratios[features(text)].sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(tidy(run), type(schema)(list(schema.fields)).add(name, "double"))
+    return docs.mapInArrow(tidy(run, "postlake.llm.quality._words"), type(schema)(list(schema.fields)).add(name, "double"))
 
 
 def gumbel_key(weight: str, id_col, temperature: float = 1.0, seed: int = 5):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import importlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,15 +26,16 @@ def release() -> None:
         pass
 
 
-def tidy(run: Callable[[Batches], Batches], *caches: dict) -> Callable[[Batches], Batches]:
-    """``run``, after which the given caches are emptied and memory is given back."""
+def tidy(run: Callable[[Batches], Batches], *caches: str) -> Callable[[Batches], Batches]:
+    """``run``, after which the named caches of the worker's modules are emptied and memory is given back."""
 
     def wrapped(batches: Batches) -> Batches:
         try:
             yield from run(batches)
         finally:
             for c in caches:
-                c.clear()
+                module, _, name = c.rpartition(".")
+                getattr(importlib.import_module(module), name).clear()
             release()
 
     return wrapped
