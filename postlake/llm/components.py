@@ -16,20 +16,23 @@ from postlake.runtime import Scratch
 CHUNK, FOREST = 1 << 20, 1 << 21
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars with the components of the given links: (node, smallest node it reaches), roots left out."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest node that each node reaches so far) after the links (a, b) are added."""
     while True:
         x, y = label[a], label[b]
         apart = x != y
         if not apart.any():
-            break
+            return label
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
         np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
         while not np.array_equal(label, up := label[label]):
             label = up
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars with the components of the given links: (node, smallest node it reaches), roots left out."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = merge(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 

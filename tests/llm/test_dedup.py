@@ -165,35 +165,70 @@ def brute(rows, bound=0.98):
 
 
 def check_vectors(spark, rows):
+    """Every row is a vector of its own, whatever its id; a component is named by its smallest id."""
     got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect()
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in rows]
     _, links = brute(rows)
-    ids = {i for i, _, _ in rows if i is not None}
-    roots = components(ids, [(rows[m][0], rows[n][0]) for m, n in links])
-    degree = [0] * len(rows)
+    roots = components(range(len(rows)), links)
+    low, degree = {}, [0] * len(rows)
+    for n, (i, _, _) in enumerate(rows):
+        if i is not None:
+            low[roots[n]] = min(i, low.get(roots[n], i))
     for m, n in links:
         degree[m] += 1
         degree[n] += 1
-    want = sorted((i, degree[n], roots.get(i), i is None or roots[i] == i) for n, (i, _, _) in enumerate(rows) if i is not None)
+    want = sorted((i, degree[n], low[roots[n]], low[roots[n]] == i) for n, (i, _, _) in enumerate(rows) if i is not None)
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None) == want
     return got
 
 
-def test_vectors_match_brute_force(spark, sf):
+@pytest.fixture
+def cells(monkeypatch):
+    """Notes the tables of cells as they are dealt."""
+    from postlake.llm import embed_dedup
+
+    seen = []
+    own = embed_dedup.cut_into_cells
+
+    def noted(vectors, scratch, cosine):
+        placed = scratch.keep(own(vectors, scratch, cosine), "placed")
+        seen.append((vectors, placed))
+        return placed
+
+    monkeypatch.setattr(embed_dedup, "cut_into_cells", noted)
+    return seen
+
+
+def test_vectors_match_brute_force(spark, sf, cells):
+    """On the table that the SQL is checked on, every label has been cut into several cells."""
     rows = [tuple(r) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     check_vectors(spark, rows)
+    ((vectors, placed),) = cells
+    per_label = placed.groupBy("lab").agg(F.countDistinct("place").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(per_label) == len({r[2] for r in rows}) and min(r["k"] for r in per_label) > 1
+    assert placed.count() < 3 * vectors.count()
 
 
-def test_vectors_over_many_cells_lose_no_link(spark, monkeypatch):
+def test_vectors_over_many_cells_lose_no_link(spark, monkeypatch, cells):
     from postlake.llm import embed_dedup
 
-    monkeypatch.setattr(embed_dedup, "PER_CELL", 40)
-    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    for name, value in (("PER_CELL", 40), ("BLOCK", 16), ("TILE", 7), ("ASSIGN", 100), ("SAMPLE", 100)):
+        monkeypatch.setattr(embed_dedup, name, value)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 6))
     x = np.repeat(base, 12, axis=0) + 0.12 * rng.standard_normal((720, 6))
-    got = check_vectors(spark, [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)])
+    ball = rng.standard_normal(6) + 0.05 * rng.standard_normal((150, 6))  # all linked with nearly all: no cut is worth it
+    rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(np.concatenate([x, ball]))]
+    got = check_vectors(spark, rows)
     assert sum(r["n_links"] for r in got) > 500
+    ((_, placed),) = cells
+    assert placed.select("place").distinct().count() > 20 and placed.agg(F.max("visits")).first()[0] > 1  # cut twice and more
+
+
+def test_rows_of_one_id_with_unlike_vectors_keep_their_links(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    near = lambda v: [x + 0.02 for x in v]
+    check_vectors(spark, [(1, a, 1), (1, b, 1), (5, near(b), 1), (6, near(a), 1), (0, a, 1), (0, a, 1), (7, a, 2), (1, a, 1)])
 
 
 def test_odd_vectors(spark):
