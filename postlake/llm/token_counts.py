@@ -1,9 +1,13 @@
 """Token counts by trie-shared dynamic programming over unigram scores.
 
-A text is cut into pre-tokens at white space (each begins with the mark U+2581).  Distinct
-pre-tokens are inserted into a trie, and each node holds the best forward score of its prefix
-and the number of tokens on that path, so the part that pre-tokens have in common is computed
-once.  The count at a pre-token's last node is stored and added up over the text.
+A text is cut into pre-tokens at white space (each begins with the mark U+2581).  The distinct pre-tokens of
+all documents, of whatever length, are counted (map-side combined) and sorted by ranges, so that a task's words
+are the leaves of a trie in depth-first order: each node holds the best forward score of its prefix and the
+number of tokens on that path, it is computed once, and only the path to the current word is in memory.  The
+count at a word's last node is stored in a table, once for all tasks and documents.
+
+A second pass adds the counts up: those of the ``OFTEN`` most frequent words are sent to every task, what is left
+of a document is joined with the table by a 128-bit hash of the word, so that only rare words are shuffled.
 
 Scores are unigram log probabilities by Zipf's law over the vocabulary's order:
 -log(rank + RANK_OFFSET), less the log of their sum.  A character that no piece covers costs its UTF-8
@@ -12,24 +16,24 @@ bytes as tokens, at UNKNOWN below the lowest score each.  Equal scores: fewer to
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.streams import tidy
-from postlake.runtime import ship_package
+from postlake.runtime import Scratch, ship_package
 
 MARK = "▁"
 RANK_OFFSET, UNKNOWN = 3.0, 10.0
-#: Longer pre-tokens are scored on their own instead of filling the trie; nodes and stored counts after which
-#: a worker's trie and counts are emptied.
-LONG, NODES, COUNTS = 64, 200_000, 200_000
+#: Words whose counts every task gets, and their longest; words and characters that a task holds before it hands them on;
+#: words that a task scores; depth to which nodes of a path are kept for the next word (deeper ones are computed again).
+OFTEN, OFTEN_BYTES, HELD, HELD_CHARS, SCORED, KEEP = 100_000, 64, 200_000, 16 << 20, 20_000, 1_024
 
 
 def public_pieces() -> str:
@@ -49,17 +53,10 @@ def load_pieces(path: str) -> dict[str, float]:
     return {p: -math.log(r + RANK_OFFSET) - mass for r, p in enumerate(pieces)}
 
 
-class Node:
-    """Best score and token count of a prefix; partial pieces that end here, with what came before them."""
-
-    __slots__ = ("active", "children", "score", "tokens")
-
-    def __init__(self, score: float, tokens: int, active):
-        self.children: dict[str, Node] = {}
-        self.score, self.tokens, self.active = score, tokens, active
-
-
 class TokenTrie:
+    """A trie of pre-tokens walked depth first.  A node is (best score, token count, partial pieces that end here with
+    what came before them); ``path`` are the nodes of the last word's prefixes."""
+
     def __init__(self, pieces: dict[str, float]):
         self.vocabulary: dict = {}
         for piece, score in pieces.items():
@@ -68,85 +65,143 @@ class TokenTrie:
                 at = at.setdefault(c, {})
             at[""] = score
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN
-        self.counts: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.root, self.nodes = Node(0.0, 0, []), 0
+        self.word, self.path, self.nodes = "", [(0.0, 0, ())], 0
 
-    def _next(self, before: Node, c: str) -> Node:
+    def _next(self, before: tuple, c: str) -> tuple:
         """The node of one more character: all pieces that end with it, or the character as bytes."""
         best, tokens = -math.inf, 0
+        score0, tokens0, partial = before
         active = []
         here = self.vocabulary.get(c)
         if here is not None:
-            active.append((here, before.score, before.tokens))
+            active.append((here, score0, tokens0))
             if "" in here:
-                best, tokens = before.score + here[""], before.tokens + 1
+                best, tokens = score0 + here[""], tokens0 + 1
         if best == -math.inf:
             size = len(c.encode("utf-8", "surrogatepass"))
-            best, tokens = before.score + size * self.unknown, before.tokens + size
-        for at, score, n in before.active:
+            best, tokens = score0 + size * self.unknown, tokens0 + size
+        for at, score, n in partial:
             at = at.get(c)
             if at is not None:
                 active.append((at, score, n))
                 piece = at.get("")
                 if piece is not None and (score + piece > best or (score + piece == best and n + 1 < tokens)):
                     best, tokens = score + piece, n + 1
-        return Node(best, tokens, active)
+        return best, tokens, active
 
     def count(self, token: str) -> int:
-        found = self.counts.get(token)
-        if found is not None:
-            return found
-        if self.nodes > NODES:
-            self.clear()
-        node = self.root
-        if len(token) > LONG:
-            for c in token:
-                node = self._next(node, c)
-            return node.tokens
-        for c in token:
-            child = node.children.get(c)
-            if child is None:
-                child = node.children[c] = self._next(node, c)
-                self.nodes += 1
-            node = child
-        if len(self.counts) >= COUNTS:
-            self.counts.clear()
-        self.counts[token] = node.tokens
-        return node.tokens
-
-
-@lru_cache(maxsize=2)
-def trie_of(path: str) -> TokenTrie:
-    return TokenTrie(load_pieces(path))
+        """Tokens of a pre-token; what it shares with the one before is not computed again."""
+        same = 0
+        for a, b in zip(token, self.word, strict=False):
+            if a != b:
+                break
+            same += 1
+        path = self.path
+        same = min(same, len(path) - 1)
+        del path[same + 1 :]
+        node = path[same]
+        for depth, c in enumerate(token[same:] if same else token, same + 1):
+            node = self._next(node, c)
+            self.nodes += 1
+            if depth <= KEEP:
+                path.append(node)
+        self.word = token
+        return node[1]
+
+
+def key_of(word: str) -> tuple[int, int]:
+    """128 bits of a word, as two signed longs."""
+    digest = xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogatepass"))
+    return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pre-tokens of a task and how often they occur, in bounded memory."""
+    found: Counter = Counter()
+    chars = 0
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if text:
+                before = len(found)
+                found.update(text.split())
+                # a text adds its own length at most; short words hardly count
+                chars += len(text) if len(found) - before > len(text) // 8 or len(text) > 1 << 20 else 8 * (len(found) - before)
+            if len(found) >= HELD or chars >= HELD_CHARS:
+                yield full()
+                found.clear()
+                chars = 0
+    if found:
+        yield full()
+
+
+def word_counts(docs: DataFrame, scratch: Scratch, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Token counts of every distinct pre-token (lo, hi, tokens), a written table, and those of the most frequent ones."""
+    found = docs.select("text").mapInArrow(tidy(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = scratch.keep(found, "words")
+    tasks = max(1, -(-found.count() // SCORED))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = TokenTrie(load_pieces(path))
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            keys = [key_of(w) for w in words]
+            columns = [pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array([trie.count(MARK + w) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *columns], names=["word", "n", "lo", "hi", "tokens"])
+
+    ranged = found.repartitionByRange(tasks, "word").sortWithinPartitions("word")
+    counts = scratch.keep(ranged.mapInArrow(tidy(score), "word string, n long, lo long, hi long, tokens long"), "counts")
+    top = counts.where(F.octet_length("word") <= OFTEN_BYTES).orderBy(F.desc("n"), "word").limit(OFTEN).select("word", "tokens").collect()
+    scratch.drop("words")
+    return counts.select("lo", "hi", "tokens"), {r[0]: r[1] for r in top}
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_pretokens, n_tokens of every whole text.
 
-    A null text is empty; an empty or blank one has no tokens.  Rows are independent: repeated rows, null
-    ids and extra columns need no care, an empty table gives an empty result, and no row is shuffled.
+    A null text is empty; an empty or blank one has no tokens.  Rows that repeat an id each give a row, null ids
+    and extra columns need no care, and an empty table gives an empty result.
     """
-    ship_package(docs.sparkSession)
-    path = vocabulary or public_pieces()
+    spark = docs.sparkSession
+    ship_package(spark)
+    scratch = Scratch(spark, "tokens")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counts, often = word_counts(source, scratch, vocabulary or public_pieces())
+    shared = spark.sparkContext.broadcast(often)
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "n_chars", "n_pretokens", "n_tokens", "rest"]
+    rest_kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = trie_of(path)
-        gc.disable()  # the trie has no cycles, and walking millions of its nodes to look for some takes half of all time
-        try:
-            for batch in batches:
-                chars, words, tokens = [], [], []
-                for text in batch.column("text").to_pylist():
-                    found = Counter((text or "").split())
-                    chars.append(len(text or ""))
-                    words.append(sum(found.values()))
-                    tokens.append(sum(n * trie.count(MARK + w) for w, n in found.items()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_chars", "n_pretokens", "n_tokens"])
-        finally:
-            gc.enable()
-            trie.clear()
-            trie.counts.clear()
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars long, n_pretokens long, n_tokens long")
+        known = shared.value
+        for batch in batches:
+            chars, words, tokens, rests = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                found = Counter((text or "").split())
+                total, rest = 0, []
+                for w, n in found.items():
+                    t = known.get(w)
+                    if t is None:
+                        lo, hi = key_of(w)
+                        rest.append({"lo": lo, "hi": hi, "n": n})
+                    else:
+                        total += n * t
+                chars.append(len(text or ""))
+                words.append(found.total())
+                tokens.append(total)
+                rests.append(rest)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(rests, rest_kind)], names=names)
+
+    part = source.mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, n_pretokens long, n_tokens long, rest array<struct<lo:long,hi:long,n:long>>")
+    part = scratch.keep(part.withColumn("row", F.monotonically_increasing_id()), "parts")
+    rare = part.where("size(rest) > 0").select("row", F.explode("rest").alias("r")).select("row", "r.*")
+    more = rare.join(counts, ["lo", "hi"]).groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
+    whole = part.where("size(rest) = 0").select(names[:4])
+    mended = part.where("size(rest) > 0").select("row", *names[:4]).join(more, "row").withColumn("n_tokens", F.col("n_tokens") + F.col("more"))
+    return whole.unionByName(mended.select(names[:4]))
