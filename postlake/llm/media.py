@@ -1,11 +1,12 @@
 """Media columns: lossless payloads in ISO base media files, and a reader of their boxes.
 
 The writer stores a payload as raw 8-bit grey video: frames of 16 x 12 samples (192 bytes),
-one sample-table entry a frame, every 16th frame marked as a keyframe.  The reader walks the
-nested boxes of a file that isn't fragmented, decodes stsz, stsc, stco or co64 and stss (sizes,
-chunks, sync samples) and yields codec, duration (of mdhd) and the byte ranges of the keyframes; it
-decodes no payload.  Not read are sample times and edits (stts, ctts, elst), compact sizes (stz2: such a
-track is left out) and fragments (trex, tfhd, trun: their samples are missing).
+one sample-table entry a frame, every 16th frame marked as a keyframe.  The reader walks the nested boxes of
+any ISO file and decodes its sample tables: sizes (stsz, stz2), chunks (stsc, stco, co64), times (stts, ctts), sync
+samples (stss) and edits (elst), or, in fragmented files, the runs of samples (trex, tfhd, trun).  It yields codec,
+duration (that of the samples' times) and the byte ranges and times of the keyframes; it decodes no payload.  Tables of
+foreign files are read no further than the file reaches, whatever counts they state, and a track whose tables
+contradict each other is left out.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ KEY_EVERY, CHUNK_FRAMES = 16, 64
 # The identity matrix of track and movie headers.
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 #: Boxes that hold boxes, by the bytes before their first child.
-CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"udta": 0}
+CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"udta": 0, b"mfra": 0}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -107,59 +108,182 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def _table(data: memoryview, at: int, end: int, width: int, columns: int = 1) -> np.ndarray:
-    n = min(struct.unpack_from(">I", data, at + 4)[0], (end - at - 8) // (width * columns))
-    return np.frombuffer(data, f">u{width}", n * columns, at + 8).astype(np.int64).reshape(-1, columns)
+def _table(data: memoryview, at: int, end: int, width: int, columns: int = 1, head: int = 4) -> np.ndarray:
+    """A counted table of big-endian numbers ``head`` bytes into a box; at most what the box holds."""
+    n = min(struct.unpack_from(">I", data, at + head)[0], max(0, end - at - head - 4) // (width * columns))
+    return np.frombuffer(data, f">u{width}", n * columns, at + head + 4).astype(np.int64).reshape(-1, columns)
+
+
+def _sizes(data: memoryview, kind: bytes, a: int, b: int) -> np.ndarray:
+    """Sample sizes; of equal ones no more than the file can hold."""
+    if kind == b"stz2":
+        field, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        raw = np.frombuffer(data, np.uint8, b - a - 12, a + 12)
+        if field == 4:
+            raw = np.stack([raw >> 4, raw & 15], axis=1).ravel()
+        elif field == 16:
+            raw = raw[: len(raw) // 2 * 2].view(">u2")
+        return raw[:n].astype(np.int64)
+    fixed, n = struct.unpack_from(">II", data, a + 4)
+    if fixed:
+        return np.full(min(n, len(data) // fixed), fixed, np.int64)
+    return np.frombuffer(data, ">u4", min(n, (b - a - 12) // 4), a + 12).astype(np.int64)
+
+
+def _repeated(counts: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Run lengths expanded to at most ``n`` values, whatever counts are stated."""
+    counts = np.minimum(counts, n)
+    need = int(np.searchsorted(np.cumsum(counts), n)) + 1
+    return np.repeat(values[:need], counts[:need])[:n]
+
+
+def _from_tables(t: dict) -> dict | None:
+    """Offsets, sizes, times and sync samples of a track's sample tables."""
+    sizes, runs, chunks = t["sizes"], t["runs"], t["chunks"]
+    firsts = np.append(runs[:, 0] - 1, len(chunks))
+    if len(runs) and (firsts[0] != 0 or (np.diff(firsts) < 0).any()):
+        return None  # runs of chunks out of order
+    per_chunk = np.repeat(runs[:, 1], np.diff(firsts)) if len(runs) else np.zeros(0, np.int64)
+    chunk_of = _repeated(per_chunk, np.arange(len(per_chunk)), len(sizes)) if len(per_chunk) else np.zeros(0, np.int64)
+    sizes = sizes[: len(chunk_of)]
+    before = np.cumsum(sizes) - sizes
+    new = np.concatenate([[True], chunk_of[1:] != chunk_of[:-1]]) if len(sizes) else np.zeros(0, bool)
+    start = before[np.maximum.accumulate(np.where(new, np.arange(len(sizes)), 0))] if len(sizes) else before
+    deltas = _repeated(t["times"][:, 0], t["times"][:, 1], len(sizes)) if len(t.get("times", ())) else np.zeros(0, np.int64)
+    deltas = np.pad(deltas, (0, len(sizes) - len(deltas)))
+    shifts = _repeated(t["shifts"][:, 0], t["shifts"][:, 1].astype(np.int32), len(sizes)) if len(t.get("shifts", ())) else np.zeros(0, np.int64)
+    sync = t["sync"] if "sync" in t else np.arange(len(sizes))
+    return {"offsets": chunks[chunk_of] + before - start, "sizes": sizes, "deltas": deltas, "shifts": np.pad(shifts, (0, len(sizes) - len(shifts))).astype(np.int64), "sync": sync[(sync >= 0) & (sync < len(sizes))]}
+
+
+def _fragment_run(data: memoryview, a: int, b: int, frag: dict, trex: dict, track: dict) -> None:
+    """Adds the samples of one trun box to its track."""
+    flags, n = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+    at = a + 8
+    if flags & 1:
+        frag["next"] = frag["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & 4:
+        first = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    n = min(n, (b - at) // (4 * len(fields)) if fields else len(data) // max(1, frag.get("size", trex.get("size", 0))))
+    rows = np.frombuffer(data, ">u4", n * len(fields), at).astype(np.int64).reshape(n, -1)
+    column = lambda f, other: rows[:, fields.index(f)] if f in fields else np.full(n, other, np.int64)
+    sizes = column(0x200, frag.get("size", trex.get("size", 0)))
+    marks = column(0x400, frag.get("flags", trex.get("flags", 0)))
+    if first is not None and n:
+        marks = marks.copy()
+        marks[0] = first
+    have = sum(len(x) for x in track["parts"]["sizes"])
+    parts = track["parts"]
+    parts["offsets"].append(frag["next"] + np.cumsum(sizes) - sizes)
+    parts["sizes"].append(sizes)
+    parts["deltas"].append(column(0x100, frag.get("delta", trex.get("delta", 0))))
+    parts["shifts"].append(column(0x800, 0).astype(np.int32).astype(np.int64))
+    parts["sync"].append(have + np.flatnonzero((marks & 0x10000) == 0))  # not marked as dependent
+    frag["next"] += int(sizes.sum())
 
 
 def read_tracks(media: bytes) -> list[dict]:
-    """Codec, duration, sample and keyframe byte ranges of each track; [] for what is no such file."""
+    """Codec, times, sample and keyframe byte ranges of each track; [] for what is no such file."""
     data = memoryview(media)
     tracks: list[dict] = []
+    defaults: dict[int, dict] = {}
 
-    def walk(start: int, end: int) -> None:
+    def walk(start: int, end: int, frag: dict, depth: int = 0) -> None:
         for kind, a, b in boxes(data, start, end):
+            try:
+                read(kind, a, b, frag, depth)
+            except (struct.error, ValueError, IndexError, KeyError, OverflowError):
+                if tracks and kind not in CONTAINERS:
+                    tracks[-1]["broken"] = True
+
+    def read(kind: bytes, a: int, b: int, frag: dict, depth: int) -> None:
+        if kind in CONTAINERS:
             if kind == b"trak":
-                tracks.append({})
-            if kind in CONTAINERS:
-                walk(a + CONTAINERS[kind], b)
-            elif tracks:
-                t = tracks[-1]
-                if kind == b"mdhd":
-                    t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-                elif kind == b"hdlr":
-                    t["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
-                elif kind == b"stsd":
-                    t["codec"] = next((k.decode("latin-1") for k, _, _ in boxes(data, a + 8, b)), "")
-                elif kind == b"stsz":
-                    fixed, n = struct.unpack_from(">II", data, a + 4)
-                    t["sizes"] = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
-                elif kind == b"stss":
-                    t["sync"] = _table(data, a, b, 4)[:, 0] - 1
-                elif kind == b"stsc":
-                    t["runs"] = _table(data, a, b, 4, 3)
-                elif kind in (b"stco", b"co64"):
-                    t["chunks"] = _table(data, a, b, 4 if kind == b"stco" else 8)[:, 0]
-
-    try:
-        walk(0, len(data))
-    except (struct.error, ValueError):
-        return []
+                tracks.append({"parts": {k: [] for k in ("offsets", "sizes", "deltas", "shifts", "sync")}})
+            elif kind == b"moof":
+                frag = {"moof": a - 8}
+            elif kind == b"traf":
+                frag = {"moof": frag.get("moof", 0)}
+            if depth < 16:
+                walk(a + CONTAINERS[kind], b, frag, depth + 1)
+        elif kind == b"trex":
+            _, number, _, delta, size, flags = struct.unpack_from(">IIIIII", data, a)
+            defaults[number] = {"delta": delta, "size": size, "flags": flags}
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+            frag |= {"track": number, "base": frag["moof"]}
+            at = a + 8
+            for bit, name, form in ((0x1, "base", ">Q"), (0x2, "", ">I"), (0x8, "delta", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+                if flags & bit:
+                    value = struct.unpack_from(form, data, at)[0]
+                    at += struct.calcsize(form)
+                    if name:
+                        frag[name] = value
+            frag["next"] = frag["base"]
+        elif kind == b"trun":
+            own = next((t for t in tracks if t.get("number") == frag["track"]), None)
+            if own is not None:
+                _fragment_run(data, a, b, frag, defaults.get(frag["track"], {}), own)
+        elif tracks:
+            t = tracks[-1]
+            if kind == b"tkhd":
+                t["number"] = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+            elif kind == b"mdhd":
+                t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+            elif kind == b"hdlr":
+                t["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
+            elif kind == b"stsd":
+                t["codec"] = next((k.decode("latin-1") for k, _, _ in boxes(data, a + 8, b)), "")
+            elif kind in (b"stsz", b"stz2"):
+                t["sizes"] = _sizes(data, kind, a, b)
+            elif kind == b"stss":
+                t["sync"] = _table(data, a, b, 4)[:, 0] - 1
+            elif kind == b"stsc":
+                t["runs"] = _table(data, a, b, 4, 3)
+            elif kind == b"stts":
+                t["times"] = _table(data, a, b, 4, 2)
+            elif kind == b"ctts":
+                t["shifts"] = _table(data, a, b, 4, 2)
+            elif kind == b"elst":
+                wide = data[a] == 1
+                n = min(struct.unpack_from(">I", data, a + 4)[0], (b - a - 8) // (20 if wide else 12))
+                t["edits"] = [struct.unpack_from(">Qq" if wide else ">Ii", data, a + 8 + i * (20 if wide else 12)) for i in range(n)]
+            elif kind in (b"stco", b"co64"):
+                t["chunks"] = _table(data, a, b, 4 if kind == b"stco" else 8)[:, 0]
+
+    walk(0, len(data), {})
     out = []
     for t in tracks:
-        if not {"sizes", "runs", "chunks", "timescale"} <= t.keys():
+        if t.get("broken") or not {"sizes", "runs", "chunks", "timescale"} <= t.keys():
             continue
-        sizes, runs, chunks = t["sizes"], t["runs"], t["chunks"]
-        # samples of each chunk: each run holds up to the next run's first chunk
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks)))) if len(runs) else np.zeros(0, np.int64)
-        chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
-        sizes = sizes[: len(chunk_of)]
-        before = np.cumsum(sizes) - sizes
-        firsts = np.concatenate([[0], np.cumsum(per_chunk)])[:-1].astype(np.int64)
-        offsets = chunks[chunk_of] + before - before[firsts[chunk_of]] if len(sizes) else before
-        sync = t.get("sync", np.arange(len(sizes)))
-        sync = sync[sync < len(sizes)]
-        out.append({"handler": t.get("handler", ""), "codec": t.get("codec", ""), "timescale": t["timescale"], "duration": t["duration"], "offsets": offsets, "sizes": sizes, "keys": np.stack([offsets[sync], sizes[sync]], axis=1)})
+        own = _from_tables(t)
+        if own is None:
+            continue
+        n = len(own["sizes"])
+        parts = {k: np.concatenate([own[k], *(x + n if k == "sync" else x for x in t["parts"][k])]).astype(np.int64) for k in own}
+        inside = (parts["offsets"] >= 0) & (parts["offsets"] + parts["sizes"] <= len(data))
+        if not inside.all():
+            continue  # samples that the file doesn't hold
+        decoded = np.cumsum(parts["deltas"]) - parts["deltas"]
+        sync = parts["sync"]
+        out.append(
+            {
+                "handler": t.get("handler", ""),
+                "codec": t.get("codec", ""),
+                "timescale": t["timescale"],
+                "duration": int(parts["deltas"].sum()) or t["duration"],
+                "edits": t.get("edits", []),
+                "offsets": parts["offsets"],
+                "sizes": parts["sizes"],
+                "times": decoded + parts["shifts"],
+                "keys": np.stack([parts["offsets"][sync], parts["sizes"][sync]], axis=1),
+                "key_times": (decoded + parts["shifts"])[sync],
+            }
+        )
     return out
 
 
@@ -190,41 +314,59 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
-PROBE = "handler:string,codec:string,duration_s:double,n_samples:long,keyframes:array<struct<offset:long,size:long>>"
+PROBE = "handler:string,codec:string,duration_s:double,n_samples:long,keyframes:array<struct<offset:long,size:long,time_s:double>>"
 
 
 def probe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """The rows with ``tracks``: handler, codec, duration and keyframe byte ranges of each track.
+    """The rows with ``tracks``: handler, codec, duration, and byte ranges and times of the keyframes of each track.
     A null, empty or foreign file has no tracks."""
     ship_package(df.sparkSession)
-    kind = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))]))
+    key = pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("time_s", pa.float64())])
+    kind = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(key))]))
+
+    def described(t: dict) -> dict:
+        seconds = lambda x: x / t["timescale"] if t["timescale"] else None
+        keys = [{"offset": o, "size": s, "time_s": seconds(at)} for (o, s), at in zip(t["keys"].tolist(), t["key_times"].tolist(), strict=True)]
+        return {"handler": t["handler"], "codec": t["codec"], "duration_s": seconds(t["duration"]), "n_samples": len(t["sizes"]), "keyframes": keys}
+
+    own = [f for f in df.schema if f.name != "tracks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for media in batch.column(media_col).to_pylist():
-                found.append([{"handler": t["handler"], "codec": t["codec"], "duration_s": t["duration"] / t["timescale"] if t["timescale"] else None, "n_samples": len(t["sizes"]), "keyframes": [{"offset": o, "size": s} for o, s in t["keys"].tolist()]} for t in read_tracks(media or b"")])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "tracks"])
+            found = [[described(t) for t in read_tracks(media or b"")] for media in batch.column(media_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(found, kind)], names=[*(f.name for f in own), "tracks"])
+
+    return df.select(*(F.col(f"`{f.name}`") for f in own)).mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + f", tracks array<struct<{PROBE}>>")
+
 
-    return df.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "tracks") + f", tracks array<struct<{PROBE}>>")
+FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes string"
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and digests of the payload read back and of the stored form, with a feature string:
-    codec, seconds, samples, keyframes and the CRC-32 of the keyframe ranges (64-bit little-endian)."""
+    """doc_id, n_bytes and digests of the payload read back and of the stored form, with a feature string (codec,
+    seconds, samples, keyframes and the CRC-32 of the keyframe ranges, 64-bit little-endian) and the ranges
+    themselves (``offset+size``, comma-joined).  Of what holds no track payload and features are null."""
     ship_package(stored.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", *(x.split()[0] for x in FEATURES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for media in batch.column("media").to_pylist():
-                t = read_tracks(media)[0]
+                media = media or b""
+                tracks = read_tracks(media)
+                about = (len(media), hashlib.sha256(media).hexdigest())
+                if not tracks:
+                    rows.append((None, None, None, *about, None, None))
+                    continue
+                t = tracks[0]
                 payload = read_payload(media, t)
-                feature = f"{t['codec']}|{t['duration'] / t['timescale']:.3f}|{len(t['sizes'])}|{len(t['keys'])}|{zlib.crc32(t['keys'].astype('<i8').tobytes()):08x}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                seconds = t["duration"] / t["timescale"] if t["timescale"] else 0.0
+                feature = f"{t['codec']}|{seconds:.3f}|{len(t['sizes'])}|{len(t['keys'])}|{zlib.crc32(t['keys'].astype('<i8').tobytes()):08x}"
+                ranges = ",".join(f"{o}+{s}" for o, s in t["keys"].tolist())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *about, feature, ranges))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return stored.mapInArrow(tidy(run), f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {FEATURES}")
