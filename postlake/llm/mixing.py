@@ -1,18 +1,23 @@
 """Mixing documents to target weights with soft domain membership.
 
 A classifier is trained on a bounded sample of a table that labels some documents with a domain
-(``FIT`` documents, those with the smallest hashes): softmax regression over hashed words.  It
+(``FIT`` documents, those with the smallest hashes): softmax regression over the ``CHOSEN`` hashed words, runs of
+punctuation and rates of repeated words and capitals that say most about a domain (by the G statistic, if ``OFTEN``
+documents or more have them).  Words of few documents would be learnt by heart and tell nothing about others.  It
 predicts for every document p(domain | text).  Document rates r >= 0 are then fitted so that the
 expected tokens of each domain, sum over documents of r * tokens * p(domain), match target weights:
 
     minimise  sum_k (A_k(r) - T_k)^2 / S_k      A_k(r) = sum_d r_d t_d p_dk,  S_k = A_k(1)
 
 by projected gradient steps from r = 1, in the metric that weighs a document with its tokens:
-r_d <- max(0, r_d - step * sum_k p_dk (A_k - T_k) / S_k).  The matrix of this problem is
-stochastic, its largest eigenvalue is 1, so the step 1 converges.  Each step is one distributed
-pass over (tokens, posteriors); a document's rate depends only on its posteriors and the K
-residuals of each step so far, so those few numbers are all the state there is: a lost executor
-recomputes rates from them.
+r_d <- max(0, r_d - sum_k p_dk g_k).  The plain gradient is g_k = (A_k - T_k) / S_k: the matrix of this problem is
+stochastic, its largest eigenvalue is 1, so the step 1 descends.  Where posteriors overlap that is slow, so the gradient
+is scaled by the inverse of C + damping * S, C being the K x K curvature over the documents that have a rate: little
+damping meets the targets at once unless rates become 0, a damping of 1 always descends.  A step that wins nothing
+is taken back and damped more; one that wins nothing at full damping ends the fit.  Each step is
+one distributed pass over (tokens, posteriors), which returns K totals and K x K curvatures; a document's rate
+depends only on its posteriors and the K numbers of each step so far, so those few numbers are all the state
+there is: a lost executor recomputes rates from them.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +37,13 @@ from pyspark.sql.types import ArrayType, DoubleType
 from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import Scratch, ship_package
 
-#: Labelled documents to train on, hashed words, passes over the sample.
-FIT, WIDTH, EPOCHS = 6_000, 1 << 16, 12
-#: The largest relative miss of a target at which steps end, and the share of the objective that a step must still win.
-TOLERANCE, STILL = 1e-4, 1e-9
+#: Labelled documents to train on, hashed features, passes over the sample.
+FIT, WIDTH, EPOCHS = 16_384, 1 << 16, 20
+#: Features that are used, documents that each is in at least, pull of the weights towards 0.
+CHOSEN, OFTEN, DECAY = 2_048, 4, 0.01
+#: The largest relative miss of a target at which steps end, the share of the objective that a step
+#: must still win, and the least damping.
+TOLERANCE, STILL, LEAST = 1e-4, 1e-2, 1e-9
 log = logging.getLogger(__name__)
 
 
@@ -51,16 +60,28 @@ class WordBuckets(dict):
 _buckets = WordBuckets()
 
 
+PUNCTUATION = b".,;:!?\"'()#$%&*-=_+~/\\|<>@^"
+_TAIL = frozenset(PUNCTUATION)
+_CAPITALS = bytes(range(65, 91))
+
+
 def word_features(text: bytes) -> tuple[np.ndarray, int]:
-    """Buckets of the distinct lower-cased words (without punctuation at either end), and the number of words."""
+    """Buckets of a text's distinct lower-cased words (without punctuation at either end), of the runs of punctuation
+    that end them, and of its rates of repeated words and of capitals; and the number of words."""
     words = text.lower().split()
-    distinct = {w.strip(b".,;:!?\"'()") for w in words}
-    return np.unique(np.fromiter(map(_buckets.__getitem__, distinct), np.int64, len(distinct))), len(words)
+    if not words:
+        return np.empty(0, np.int64), 0
+    whole = set(words)
+    found = {w.strip(PUNCTUATION) for w in whole}
+    found |= {b"\1" + w[len(w.rstrip(PUNCTUATION)) :] for w in whole if w[-1] in _TAIL}
+    found.add(b"\2%d" % (10 * sum(map(eq, words, words[1:])) // len(words)))
+    found.add(b"\3%d" % (10 * (len(text) - len(text.translate(None, _CAPITALS))) // len(text)))
+    return np.unique(np.fromiter(map(_buckets.__getitem__, found), np.int64, len(found))), len(words)
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Domains, weights (WIDTH x K) and biases.  A document's score averages its words' weights by 1/sqrt(n)."""
+    """Domains, weights (WIDTH x K, zero for features that aren't used) and biases."""
 
     domains: tuple[str, ...]
     weights: np.ndarray
@@ -69,35 +90,58 @@ class Classifier:
     def posteriors(self, words: np.ndarray) -> np.ndarray:
         if not self.domains:
             return np.empty(0)
-        s = self.bias + (self.weights[words].sum(axis=0) / np.sqrt(len(words)) if len(words) else 0)
+        s = self.bias + self.weights[words].sum(axis=0, dtype=np.float64)
         e = np.exp(s - s.max())
         return e / e.sum()
 
 
+def chosen_features(samples: list[np.ndarray], y: np.ndarray, k: int) -> np.ndarray:
+    """The features that tell some domain best from the others, equally good ones by number."""
+    n, sizes = len(y), np.bincount(y, minlength=k)
+    counts = np.zeros((WIDTH, k))
+    for words, label in zip(samples, y.tolist(), strict=True):
+        counts[words, label] += 1
+    total = counts.sum(axis=1)
+    term = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+    best = np.zeros(WIDTH)
+    for c in range(k):
+        with_, without = counts[:, c], sizes[c] - counts[:, c]
+        g = term(with_, total * sizes[c] / n) + term(total - with_, total * (n - sizes[c]) / n) + term(without, (n - total) * sizes[c] / n) + term(n - total - without, (n - total) * (n - sizes[c]) / n)
+        best = np.maximum(best, g)
+    best[total < OFTEN] = 0
+    order = np.argsort(-best, kind="stable")[:CHOSEN]
+    return order[best[order] > 3]
+
+
 def train(samples: list[np.ndarray], labels: list[str]) -> Classifier:
-    """Softmax regression by AdaGrad, in the order given."""
+    """Softmax regression by AdaGrad over the chosen features; the same samples in one order give the same weights."""
     domains = tuple(sorted(set(labels)))
-    k = len(domains)
+    k, n = len(domains), len(labels)
+    weights, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k)
+    if k < 2:
+        return Classifier(domains, weights, bias)
     y = np.array([domains.index(x) for x in labels])
-    weights, bias = np.zeros((WIDTH, k), np.float32), np.log(np.bincount(y, minlength=k) / max(1, len(y)) if k else np.zeros(0))
-    seen, seen_bias = np.full((WIDTH, 1), 1e-3, np.float32), 1e-3
-    for epoch in range(EPOCHS if k > 1 else 0):
-        rate = 0.5 / (1 + epoch / 4)
-        for words, label in zip(samples, y.tolist(), strict=True):
-            if not len(words):
-                continue
-            scale = 1 / np.sqrt(len(words))
-            s = bias + weights[words].sum(axis=0) * scale
+    used = chosen_features(samples, y, k)
+    at = np.full(WIDTH, -1)
+    at[used] = np.arange(len(used))
+    held = [found[found >= 0] for found in (at[words] for words in samples)]
+    w, bias = np.zeros((len(used), k)), np.log(np.bincount(y, minlength=k) / n)
+    seen, seen_bias, draw = np.full((len(used), 1), 1e-3), 1e-3, np.random.default_rng(0)
+    for _ in range(EPOCHS):
+        for i in draw.permutation(n).tolist():
+            words = held[i]
+            s = bias + w[words].sum(axis=0)
             e = np.exp(s - s.max())
             g = e / e.sum()
-            g[label] -= 1
+            g[y[i]] -= 1
             size = float(g @ g)
             if size < 1e-6:
                 continue
-            seen[words] += size * scale * scale
-            weights[words] -= rate * scale * g / np.sqrt(seen[words])
+            seen[words] += size
+            w[words] -= 0.3 * (g + DECAY * w[words]) / np.sqrt(seen[words])
             seen_bias += size
-            bias = bias - rate * 0.1 * g / np.sqrt(seen_bias)
+            bias = bias - 0.03 * g / np.sqrt(seen_bias)
+    weights[used] = w
     return Classifier(domains, weights, bias)
 
 
@@ -115,7 +159,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
     # the sample is at most FIT rows of two columns, whatever the size of the tables
     sample = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).join(F.broadcast(table), "i").select("i", "domain", "text")
-    rows = sample.mapInArrow(tidy(words), "i long, domain string, words binary").limit(2 * FIT).collect()
+    rows = sample.mapInArrow(tidy(words, "postlake.llm.mixing._buckets"), "i long, domain string, words binary").limit(2 * FIT).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["i"])), r["words"]))
     return train([np.frombuffer(r["words"], np.int32) for r in rows], [r["domain"] for r in rows])
 
@@ -137,7 +181,7 @@ def with_membership(docs: DataFrame, classifier: Classifier, text_col: str = "te
                 p.append(known.posteriors(words))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))], names=[*batch.schema.names, tokens, posteriors])
 
-    return docs.mapInArrow(tidy(run), type(docs.schema)(list(docs.schema.fields)).add(tokens, "long").add(posteriors, ArrayType(DoubleType())))
+    return docs.mapInArrow(tidy(run, "postlake.llm.mixing._buckets"), type(docs.schema)(list(docs.schema.fields)).add(tokens, "long").add(posteriors, ArrayType(DoubleType())))
 
 
 def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -152,63 +196,93 @@ def _matrix(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
     return np.asarray(batch.column(column).flatten(), np.float64).reshape(-1, k)
 
 
-def fit_steps(members: DataFrame, k: int, weights: np.ndarray, total: float | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Gradient steps, domain totals before, and those that the rates give.
+@dataclass(frozen=True)
+class Fit:
+    """Gradient steps, domain totals before, those that the rates give, and those that they should give."""
+
+    steps: list[np.ndarray]
+    natural: np.ndarray
+    reached: np.ndarray
+    target: np.ndarray
+
+    @property
+    def residual(self) -> float:
+        """The largest miss of a target, as a share of all tokens that the targets share out."""
+        total = self.target.sum()
+        return float(np.abs(self.reached - self.target).max() / total) if total else 0.0
+
+    @property
+    def met(self) -> bool:
+        return self.residual <= TOLERANCE
+
+
+def fit_steps(members: DataFrame, k: int, weights: np.ndarray, total: float | None = None) -> Fit:
+    """Steps until every target is met, or, where no rates meet them, until the objective has stopped falling; such
+    a miss is logged and is the fit's ``residual``.  Documents whose posteriors overlap much take many steps.
 
     ``weights`` are the targets' shares.  ``total`` is how many tokens they share out; by default as many as let
     the domain of the largest share keep what it has, so that its documents are neither dropped nor repeated much.
-
-    Steps go on until every target is met, or, where no rates meet them, until the objective has stopped falling; such
-    a miss is logged.  Documents whose posteriors overlap much take many steps.
     """
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals, and the curvature over documents with a rate."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k)
+            sums, curves = np.zeros(k), np.zeros((k, k))
             for batch in batches:
-                p = _matrix(batch, "posteriors", k)
-                sums += (rates_of(p, steps) * batch.column("tokens").to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(sums)], names=["k", "s"])
+                p, t = _matrix(batch, "posteriors", k), batch.column("tokens").to_numpy()
+                r = rates_of(p, steps)
+                sums += (r * t) @ p
+                curves += (p * (t * (r > 0))[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array(range(k + k * k), pa.int32()), pa.array(np.concatenate([sums, curves.ravel()]))], names=["k", "s"])
 
         rows = members.select("tokens", "posteriors").mapInArrow(tidy(run), "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-        out = np.zeros(k)
+        out = np.zeros(k + k * k)
         for r in rows:
             out[r["k"]] = r["s"]
-        return out
+        return out[:k], out[k:].reshape(k, k)
 
-    natural = now = totals([])
+    natural, curves = totals([])
+    now = natural
     used = np.where(natural > 0, weights, 0)
     if used.sum() <= 0:
-        return [], natural, natural
+        return Fit([], natural, natural, np.zeros(k))
     used = used / used.sum()
     if total is None:
         main = int(used.argmax())
         total = float(natural[main] / used[main])
     target = used * total
+    scale = np.where(natural > 0, natural, 1.0)
+    objective = lambda x: float(((x - target) ** 2 / scale).sum())
     steps: list[np.ndarray] = []
-    before = np.inf
+    damping = LEAST
     while np.abs(now - target).max() > TOLERANCE * total:
-        miss = np.where(natural > 0, (now - target) / np.where(natural > 0, natural, 1), 0)
-        objective = float((natural * miss * miss).sum())
-        if before - objective <= STILL * objective:
+        step = np.linalg.solve(curves + damping * np.diag(scale), now - target)
+        found = totals([*steps, step])
+        if objective(now) - objective(found[0]) > STILL * objective(now):
+            steps, (now, curves) = [*steps, step], found
+            damping = max(LEAST, damping / 10)
+        elif damping < 1:
+            damping = min(1.0, 30 * damping)
+        else:
             log.warning("mixing: after %d steps the targets are missed by up to %.3g of all tokens: %s instead of %s", len(steps), np.abs(now - target).max() / total, now.tolist(), target.tolist())
             break
-        before = objective
-        steps.append(miss)
-        now = totals(steps)
-    return steps, natural, now
+    return Fit(steps, natural, now, target)
 
 
-def copies_of(rate, id_col):
-    """The rate rounded up or down at random by a hash of the id: its expectation is the rate."""
-    u = (F.shiftrightunsigned(F.xxhash64(id_col, F.lit(11)), 11).cast("double") + 0.5) / float(1 << 53)
+def copies_of(rate, id_col, *instead):
+    """The rate rounded up or down at random by a hash of the id (of ``instead`` where it is null): its expectation
+    is the rate."""
+    seed = F.when(id_col.isNull(), F.xxhash64(*instead, F.lit(13))).otherwise(F.xxhash64(id_col, F.lit(11)))
+    u = (F.shiftrightunsigned(seed, 11).cast("double") + 0.5) / float(1 << 53)
     return F.floor(rate + u).cast("int")
 
 
 def fit_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tokens, domain, posteriors map<string, double>, rate, copies for every document.
 
-    Null and blank texts have no tokens and the prior as posteriors; a null id has its own noise.  Domains of
+    Null and blank texts have no tokens and the prior as posteriors.  Rows without an id are drawn by their tokens
+    and posteriors, so that only rows alike share a draw.  Domains of
     ``targets`` that the labels don't know are ignored, known ones that ``targets`` lacks have weight 0.  Rows that repeat
     an id each give a row.  Without labels every rate is 1.  An empty table gives an empty result.
     """
@@ -217,8 +291,9 @@ def fit_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], t
     classifier = fit_classifier(source, labelled)
     k = len(classifier.domains)
     members = scratch.keep(with_membership(source, classifier).drop("text"), "members")
-    steps = fit_steps(members, k, np.array([targets.get(d, 0.0) for d in classifier.domains]), total)[0] if k else []
-    return with_rates(members, classifier, steps).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
+    steps = fit_steps(members, k, np.array([targets.get(d, 0.0) for d in classifier.domains]), total).steps if k else []
+    rated = with_rates(members, classifier, steps)
+    return rated.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), F.col("tokens"), F.col("rate")))
 
 
 def with_rates(members: DataFrame, classifier: Classifier, steps: list[np.ndarray]) -> DataFrame:
@@ -246,7 +321,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     if not k:
         return docs
     members = scratch.keep(with_membership(docs.select(F.col(text_col).alias("text")), classifier).drop("text"), "members")
-    steps = fit_steps(members, k, np.array([targets.get(d, 0.0) for d in classifier.domains]), total)[0]
+    steps = fit_steps(members, k, np.array([targets.get(d, 0.0) for d in classifier.domains]), total).steps
     scratch.drop("members")
     names = {x: x for x in ("tokens", "posteriors", "rate", "copies")}
     for x in names:
@@ -260,5 +335,5 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps))], names=[*batch.schema.names, names["rate"]])
 
     rated = rated.mapInArrow(tidy(run), type(rated.schema)(list(rated.schema.fields)).add(names["rate"], "double"))
-    copies = copies_of(F.col(names["rate"]), F.col(id_col))
+    copies = copies_of(F.col(names["rate"]), F.col(id_col).cast("long"), F.col(names["tokens"]), F.col(names["rate"]))
     return rated.withColumn(names["copies"], F.explode(F.sequence(F.lit(0), copies))).where(F.col(names["copies"]) > 0).select(*docs.columns)
