@@ -186,7 +186,7 @@ def span_digests(scanned: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by ``<kind>`` (overlapping spans by that of the first);
-    n_chars, where there is such a column, becomes the new length.  Texts without secrets, and null
+    n_chars, where there is such a column of a whole-number type, becomes the new length.  Texts without secrets, and null
     ones, stay as they are."""
     ship_package(docs.sparkSession)
     schema = docs.schema
@@ -208,7 +208,7 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 sizes.append(None if new is None else len(out[-1]))
             columns = list(batch.columns)
             columns[at] = pa.array(out, batch.column(at).type)
-            if "n_chars" in batch.schema.names:
+            if "n_chars" in batch.schema.names and pa.types.is_integer(batch.schema.field("n_chars").type):
                 n = batch.schema.get_field_index("n_chars")
                 old = batch.column(n).to_pylist()
                 columns[n] = pa.array([size if size is not None else o for size, o in zip(sizes, old, strict=True)], batch.column(n).type)
