@@ -1,15 +1,20 @@
 """BPE encoding and decoding with a public byte-level vocabulary.
 
-Ordinary text goes to the ranked-merge encoder of the vocabulary file, which cuts it at its
-own pre-token boundaries.  A stretch with no such boundary (one long word, one long run of
-symbols or blanks) is encoded as a tree: both halves are encoded on their own (in parallel),
-then a window around the join is re-encoded and grown until its first and last tokens are the
-very tokens that both sides already had there.  For a byte-level BPE whose tokens each encode
-to themselves, a token sequence is the encoding of its bytes exactly when every adjacent
-pair is the encoding of that pair; where the window agrees with both sides, all pairs are
-ones that an exact encoding held already, so the joined sequence is exact.
-
-Decoding concatenates the bytes of the tokens and reads them as UTF-8.
+A text is encoded as a tree: it is cut into halves down to leaves of ``LEAF`` characters, wherever these end, leaves
+are encoded on their own (those of a long text in parallel) by the ranked-merge encoder of the vocabulary file,
+and halves are joined.  At a join the tokens around it are encoded again, in a window that grows on
+either side until it reaches a place where both sides agree with the whole:
+
+* a place between a character that isn't white space and one that is.  No pre-token goes over it, whatever
+  stands around it, and pre-tokens on either side depend on nothing beyond it; hence the half's tokens up to there
+  (or from there on) are those of the whole.  The ends of the halves are such places too.
+* within one pre-token that is longer than a leaf (one long word, one long run of symbols or blanks) tokens are
+  compared instead: the window grows until its first and last tokens are the very tokens that both sides already had
+  there.  For a byte-level BPE whose tokens each encode to themselves, a token sequence is the encoding of
+  its bytes exactly when every adjacent pair is the encoding of that pair; where the window agrees with both
+  sides, all pairs are ones that an exact encoding held already, so the joined sequence is exact.
+
+Special tokens cut a text before anything else.  Decoding concatenates the bytes of the tokens and reads them as UTF-8.
 """
 
 from __future__ import annotations
@@ -29,10 +34,8 @@ from pyspark.sql import functions as F
 from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import ship_package
 
-#: A stretch of more bytes than this without a pre-token boundary is encoded as a tree.
-LONG_BYTES = 4096
-#: Leaves of the tree.
-LEAF_BYTES = 1024
+#: Characters of a leaf; leaves from which those of a text are encoded in parallel.
+LEAF, PARALLEL = 1_024, 64
 
 
 class ByteBPE:
@@ -47,7 +50,8 @@ class ByteBPE:
         self.special = special
         self.core = tiktoken.Encoding("postlake", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=special)
         self.pieces = regex.compile(pattern)
-        self.run = regex.compile(r"\p{L}+|\p{N}+|\s+|[^\s\p{L}\p{N}]+")
+        # where no pre-token goes over: before the second of these characters
+        self.edge = regex.compile(r"[^\s\x1c-\x1f][ \t\r\n]")
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.threads = ThreadPoolExecutor(threads)
         top = max([*self.ranks.values(), *special.values()]) + 1
@@ -60,38 +64,77 @@ class ByteBPE:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; special tokens in it get their own ids."""
-        if not self._has_unsplit(text):
-            return self.core.encode_to_numpy(text, allowed_special="all")
-        out: list[np.ndarray] = []
-        for part in self.split.split(text) if self.split else [text]:
-            if part in self.special:
-                out.append(np.array([self.special[part]], np.uint32))
-                continue
-            for m in self.pieces.finditer(part):
-                piece = m.group().encode()
-                out.append(self.encode_unsplit(piece) if len(piece) > LONG_BYTES else np.array(self._bytes(piece), np.uint32))
-        return np.concatenate(out) if out else np.empty(0, np.uint32)
-
-    def _has_unsplit(self, text: str) -> bool:
-        """Whether a pre-token may be longer than LONG_BYTES: it has over LONG_BYTES / 4 characters of one
-        class, so it fills an aligned window of half as many."""
-        step = LONG_BYTES // 8
-        return any(self.run.match(text, i).end() - i >= step for i in range(0, len(text) - step, step))
+        parts = self.split.split(text) if self.split else [text]
+        out = [np.array([self.special[p]], np.uint32) if p in self.special else self.encode_tree(p) for p in parts if p]
+        return (out[0] if len(out) == 1 else np.concatenate(out)) if out else np.empty(0, np.uint32)
+
+    def _leaf(self, text: str) -> np.ndarray:
+        return self.core.encode_to_numpy(text, disallowed_special=())
+
+    def encode_tree(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens, by tree concatenation."""
+        level = [text[i : i + LEAF] for i in range(0, len(text), LEAF)]
+        each = self.threads.map if len(level) >= PARALLEL else map
+        nodes = list(zip(level, each(self._leaf, level), strict=True))
+        while len(nodes) > 1:
+            pairs = [(nodes[i], nodes[i + 1]) for i in range(0, len(nodes) - 1, 2)]
+            nodes = list(each(lambda p: self.join_texts(*p), pairs)) + nodes[2 * len(pairs) :]
+        return nodes[0][1]
+
+    def _edges(self, left: str, right: str) -> tuple[int, int]:
+        """The last place in ``left`` and the first in ``right`` that no pre-token goes over."""
+        size = 32
+        while True:
+            found = [m.start() + 1 for m in self.edge.finditer(left, max(0, len(left) - size))]
+            if found or size >= len(left):
+                a = found[-1] if found else 0
+                break
+            size *= 2
+        found = self.edge.search(right)
+        return a, found.start() + 1 if found else len(right)
+
+    def _count(self, ids: np.ndarray, size: int, step: int) -> int:
+        """How many ids of one end (step -1: the last ones) make up ``size`` bytes."""
+        table, n = self.bytes_of, 0
+        for start in range(0, len(ids), 64):
+            some = ids[start : start + 64] if step > 0 else ids[::-1][start : start + 64]
+            for t in some.tolist():
+                if not size:
+                    return n
+                size -= len(table[t])
+                n += 1
+        return n
+
+    def join_texts(self, one: tuple[str, np.ndarray], two: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
+        """Two neighbouring texts with their ids as one."""
+        (left, a), (right, b) = one, two
+        i, j = self._edges(left, right)
+        tail, head = left[i:], right[:j]
+        m, n = self._count(a, len(tail.encode()), -1), self._count(b, len(head.encode()), 1)
+        a_tail, b_head = a[len(a) - m :], b[:n]
+        if len(tail) + len(head) <= LEAF:
+            window = self._leaf(tail + head)
+        else:
+            window = self._long_window(tail, a_tail, head, b_head)
+        return left + right, np.concatenate([a[: len(a) - m], window, b[n:]])
+
+    def _long_window(self, tail: str, a: np.ndarray, head: str, b: np.ndarray) -> np.ndarray:
+        """Ids of a window without an edge.  Where one pre-token goes over the join and both sides have cut it just
+        there, its halves are joined by tokens; else the window is encoded anew."""
+        spans = lambda text: [m.span() for m in self.pieces.finditer(text)]
+        cut, whole = len(tail), spans(tail + head)
+        mine, theirs = spans(tail), [(s + cut, e + cut) for s, e in spans(head)]
+        over = next(((s, e) for s, e in whole if s < cut < e), None)
+        if over is None or mine[-1] != (over[0], cut) or theirs[0] != (cut, over[1]) or [*mine[:-1], over, *theirs[1:]] != whole:
+            return self._leaf(tail + head)
+        m, n = self._count(a, len(tail[over[0] :].encode()), -1), self._count(b, len(head[: over[1] - cut].encode()), 1)
+        middle = self.join(a[len(a) - m :].tolist(), b[:n].tolist())
+        return np.concatenate([a[: len(a) - m], np.array(middle, np.uint32), b[n:]])
 
     def _bytes(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)
         return [rank] if rank is not None else self.core._encode_single_piece(piece)
 
-    def encode_unsplit(self, piece: bytes) -> np.ndarray:
-        """Ids of one pre-token of any length, by tree concatenation."""
-        cuts = range(0, len(piece), LEAF_BYTES)
-        level = list(self.threads.map(lambda i: self._bytes(piece[i : i + LEAF_BYTES]), cuts))
-        while len(level) > 1:
-            pairs = [(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
-            joined = list(self.threads.map(lambda p: self.join(*p), pairs))
-            level = joined + level[2 * len(pairs) :]
-        return np.array(level[0], np.uint32)
-
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of two neighbouring stretches as one: windows of 4, 8, 16 ... tokens a side."""
         size = 4
@@ -122,14 +165,16 @@ def public_vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...]]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),)
 
 
-def encode_documents(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, input_ids array<int>, decoded string: whole texts encoded, and decoded again.
+def encode_documents(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, digests: bool = False) -> DataFrame:
+    """doc_id, input_ids array<int>, decoded string (the ids decoded again; not without ``decoded``): whole texts.
+    With ``digests`` also ids_sha256, of the ids as little-endian 32-bit integers.
 
     A null text is empty, an empty text has no ids.  Rows are independent: repeated rows, null ids
     and extra columns need no care, and an empty table gives an empty result.  No row is shuffled.
     """
     ship_package(docs.sparkSession)
     vocabulary = vocabulary or public_vocabulary()
+    names = ["doc_id", "input_ids", *(["decoded"] if decoded else []), *(["ids_sha256"] if digests else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,23 +185,17 @@ def encode_documents(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", t
                 ids = [bpe.encode(t.decode()) for t in texts_of(part.column("text"))]
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([bpe.decode(x) for x in ids], pa.string())],
-                    names=["doc_id", "input_ids", "decoded"],
-                )
+                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                if digests:
+                    columns.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, input_ids array<int>, decoded string")
+    kinds = {"doc_id": docs.schema[id_col].dataType.simpleString(), "input_ids": "array<int>", "decoded": "string", "ids_sha256": "string"}
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit), decoded_sha256."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("input_ids")
-            flat, ends = np.asarray(ids.values), np.asarray(ids.offsets)
-            shas = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-            decoded = [hashlib.sha256(t).hexdigest() for t in texts_of(batch.column("decoded"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(shas), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(tidy(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of texts encoded with ``digests``."""
+    return encoded.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -42,7 +42,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     folder = uri_of(scratch, "archives")
     index = write_archives(table(spark, sf_dir, "pages"), folder, scratch)
-    return read_archives(index, folder).drop("payload", "url")
+    found = read_archives(index, folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Domains of the labelled table, and the weights that they are mixed to.
@@ -67,7 +68,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(encode_documents(table(spark, sf_dir, "documents")))
+    return token_digests(encode_documents(table(spark, sf_dir, "documents"), digests=True))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

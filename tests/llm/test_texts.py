@@ -44,14 +44,79 @@ def test_media_round_trip(frames):
     assert [stored[o : o + n] for o, n in t["keys"].tolist()] == [payload[i * 192 : i * 192 + 192] for i in range(0, frames, 16)]
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def full(kind, *numbers, flags=0, tail=b""):
+    return box(kind, flags.to_bytes(4, "big"), *((n % 2**32).to_bytes(4, "big") for n in numbers), tail)
+
+
+def movie(*tables, timescale=1000, extra=b"", edits=b""):
+    """A file of one track with the given sample tables, and 1,000 bytes of payload."""
+    entry = box(b"abcd", bytes(8))
+    stbl = box(b"stbl", full(b"stsd", 1, tail=entry), *tables)
+    mdia = box(b"mdia", full(b"mdhd", 0, 0, timescale, 77, 0), full(b"hdlr", 0, int.from_bytes(b"soun", "big"), 0, 0, 0), box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", 0, 0, 1, *[0] * 17), edits, mdia)
+    return box(b"moov", trak, extra) + box(b"mdat", bytes(range(250)) * 4)
+
+
+def test_media_times_sizes_and_edits():
+    head = len(movie(full(b"stsz", 0, 5, 10, 20, 30, 40, 50), full(b"stsc", 2, 1, 2, 1, 2, 3, 1), full(b"stco", 2, 0, 0), full(b"stts", 2, 3, 100, 2, 50), full(b"ctts", 2, 4, 0, 1, -10), full(b"stss", 2, 1, 4))) - 1000
+    (t,) = media.read_tracks(movie(full(b"stsz", 0, 5, 10, 20, 30, 40, 50), full(b"stsc", 2, 1, 2, 1, 2, 3, 1), full(b"stco", 2, head + 100, head + 300), full(b"stts", 2, 3, 100, 2, 50), full(b"ctts", 2, 4, 0, 1, -10), full(b"stss", 2, 1, 4)))
+    assert (t["duration"], t["codec"], t["handler"]) == (400, "abcd", "soun")
+    assert (t["offsets"] - head).tolist() == [100, 110, 300, 330, 370] and t["times"].tolist() == [0, 100, 200, 300, 340]
+    assert (t["keys"] - [head, 0]).tolist() == [[100, 10], [330, 40]] and t["key_times"].tolist() == [0, 300]
+    # compact sizes of 4, 8 and 16 bits, and an edit list
+    for field, raw in ((4, bytes([0x12, 0x30])), (8, bytes([1, 2, 3])), (16, bytes([0, 1, 0, 2, 0, 3]))):
+        tables = (full(b"stz2", field, 3, tail=raw), full(b"stsc", 1, 1, 3, 1), full(b"stco", 1, 900), full(b"stts", 1, 3, 10))
+        (t,) = media.read_tracks(movie(*tables, edits=box(b"edts", full(b"elst", 1, 30, 5, 0x10000))))
+        assert t["sizes"].tolist() == [1, 2, 3] and t["edits"] == [(30, 5)] and t["duration"] == 30
+
+
+def test_fragmented_media():
+    none = (full(b"stsz", 0, 0), full(b"stsc", 0), full(b"stco", 0), full(b"stts", 0))
+    start = movie(*none, extra=box(b"mvex", full(b"trex", 1, 1, 40, 7, 0x10000)))
+    moof = lambda at: box(b"moof", box(b"traf", full(b"tfhd", 1, flags=0x20000), full(b"trun", 3, at, 0, 100, 5, 200, 6, 300, 7, flags=0x305), full(b"trun", 2)))
+    size = len(moof(0))
+    file = start + moof(size + 8) + box(b"mdat", bytes(32))
+    (t,) = media.read_tracks(file)
+    first = len(start) + size + 8
+    assert t["sizes"].tolist() == [5, 6, 7, 7, 7] and t["offsets"].tolist() == [first, first + 5, first + 11, first + 18, first + 25]
+    assert t["times"].tolist() == [0, 100, 300, 600, 640] and t["duration"] == 680 and (t["keys"] - [first, 0]).tolist() == [[0, 5]]
+
+
 def test_foreign_media():
     assert media.read_tracks(b"") == [] and media.read_tracks(b"\0\0\0\x08moov" * 3) == [] and media.read_tracks(b"junk" * 50) == []
     stored = media.write_media(b" " * 1920)
-    assert media.read_tracks(stored[:200]) in ([], media.read_tracks(stored[:200]))
-    # 64-bit sizes and boxes before the movie
+    # the payload is cut off, so the samples aren't there
+    assert media.read_tracks(stored[:-200]) == [] and media.read_tracks(stored[:200]) == []
+    # 64-bit sizes and boxes before the movie: offsets are those of the file, so they must move too
     big = b"\0\0\0\x01free" + (24).to_bytes(8, "big") + b"12345678"
     (t,) = media.read_tracks(big + stored)
     assert t["offsets"][0] == media.read_tracks(stored)[0]["offsets"][0]
+    # contradicting and boastful tables neither raise nor allocate what they claim
+    ok = {"stsz": full(b"stsz", 0, 3, 10, 20, 30), "stsc": full(b"stsc", 1, 1, 3, 1), "stco": full(b"stco", 1, 900), "stts": full(b"stts", 1, 3, 10)}
+    assert len(media.read_tracks(movie(*ok.values()))) == 1
+    for odd in (full(b"stsc", 2, 5, 1, 1, 2, 1, 1), full(b"stsc", 2, 2, 1, 1, 1, 1, 1), full(b"stco", 1, 2**32 - 5), full(b"stsz", 0, 3)):
+        name = odd[4:8].decode()
+        assert len(media.read_tracks(movie(*(ok | {name: odd}).values()))) <= 1
+    for odd in (full(b"stsz", 1, 2**32 - 1), full(b"stsc", 1, 1, 2**32 - 1, 1), full(b"stts", 1, 2**32 - 1, 2**32 - 1), full(b"stss", 2**32 - 1, 1)):
+        for t in media.read_tracks(movie(*(ok | {odd[4:8].decode(): odd}).values())):
+            assert len(t["sizes"]) < 5000
+
+
+def test_mutated_media_never_raises():
+    rng = random.Random(6)
+    files = [media.write_media(bytes(192 * 40)), movie(full(b"stsz", 0, 3, 10, 20, 30), full(b"stsc", 1, 1, 3, 1), full(b"stco", 1, 900), full(b"stts", 1, 3, 10)), movie(full(b"stsz", 0, 0), full(b"stsc", 0), full(b"stco", 0), extra=box(b"mvex", full(b"trex", 1, 1, 40, 7, 0))) + box(b"moof", box(b"traf", full(b"tfhd", 1), full(b"trun", 3, 0, 9, flags=0x205)))]
+    for n in range(3000):
+        raw = bytearray(files[n % 3])
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(min(len(raw), 700))
+            raw[at] = rng.choice([0, 1, 255, rng.randrange(256)])
+        for t in media.read_tracks(bytes(raw)):
+            assert len(t["sizes"]) <= len(raw) and len(media.read_payload(bytes(raw), t)) == int(t["sizes"].sum())
 
 
 def test_media_query(docs):
@@ -62,15 +127,24 @@ def test_media_query(docs):
         g = got[r["doc_id"]]
         assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert g["media_sha256"] == hashlib.sha256(media.write_media(payload)).hexdigest()
+        frames = len(payload) // 192
+        at = g["media_bytes"] - len(payload)  # the payload ends the file
+        keys = [(at + 192 * i, 192) for i in range(0, frames, 16)]
+        assert g["keyframes"] == ",".join(f"{o}+{n}" for o, n in keys)
+        crc = zlib.crc32(b"".join(x.to_bytes(8, "little") for k in keys for x in k))
+        assert g["feature"] == f"raw |{frames / 25:.3f}|{frames}|{len(keys)}|{crc:08x}"
 
 
-def test_media_odd_rows(odd, none):
+def test_media_odd_rows(spark, odd, none):
     got = media.media_features(media.store_media(odd)).collect()
     assert len(got) == len(ODD) and all(r["payload_bytes"] == 192 and r["n_bytes"] == 0 for r in got if r["doc_id"] in (4, 5, 6))
     assert len({tuple(r)[1:] for r in got if r["doc_id"] in (4, 5, 6)}) == 1
     assert media.media_features(media.store_media(none)).collect() == []
     tracks = media.probe_media(media.store_media(odd).limit(3)).select("tracks").collect()
     assert all(len(r["tracks"]) == 1 and r["tracks"][0]["keyframes"] for r in tracks)
+    foreign = spark.createDataFrame([(1, 5, b"junk!"), (2, 0, None), (3, 0, b"")], "doc_id long, n_bytes long, media binary")
+    assert [(r["payload_bytes"], r["feature"], r["media_bytes"]) for r in media.media_features(foreign).collect()] == [(None, None, 5), (None, None, 0), (None, None, 0)]
+    assert all(r["tracks"] == [] for r in media.probe_media(foreign.withColumn("tracks", F.lit(1))).collect())
 
 
 # -- secrets -----------------------------------------------------------------------------------------
@@ -153,6 +227,10 @@ def test_redaction(spark, none):
     assert got[1]["text"] == "é <assign> end" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "clean" and got[2]["n_chars"] == 5 and got[3]["text"] is None and got[3]["n_chars"] is None
     assert secret_scan.redact_documents(none).collect() == []
+    for kind, value in (("string", "many"), ("double", 3.5), ("array<int>", [1])):
+        other = spark.createDataFrame([(1, "token = 0123456789abcdef01", value)], f"doc_id long, text string, n_chars {kind}")
+        (r,) = secret_scan.redact_documents(other).collect()
+        assert r["text"] == "<assign>" and r["n_chars"] == value
 
 
 # -- byte-pair encoding ------------------------------------------------------------------------------
@@ -172,9 +250,10 @@ def test_bpe_equals_the_library(docs, odd, none, library):
             ids = library.encode(r["text"] or "", add_special_tokens=False).ids
             decoded = library.decode(ids, skip_special_tokens=False)
             want.setdefault(r["doc_id"], set()).add((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-        rows = bpe.token_digests(bpe.encode_documents(df)).collect()
+        rows = bpe.token_digests(bpe.encode_documents(df, digests=True)).collect()
         assert len(rows) == df.count() and all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) in want[r["doc_id"]] for r in rows)
-    assert bpe.token_digests(bpe.encode_documents(none)).collect() == []
+    assert bpe.token_digests(bpe.encode_documents(none, digests=True)).collect() == []
+    assert bpe.encode_documents(docs, decoded=False).columns == ["doc_id", "input_ids"]
 
 
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefghij", "éàüñß", "漢字仮名", "0123", "!?%$", " \n\t", "aeiou tn", "it's 'll <|endoftext|>"])
@@ -187,8 +266,35 @@ def test_tree_concatenation_is_exact(alphabet, library):
             ids = e.encode(t)
             assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and e.decode(ids) == t
     for unit in ("a", "the", "==", "漢"):
-        piece = (unit * 9000).encode()
-        assert e.encode_unsplit(piece).tolist() == library.encode(piece.decode(), add_special_tokens=False).ids
+        assert e.encode(unit * 9000).tolist() == library.encode(unit * 9000, add_special_tokens=False).ids
+
+
+def test_texts_of_the_tables_are_joined(docs, library, monkeypatch):
+    """Most documents have several leaves; with short leaves their joins fall on all kinds of places."""
+    e, joins = bpe.load(*bpe.public_vocabulary()), []
+    texts = [r["text"] or "" for r in docs.collect()]
+    own = bpe.ByteBPE.join_texts
+    monkeypatch.setattr(bpe.ByteBPE, "join_texts", lambda self, a, b: joins.append(1) or own(self, a, b))
+    for leaf in (1024, 37, 3):
+        monkeypatch.setattr(bpe, "LEAF", leaf)
+        monkeypatch.setattr(bpe, "PARALLEL", 64 if leaf == 1024 else 4)
+        before = len(joins)
+        for t in texts if leaf == 1024 else texts[::7]:
+            assert e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(joins) - before > 300
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_joins_anywhere_are_exact(seed, library, monkeypatch):
+    rng = random.Random(seed)
+    e = bpe.load(*bpe.public_vocabulary())
+    parts = ["a", "the", " the", "  ", "\n", " \n ", "\t", "'", "'s", "'re", "'l", "l", "ve", "12", "345", "!", "!!", "...", "é", "漢字", "\u00a0", "\u2003", "\u0085", "\x1c", "😀", "Σ", " ", "x" * 30, "-" * 9, "\r\n", "ſ", "٣"]
+    for _ in range(400):
+        monkeypatch.setattr(bpe, "LEAF", rng.choice([1, 2, 3, 5, 8, 13]))
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 60)))
+        ids = e.encode(t)
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert e.decode(ids) == t
 
 
 # -- token counts ------------------------------------------------------------------------------------
@@ -224,15 +330,35 @@ def test_counts_equal_one_lattice_a_word(docs, odd, none):
     assert token_counts.count_tokens(none).collect() == []
 
 
-def test_full_tries_are_emptied(monkeypatch):
+def test_long_paths_are_computed_again(monkeypatch):
     pieces = {"▁": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "▁a": -1.5}
-    monkeypatch.setattr(token_counts, "NODES", 5)
-    monkeypatch.setattr(token_counts, "COUNTS", 3)
+    monkeypatch.setattr(token_counts, "KEEP", 5)
     trie = token_counts.TokenTrie(pieces)
     rng = random.Random(5)
-    for _ in range(300):
-        w = "▁" + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 90)))
+    words = ["▁" + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    for w in words + sorted(words):
+        assert trie.count(w) == best_count(w, pieces)
+
+
+def test_shared_prefixes_are_scored_once():
+    pieces = {"▁": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "▁a": -1.5}
+    trie = token_counts.TokenTrie(pieces)
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(400)} | {"c" * 200, "c" * 300})
+    for w in words:
         assert trie.count(w) == best_count(w, pieces)
+    assert trie.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)})
+
+
+def test_rare_and_long_words_are_joined(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_counts, "OFTEN", 50)
+    monkeypatch.setattr(token_counts, "SCORED", 100)
+    monkeypatch.setattr(token_counts, "HELD", 100)
+    pieces = token_counts.load_pieces(token_counts.public_pieces())
+    rows = [(i, r["text"]) for i, r in enumerate(docs.limit(30).collect())] + [(50, "漢字" * 900), (51, "x" * 5000 + " y"), (51, "x" * 5000 + " y"), (None, "z" * 200), (52, None)]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(i, len(t or ""), len((t or "").split()), sum(best_count("▁" + w, pieces) for w in (t or "").split())) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 # -- languages ---------------------------------------------------------------------------------------
@@ -255,6 +381,30 @@ def test_profiles_equal_a_plain_count(docs):
         assert [langid.ngram_text(c) for c in got[lang]] == top
 
 
+def test_predictions_equal_plain_out_of_place_distances(docs):
+    from collections import Counter
+
+    size = 60
+    profiles = langid.fit_profiles(docs.limit(80), size=size)
+    places = {lang: {langid.ngram_text(c): i for i, c in enumerate(codes)} for lang, codes in profiles.items()}
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    rows = docs.limit(80).collect()
+    got = {r["doc_id"]: r for r in langid.identify(docs.limit(80), profiles, size=size).collect()}
+    for r in rows:
+        grams = Counter()
+        for word in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()):
+            p = f" {word} "
+            grams.update(g for n in (1, 2, 3) for i in range(len(p) - n + 1) if (g := p[i : i + n]) != " ")
+        if not grams:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        own = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+        far = {lang: sum(min(abs(at[g] - i), size) if g in at else size for i, g in enumerate(own)) / (size * len(own)) for lang, at in places.items()}
+        best = min(sorted(far), key=far.get)
+        score = 1 / sum(np.exp(-langid.SHARP * (d - far[best])) for d in far.values())
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(score)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
