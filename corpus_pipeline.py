@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, input_ids of every row."""
-    return encode_documents(docs).select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), "input_ids")
+    return encode_documents(docs, decoded=False).select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), "input_ids")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("tokens", tokens)]
