@@ -1,13 +1,13 @@
 """Token counts by trie-shared dynamic programming over unigram scores.
 
-A text is cut into pre-tokens at white space (each begins with the mark U+2581).  The distinct pre-tokens of
-all documents, of whatever length, are counted (map-side combined) and sorted by ranges, so that a task's words
-are the leaves of a trie in depth-first order: each node holds the best forward score of its prefix and the
-number of tokens on that path, it is computed once, and only the path to the current word is in memory.  The
-count at a word's last node is stored in a table, once for all tasks and documents.
+A text is cut into pre-tokens at white space (each begins with the mark U+2581).  Distinct pre-tokens, of whatever
+length, are inserted into a trie in sorted order, that is, depth first: each node holds the best forward score of
+its prefix and the number of tokens on that path, it is computed once, and only the path to the current word is in
+memory.  The count at a word's last node is stored and added up over the texts that have the word.
 
-A second pass adds the counts up: those of the ``OFTEN`` most frequent words are sent to every task, what is left
-of a document is joined with the table by a 128-bit hash of the word, so that only rare words are shuffled.
+Words that are frequent (the ``OFTEN`` most frequent of those that some stretch of text repeats) are scored once for
+all documents, and every task gets their counts.  The others, which few tasks share, are scored by the task that meets
+them, those of a batch of texts in one trie.  So no text and no word but those is shuffled.
 
 Scores are unigram log probabilities by Zipf's law over the vocabulary's order:
 -log(rank + RANK_OFFSET), less the log of their sum.  A character that no piece covers costs its UTF-8
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +30,10 @@ from postlake.runtime import Scratch, ship_package
 
 MARK = "▁"
 RANK_OFFSET, UNKNOWN = 3.0, 10.0
-#: Words whose counts every task gets, and their longest; words and characters that a task holds before it hands them on;
-#: words that a task scores; depth to which nodes of a path are kept for the next word (deeper ones are computed again).
-OFTEN, OFTEN_BYTES, HELD, HELD_CHARS, SCORED, KEEP = 100_000, 64, 200_000, 16 << 20, 20_000, 1_024
+#: Words whose counts every task gets, and their longest; words that a task counts before it hands on those that it met
+#: twice; words that a task scores; other words' counts that a task remembers; depth to which nodes of a path are kept for
+#: the next word (deeper ones are computed again); steps of a doubling in the histogram of frequencies.
+OFTEN, OFTEN_BYTES, HELD, SCORED, KNOWN, KEEP, STEPS = 200_000, 64, 200_000, 20_000, 200_000, 1_024, 16
 
 
 def public_pieces() -> str:
@@ -112,96 +112,75 @@ class TokenTrie:
         return node[1]
 
 
-def key_of(word: str) -> tuple[int, int]:
-    """128 bits of a word, as two signed longs."""
-    digest = xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogatepass"))
-    return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pre-tokens of a task and how often they occur, in bounded memory."""
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-tokens that a stretch of text has more than once and how often, in bounded memory."""
     found: Counter = Counter()
-    chars = 0
 
-    def full() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+    def some() -> pa.RecordBatch:
+        rows = [(w, n) for w, n in found.items() if n > 1 and len(w) <= OFTEN_BYTES]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text:
-                before = len(found)
                 found.update(text.split())
-                # a text adds its own length at most; short words hardly count
-                chars += len(text) if len(found) - before > len(text) // 8 or len(text) > 1 << 20 else 8 * (len(found) - before)
-            if len(found) >= HELD or chars >= HELD_CHARS:
-                yield full()
+            if len(found) >= HELD:
+                yield some()
                 found.clear()
-                chars = 0
-    if found:
-        yield full()
+    yield some()
 
 
-def word_counts(docs: DataFrame, scratch: Scratch, path: str) -> tuple[DataFrame, dict[str, int]]:
-    """Token counts of every distinct pre-token (lo, hi, tokens), a written table, and those of the most frequent ones."""
-    found = docs.select("text").mapInArrow(tidy(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = scratch.keep(found, "words")
-    tasks = max(1, -(-found.count() // SCORED))
+def frequent_counts(docs: DataFrame, scratch: Scratch, path: str) -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens; at most ``OFTEN`` words of ``OFTEN_BYTES`` bytes reach the driver."""
+    found = docs.select("text").mapInArrow(tidy(_repeated), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = scratch.keep(found.where(F.octet_length("word") <= OFTEN_BYTES).withColumn("step", F.floor(STEPS * F.log2("n")).cast("int")), "words")
+    least, total = 0, 0
+    for r in found.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # 64 * STEPS rows at most
+        least, total = r["step"], total + r["n"]
+        if total > OFTEN:
+            least, total = least + 1, total - r["n"]
+            break
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = TokenTrie(load_pieces(path))
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            keys = [key_of(w) for w in words]
-            columns = [pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array([trie.count(MARK + w) for w in words], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *columns], names=["word", "n", "lo", "hi", "tokens"])
-
-    ranged = found.repartitionByRange(tasks, "word").sortWithinPartitions("word")
-    counts = scratch.keep(ranged.mapInArrow(tidy(score), "word string, n long, lo long, hi long, tokens long"), "counts")
-    top = counts.where(F.octet_length("word") <= OFTEN_BYTES).orderBy(F.desc("n"), "word").limit(OFTEN).select("word", "tokens").collect()
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([trie.count(MARK + w) for w in batch.column("word").to_pylist()], pa.int64())], names=["word", "tokens"])
+
+    ranged = found.where(F.col("step") >= least).select("word").repartitionByRange(max(1, -(-total // SCORED)), "word").sortWithinPartitions("word")
+    rows = ranged.mapInArrow(tidy(score), "word string, tokens long").collect()
     scratch.drop("words")
-    return counts.select("lo", "hi", "tokens"), {r[0]: r[1] for r in top}
+    return {r[0]: r[1] for r in rows}
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_pretokens, n_tokens of every whole text.
 
-    A null text is empty; an empty or blank one has no tokens.  Rows that repeat an id each give a row, null ids
-    and extra columns need no care, and an empty table gives an empty result.
+    A null text is empty; an empty or blank one has no tokens.  Rows are independent: repeated rows, null ids and
+    extra columns need no care, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    scratch = Scratch(spark, "tokens")
+    path = vocabulary or public_pieces()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts, often = word_counts(source, scratch, vocabulary or public_pieces())
-    shared = spark.sparkContext.broadcast(often)
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_chars", "n_pretokens", "n_tokens", "rest"]
-    rest_kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())]))
+    shared = spark.sparkContext.broadcast(frequent_counts(source, Scratch(spark, "tokens"), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        often, trie = shared.value, TokenTrie(load_pieces(path))
+        rare: dict[str, int] = {}
         for batch in batches:
-            chars, words, tokens, rests = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = Counter((text or "").split())
-                total, rest = 0, []
-                for w, n in found.items():
-                    t = known.get(w)
-                    if t is None:
-                        lo, hi = key_of(w)
-                        rest.append({"lo": lo, "hi": hi, "n": n})
-                    else:
-                        total += n * t
-                chars.append(len(text or ""))
-                words.append(found.total())
-                tokens.append(total)
-                rests.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(rests, rest_kind)], names=names)
-
-    part = source.mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, n_pretokens long, n_tokens long, rest array<struct<lo:long,hi:long,n:long>>")
-    part = scratch.keep(part.withColumn("row", F.monotonically_increasing_id()), "parts")
-    rare = part.where("size(rest) > 0").select("row", F.explode("rest").alias("r")).select("row", "r.*")
-    more = rare.join(counts, ["lo", "hi"]).groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
-    whole = part.where("size(rest) = 0").select(names[:4])
-    mended = part.where("size(rest) > 0").select("row", *names[:4]).join(more, "row").withColumn("n_tokens", F.col("n_tokens") + F.col("more"))
-    return whole.unionByName(mended.select(names[:4]))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = part.column("text").to_pylist()
+                found = [Counter((t or "").split()) for t in texts]
+                new = set().union(*found)
+                new.difference_update(often, rare)
+                if len(rare) + len(new) > KNOWN:
+                    new.update(w for f in found for w in f if w in rare)
+                    rare.clear()
+                for w in sorted(new):
+                    rare[w] = trie.count(MARK + w)
+                count = lambda w: often[w] if w in often else rare[w]
+                columns = [[len(t or "") for t in texts], [f.total() for f in found], [sum(n * count(w) for w, n in f.items()) for f in found]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_chars", "n_pretokens", "n_tokens"])
+
+    return source.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars long, n_pretokens long, n_tokens long")

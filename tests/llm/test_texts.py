@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from postlake.llm import bpe, langid, media, secret_scan, token_counts
+from postlake.runtime import Scratch
 from tests.llm.helpers import DOCS, ODD
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -350,15 +351,17 @@ def test_shared_prefixes_are_scored_once():
     assert trie.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)})
 
 
-def test_rare_and_long_words_are_joined(spark, docs, monkeypatch):
-    monkeypatch.setattr(token_counts, "OFTEN", 50)
-    monkeypatch.setattr(token_counts, "SCORED", 100)
-    monkeypatch.setattr(token_counts, "HELD", 100)
+def test_rare_and_long_words_count_like_frequent_ones(spark, docs, monkeypatch):
     pieces = token_counts.load_pieces(token_counts.public_pieces())
     rows = [(i, r["text"]) for i, r in enumerate(docs.limit(30).collect())] + [(50, "漢字" * 900), (51, "x" * 5000 + " y"), (51, "x" * 5000 + " y"), (None, "z" * 200), (52, None)]
-    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [(i, len(t or ""), len((t or "").split()), sum(best_count("▁" + w, pieces) for w in (t or "").split())) for i, t in rows]
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for often, held, known, scored in ((50, 100, 60, 10), (10**6, 10**6, 10**6, 10**6), (0, 10, 10, 1)):
+        for name, value in (("OFTEN", often), ("HELD", held), ("KNOWN", known), ("SCORED", scored)):
+            monkeypatch.setattr(token_counts, name, value)
+        few = token_counts.frequent_counts(df, Scratch(spark, "t"), token_counts.public_pieces())
+        assert len(few) <= often and all(best_count("▁" + w, pieces) == n for w, n in few.items())
+        assert sorted(map(tuple, token_counts.count_tokens(df).collect()), key=str) == sorted(want, key=str)
 
 
 # -- languages ---------------------------------------------------------------------------------------
