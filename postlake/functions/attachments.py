@@ -1,4 +1,4 @@
-"""Text of attachments: Office Open XML by zip and XML, plain text and CSV; PDF through a pluggable reader."""
+"""Text of attachments: Office Open XML by zip and XML, plain text and CSV, PDF; readers are pluggable."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree as ET
 
+from postlake.functions.pdf import pdf_text
 from postlake.params import SETTINGS
 
 Extractor = Callable[[bytes], str | None]
@@ -135,29 +136,34 @@ def text(data: bytes) -> str:
 
 
 def pdf(data: bytes) -> str | None:
-    """Pages joined by line ends, where a PDF library is installed; else null."""
+    """Pages joined by line ends, by a PDF library where one is installed, else by our own reader."""
     try:
         import pdfplumber
     except ImportError:
-        return None
+        return pdf_text(data)
     with pdfplumber.open(io.BytesIO(data)) as f:
         return "\n".join(t for page in f.pages if (t := page.extract_text())) or None
 
 
+# Kinds, in order of precedence, with the endings and the words in a type (whole types begin with =)
+# that speak for them.
+KINDS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "pdf": (("pdf",), ("pdf",)),
+    "docx": (("docx", "docm"), ("wordprocessingml", "=application/msword", "=application/vnd.ms-word.document.macroenabled.12", "=application/vnd.ms-word.template.macroenabled.12")),
+    "xlsx": (("xlsx", "xlsm"), ("spreadsheetml", "excel")),
+    "pptx": (("pptx", "pptm", "ppsx", "ppsm"), ("presentationml", "powerpoint")),
+    "text": (("txt", "csv"), ("text/plain", "text/csv")),
+}
+ENDINGS = {ending: kind for kind, (endings, _) in KINDS.items() for ending in endings}
+PRECEDENCE = list(KINDS)
+
+
 def kind_of(content_type: str, filename: str) -> str | None:
-    """The first kind that the type or the name's ending speaks for."""
-    t, n = (content_type or "").lower(), (filename or "").lower()
-    if "pdf" in t or n.endswith(".pdf"):
-        return "pdf"
-    if "wordprocessingml" in t or t in ("application/msword", "application/vnd.ms-word.document.macroenabled.12", "application/vnd.ms-word.template.macroenabled.12") or n.endswith((".docx", ".docm")):
-        return "docx"
-    if "spreadsheetml" in t or "excel" in t or n.endswith((".xlsx", ".xlsm")):
-        return "xlsx"
-    if "presentationml" in t or "powerpoint" in t or n.endswith((".pptx", ".pptm", ".ppsx", ".ppsm")):
-        return "pptx"
-    if "text/plain" in t or n.endswith(".txt") or "text/csv" in t or n.endswith(".csv"):
-        return "text"
-    return None
+    """The kind of highest precedence that the type or the name's ending speaks for."""
+    stated = (content_type or "").lower()
+    said = {kind for kind, (_, words) in KINDS.items() for w in words if (stated == w[1:] if w[0] == "=" else w in stated)}
+    said.add(ENDINGS.get((filename or "").lower().rpartition(".")[2] if "." in (filename or "") else ""))
+    return min(said - {None}, key=PRECEDENCE.index, default=None)
 
 
 EXTRACTORS: dict[str, Extractor] = {"pdf": pdf, "docx": docx, "xlsx": xlsx, "pptx": pptx, "text": text}
