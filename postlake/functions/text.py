@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlake.functions.html import FOOTER_LEAST, FOOTER_MARKS, FOOTERS
 from postlake.params import SETTINGS, Settings
 
-# What begins a footer line, and the shortest body before it.
-FOOTER_MARKERS = ("unsubscribe", "update your preferences", "you are receiving this email because", "manage your subscription")
-FOOTER_LEAST = 200
 NO_SUBJECT = "(no subject)"
 #: White space at either end, as regular expressions see it.
 _EDGE = r"^[\s]+|[\s]+$"
@@ -127,7 +125,7 @@ def quotes_to_strip(text, s: Settings = SETTINGS) -> Column:
 
 def redundant_links(text) -> Column:
     """``[url](url)`` becomes ``url``."""
-    return F.regexp_replace(_c(text), r"\[(https?://[^\]]+)\]\(\1\)", "$1")
+    return F.regexp_replace(_c(text), r"\[(?=https?://)([^\]]+)\]\(\1\)", "$1")
 
 
 def squeeze_blank(text) -> Column:
@@ -135,24 +133,23 @@ def squeeze_blank(text) -> Column:
 
 
 def before_footer(text) -> Column:
-    """The text before the line of the earliest footer marker, a marker counting where its first line-anchored
-    appearance begins at least 200 characters in."""
-    t, low = _c(text), F.lower(_c(text))
-    starts = []
-    for m in FOOTER_MARKERS:
-        # few texts have a marker at all, and a plain search tells so without the expression
-        at = F.when(F.contains(low, F.lit(m)), F.regexp_instr(t, F.lit(rf"(?im)(?:^|\n)[\s>|*\-\[]*{m}")))
-        starts.append(F.when(at > FOOTER_LEAST, at))
+    """As ``html.footer_cut``: the text before the first footer line that enough text precedes.
 
-    def line_start(head: Column) -> Column:
-        """The head without what follows its last line end."""
-        last = F.length(head) - F.locate("\n", F.reverse(head)) + 1
-        return F.when(F.contains(head, F.lit("\n")), F.substr(head, F.lit(1), last)).otherwise(head)
+    The search begins behind that text, at the end of a line, so its first hit is the one wanted.
+    """
+    marks = "".join("\\" + c if c in "|*-[" else c for c in FOOTER_MARKS)
+    line = rf"(?i)\n[{marks}]*(?:{'|'.join(FOOTERS)})"
 
-    def cut_at(at: Column) -> Column:
-        return F.when(at.isNull(), t).otherwise(F.regexp_replace(bound(F.substr(t, F.lit(1), at - 1), line_start), r"\s+$", ""))
+    def cut_at(t: Column) -> Column:
+        low = F.lower(t)
+        # few texts have a marker at all, and a plain search tells so without the expression
+        some = F.lit(False)
+        for m in FOOTERS:
+            some = some | F.contains(low, F.lit(m))
+        at = F.when(some, F.regexp_instr(F.substr(t, F.lit(FOOTER_LEAST + 1)), F.lit(line)))
+        return F.when(F.coalesce(at, F.lit(0)) > 0, F.regexp_replace(F.substr(t, F.lit(1), at + FOOTER_LEAST - 1), r"\s+$", "")).otherwise(t)
 
-    return bound(F.array_min(F.array(*starts)), cut_at)
+    return bound(_c(text), cut_at)
 
 
 def rerank_text(document, subject, preview, s: Settings = SETTINGS) -> Column:
