@@ -22,12 +22,18 @@ from postlake.runtime import Scratch, ship_package
 Scorer = Callable[[str, list[str]], Sequence[float]]
 Embed = Callable[[list[str]], list[list[float]]]
 
-# Names of embedding models that have short forms.
-MODEL_NAMES = {"bge-small": "BAAI/bge-small-en-v1.5", "bge-base": "BAAI/bge-base-en-v1.5", "bge-large": "BAAI/bge-large-en-v1.5", "minilm": "sentence-transformers/all-MiniLM-L6-v2"}
+# Documented short names of embedding models.
+MODEL_NAMES = {
+    "BGE-base-en-v1.5": "BAAI/bge-base-en-v1.5",
+    "BGE-small-en-v1.5": "BAAI/bge-small-en-v1.5",
+    "nomic-embed-text-v1": "nomic-ai/nomic-embed-text-v1",
+    "all-MiniLM-L6-v2": "sentence-transformers/all-MiniLM-L6-v2",
+}
 
 
 def resolve_model(name: str) -> str:
-    return MODEL_NAMES.get(name.lower(), name)
+    """The full name of a documented model; any other name as it is."""
+    return MODEL_NAMES.get(name, name)
 
 
 def load_local_first(name: str, load: Callable[..., object]) -> object:

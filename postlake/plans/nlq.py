@@ -6,6 +6,7 @@ import json
 import re
 import urllib.request
 from collections.abc import Callable
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column
@@ -71,11 +72,41 @@ def rule_parser(question: str) -> dict[str, Any] | None:
     return coerce(found, question) if len(found) > 1 else None
 
 
-def http_parser(url: str, model: str, prompt: str, timeout: float = 8.0) -> Parser:
+#: What each field of an answer holds.
+FIELDS = {
+    "semantic_query": "what the messages are about, in a few words, without the conditions below",
+    "from_addr": "part of the sender's name or address",
+    "to_addr": "part of a recipient's name or address",
+    "subject": "the whole subject line, only if the question quotes it in full",
+    "subject_like": "part of the subject line",
+    "date_after": "first day, as YYYY-MM-DD",
+    "date_before": "last day, as YYYY-MM-DD",
+    "has_attachments": "true or false, if the question says whether files are attached",
+    "attachment_type": "ending of the attached file's name, such as pdf",
+    "attachment_name": "part of the attached file's name",
+}
+
+
+def prompt_for(question: str, today: date | None = None) -> str:
+    """Asks a language model for the fields of a question as one JSON object."""
+    day = today or date.today()
+    lines = [f'  "{k}": {v}' for k, v in FIELDS.items()]
+    return "\n".join(
+        [
+            "Someone searches a mail archive. Read the question and answer with one JSON object and nothing else.",
+            "These are its fields; every one the question says nothing about is null:",
+            *lines,
+            f"Today is {day.isoformat()}, a {day:%A}. Turn days such as 'yesterday' or 'last month' into dates.",
+            f"Question: {question}",
+        ]
+    )
+
+
+def http_parser(url: str, model: str, prompt: Callable[[str], str] = prompt_for, timeout: float = 8.0) -> Parser:
     """A parser behind a local generation endpoint; none where it is away or answers with no object."""
 
     def parse(question: str) -> dict[str, Any] | None:
-        body = json.dumps({"model": model, "prompt": prompt + "\n\n" + question, "stream": False, "options": {"temperature": 0}}).encode()
+        body = json.dumps({"model": model, "prompt": prompt(question), "stream": False, "options": {"temperature": 0}}).encode()
         try:
             with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as r:
                 answer = json.loads(r.read())
