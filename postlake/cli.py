@@ -11,7 +11,7 @@ from postlake.operators.staging import clear_staged
 from postlake.params import Filters, InboxRequest, QueryRequest, SearchRequest, attachment_flag, parse_date
 from postlake.plans.service import MailService, payload, shown
 from postlake.plans.tools import Tools
-from postlake.streaming.ingest import Ingest
+from postlake.streaming.ingest import Ingest, Run
 
 
 def _date(text: str):
@@ -80,16 +80,22 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("clear-staged")
     p.add_argument("--root", required=True)
     p.add_argument("--hash")
+    sub.add_parser("vacuum", help="remove files that only old versions of the index name").add_argument("--hours", type=float, default=24)
+    sub.add_parser("rebucket", help="spread the index over another number of buckets").add_argument("buckets", type=int)
     p = sub.add_parser("migrate-paths")
     p.add_argument("old")
     p.add_argument("new")
     return top
 
 
+def _progress(run: Run) -> None:
+    print(f"batch {run.batches}: {run.indexed} of {run.candidates} written, {run.failed} failed, {run.batch_errors} batches lost, {run.rate:.1f}/s", file=sys.stderr)
+
+
 def run(args: argparse.Namespace, spark) -> Any:
     """What a command returns: a response, or a dictionary of counts."""
     service = MailService.open(spark, args.index)
-    ingest = Ingest(service.store)
+    ingest = Ingest(service.store, report=_progress)
     c = args.command
     if c in ("search", "query"):
         flag = attachment_flag(args.has_attachments, args.no_attachments, strict=False)
@@ -116,6 +122,12 @@ def run(args: argparse.Namespace, spark) -> Any:
         return ingest.dedup()
     if c == "prune":
         return ingest.prune(args.directory, args.dry_run)
+    if c == "vacuum":
+        return ingest.vacuum(args.hours)
+    if c == "rebucket":
+        with service.store.locked("rebucket"):
+            service.store.rebucket(args.buckets)
+        return {"buckets": args.buckets}
     if c == "serve":
         Tools(service, args.root).serve(sys.stdin, sys.stdout)
         return {"status": "ok"}

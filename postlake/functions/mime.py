@@ -51,13 +51,15 @@ def part_text(part: Message) -> str:
         return data.decode("utf-8", "ignore")
 
 
-def date_of(raw: str) -> datetime | None:
-    """In UTC; a date without a zone is taken as UTC, one that can't be read is null."""
+def date_of(raw: str) -> tuple[datetime | None, int | None]:
+    """In UTC, and how many minutes the sender's clock was ahead of it (null where the date doesn't say; it is taken
+    as UTC then).  A date that can't be read is null."""
     try:
         d = parsedate_to_datetime(raw)
     except (ValueError, TypeError, IndexError):
-        return None
-    return d.replace(tzinfo=UTC) if d.tzinfo is None else d.astimezone(UTC)
+        return None, None
+    ahead = d.utcoffset()
+    return (d.replace(tzinfo=UTC), None) if ahead is None else (d.astimezone(UTC), int(ahead.total_seconds() // 60))
 
 
 def body_of(msg: Message, s: Settings = SETTINGS) -> str:
@@ -92,13 +94,15 @@ def parse_message(content: bytes, s: Settings = SETTINGS) -> dict[str, Any]:
         msg = email.message_from_bytes(content, policy=email.policy.default)
         subject = header(msg, "Subject")
         raw = header(msg, "Date")
+        date, ahead = date_of(raw) if raw else (None, None)
         return {
             "subject": decode_words(subject, " ") if subject else "",
             "from": header(msg, "From"),
             "to": header(msg, "To"),
             "cc": header(msg, "Cc"),
             "bcc": header(msg, "Bcc"),
-            "date": date_of(raw) if raw else None,
+            "date": date,
+            "date_offset": ahead,
             "date_raw": raw,
             "message_id": header(msg, "Message-ID"),
             "body": body_of(msg, s),

@@ -26,9 +26,14 @@ class Settings:
     largest_message: int = 50 * 1024 * 1024
     largest_attachment: int = 10 * 1024 * 1024
     overlap_seconds: int = 86_400
+    buckets: int = 64
+    bucket_messages: int = 250_000
+    batch_messages: int = 50_000
+    stall_seconds: float = 300.0
     quotes: bool = True
     quote_chars: int = 50_000
     quote_lines: int = 1_500
+    quote_seconds: float = 2.0
     link_scheme: str = "message"
     parser_default: bool = False
     rerank_default: bool = False

@@ -8,8 +8,10 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import closing
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -87,5 +89,65 @@ class Scratch:
         return found, found.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+class Files:
+    """Small files and folders below a root, on whatever file system Spark reaches it by."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.sc, self.root = spark.sparkContext, root.rstrip("/")
+
+    def _open(self, name: str):
+        path = self.sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.sc._jsc.hadoopConfiguration())
+
+    def make(self, name: str = "") -> None:
+        path, store = self._open(name)
+        store.mkdirs(path)
+
+    def text(self, name: str) -> str | None:
+        """The file's text; none where there is none, or it can't be read."""
+        path, store = self._open(name)
+        try:
+            with closing(store.open(path)) as f:
+                return self.sc._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8")
+        except Py4JJavaError:
+            return None
+
+    def create(self, name: str, text: str, overwrite: bool = False) -> bool:
+        """Write a file; false where there is one already."""
+        path, store = self._open(name)
+        try:
+            with closing(store.create(path, overwrite)) as f:
+                f.write(bytearray(text.encode()))
+            return True
+        except Py4JJavaError:
+            if store.exists(path):
+                return False
+            raise
+
+    def replace(self, name: str, text: str) -> None:
+        """Write a file in one step: readers see the old text or the new one."""
+        temporary = f".{name}.{uuid.uuid4().hex}"
+        self.create(temporary, text)
+        self.move(temporary, name)
+
+    def move(self, name: str, to: str) -> None:
+        hadoop = self.sc._jvm.org.apache.hadoop.fs
+        (old, _), (new, store) = self._open(name), self._open(to)
+        how = self.sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(store.makeQualified(new).toUri(), self.sc._jsc.hadoopConfiguration()).rename(store.makeQualified(old), store.makeQualified(new), how)
+
+    def delete(self, name: str) -> bool:
+        path, store = self._open(name)
+        return store.delete(path, True)
+
+    def entries(self, name: str = "") -> dict[str, float]:
+        """Names in a folder, and when each was changed (seconds)."""
+        path, store = self._open(name)
+        if not store.exists(path):
+            return {}
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in store.listStatus(path)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,6 +30,7 @@ EMAILS = StructType(
         StructField("extraction_version", IntegerType()),
         StructField("in_reply_to", StringType()),
         StructField("references_header", StringType()),
+        StructField("date_offset", IntegerType()),  # minutes that the sender's clock was ahead of UTC
     ]
 )
 ATTACHMENTS = StructType(
@@ -78,6 +79,7 @@ PARSED = StructType(
         StructField("bcc", StringType()),
         StructField("date", TimestampType()),
         StructField("date_raw", StringType()),
+        StructField("date_offset", IntegerType()),
         StructField("message_id", StringType()),
         StructField("body", StringType()),
         StructField("attachments", ArrayType(PARSED_ATTACHMENT)),

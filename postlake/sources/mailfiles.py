@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +36,70 @@ def mtime(column="modificationTime"):
     return F.col(column).cast("double")
 
 
+#: Folders that the driver lists before the executors go on below them.
+SPREAD = 256
+
+
+def _folder(directory: str):
+    """The file system of a folder (a path or a URI), its path there, and what makes a full name of one."""
+    from pyarrow import fs
+
+    if directory.startswith("/"):
+        return fs.LocalFileSystem(), directory.rstrip("/") or "/", lambda p: p
+    if directory.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + directory.removeprefix("file:").strip("/"), lambda p: p
+    store, path = fs.FileSystem.from_uri(directory)
+    head = directory[: len(directory.rstrip("/")) - len(path.strip("/"))].rstrip("/") + "/"
+    return store, path, lambda p: head + p.lstrip("/")
+
+
+def _children(store, folder: str) -> tuple[list[str], list]:
+    """Folders and message files in a folder; hidden ones, and what can't be read, are left out."""
+    from pyarrow import fs
+
+    try:
+        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    except OSError:
+        return [], []
+    seen = [i for i in found if not i.base_name.startswith(".")]
+    return [i.path for i in seen if i.type == fs.FileType.Directory], [i for i in seen if i.type == fs.FileType.File and i.base_name.endswith(".eml")]
+
+
 def list_messages(spark: SparkSession, directory: str, modified_after: datetime | str | None = None) -> DataFrame:
-    """file_path, file_mtime, file_size of every ``.eml`` below a directory.  The contents aren't read."""
-    df = _reader(spark, directory, modified_after)
-    return df.select(plain_path().alias("file_path"), mtime().alias("file_mtime"), F.col("length").alias("file_size"))
+    """file_path, file_mtime, file_size of every ``.eml`` below a directory.  The contents aren't read.
+
+    The driver lists no more than the topmost folders; executors walk what is below them, so nothing holds the
+    names of a whole archive.  Times are whole milliseconds, as Spark's own file sources have them.
+    """
+    ship_package(spark)
+    if isinstance(modified_after, str):
+        modified_after = datetime.fromisoformat(modified_after)
+    after = None if modified_after is None else (modified_after if modified_after.tzinfo else modified_after.replace(tzinfo=UTC)).timestamp()
+    store, top, _ = _folder(directory)
+    level, tasks = [top], []  # a folder and whether what is below it is walked too
+    while level and len(level) + len(tasks) < SPREAD:
+        tasks += [(f, False) for f in level]
+        level = [c for f in level for c in _children(store, f)[0]]
+    tasks += [(f, True) for f in level]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, full_name = _folder(directory)
+        names = ["file_path", "file_mtime", "file_size"]
+        for batch in batches:
+            open_folders = list(zip(batch.column("folder").to_pylist(), batch.column("deep").to_pylist(), strict=True))
+            while open_folders:
+                folder, deep = open_folders.pop()
+                folders, files = _children(store, folder)
+                if deep:
+                    open_folders += [(f, True) for f in folders]
+                rows = [(full_name(i.path), i.mtime_ns // 1_000_000 / 1000, i.size) for i in files if i.mtime_ns is not None]
+                rows = [r for r in rows if after is None or r[1] > after]
+                for at in range(0, len(rows), 10_000):
+                    some = list(zip(*rows[at : at + 10_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array(some[1], pa.float64()), pa.array(some[2], pa.int64())], names=names)
+
+    folders = spark.createDataFrame(tasks, "folder string, deep boolean").repartition(max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism)))
+    return folders.mapInArrow(walk, "file_path string, file_mtime double, file_size long")
 
 
 def count_messages(spark: SparkSession, directory: str, modified_after: datetime | str | None = None) -> int:
@@ -78,17 +138,18 @@ def read_paths(spark: SparkSession, wanted: DataFrame, bytes_per_task: int = 64
 
         for batch in batches:
             held: list[bytes | None] = []
-            start = 0
+            start = size = 0
             for i, path in enumerate(batch.column("file_path").to_pylist()):
                 store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
                 try:
                     with store.open_input_stream(name, compression=None) as f:
                         held.append(f.read())
+                    size += len(held[-1])
                 except OSError:
                     held.append(None)
-                if len(held) == 64 or sum(len(x or b"") for x in held[-1:]) > 4 << 20 or i + 1 == batch.num_rows:
+                if len(held) == 64 or size > 4 << 20 or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([*(c.slice(start, len(held)) for c in batch.columns), pa.array(held, pa.binary())], names=[*batch.schema.names, "content"])
-                    start, held = i + 1, []
+                    start, held, size = i + 1, [], 0
 
     chosen = wanted.select("file_path", "file_mtime", "file_size").repartition(tasks)
     return chosen.mapInArrow(run, "file_path string, file_mtime double, file_size long, content binary").where("content is not null")

@@ -1,32 +1,36 @@
-"""The index as versioned snapshots: Parquet tables under a new directory, then one manifest is flipped.
+"""The index as buckets of Parquet files and one manifest that names the current ones.
 
-A write never touches the files of the current version, so readers and failed writers are safe; all
-tables of a version become visible together.  On one file system the flip is an atomic rename.
+Messages, their attachments and vectors lie in the bucket that a hash of the message's path says.  A write reads and
+replaces only the buckets of the paths that it is about, in new folders, then flips the manifest; buckets that it
+doesn't touch are named again as they are.  The files of the current version are never changed, so readers and failed
+writers are safe, and all tables of a version become visible together.  ``vacuum`` removes folders that no
+manifest names any more.  All of it goes through the file system that Spark reaches the root by.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import socket
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from datetime import UTC, datetime
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postlake.functions.embedtext import fallback_document
 from postlake.functions.text import attachment_types, cut, file_extension, file_hash
 from postlake.params import SETTINGS, Settings
-from postlake.runtime import Scratch
+from postlake.runtime import Files, Scratch
 from postlake.schema import ATTACHMENTS, EMAILS, EXTRACTION_VERSION, TABLES, VECTORS, conform, empty
 
-#: Vectors are many rows of many bytes; messages are sorted by date so that date filters skip row groups.
+#: Within a bucket messages are sorted by date, so that date filters skip row groups.
 ORDERED_BY = {"emails": ["date"], "attachments": ["email_id"], "vectors": ["id"]}
 
 
@@ -34,69 +38,128 @@ class LockedError(RuntimeError):
     """Another live process is writing."""
 
 
+def bucket_of(hashed: str | Column, buckets: int) -> Column:
+    """The bucket of a message by its ``file_hash`` (which is the id of its vector, too)."""
+    return (F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str | os.PathLike):
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str | os.PathLike, buckets: int = SETTINGS.buckets):
+        """``buckets`` counts for a new index; ``rebucket`` gives another number to one that exists."""
+        self.spark, self.root, self._new = spark, str(root).rstrip("/"), buckets
+        self.files = Files(spark, self.root)
+        self.files.make()
 
     # -- versions -------------------------------------------------------------------------------
 
-    def _manifest(self) -> dict[str, str]:
+    def manifest(self) -> dict[str, Any]:
+        """buckets, next (the last ids given), tables: the folder of each bucket."""
         try:
-            return json.loads((self.root / "manifest.json").read_text())
-        except (OSError, ValueError):
-            return {}
-
-    def table(self, name: str) -> DataFrame:
-        version = self._manifest().get(name)
-        if version is None:
+            return json.loads(self.files.text("manifest.json") or "")
+        except ValueError:
+            return {"buckets": self._new, "next": {"emails": 0, "attachments": 0}, "tables": {}}
+
+    def _read(self, m: dict[str, Any], name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        wanted = None if buckets is None else set(buckets)
+        paths = [f"{self.root}/{p}" for b, p in sorted(m["tables"].get(name, {}).items()) if wanted is None or int(b) in wanted]
+        if not paths:
             return empty(self.spark, TABLES[name])
-        return conform(self.spark.read.parquet(str(self.root / name / version)), TABLES[name])
+        return conform(self.spark.read.schema(TABLES[name]).parquet(*paths), TABLES[name])
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Write new versions of some tables and make all of them current at once."""
-        manifest = self._manifest()
+    def table(self, name: str, paths: Iterable[str] | None = None) -> DataFrame:
+        """A table; with ``paths`` only the buckets that these message files are in."""
+        m = self.manifest()
+        return self._read(m, name, None if paths is None else {int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % m["buckets"] for p in paths})
+
+    def _write(self, m: dict[str, Any], tables: dict[str, DataFrame], touched: Iterable[int]) -> None:
+        """Replace buckets of tables (rows with ``bucket``) and make the new version current."""
+        touched = {str(b) for b in touched}
+        for name, df in tables.items():
+            folder = f"{name}/v-{uuid.uuid4().hex}"
+            out = df.select(*(F.col(f.name) for f in TABLES[name]), "bucket").repartition("bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, []))
+            out.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+            parts = {b: p for b, p in m["tables"].get(name, {}).items() if b not in touched}
+            written = {n.removeprefix("bucket=") for n in self.files.entries(folder) if n.startswith("bucket=")}
+            m["tables"][name] = parts | {b: f"{folder}/bucket={b}" for b in written}
+        self.files.replace("manifest.json", json.dumps(m))
+
+    def _bucketed(self, m: dict[str, Any], tables: dict[str, DataFrame], emails: DataFrame) -> dict[str, DataFrame]:
+        """Rows with their bucket; an attachment's is that of its message."""
+        own = {"emails": "file_hash", "vectors": "id"}
+        out = {}
         for name, df in tables.items():
-            version = f"v{uuid.uuid4().hex}"
-            out = conform(df, TABLES[name])
-            if name in ORDERED_BY:
-                out = out.sortWithinPartitions(*ORDERED_BY[name])
-            out.write.parquet(str(self.root / name / version))
-            manifest[name] = version
-        self._replace("manifest.json", json.dumps(manifest))
-
-    def _replace(self, name: str, text: str) -> None:
-        temporary = self.root / f".{name}.{uuid.uuid4().hex}"
-        temporary.write_text(text)
-        os.replace(temporary, self.root / name)
+            df = conform(df, TABLES[name])
+            if name in own:
+                out[name] = df.withColumn("bucket", bucket_of(own[name], m["buckets"]))
+            else:
+                out[name] = df.join(emails.select(F.col("id").alias("email_id"), bucket_of("file_hash", m["buckets"]).alias("bucket")), "email_id")
+        return out
+
+    def commit(self, **tables: DataFrame) -> None:
+        """Replace whole tables.  Attachments of messages that aren't there are left out."""
+        m = self.manifest()
+        m["next"] = {n: max(m["next"].get(n, 0), tables[n].agg(F.max("id")).first()[0] or 0) if n in tables else m["next"].get(n, 0) for n in ("emails", "attachments")}
+        self._write(m, self._bucketed(m, tables, tables.get("emails", self._read(m, "emails"))), range(m["buckets"]))
+
+    def rebucket(self, buckets: int) -> None:
+        """Another number of buckets: every table is written anew."""
+        m = self.manifest()
+        old = {n: self._read(m, n) for n in m["tables"]}
+        emails = self._read(m, "emails")
+        m["buckets"] = buckets
+        m["tables"] = {}
+        self._write(m, self._bucketed(m, old, emails), range(buckets))
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Remove folders that the manifest doesn't name and that are older than readers of old versions run."""
+        named = {p.rsplit("/", 1)[0] for parts in self.manifest()["tables"].values() for p in parts.values()}
+        gone = 0
+        for name in TABLES:
+            for folder, changed in self.files.entries(name).items():
+                if f"{name}/{folder}" not in named and changed < time.time() - 3600 * hours:
+                    gone += self.files.delete(f"{name}/{folder}")
+        return gone
 
     # -- writes ---------------------------------------------------------------------------------
 
-    def upsert(self, parsed: DataFrame, embedded: DataFrame | None = None, s: Settings = SETTINGS) -> None:
-        """Insert or replace messages by path, with their attachments and vectors, in one version."""
+    def upsert(self, parsed: DataFrame, embedded: DataFrame | None = None, s: Settings = SETTINGS, gone: DataFrame | None = None) -> None:
+        """Insert or replace messages by path, with their attachments and vectors, and delete those of ``gone``
+        (file_path), in one version.  Both are read several times, so they should be written tables."""
         scratch = Scratch(self.spark, "upsert")
-        emails, attachments = upsert_messages(self.table("emails"), self.table("attachments"), parsed, s, scratch)
+        m = self.manifest()
+        about = parsed.select("file_path") if gone is None else parsed.select("file_path").unionByName(gone.select("file_path"))
+        touched = [r[0] for r in about.select(bucket_of(file_hash("file_path"), m["buckets"])).distinct().collect()]  # at most all buckets
+        emails, attachments, vectors = (self._read(m, n, touched) for n in ("emails", "attachments", "vectors"))
+        if gone is not None:
+            emails, attachments, vectors = delete_paths(emails, attachments, vectors, gone)
+        emails, attachments, more = upsert_messages(emails, attachments, parsed, s, scratch, m["next"]["emails"], m["next"]["attachments"])
         tables = {"emails": emails, "attachments": attachments}
         if embedded is not None:
-            tables["vectors"] = upsert_vectors(self.table("vectors"), embedded, s)
-        self.commit(**tables)
-        scratch.drop("ranges")
+            tables["vectors"] = upsert_vectors(vectors, embedded, s)
+        elif gone is not None:
+            tables["vectors"] = vectors
+        for n, k in zip(("emails", "attachments"), more, strict=True):
+            m["next"][n] += k
+        self._write(m, self._bucketed(m, tables, emails), touched)
+        scratch.drop("ranges-file_path", "ranges-email_id")
 
     def delete(self, paths: DataFrame) -> None:
-        """Delete messages by path (a table with file_path), with their attachments and vectors."""
-        emails, attachments, vectors = delete_paths(self.table("emails"), self.table("attachments"), self.table("vectors"), paths)
-        self.commit(emails=emails, attachments=attachments, vectors=vectors)
+        """Delete messages by path (a written table with file_path), with their attachments and vectors."""
+        m = self.manifest()
+        touched = [r[0] for r in paths.select(bucket_of(file_hash("file_path"), m["buckets"])).distinct().collect()]
+        emails, attachments, vectors = delete_paths(*(self._read(m, n, touched) for n in ("emails", "attachments", "vectors")), paths)
+        self._write(m, self._bucketed(m, {"emails": emails, "attachments": attachments, "vectors": vectors}, emails), touched)
 
     # -- state ----------------------------------------------------------------------------------
 
     def state(self) -> dict[str, Any]:
         try:
-            return json.loads((self.root / "state.json").read_text())
-        except (OSError, ValueError):
+            return json.loads(self.files.text("state.json") or "{}")
+        except ValueError:
             return {}
 
     def set_state(self, key: str, value: Any) -> None:
-        self._replace("state.json", json.dumps(self.state() | {key: {"value": value, "updated_at": datetime.now(UTC).isoformat()}}))
+        self.files.replace("state.json", json.dumps(self.state() | {key: {"value": value, "updated_at": datetime.now(UTC).isoformat()}}))
 
     def watermark(self) -> datetime | None:
         """The scan watermark; without one the latest modification time in the index."""
@@ -114,50 +177,53 @@ class Store:
     def lock_holder(self) -> dict[str, Any] | None:
         """Who writes just now; none for a file that can't be read or a process that is gone."""
         try:
-            held = json.loads((self.root / "writer.lock").read_text())
+            held = json.loads(self.files.text("writer.lock") or "")
             pid = int(held["pid"])
-        except (OSError, ValueError, KeyError, TypeError):
+        except (ValueError, KeyError, TypeError):
             return None
         if held.get("host", socket.gethostname()) == socket.gethostname() and not _alive(pid):
             return None
         return held
 
+    def _own(self, holder: dict[str, Any] | None, pid: int | None = None) -> bool:
+        return holder is not None and holder["pid"] == (pid or os.getpid()) and holder.get("host", socket.gethostname()) == socket.gethostname()
+
     def acquire(self, kind: str, pid: int | None = None) -> dict[str, Any] | None:
-        """Take the lock; None on success, else its live holder.  The lock of a dead process is taken over."""
+        """Take the lock; None on success, else its live holder.  The lock of a dead process is taken over, and
+        a process may take its own again."""
         payload = json.dumps({"pid": pid or os.getpid(), "host": socket.gethostname(), "started_at": datetime.now(UTC).isoformat(), "kind": kind})
-        target = self.root / "writer.lock"
         for _ in range(3):
-            try:
-                with os.fdopen(os.open(target, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
-                    f.write(payload)
+            if self.files.create("writer.lock", payload):
                 return None
-            except FileExistsError:
-                if holder := self.lock_holder():
-                    return holder
-                stale = self.root / f".stale.{uuid.uuid4().hex}"
-                try:
-                    os.rename(target, stale)
-                    os.unlink(stale)
-                except OSError:
-                    pass
+            holder = self.lock_holder()
+            if self._own(holder, pid):
+                self.files.replace("writer.lock", payload)
+                return None
+            if holder:
+                return holder
+            stale = f".stale.{uuid.uuid4().hex}"
+            try:
+                self.files.move("writer.lock", stale)
+                self.files.delete(stale)
+            except Exception:  # another process has taken it over
+                continue
         return self.lock_holder() or {"pid": None, "kind": "unknown"}
 
     def release(self, pid: int | None = None) -> bool:
         """Give the lock back, where it is this process's own."""
-        holder = self.lock_holder()
-        if holder is None or holder["pid"] != (pid or os.getpid()):
-            return False
-        (self.root / "writer.lock").unlink(missing_ok=True)
-        return True
+        return self._own(self.lock_holder(), pid) and self.files.delete("writer.lock")
 
     @contextmanager
     def locked(self, kind: str):
-        if holder := self.acquire(kind):
+        """Holds the lock; within another ``locked`` of this process that one keeps it."""
+        within = self._own(self.lock_holder())
+        if holder := None if within else self.acquire(kind):
             raise LockedError(f"a {holder.get('kind')} job (pid {holder.get('pid')}) is writing since {holder.get('started_at')}")
         try:
             yield self
         finally:
-            self.release()
+            if not within:
+                self.release()
 
 
 def _alive(pid: int) -> bool:
@@ -203,53 +269,58 @@ def to_email_rows(parsed: DataFrame, s: Settings = SETTINGS) -> DataFrame:
         F.lit(EXTRACTION_VERSION).alias("extraction_version"),
         blank("in_reply_to").alias("in_reply_to"),
         blank("references").alias("references_header"),
+        (F.col("date_offset") if "date_offset" in parsed.columns else F.lit(None)).cast("int").alias("date_offset"),
         "attachments",
     )
 
 
-def numbered(df: DataFrame, start: int, order: str, scratch: Scratch) -> DataFrame:
-    """Rows with ids from ``start`` + 1 on: counted within range partitions, whose few sizes are summed up on the
-    driver, so that no task has to see all rows.  The partitions are written down first: made a second time
+def numbered(df: DataFrame, start: int, order: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
+    """Rows with ids from ``start`` + 1 on, and how many: counted within range partitions, whose few sizes are summed up
+    on the driver, so that no task has to see all rows.  The partitions are written down first: made a second time
     they could be others."""
-    ranged = scratch.keep(df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()), "ranges")
+    ranged = scratch.keep(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), f"ranges-{order[0]}")
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, start
     for p in sorted(sizes):
         before[p], total = total, total + sizes[p]
     if not before:
-        return df.withColumn("id", F.lit(None).cast("long"))
+        return df.withColumn("id", F.lit(None).cast("long")), 0
     base = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("_p"))
-    w = Window.partitionBy("_p").orderBy(order)
-    return ranged.withColumn("id", (base + F.row_number().over(w)).cast("long")).drop("_p")
+    w = Window.partitionBy("_p").orderBy(*order)
+    return ranged.withColumn("id", (base + F.row_number().over(w)).cast("long")).drop("_p"), total - start
 
 
-def upsert_messages(emails: DataFrame, attachments: DataFrame, parsed: DataFrame, s: Settings = SETTINGS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def upsert_messages(
+    emails: DataFrame, attachments: DataFrame, parsed: DataFrame, s: Settings = SETTINGS, scratch: Scratch | None = None, last_email: int | None = None, last_attachment: int | None = None
+) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
     """Emails and attachments after replacing by path: ids stay, new paths get the next ids, every other column
-    is the new row's (null ones too), and attachments are replaced as a whole."""
+    is the new row's (null ones too), and attachments are replaced as a whole.  ``emails`` may be those of the buckets
+    that the paths are in; the last ids given then come with them.  Also how many ids were given."""
     new = to_email_rows(latest_per_path(parsed.where("parse_error is null") if "parse_error" in parsed.columns else parsed), s)
     known = emails.select(F.col("id").alias("old_id"), "file_path")
     joined = new.join(known, "file_path", "left")
-    top = emails.agg(F.max("id")).first()[0] or 0
+    top = (emails.agg(F.max("id")).first()[0] or 0) if last_email is None else last_email
     scratch = scratch or Scratch(emails.sparkSession, "upsert")
-    fresh = numbered(joined.where("old_id is null").drop("old_id"), top, "file_path", scratch)
+    fresh, n_emails = numbered(joined.where("old_id is null").drop("old_id"), top, ["file_path"], scratch)
     again = joined.where("old_id is not null").withColumnRenamed("old_id", "id")
     written = again.unionByName(fresh)
     kept = emails.join(new.select("file_path"), "file_path", "left_anti")
     out = conform(kept, EMAILS).unionByName(conform(written, EMAILS))
-    first = (attachments.agg(F.max("id")).first()[0] or 0) + 1
     rows = written.select(F.col("id").alias("email_id"), F.posexplode("attachments").alias("pos", "a"))
     rows = rows.select(
         F.col("email_id"),
+        "pos",
         F.col("a.filename").alias("filename"),
         F.col("a.content_type").alias("content_type"),
         file_extension("a.filename").alias("file_extension"),
         F.col("a.size").alias("size"),
         F.col("a.content_disposition").alias("content_disposition"),
-        # unique and increasing with the message and its position
-        (F.lit(first) + F.col("email_id") * 4096 + F.col("pos")).alias("id"),
     )
+    top = (attachments.agg(F.max("id")).first()[0] or 0) if last_attachment is None else last_attachment
+    # increasing with the message and its position
+    rows, n_attachments = numbered(rows, top, ["email_id", "pos"], scratch)
     left = attachments.join(written.select(F.col("id").alias("email_id")), "email_id", "left_anti")
-    return out, conform(left, ATTACHMENTS).unionByName(conform(rows, ATTACHMENTS))
+    return out, conform(left, ATTACHMENTS).unionByName(conform(rows, ATTACHMENTS)), (n_emails, n_attachments)
 
 
 def to_vector_rows(embedded: DataFrame, s: Settings = SETTINGS) -> DataFrame:

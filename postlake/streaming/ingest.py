@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import logging
+import sys
+import threading
+import time
+import traceback
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
-from typing import Any
+from typing import IO, Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from postlake.functions.embedtext import embedding_text
+from postlake.functions.text import file_hash
 from postlake.operators.listing import by_message_id, by_path, stale
 from postlake.operators.maintain import migrate_paths, moved, orphans, surplus_rows
 from postlake.operators.search import Embed, embed_column, hashing_embedder
@@ -19,23 +26,75 @@ from postlake.params import SETTINGS, Settings
 from postlake.runtime import Scratch
 from postlake.schema import EXTRACTION_VERSION
 from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_messages, read_messages, read_paths, unchanged_removed
-from postlake.sources.store import Store, delete_paths, upsert_messages, upsert_vectors
+from postlake.sources.store import Store, bucket_of
+
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
 class Run:
-    """What a run did."""
+    """What a run did: files found, messages written, old paths replaced, files that couldn't be parsed, batches, those
+    that failed, seconds and messages a second."""
 
     candidates: int = 0
     indexed: int = 0
     moved: int = 0
     failed: int = 0
+    batches: int = 0
+    batch_errors: int = 0
+    seconds: float = 0.0
+    rate: float = 0.0
     watermark: str | None = None
 
+    def add(self, other: Run) -> None:
+        for name in ("indexed", "moved", "failed"):
+            setattr(self, name, getattr(self, name) + getattr(other, name))
+
+
+class StallWatch:
+    """Says where a batch run stands once it has made no progress for a while: its phase, the stages that Spark is
+    working on, and the driver's Python stacks."""
+
+    def __init__(self, spark: SparkSession, seconds: float, out: IO[str] | None = None):
+        self.spark, self.seconds, self.out = spark, seconds, out
+        self.phase, self.at, self.dumps = "starting", time.monotonic(), 0
+        self._done = threading.Event()
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+
+    def mark(self, phase: str) -> None:
+        self.phase, self.at = phase, time.monotonic()
+
+    def dump(self) -> str:
+        tracker = self.spark.sparkContext.statusTracker()
+        stages = [f"stage {i}: {info.numCompletedTasks} of {info.numTasks} tasks" for i in tracker.getActiveStageIds() if (info := tracker.getStageInfo(i))]
+        names = {t.ident: t.name for t in threading.enumerate()}
+        stacks = ["".join([f"thread {names.get(i, i)}\n", *traceback.format_stack(f)]) for i, f in sys._current_frames().items()]
+        return "\n".join([f"no progress for {time.monotonic() - self.at:.0f} s while {self.phase}", *stages, *stacks])
+
+    def _watch(self) -> None:
+        while not self._done.wait(min(self.seconds, 5)):
+            if time.monotonic() - self.at > self.seconds:
+                text = self.dump()
+                log.warning("%s", text)
+                if self.out is not None:
+                    print(text, file=self.out, flush=True)
+                self.dumps += 1
+                self.at = time.monotonic()
+
+    def __enter__(self) -> StallWatch:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._done.set()
+        self._thread.join()
+
 
 class Ingest:
-    def __init__(self, store: Store, embed: Embed = hashing_embedder, s: Settings = SETTINGS):
-        self.store, self.embed, self.s = store, embed, s
+    def __init__(self, store: Store, embed: Embed = hashing_embedder, s: Settings = SETTINGS, report: Callable[[Run], None] | None = None):
+        """``report`` is called after every batch."""
+        self.store, self.embed, self.s, self.report = store, embed, s, report
         self.spark: SparkSession = store.spark
 
     def embedded(self, parsed: DataFrame) -> DataFrame:
@@ -43,26 +102,49 @@ class Ingest:
         return embed_column(text, "document", self.embed)
 
     def write(self, files: DataFrame) -> Run:
-        """Parse files and write them in one version.  The parsed rows are written to the shared folder first:
-        several plans read them, and none should parse again.  A message has moved only where its old file isn't there."""
+        """Parse files and write them in one version.  Parsed and embedded rows are written to the shared folder
+        first: several plans read them, and none should parse again.  A message has moved only where its old file isn't
+        there."""
         scratch = Scratch(self.spark, "ingest")
         parsed = scratch.keep(parse_messages(files, self.s), "parsed")
         good = parsed.where("parse_error is null")
         run = Run(failed=parsed.where("parse_error is not null").count())
-        emails, attachments, vectors = (self.store.table(n) for n in ("emails", "attachments", "vectors"))
-        gone = scratch.keep(confirmed_missing(moved(emails, good)), "moved")
+        gone = scratch.keep(confirmed_missing(moved(self.store.table("emails"), good)), "moved")
         run.moved, run.indexed = gone.count(), good.count()
         if run.indexed:
-            emails, attachments, vectors = delete_paths(emails, attachments, vectors, gone)
-            emails, attachments = upsert_messages(emails, attachments, good, self.s, scratch)
-            self.store.commit(emails=emails, attachments=attachments, vectors=upsert_vectors(vectors, self.embedded(good), self.s))
-        scratch.drop("parsed", "moved", "ranges")
+            self.store.upsert(good, scratch.keep(self.embedded(good), "embedded"), self.s, gone if run.moved else None)
+        scratch.drop("parsed", "moved", "embedded")
+        return run
+
+    def write_batches(self, found: DataFrame, phase: str = "indexing") -> Run:
+        """Read, parse and write the files of a written table (file_path, file_mtime, file_size) in batches, each a version of
+        its own: one that fails is logged and counted, the others stay.  A batch is a range of buckets, so a bucket
+        is rewritten by one batch, or few."""
+        began, n = time.monotonic(), found.count()
+        run = Run(candidates=n)
+        buckets = self.store.manifest()["buckets"]
+        batches = max(1, -(-n // self.s.batch_messages))
+        place = bucket_of(file_hash("file_path"), buckets) + F.pmod(F.xxhash64("file_path"), F.lit(1 << 20)) / float(1 << 20)
+        dealt = found.withColumn("_batch", F.floor(place * (batches / buckets)).cast("int"))
+        with StallWatch(self.spark, self.s.stall_seconds) as watch:
+            for i in range(batches if n else 0):
+                watch.mark(f"{phase} batch {i + 1} of {batches}")
+                try:
+                    run.add(self.write(read_paths(self.spark, dealt.where(F.col("_batch") == i).drop("_batch"))))
+                except Exception:
+                    log.warning("%s: batch %d of %d failed; the others stay", phase, i + 1, batches, exc_info=True)
+                    run.batch_errors += 1
+                run.batches, run.seconds = i + 1, time.monotonic() - began
+                run.rate = run.indexed / run.seconds if run.seconds else 0.0
+                log.info("%s: batch %d of %d, %d written, %d failed, %.1f/s, %.0f s left", phase, i + 1, batches, run.indexed, run.failed, run.rate, run.seconds / (i + 1) * (batches - i - 1))
+                if self.report:
+                    self.report(run)
         return run
 
     def index(self, directory: str, incremental: bool = True, skip_unchanged: bool = True, limit: int | None = None) -> Run:
         """Index a directory.  Incrementally, only files since the watermark less an overlap for late ones are
         listed; files that the index holds with their modification time are dropped before they are read.  The
-        watermark advances once everything is written."""
+        watermark advances once everything is written, so what a failed batch left out is found again."""
         began = datetime.now(UTC)
         with self.store.locked("index"):
             mark = self.store.watermark() if incremental else None
@@ -74,22 +156,30 @@ class Ingest:
                 found = found.orderBy("file_path").limit(limit)
             scratch = Scratch(self.spark, "candidates")
             found = scratch.keep(found, "files")
-            n = found.count()
-            run = self.write(read_paths(self.spark, found)) if n else Run()
-            run.candidates = n
-            if limit is None:
+            self._room_for(found.count())
+            run = self.write_batches(found)
+            if limit is None and not run.batch_errors:
                 self.store.set_state("scan_watermark", began.isoformat())
                 run.watermark = began.isoformat()
             scratch.drop("files")
             return run
 
+    def _room_for(self, more: int) -> None:
+        """As many buckets as keep each to some number of messages; they double, so that the index is seldom rewritten."""
+        m = self.store.manifest()
+        buckets = m["buckets"]
+        while (m["next"]["emails"] + more) / buckets > self.s.bucket_messages:
+            buckets *= 2
+        if buckets != m["buckets"]:
+            self.store.rebucket(buckets)
+
     def index_file(self, path: str) -> dict[str, Any]:
         """One file: indexed, moved, skipped, not_found or failed."""
         p = Path(path).resolve()
         if not p.exists():
             return {"status": "not_found", "file_path": str(p), "message": "There is no such file."}
         stat = p.stat()
-        known = by_path(self.store.table("emails"), str(p)).select("file_mtime").first()
+        known = by_path(self.store.table("emails", [str(p)]), str(p)).select("file_mtime").first()
         row = list_messages(self.spark, str(p.parent)).where(F.col("file_path") == str(p))
         seen = row.first()
         if seen is None or stat.st_size > self.s.largest_message:
@@ -102,16 +192,18 @@ class Ingest:
         return {"status": status, "file_path": str(p), "message": f"{run.indexed} indexed, {run.moved} moved, {run.failed} failed"}
 
     def reextract(self, limit: int | None = None) -> dict[str, int]:
-        """Parse again what an older version extracted, by id; resumable, since the version is written with the row."""
+        """Parse again what an older version extracted (with a limit, those of the smallest ids), in batches;
+        resumable, since each batch is written with its version."""
         with self.store.locked("reextract"):
-            rows = stale(self.store.table("emails"), EXTRACTION_VERSION).orderBy("id")
-            rows = rows.limit(limit) if limit is not None else rows
+            rows = stale(self.store.table("emails"), EXTRACTION_VERSION)
+            rows = rows.orderBy("id").limit(limit) if limit is not None else rows
             scratch = Scratch(self.spark, "reextract")
             wanted = scratch.keep(rows.select("file_path", "file_mtime", "file_size"), "files")
-            n = wanted.count()
-            run = self.write(read_paths(self.spark, wanted)) if n else Run()
+            run = self.write_batches(wanted, "reextracting")
+            n = run.candidates
+            missing = confirmed_missing(wanted).count() if run.indexed + run.failed < n else 0
             scratch.drop("files")
-            return {"stale": n, "ok": run.indexed, "parse_failed": run.failed, "missing": n - run.indexed - run.failed}
+            return {"stale": n, "ok": run.indexed, "parse_failed": run.failed, "missing": missing, "batch_errors": run.batch_errors, "seconds": round(run.seconds, 3), "rate": round(run.rate, 3)}
 
     def reextract_one(self, file_path: str | None = None, message_id: str | None = None) -> dict[str, Any]:
         """Parse one indexed message again; what its version and the beginning of its body were, and are."""
@@ -128,7 +220,7 @@ class Ingest:
             run = self.write(read_paths(self.spark, found))
         if not run.indexed:
             return {"status": "parse_failed", "file_path": row["file_path"]}
-        new = by_path(self.store.table("emails"), row["file_path"]).first()
+        new = by_path(self.store.table("emails", [row["file_path"]]), row["file_path"]).first()
         n = self.s.snippet_chars
         return {"status": "ok", "file_path": row["file_path"], "version": [row["extraction_version"], new["extraction_version"]], "before": (row["body_preview"] or "")[:n], "after": (new["body_preview"] or "")[:n]}
 
@@ -166,10 +258,14 @@ class Ingest:
             n = emails.where(F.startswith(F.col("file_path"), F.lit(old.rstrip("/") + "/"))).count()
             if n:
                 e, v = migrate_paths(emails, vectors, old, new)
-                attachments = self.store.table("attachments").join(e.select(F.col("id").alias("email_id")), "email_id", "left_semi")
-                self.store.commit(emails=e, attachments=attachments, vectors=v)
+                self.store.commit(emails=e, attachments=self.store.table("attachments"), vectors=v)
             return {"moved": n}
 
+    def vacuum(self, hours: float = 24) -> dict[str, int]:
+        """Remove what old versions alone hold."""
+        with self.store.locked("vacuum"):
+            return {"removed": self.store.vacuum(hours)}
+
     def stream(self, directory: str, checkpoint: str, available_now: bool = True):
         """The same ingest as a streaming query: the file source remembers what it has seen, each micro-batch is one
         version, and a batch that fails is tried again as a whole."""

@@ -6,7 +6,8 @@ import os
 import subprocess
 import sys
 import zipfile
-from datetime import UTC, datetime
+import zlib
+from datetime import UTC, datetime, timedelta
 from email.message import EmailMessage
 
 import numpy as np
@@ -257,22 +258,20 @@ def test_embedding_texts_of_all_messages(spark, sf):
         lines = [e["subject"], e["from_addr"], e["body_preview"] or "", *(["Attachments:", *parts[e["id"]]] if e["id"] in parts else [])]
         want[e["id"]] = md5("\n".join(lines).strip().encode()).hexdigest()
     assert min(e["date"].year for e in order_emails(spark, sf).select("date").collect()) < 1998
-    got = QUERIES["embedding_texts_all"](spark, sf).collect()
+    got = QUERIES["embedding_texts"](spark, sf).collect()
     assert len(got) == len(want) and {r["id"]: r["digest"] for r in got} == want
 
 
-def test_documents_with_footers_of_their_own_are_cut_too(spark, tmp_path):
-    from hashlib import md5
-
-    from postlake.catalog import QUERIES
+def test_footers_in_both_forms(spark):
     from postlake.functions.html import footer_cut
+    from postlake.functions.text import before_footer
 
     body = "a" * 150 + "\n" + "b" * 150
-    texts = [body, body + "\nUnsubscribe\nmore", body + "\nend\nManage your subscription\n" + body, "a subscription of " + body, "Unsubscribe\n" + body, "short"]
-    spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    want = {i: md5(footer_cut(t + "\n| Unsubscribe here\ntail src").encode()).hexdigest() for i, t in enumerate(texts)}
-    got = QUERIES["footer_truncate"](spark, str(tmp_path)).collect()
-    assert len(got) == len(texts) and {r["doc_id"]: r["digest"] for r in got} == want
+    tails = ["", "\nUnsubscribe\nmore", "\nLAST\n\n > * [manage your SUBSCRIPTION](x)\nz", "\nsay unsubscribe here\nUpdate your preferences now", "\n| You are receiving this email because\n", "\n\n\n-unsubscribed"]
+    texts = [body + t for t in tails] + ["Unsubscribe\n" + body, "x\nUnsubscribe\n" + body + "\nUnsubscribe again", "short\nunsubscribe", "c" * 200 + "\nunsubscribe", "c" * 199 + "\nunsubscribe", "é" * 220 + "\nunsubscribe", "", None]
+    want = [body, body, body + "\nLAST", body + "\nsay unsubscribe here", body, body, texts[6], "x\nUnsubscribe\n" + body, texts[8], "c" * 200, texts[10], "é" * 220, "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", before_footer("t").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == want and [footer_cut(t) for t in texts[:-1]] == want[:-1]
 
 
 def test_every_hundredth_vector_is_a_query(spark, sf):
@@ -286,7 +285,7 @@ def test_every_hundredth_vector_is_a_query(spark, sf):
         if r["vec_id"] % 100 == 0:
             near = np.argsort(np.round(1 - x @ x[i], 12), kind="stable")[:10]
             want |= {(r["vec_id"], n, rows[j]["vec_id"]) for n, j in enumerate(near, 1)}
-    assert {(r["label"], r["rank"], r["vec_id"]) for r in QUERIES["knn_many_hundredths"](spark, sf).collect()} == want
+    assert {(r["label"], r["rank"], r["vec_id"]) for r in QUERIES["knn_many"](spark, sf).collect()} == want
 
 
 def test_more_queries_than_a_block(spark, monkeypatch):
@@ -354,7 +353,8 @@ def test_stream_drops_repeats_within_the_allowance(spark, sf, tmp_path):
 
 
 def test_models():
-    assert search.resolve_model("BGE-base") == "BAAI/bge-base-en-v1.5" and search.resolve_model("my/model") == "my/model"
+    full = {"BGE-base-en-v1.5": "BAAI/bge-base-en-v1.5", "BGE-small-en-v1.5": "BAAI/bge-small-en-v1.5", "nomic-embed-text-v1": "nomic-ai/nomic-embed-text-v1", "all-MiniLM-L6-v2": "sentence-transformers/all-MiniLM-L6-v2"}
+    assert {n: search.resolve_model(n) for n in full} == full and search.resolve_model("my/model") == "my/model"
     calls = []
 
     def load(name, **options):
@@ -395,10 +395,10 @@ def test_staging(ingest, archive, tmp_path):
 
 def test_lock(spark, tmp_path):
     store = Store(spark, tmp_path / "i")
-    assert store.acquire("index") is None and store.acquire("prune")["kind"] == "index"
+    assert store.acquire("index", pid=os.getppid()) is None and store.acquire("prune")["kind"] == "index"
     with pytest.raises(LockedError), store.locked("prune"):
         pass
-    assert store.release() and store.lock_holder() is None and not store.release()
+    assert not store.release() and store.release(pid=os.getppid()) and store.lock_holder() is None
     gone = subprocess.Popen([sys.executable, "-c", ""])
     gone.wait()
     assert store.acquire("old", pid=gone.pid) is None
@@ -407,6 +407,154 @@ def test_lock(spark, tmp_path):
     assert store.acquire("again") is None and store.release()
 
 
+def test_a_process_may_take_its_own_lock_again(spark, tmp_path):
+    store = Store(spark, tmp_path / "i")
+    assert store.acquire("index") is None and store.acquire("backfill") is None and store.lock_holder()["kind"] == "backfill"
+    assert store.release() and not store.release()
+    with store.locked("outer"):
+        with store.locked("inner"):
+            assert store.lock_holder()["kind"] == "outer"
+        assert store.lock_holder()["kind"] == "outer"
+    assert store.lock_holder() is None
+
+
+def folders(store):
+    return {name: dict(parts) for name, parts in store.manifest()["tables"].items()}
+
+
+def test_one_message_rewrites_only_its_bucket(ingest, archive):
+    ingest.index(str(archive))
+    before = folders(ingest.store)
+    assert len(before["emails"]) > 1
+    path = str(archive / "ann%40ex.org" / "INBOX.mailbox" / "Messages" / "1.eml")
+    open(path, "wb").write(mail("Budget again", "More", mid="<1@x>", attachments=[("new.txt", "text/plain", b"x")]))
+    os.utime(path, (2e9, 2e9))
+    assert ingest.index_file(path)["status"] == "indexed"
+    after = folders(ingest.store)
+    changed = {b for name in before for b in before[name].keys() | after[name].keys() if before[name].get(b) != after[name].get(b)}
+    assert len(changed) == 1
+    rows = {r["subject"]: r["id"] for r in table(ingest, "emails").collect()}
+    assert sorted(rows) == ["Budget again", "Empty id", "Lunch"] and len(set(rows.values())) == 3
+    assert [(a["email_id"], a["filename"]) for a in table(ingest, "attachments").collect()] == [(rows["Budget again"], "new.txt")]
+    assert [r["subject"] for r in ingest.store.table("emails", [path]).where(F.col("file_path") == path).collect()] == ["Budget again"]
+
+
+def test_vacuum_and_other_buckets(ingest, archive):
+    ingest.index(str(archive))
+    rows = sorted(table(ingest, "emails").drop("indexed_at").collect(), key=lambda r: r["id"])
+    files = sorted(tuple(r) for r in table(ingest, "attachments").collect())
+    ingest.store.rebucket(2)
+    assert set(folders(ingest.store)["emails"]) <= {"0", "1"}
+    assert sorted(table(ingest, "emails").drop("indexed_at").collect(), key=lambda r: r["id"]) == rows
+    assert sorted(tuple(r) for r in table(ingest, "attachments").collect()) == files
+    assert ingest.vacuum()["removed"] == 0  # too young
+    assert ingest.vacuum(hours=-1)["removed"] == 3 and ingest.vacuum(hours=-1)["removed"] == 0
+    assert sorted(tuple(r) for r in table(ingest, "attachments").collect()) == files and table(ingest, "vectors").count() == 3
+
+
+def test_more_than_4096_attachments_of_a_message_have_ids_of_their_own(spark, tmp_path):
+    from postlake.schema import ATTACHMENTS, EMAILS, PARSED, conform, empty
+    from postlake.sources.store import upsert_messages
+
+    some = F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("filename"), F.lit("t").alias("content_type"), F.lit("attachment").alias("content_disposition"), i.cast("long").alias("size"), F.lit(None).cast("string").alias("extracted_text")))
+    parsed = conform(spark.createDataFrame([("/a",), ("/b",)], "file_path string").withColumn("attachments", some), PARSED)
+    _, attachments, (n, k) = upsert_messages(empty(spark, EMAILS), empty(spark, ATTACHMENTS), parsed)
+    rows = attachments.orderBy("id").collect()
+    assert (n, k) == (2, 10_000) and [r["id"] for r in rows] == list(range(1, 10_001))
+    assert [(r["email_id"], r["size"]) for r in rows] == [(e, i) for e in (1, 2) for i in range(1, 5001)]
+
+
+def test_batches_are_versions_of_their_own(spark, archive, tmp_path):
+    from dataclasses import replace
+
+    from postlake.params import SETTINGS
+
+    box = archive / "ann%40ex.org" / "INBOX.mailbox" / "Messages"
+    for i in range(20):
+        (box / f"n{i}.eml").write_bytes(mail(f"Note {i}", f"text {i}", mid=f"<n{i}@x>"))
+    seen = []
+    ingest = Ingest(Store(spark, tmp_path / "index"), s=replace(SETTINGS, batch_messages=6, bucket_messages=1), report=lambda r: seen.append((r.batches, r.indexed)))
+    calls = []
+
+    def failing(files):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("a disk is full")
+        return Ingest.write(ingest, files)
+
+    ingest.write = failing
+    run = ingest.index(str(archive))
+    assert (run.candidates, run.batches, run.batch_errors, run.watermark) == (23, 4, 1, None) and 0 < run.indexed < 23 and run.rate > 0
+    assert table(ingest, "emails").count() == run.indexed and [b for b, _ in seen] == [1, 2, 3, 4]
+    del ingest.write
+    again = ingest.index(str(archive))
+    assert again.candidates == 23 - run.indexed and again.batch_errors == 0 and again.watermark
+    ids = sorted(r["id"] for r in table(ingest, "emails").select("id").collect())
+    assert ids == list(range(1, 24)) and ingest.store.manifest()["buckets"] == 64
+
+
+def test_reextraction_goes_on_where_it_was_stopped(spark, archive, tmp_path):
+    from dataclasses import replace
+
+    from postlake.params import SETTINGS
+
+    for i in range(12):
+        (archive / f"n{i}.eml").write_bytes(mail(f"Note {i}", mid=f"<n{i}@x>"))
+    ingest = Ingest(Store(spark, tmp_path / "index"))
+    ingest.index(str(archive))
+    ingest.store.commit(emails=table(ingest, "emails").withColumn("extraction_version", F.lit(1)))
+    ingest.s = replace(SETTINGS, batch_messages=5)
+    done = []
+
+    def stopping(files):
+        if done:
+            raise KeyboardInterrupt
+        run = Ingest.write(ingest, files)
+        done.extend([1] * run.indexed)
+        return run
+
+    ingest.write = stopping
+    with pytest.raises(KeyboardInterrupt):
+        ingest.reextract()
+    del ingest.write
+    assert ingest.store.lock_holder() is None
+    (archive / "ann%40ex.org" / "INBOX.mailbox" / "Messages" / "3.eml").unlink()
+    out = ingest.reextract()
+    assert out["stale"] == 15 - len(done) < 15 and out["ok"] + out["missing"] == out["stale"] and out["batch_errors"] == 0
+    assert listing.stale(table(ingest, "emails")).count() == out["missing"]
+
+
+def test_a_run_without_progress_says_where_it_is(spark):
+    import time
+
+    from postlake.streaming.ingest import StallWatch
+
+    out = io.StringIO()
+    with StallWatch(spark, 0.2, out) as watch:
+        watch.mark("writing batch 7")
+        time.sleep(1.0)
+    assert watch.dumps >= 1 and "writing batch 7" in out.getvalue() and "test_a_run_without_progress" in out.getvalue()
+
+
+def test_listing_is_spread_over_tasks(spark, tmp_path, monkeypatch):
+    from postlake.sources import mailfiles
+
+    want = set()
+    for i in range(5):
+        for j in range(3):
+            folder = tmp_path / "m" / f"a{i}" / f"b {j}" / "deep"
+            folder.mkdir(parents=True)
+            for p in (folder / "x.eml", folder.parent / f"{j}.eml"):
+                p.write_text("x" * j)
+                want.add((str(p), p.stat().st_size, p.stat().st_mtime_ns // 10**6 / 1000))
+    (tmp_path / "m" / ".hidden").mkdir()
+    (tmp_path / "m" / ".hidden" / "no.eml").write_text("")
+    for spread in (1, 4, 256):
+        monkeypatch.setattr(mailfiles, "SPREAD", spread)
+        assert {(r["file_path"], r["file_size"], r["file_mtime"]) for r in list_messages(spark, str(tmp_path / "m")).collect()} == want
+    assert list_messages(spark, f"file://{tmp_path}/m").count() == len(want) and list_messages(spark, str(tmp_path / "none")).isEmpty()
+
+
 def test_state_and_watermark(spark, tmp_path):
     store = Store(spark, tmp_path / "i")
     assert store.watermark() is None
@@ -419,11 +567,11 @@ def test_state_and_watermark(spark, tmp_path):
 
 def test_a_failed_write_leaves_the_index_as_it_was(ingest, archive):
     ingest.index(str(archive))
-    before = (ingest.store.root / "manifest.json").read_text()
+    before = ingest.store.files.text("manifest.json")
     bad = table(ingest, "emails").withColumn("subject", F.raise_error(F.lit("no")).cast("string"))
     with pytest.raises(Exception):
         ingest.store.commit(attachments=table(ingest, "attachments").limit(0), emails=bad)
-    assert (ingest.store.root / "manifest.json").read_text() == before and table(ingest, "attachments").count() == 3
+    assert ingest.store.files.text("manifest.json") == before and table(ingest, "attachments").count() == 3
 
 
 def test_body_choice():
@@ -440,6 +588,9 @@ def test_odd_messages():
     r = parse_message(b"Subject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\r\nContent-Type: text/plain; charset=nope\r\n\r\nhi \xff")
     assert r["subject"] == "Grüße" and r["body"].startswith("hi")
     assert parse_message(b"Date: x\r\n\r\n")["date"] is None
+    for raw, ahead in (("+0200", 120), ("-0330", -210), ("GMT", 0), ("-0000", None), ("", None)):
+        d = parse_message(f"Date: Mon, 06 May 2024 10:00:00 {raw}\r\n\r\n".encode())
+        assert d["date_offset"] == ahead and d["date"] == datetime(2024, 5, 6, 10, tzinfo=UTC) - timedelta(minutes=ahead or 0)
 
 
 def ooxml(**parts):
@@ -482,6 +633,106 @@ def test_attachment_kinds():
     assert attachment_text(b"x" * 20, "text/plain", "", largest=10) is None
 
 
+def pdf_file(pages, fonts=b"<< /F1 << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> >>", extra=b"", packed=False):
+    """A file of the given content streams; ``packed`` puts pages into an object stream."""
+    out, kids = [b"%PDF-1.5"], b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [" + kids + b"] /Count %d /Resources << /Font " % len(pages) + fonts + b" >> >>"}
+    for i, content in enumerate(pages):
+        plain[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
+        body = zlib.compress(content)
+        out.append(b"%d 0 obj\n<< /Length %d /Filter /FlateDecode >>\nstream\n" % (11 + 2 * i, len(body)) + body + b"\nendstream\nendobj")
+    if packed:
+        places, body = [], b""
+        for n, text in plain.items():
+            places.append(b"%d %d" % (n, len(body)))
+            body += text + b" "
+        head = b" ".join(places) + b" "
+        body = zlib.compress(head + body)
+        out.append(b"90 0 obj << /Type /ObjStm /N %d /First %d /Length %d /Filter [/FlateDecode] >>\nstream\r\n" % (len(plain), len(head), len(body)) + body + b"\r\nendstream endobj")
+    else:
+        out += [b"%d 0 obj\n" % n + text + b"\nendobj" for n, text in plain.items()]
+    return b"\n".join([*out, extra, b"%%EOF"])
+
+
+def test_pdf_text():
+    one = rb"BT /F1 12 Tf 72 720 Td (Total \(due\): 12\05650 \200) Tj 0 -14 Td [(pay) -250 (by) 20 ( M) (ay)] TJ T* (third) ' ET"
+    two = b"BT 1 0 0 1 72 700 Tm <506167652074776f> Tj 1 0 0 1 72 680 Tm (next) Tj ET q 10 0 0 10 0 0 cm BI /W 1 ID abc(\n EI Q BT (last) Tj ET"
+    for packed in (False, True):
+        assert attachment_text(pdf_file([one, two], packed=packed), "application/pdf", "") == "Total (due): 12.50 €\npay by May\nthird\nPage two\nnext\nlast"
+    cmap = b"1 beginbfchar <0001> <0048> endbfchar 2 beginbfrange <0002> <0004> <00e9> <0005> <0006> [<0066006c> <D83DDE00>] endbfrange"
+    fonts = b"<< /F1 << /Type /Font /Subtype /Type0 /ToUnicode 80 0 R >> >>"
+    extra = b"80 0 obj << /Length %d >> stream\n" % len(cmap) + cmap + b"\nendstream endobj"
+    assert attachment_text(pdf_file([b"BT /F1 9 Tf <000100020003000400050006> Tj ET"], fonts, extra), "", "x.PDF") == "Héêëfl😀"
+    assert attachment_text(pdf_file([b"q Q"]), "application/pdf", "") is None
+    assert attachment_text(pdf_file([one]) + b" trailer << /Encrypt 5 0 R >>", "application/pdf", "") is None
+    rng = np.random.default_rng(3)
+    whole = pdf_file([one, two])
+    for _ in range(300):  # broken files give a text or none
+        raw = bytearray(whole)
+        for at in rng.integers(0, len(raw), 4):
+            raw[at] = rng.integers(0, 256)
+        attachment_text(bytes(raw), "application/pdf", "")
+
+
+def test_kinds_of_attachments():
+    from postlake.functions.attachments import kind_of
+
+    cases = [("application/pdf", "", "pdf"), ("", "a.PDF", "pdf"), ("application/msword", "x", "docx"), ("application/msword2", "x", None), ("", "x.docm", "docx"), ("application/vnd.ms-excel", "", "xlsx"), ("", "x.ppsm", "pptx"), ("text/plain; charset=x", "", "text"), ("text/csv", "a.xlsx", "xlsx"), ("text/plain", "a.pdf", "pdf"), ("image/png", "png", None), (None, None, None), ("", "pdf", None)]
+    assert [kind_of(t, n) for t, n, _ in cases] == [k for _, _, k in cases]
+
+
+def test_hidden_elements():
+    from postlake.functions.html import hidden
+
+    yes = ["display:none", "DISPLAY : None !important; color:red", "color:red;visibility:hidden", "display:block;display:none"]
+    no = ["", "display:block", "color:none", "display:none;display:block", "x-display:none"]
+    assert all(hidden({"style": s}) for s in yes) and not any(hidden({"style": s}) for s in no) and not hidden({"style": None})
+    assert hidden({"class": "Big PREHEADER"}) and not hidden({"class": "head"})
+
+
+def test_prompt_names_every_field():
+    from datetime import date
+
+    from postlake.plans.nlq import FIELDS, coerce, prompt_for
+
+    text = prompt_for("mails from Ann", date(2024, 5, 6))
+    assert all(f'"{k}"' in text for k in FIELDS) and "mails from Ann" in text and "2024-05-06, a Monday" in text
+    assert set(coerce({}, "q")) == set(FIELDS)
+
+
+def test_a_parser_behind_an_endpoint():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from postlake.plans.nlq import http_parser
+
+    asked = []
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            body = json.dumps({"response": 'Here: {"from_addr": "ann", "semantic_query": "budget", "has_attachments": "yes"}'}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    try:
+        parse = http_parser(f"http://127.0.0.1:{server.server_port}/api", "small")
+        found = parse("budget files from ann")
+        assert found["from_addr"] == "ann" and found["has_attachments"] and found["semantic_query"] == "budget"
+        assert asked[0]["model"] == "small" and "budget files from ann" in asked[0]["prompt"] and asked[0]["stream"] is False
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert parse("anything") is None
+
+
 def test_questions():
     from postlake.plans.nlq import coerce, json_object, rule_parser
 
