@@ -246,18 +246,10 @@ def knn_postfiltered(spark, sf_dir):
 select vec_id, label, round(1 - c, 6) + 0.0 as distance, rank from (
   select a.vec_id as label, b.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as c,
     row_number() over (partition by a.vec_id order by 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), b.id) as rank
-  from vectors a, vectors b where a.vec_id < 5) where rank <= 10""")
+  from vectors a, vectors b where a.vec_id % 100 = 0) where rank <= 10""")
 )
 def knn_many(spark, sf_dir):
-    v = embedding_vectors(spark, sf_dir)
-    queries = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    found = search.nearest_many(v, queries, 10)
-    return found.join(v.select("id", "vec_id"), "id").select("vec_id", F.col("query_id").alias("label"), (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
-
-
-@query()
-def knn_many_hundredths(spark, sf_dir):
-    """The batch search whole: every vector whose id is divisible by 100 against all (knn_many and its SQL ask five)."""
+    """The batch search: every vector whose id is divisible by 100 against all."""
     v = embedding_vectors(spark, sf_dir)
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = search.nearest_many(v, queries, 10)
@@ -303,7 +295,15 @@ def hybrid_search(spark, sf_dir):
     return found.select("id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(
+    docs(f"""
+, h as (select v.id, {DISTANCE} as distance from vectors v, q),
+m as (select h.*, d.id as doc_id, d.subject, d.body_preview, coalesce(nullif(d.message_id, ''), concat('row', h.id)) as m from h left join document_emails d on md5(d.file_path) = h.id),
+f as (select * from (select *, row_number() over (partition by m order by distance, id) as n from m) where n = 1 order by distance, id limit 50),
+r as (select *, row_number() over (order by distance, id) as place, substr(case when doc_id is null then '' else concat_ws(chr(10), nullif(trim(subject), ''), nullif(trim(body_preview, ' ' || chr(10) || chr(9) || chr(13)), '')) end, 1, 1200) as t from f),
+s as (select *, len(list_filter(['the', 'and', 'that', 'with'], lambda w: list_contains(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'), w))) / 4.0 as score from r where t <> '')
+select doc_id as id, round(distance, 6) as distance, round(score, 6) as rerank_score from s order by score desc, place limit 10""")
+)
 def hybrid_search_reranked(spark, sf_dir):
     v = embedding_vectors(spark, sf_dir).drop("vec_id", "label")
     found = search.hybrid_search(document_emails(spark, sf_dir), line_attachments(spark, sf_dir), v, _query_vector(spark, sf_dir), limit=10, query="the and that with", scorer=search.word_overlap)
@@ -385,7 +385,7 @@ def upsert_result(spark, sf_dir):
 
     e = document_emails(spark, sf_dir)
     new = e.where("id >= 400").select("file_path", F.upper("subject").alias("subject"), F.when(F.col("id") % 2 == 0, F.col("from_addr")).alias("from"), "message_id", F.col("body_preview").alias("body"), "file_mtime")
-    out, _ = upsert_messages(e.where("id < 700"), empty(spark, ATTACHMENTS), conform(new, PARSED))
+    out, *_ = upsert_messages(e.where("id < 700"), empty(spark, ATTACHMENTS), conform(new, PARSED))
     return out.select("id", "file_path", "subject", "from_addr")
 
 
@@ -449,42 +449,34 @@ def attachment_types_meta(spark, sf_dir):
     return nested.select("email_id", T.attachment_types("attachments").alias("attachment_types"))
 
 
-def _embedding_texts(spark: SparkSession, sf_dir: str, f: Filters) -> DataFrame:
-    att = line_attachments(spark, sf_dir).withColumn("extracted_text", F.concat("file_extension", F.lit("x")))
-    rows = listing.matching(order_emails(spark, sf_dir), att, f)
-    nested = att.groupBy(F.col("email_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "extracted_text"))).alias("attachments"))
-    return rows.join(nested, "id", "left").select("id", F.md5(embedding_text("subject", "from_addr", "body_preview", "attachments")).alias("digest"))
-
-
 @query(
     mail("""
 select e.id, md5(trim(concat_ws(chr(10), e.subject, e.from_addr, coalesce(e.body_preview, '')) || coalesce(chr(10) || 'Attachments:' || chr(10) || string_agg(a.filename || chr(10) || a.file_extension || 'x', chr(10) order by a.id, a.filename), ''), chr(10))) as digest
-from order_emails e left join line_attachments a on a.email_id = e.id where e.date >= timestamp '1998-01-01' group by e.id, e.subject, e.from_addr, e.body_preview""")
+from order_emails e left join line_attachments a on a.email_id = e.id group by e.id, e.subject, e.from_addr, e.body_preview""")
 )
 def embedding_texts(spark, sf_dir):
-    return _embedding_texts(spark, sf_dir, Filters(date_after=datetime(1998, 1, 1)))
-
-
-@query()
-def embedding_texts_all(spark, sf_dir):
-    """The texts of all messages (embedding_texts and its SQL take those of 1998 and later)."""
-    return _embedding_texts(spark, sf_dir, Filters())
+    att = line_attachments(spark, sf_dir).withColumn("extracted_text", F.concat("file_extension", F.lit("x")))
+    nested = att.groupBy(F.col("email_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "extracted_text"))).alias("attachments"))
+    return order_emails(spark, sf_dir).join(nested, "id", "left").select("id", F.md5(embedding_text("subject", "from_addr", "body_preview", "attachments")).alias("digest"))
 
 
-FOOT = "concat(text, chr(10), '| Unsubscribe here', chr(10), 'tail ', source)"
+FOOT = """coalesce(text, '') || case doc_id % 5 when 0 then chr(10) || '| Unsubscribe here' || chr(10) || 'tail' when 1 then chr(10) || 'LAST' || chr(10) || chr(10) || ' > * [UPDATE YOUR preferences](x)'
+  when 2 then chr(10) || 'say unsubscribe now' || chr(10) || '-You are receiving this email because' || chr(10) || 'x' when 3 then chr(10) || chr(9) || 'manage your subscription' else chr(10) || 'no footer: unsubscribe' end"""
+MARKERS = "\\n[ \\t\\r\\f\\v>|*\\-]*(?:\\[[ \\t\\r\\f\\v>|*\\-\\[]*)?(?:unsubscribe|update your preferences|you are receiving this email because|manage your subscription)"
 
 
 @query(
-    rf"""
-with w as (select doc_id, {FOOT} as whole from documents where not contains(lower(text), 'unsubscribe') and not contains(lower(text), 'subscription')),
-h as (select doc_id, whole, regexp_extract(whole, '(?is)^(.*?)\n[\s>|*\-\[]*unsubscribe', 1) as head from w)
-select doc_id, md5(case when length(head) < 200 then whole else regexp_replace(regexp_replace(head, '\n[^\n]*$', ''), '\s+$', '') end) as digest from h"""
+    f"""
+with w as (select doc_id, {FOOT} as whole from documents),
+h as (select doc_id, whole, regexp_matches(substr(whole, 201), '(?is){MARKERS}') as found, regexp_extract(substr(whole, 201), '(?is)^(.*?){MARKERS}', 1) as head from w)
+select doc_id, md5(case when found then regexp_replace(substr(whole, 1, 200) || head, '\\s+$', '') else whole end) as digest from h"""
 )
 def footer_truncate(spark, sf_dir):
-    """All documents; the SQL leaves out those that may have a footer of their own, which no given table has."""
+    """All documents, with footers of all four kinds and none, on top of those that they have themselves."""
     d = table(spark, sf_dir, "documents")
-    whole = F.concat("text", F.lit("\n| Unsubscribe here\ntail "), F.col("source"))
-    return d.select("doc_id", F.md5(T.before_footer(whole)).alias("digest"))
+    tails = ("\n| Unsubscribe here\ntail", "\nLAST\n\n > * [UPDATE YOUR preferences](x)", "\nsay unsubscribe now\n-You are receiving this email because\nx", "\n\tmanage your subscription", "\nno footer: unsubscribe")
+    tail = F.element_at(F.array(*map(F.lit, tails)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return d.select("doc_id", F.md5(T.before_footer(F.concat(F.coalesce("text", F.lit("")), tail))).alias("digest"))
 
 
 @query("select doc_id, md5(trim(regexp_replace(replace(text, ' the ', chr(10) || chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) as digest from documents")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from postlake import catalog
+from postlake import catalog, catalog_files  # noqa: F401
 from postlake.catalog import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
