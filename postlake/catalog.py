@@ -489,16 +489,22 @@ def redundant_link(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.redundant_links(F.concat(F.lit("see ["), "url", F.lit("]("), "url", F.lit(") now"))).alias("body"))
 
 
-@query()
+@query(
+    """
+with h as (select page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<style\\b.*?</style>|<script\\b.*?</script>|<head\\b.*?</head>|<noscript\\b.*?</noscript>', '', 'g'), '(?s)<[^>]*>', ' ', 'g') as h from pages),
+e as (select page_id, regexp_replace(h, '&(?:#[0-9]+|amp|lt|gt|quot|apos|copy|middot|nbsp);?', ' ', 'g') as h from h)
+select page_id, md5(array_to_string(regexp_extract_all(h, '[\\p{L}\\p{N}]+'), ' ')) as words from e"""
+)
 def html_to_text_pages(spark, sf_dir):
+    """The words of whole pages, without the targets of their links."""
     ship_package(spark)
 
     @F.pandas_udf("string")
-    def clean(s):
+    def cleaned(s):
         return s.map(html_to_text)
 
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", clean("html").alias("body"))
+    words = F.regexp_extract_all(F.regexp_replace("body", r"\]\([^)\s]*\)", "]"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return table(spark, sf_dir, "pages").select("page_id", cleaned("html").alias("body")).select("page_id", F.md5(F.array_join(words, " ")).alias("words"))
 
 
 @query("select doc_id, (text like '%>%' or lower(text) like '%wrote:%' or lower(text) like '%original message%' or text like '%-----%' or lower(text) like '%' || chr(10) || 'from:%') as markers, length(text) <= 50000 and length(text) - length(replace(text, chr(10), '')) + 1 <= 1500 and (text like '%>%' or lower(text) like '%wrote:%' or lower(text) like '%original message%' or text like '%-----%' or lower(text) like '%' || chr(10) || 'from:%') as strip from documents")
