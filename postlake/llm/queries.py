@@ -79,6 +79,52 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_WORDS = "|".join([*map(_either_case, ("password", "passwd", "secret", "token")), _either_case("api") + "_?" + _either_case("key")])
+_ASSIGN = rf"""(?:{_WORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_DIGITS = "|".join(f"[0-9](?:[ -]?[0-9]){{{n}}}" for n in range(18, 11, -1))
+#: With the character that follows, which is cut off again.
+_CARD = rf"{_either_case('card')}(?:{_either_case(' number')}|{_either_case(' no')})?[.:]?\x20*(?:{_DIGITS})(?:[^0-9]|$)"
+
+
+def _crc(of: str) -> str:
+    """CRC-32 of a list of bytes, in SQL."""
+    step = "xor(c >> 8, list_reduce(range(8)::bigint[], lambda t, i: case when t & 1 = 1 then xor(3988292384::bigint, t >> 1) else t >> 1 end, xor(c & 255, b)))"
+    return f"xor(list_reduce(({of})::bigint[], lambda c, b: {step}, 4294967295::bigint), 4294967295::bigint)"
+
+
+def _hex(value: str) -> str:
+    return f"printf('%08x', ({value})::bigint)"
+
+
+#: The boxes of the media files in SQL, from the format's definition: sizes first, then hexadecimal digits.
+_MATRIX = "00010000" + "0" * 24 + "00010000" + "0" * 24 + "40000000"
+_ENTRY = "0000005672617720" + "0" * 12 + "0001" + "0" * 32 + "0010000c004800000048000000000000" + "0001" + "0" * 64 + "0008ffff"
+_LIST = "array_to_string(list_transform(range(0, {n}), lambda i: printf('%08x', ({value})::bigint)), '')"
+_MEDIA = f"""
+d as (select row_number() over () as r, doc_id, coalesce(text, '') as x from documents),
+n as (select *, octet_length(encode(x)) as nb, greatest(1, (octet_length(encode(x)) + 191) // 192) as f from d),
+c as (select *, x || repeat(' ', f * 192 - nb) as payload, (f + 63) // 64 as chunks, (f + 15) // 16 as keys from n),
+e as (select *, f - (chunks - 1) * 64 as rest, case when chunks = 1 or f = 64 * chunks then 1 else 2 end as runs from c),
+z as (select *, 202 + 4 * keys + 12 * runs + 4 * chunks as stbl, f * 1000 as ticks from e),
+o as (select *, 28 + 359 + stbl + 8 as first from z),
+m as (select *,
+  '0000001c6674797069736f6d0000020069736f6d69736f326d703431' || {_hex("359 + stbl")} || '6d6f6f76'
+  || '0000006c6d7668640000000000000000' || '00000000' || '000061a8' || {_hex("ticks")} || '00010000' || '0100' || '{"0" * 20}' || '{_MATRIX}' || '{"0" * 48}' || '00000002'
+  || {_hex("243 + stbl")} || '7472616b' || '0000005c746b686400000003' || '{"0" * 16}' || '00000001' || '00000000' || {_hex("ticks")} || '{"0" * 32}' || '{_MATRIX}' || '00100000000c0000'
+  || {_hex("143 + stbl")} || '6d646961' || '000000206d64686400000000' || '{"0" * 16}' || '000061a8' || {_hex("ticks")} || '55c40000'
+  || '0000002768646c72' || '{"0" * 16}' || '76696465' || '{"0" * 24}' || '6672616d657300'
+  || {_hex("64 + stbl")} || '6d696e66' || '00000014766d686400000001' || '{"0" * 16}' || '0000002464696e66' || '0000001c647265660000000000000001' || '0000000c75726c2000000001'
+  || {_hex("stbl")} || '7374626c' || '00000066737473640000000000000001' || '{_ENTRY}' || '00000018737474730000000000000001' || {_hex("f")} || '000003e8'
+  || {_hex("16 + 4 * keys")} || '7374737300000000' || {_hex("keys")} || {_LIST.format(n="keys", value="1 + 16 * i")}
+  || {_hex("16 + 12 * runs")} || '7374736300000000' || {_hex("runs")} || case when chunks > 1 then '000000010000004000000001' else '' end
+  || case when chunks = 1 or rest <> 64 then {_hex("chunks")} || {_hex("rest")} || '00000001' else '' end
+  || '000000147374737a00000000000000c0' || {_hex("f")} || {_hex("16 + 4 * chunks")} || '7374636f00000000' || {_hex("chunks")} || {_LIST.format(n="chunks", value="first + 12288 * i")}
+  || {_hex("8 + 192 * f")} || '6d646174' as head from o)"""
+
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op7_mixing, op8_secrets, op9_bpe, op10_language_id)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
@@ -103,6 +149,30 @@ reach as (
 roots as (select x as doc_id, min(y) as component_id from reach group by x)
 select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d left join sizes using (doc_id) join roots using (doc_id)
+""",
+    "op2_media": f"""
+with {_MEDIA},
+b as (select *, hex(encode(payload[-16:])) as tail, list_transform(range(0, keys), lambda i: first + 3072 * i) as places from m)
+select doc_id, cast(nb as bigint) as n_bytes, cast(192 * f as bigint) as payload_bytes, sha256(payload) as payload_sha256,
+  {_crc("list_transform(range(octet_length(encode(payload)) - 15, octet_length(encode(payload)) + 1), lambda i: ('0x' || hex(encode(payload))[2 * i - 1 : 2 * i])::bigint)")} as tail_crc32,
+  cast(length(head) // 2 + 192 * f as bigint) as media_bytes, sha256(unhex(head) || encode(payload)) as media_sha256,
+  'raw |' || printf('%.3f', f / 25.0::double) || '|' || f || '|' || keys || '|' || printf('%08x', {_crc("flatten(list_transform(places, lambda p: list_concat(list_transform(range(8), lambda i: (p >> (8 * i)::int) & 255), [192, 0, 0, 0, 0, 0, 0, 0])))")}) as feature,
+  array_to_string(list_transform(places, lambda p: p || '+192'), ',') as keyframes
+from b
+""",
+    "op8_secrets": rf"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+k as (select * from (values (0, 'assign', '{_ASSIGN.replace("([A-Z", "(?:[A-Z")}'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]{{16,}}'), (3, 'code_token', '(?:gh[pousr]|npm)_[A-Za-z0-9]+'), (4, 'card', '{_CARD}')) as v(k, name, p)),
+m as (select r, k, name, regexp_extract_all(text, p) as ms, string_split_regex(text, p) as ps from t, k),
+u as (select r, k, name, unnest(ms) as m, unnest(ps[1 : len(ms)]) as before, generate_subscripts(ms, 1) as i from m where len(ms) > 0),
+a as (select r, k, name, case when k = 4 then regexp_extract(m, '(?s)^.*[0-9]') else m end as m, cast(sum(length(before) + length(m)) over (partition by r, k order by i) as bigint) - length(m) as a, split_part(m, '_', -1) as tail, reverse(regexp_replace(m, '[^0-9]', '', 'g')) as digits from u),
+s as (select *, a + length(m) as b from a where case k when 0 then length(regexp_extract(m, '{_ASSIGN}', 1)) >= 12 when 1 then length(m) >= 18 when 2 then true
+  when 3 then length(tail) = 36 and substr(tail, 31) = (select array_to_string(list_transform([916132832, 14776336, 238328, 3844, 62, 1], lambda d: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', cast(1 + ({_crc("list_transform(range(1, 31), lambda i: ascii(substr(tail, i::int, 1)))")} // d) % 62 as int), 1)), ''))
+  else length(digits) between 13 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda i: case when i % 2 = 1 then substr(digits, i::int, 1)::int else (2 * substr(digits, i::int, 1)::int) // 10 + (2 * substr(digits, i::int, 1)::int) % 10 end)) % 10 = 0 end),
+g as (select r, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex,
+  string_agg(name || ':' || a || ':' || b, ',' order by a, k) filter (where k < 3) as base, string_agg(name || ':' || a || ':' || b, ',' order by a, k) as spans from s group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join g using (r)
 """,
     "op3_embedding_dedup": """
 with recursive v as (
