@@ -16,6 +16,7 @@ import socket
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from datetime import UTC, datetime
 from typing import Any
@@ -74,10 +75,15 @@ class Store:
     def _write(self, m: dict[str, Any], tables: dict[str, DataFrame], touched: Iterable[int]) -> None:
         """Replace buckets of tables (rows with ``bucket``) and make the new version current."""
         touched = {str(b) for b in touched}
-        for name, df in tables.items():
-            folder = f"{name}/v-{uuid.uuid4().hex}"
-            out = df.select(*(F.col(f.name) for f in TABLES[name]), "bucket").repartition("bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, []))
-            out.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        folders = {name: f"{name}/v-{uuid.uuid4().hex}" for name in tables}
+
+        def put(name: str) -> None:
+            rows = tables[name].select(*(F.col(f.name) for f in TABLES[name]), "bucket")
+            rows.repartition("bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, [])).write.partitionBy("bucket").parquet(f"{self.root}/{folders[name]}")
+
+        with ThreadPoolExecutor(len(TABLES)) as side_by_side:
+            list(side_by_side.map(put, tables))
+        for name, folder in folders.items():
             parts = {b: p for b, p in m["tables"].get(name, {}).items() if b not in touched}
             written = {n.removeprefix("bucket=") for n in self.files.entries(folder) if n.startswith("bucket=")}
             m["tables"][name] = parts | {b: f"{folder}/bucket={b}" for b in written}
