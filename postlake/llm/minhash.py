@@ -301,16 +301,17 @@ def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t, ngram) for t in texts_of(part.column("text"))]
-                # the id may have rows with other texts
-                wanted = zip(part.column("lo").to_pylist(), part.column("hi").to_pylist(), strict=True)
-                own = [i for i, (x, s) in enumerate(zip(wanted, sets, strict=True)) if digest_of(s) == x]
-                take = pa.array(own, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("cluster").take(take), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["id", "cluster", "size", "shingles"])
-
-    # a text for each set of a cluster: the first row of its smallest id has it, unless that id has other texts too
-    named = clusters.join(first, "id").select("id", F.col("component").alias("cluster"), "first_id", "lo", "hi")
-    texts = named.join(source, F.col("first_id") == F.col("doc_id")).select("id", "cluster", "lo", "hi", "text")
-    sets = scratch.keep(texts.mapInArrow(_own_words(to_sets), "id long, cluster long, size long, shingles binary"), "shingles")
+                digests = [digest_of(s) for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["first_id", "size", "lo", "hi", "shingles"])
+
+    # texts meet ids alone, a table so short that Spark may broadcast it for long; sets find their numbers by digest,
+    # since an id may have rows with other texts
+    named = scratch.keep(clusters.join(first, "id").select("id", F.col("component").alias("cluster"), "first_id", "lo", "hi"), "named")
+    ids = scratch.keep(named.select(F.col("first_id").alias("member")).distinct().sortWithinPartitions("member"), "member-ids")
+    texts = source.join(ids, F.col("doc_id") == F.col("member"), "left_semi")
+    sets = texts.mapInArrow(_own_words(to_sets), "first_id long, size long, lo long, hi long, shingles binary")
+    sets = scratch.keep(sets.join(named, ["first_id", "lo", "hi"]).select("id", "cluster", "size", "shingles"), "shingles")
     pivots = sets.groupBy("cluster").agg(F.min("id").alias("p_id"))
     pivots = sets.select(F.col("id").alias("p_id"), "shingles").join(pivots, "p_id").select("cluster", "p_id", F.col("shingles").alias("p_shingles"))
     pivots = scratch.keep(pivots.dropDuplicates(["cluster"]), "cluster-pivots")
@@ -321,7 +322,7 @@ def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = block_pairs(sets, scratch, "cluster-sizes", "cluster", "id", 256, "size", 1_000_000, settled="component")
     links = map_groups(blocks, _compare_sets(percent), "a long, b long", ["a", "b"])
     linked = scratch.keep(connected_components(links.unionByName(first_links), scratch, "links"), "linked")
-    scratch.drop("shingles", "cluster-sizes", "clusters", "buckets", "cluster-pivots", "pivot-links", "near-known")
+    scratch.drop("shingles", "cluster-sizes", "clusters", "named", "member-ids", "buckets", "cluster-pivots", "pivot-links", "near-known")
 
     # from numbers of sets to the smallest document id of a component
     named = linked.join(first.select("id", "first_id"), "id")
