@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from postlake.llm.streams import tidy
 from postlake.runtime import Scratch
 
-#: Links that a task contracts at once, and the edges of its forest beyond which that is handed on.
+#: Links that a task contracts at once, and the edges of its forest beyond which that is handed on (no fewer than
+#: CHUNK links can have).
 CHUNK, FOREST = 1 << 20, 1 << 21
 
 
@@ -65,31 +66,34 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -
     """(id, component) for every id of ``links(a, b)``; component is the smallest id reachable.
 
     Every task first replaces its links by a forest of stars, which has the same components and at most one
-    edge a node; what few partitions hold is settled by that alone.  Stars over all tasks follow while edges
-    remain that aren't.  Links stay in the shared folder; only one row a round reaches the driver.  Minima are
-    aggregated map-side first; the join that follows has plain exchanges, so a node with very many links is
-    split by the skew join of adaptive execution.
+    edge a node; then tasks of ``CHUNK`` edges do so again.  Where one such task is enough, its forest is the answer.
+    Else stars over all tasks follow while edges remain that aren't settled.  Links stay in the shared folder; only a count and
+    one row a round reach the driver.  Minima are aggregated map-side first; the join that follows has plain exchanges, so
+    a node with very many links is split by the skew join of adaptive execution.
     """
-
-    def contracted(edges: DataFrame, step: int) -> DataFrame:
-        return scratch.keep(edges.distinct().mapInArrow(tidy(_contract), "u long, v long").distinct(), f"{name}-{step}")
-
-    edges = contracted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), 0)
+    schema = "u long, v long"
+    start = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = scratch.keep(start.mapInArrow(tidy(_contract), schema), f"{name}-0")
     step = 0
     while True:
+        tasks = max(1, -(-edges.count() // CHUNK))
+        dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks, "u")
+        forests = scratch.keep(dealt.mapInArrow(tidy(_contract), schema), f"{name}-{step}-f")
+        scratch.drop(f"{name}-{step}")
         # settled once every node hangs on exactly one root and no root hangs on anything
-        hanging = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if hanging.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
-            break
+        hanging = forests.select("u", "v").unionByName(forests.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+        state = hanging.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.col("v").isNull()).alias("root"))
+        if tasks == 1 or state.where("low < high or (root and low is not null)").isEmpty():
+            stars = forests.distinct() if tasks > 1 else forests
+            return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(forests.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         # large star: every larger neighbour of u hangs on the smallest of u's neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = forests.unionByName(forests.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-l")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.keep(large, f"{name}-{step}-e")
         # small star: u and its smaller neighbours hang on the smallest of them
         low2 = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-s")
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        new = contracted(small.where("u <> v"), step + 1)
-        scratch.drop(f"{name}-{step}", f"{name}-{step}-l", f"{name}-{step}-e", f"{name}-{step}-s")
-        edges, step = new, step + 1
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        edges = scratch.keep(small.where("u <> v").mapInArrow(tidy(_contract), schema), f"{name}-{step + 1}")
+        scratch.drop(f"{name}-{step}-f", f"{name}-{step}-l", f"{name}-{step}-e", f"{name}-{step}-s")
+        step += 1

@@ -137,8 +137,11 @@ def test_shingles_signatures_and_intersections():
     assert abs(agree - 1500 / 2500) < 0.06
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed,chunk", [(0, 1 << 20), (1, 40), (2, 7)])
+def test_components(spark, seed, chunk, monkeypatch):
+    from postlake.llm import components as c
+
+    monkeypatch.setattr(c, "CHUNK", chunk)
     rng = random.Random(seed)
     path = [(i, i + 1) for i in range(1000, 1060)]
     star = [(5, i) for i in range(2000, 2200)]
