@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from contextlib import closing
@@ -149,5 +150,13 @@ class Files:
         return {s.getPath().getName(): s.getModificationTime() / 1000 for s in store.listStatus(path)}
 
 
+def sweep(spark: SparkSession, hours: float = 48) -> int:
+    """Remove scratch folders that drivers which were killed have left in the shared folder; those of running jobs are
+    younger than ``hours``."""
+    files = Files(spark, shared_dir(spark))
+    old = [n for n, changed in files.entries().items() if re.fullmatch(r"postlake-[a-z-]+-[0-9a-f]{32}", n) and changed < time.time() - 3600 * hours]
+    return sum(files.delete(n) for n in old)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from postlake.operators.listing import by_message_id, by_path, stale
 from postlake.operators.maintain import migrate_paths, moved, orphans, surplus_rows
 from postlake.operators.search import Embed, embed_column, hashing_embedder
 from postlake.params import SETTINGS, Settings
-from postlake.runtime import Scratch
+from postlake.runtime import Scratch, sweep
 from postlake.schema import EXTRACTION_VERSION
 from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_messages, read_messages, read_paths, unchanged_removed
 from postlake.sources.store import Store, bucket_of
@@ -262,9 +262,9 @@ class Ingest:
             return {"moved": n}
 
     def vacuum(self, hours: float = 24) -> dict[str, int]:
-        """Remove what old versions alone hold."""
+        """Remove what old versions alone hold, and scratch tables of drivers that were killed."""
         with self.store.locked("vacuum"):
-            return {"removed": self.store.vacuum(hours)}
+            return {"removed": self.store.vacuum(hours), "scratch": sweep(self.spark, max(hours, 48))}
 
     def stream(self, directory: str, checkpoint: str, available_now: bool = True):
         """The same ingest as a streaming query: the file source remembers what it has seen, each micro-batch is one

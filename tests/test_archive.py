@@ -422,6 +422,20 @@ def folders(store):
     return {name: dict(parts) for name, parts in store.manifest()["tables"].items()}
 
 
+def test_scratch_folders_of_killed_drivers_are_swept(spark):
+    from postlake.runtime import Files, Scratch, shared_dir, sweep
+
+    live = Scratch(spark, "live")
+    live.keep(spark.range(3), "rows")
+    files = Files(spark, shared_dir(spark))
+    files.create("keep-me/x", "mine")
+    name = live.root.rpartition("/")[2]
+    assert sweep(spark) == 0 and name in files.entries()
+    old = shared_dir(spark).removeprefix("file://") + "/" + name
+    os.utime(old, (1e9, 1e9))
+    assert sweep(spark) == 1 and name not in files.entries() and "keep-me" in files.entries()
+
+
 def test_one_message_rewrites_only_its_bucket(ingest, archive):
     ingest.index(str(archive))
     before = folders(ingest.store)
