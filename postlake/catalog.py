@@ -284,10 +284,9 @@ def knn_orphans_kept(spark, sf_dir):
 
 @query(
     docs(f"""
-, h as (select v.id, v.vec_id, {DISTANCE} as distance from vectors v, q where exists (select 1 from document_emails d where md5(d.file_path) = v.id and d.subject = 'en' and d.date >= timestamp '2024-01-02') order by distance, v.id limit 40),
-m as (select h.*, d.id as doc_id, d.message_id, row_number() over (order by distance, h.id) as rank from h join document_emails d on md5(d.file_path) = h.id)
+, h as (select d.id as doc_id, v.id, {DISTANCE} as distance, coalesce(nullif(d.message_id, ''), concat('row', v.id)) as m from q, vectors v join document_emails d on md5(d.file_path) = v.id where d.subject = 'en' and d.date >= timestamp '2024-01-02')
 select doc_id as id, round(distance, 6) as distance, round(1 - distance, 6) as similarity from (
-  select *, min(rank) over (partition by message_id) as place, row_number() over (partition by message_id order by distance, rank) as n from m) where n = 1 order by place limit 20""")
+  select *, row_number() over (partition by m order by distance, id) as n from h) t where n = 1 order by t.distance, t.id limit 20""")
 )
 def hybrid_search(spark, sf_dir):
     f = Filters(subject="en", date_after=datetime(2024, 1, 2))
