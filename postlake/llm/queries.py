@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlake.llm.bpe import encode_documents, token_digests
 from postlake.llm.embed_dedup import near_duplicate_vectors
+from postlake.llm.exact_dedup import exact_duplicates
 from postlake.llm.langid import fit_profiles, identify
 from postlake.llm.media import media_features, store_media
 from postlake.llm.minhash import near_duplicates
@@ -79,6 +80,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -125,7 +130,7 @@ m as (select *,
   || '000000147374737a00000000000000c0' || {_hex("f")} || {_hex("16 + 4 * chunks")} || '7374636f00000000' || {_hex("chunks")} || {_LIST.format(n="chunks", value="first + 12288 * i")}
   || {_hex("8 + 192 * f")} || '6d646174' as head from o)"""
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op7_mixing, op8_secrets, op9_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op7_mixing, op8_secrets, op9_bpe, op10_language_id, op13_exact_dedup)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 with recursive words as (
@@ -203,5 +208,9 @@ select page_id, cast(strlen(h) as bigint) as payload_bytes,
       >> (3 - (5 * i) % 4)) & 31 as integer), 1)), '') as payload_digest,
   case when first < page_id then 'revisit' else 'response' end as record_type, case when first < page_id then first end as refers_to
 from s
+""",
+    "op13_exact_dedup": """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))
 """,
 }

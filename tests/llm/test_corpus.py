@@ -330,7 +330,7 @@ def test_registration():
     assert "op1_minhash_dedup" in __spark_entry__.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op2_media", "op3_embedding_dedup", "op6_warc", "op8_secrets"])
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op2_media", "op3_embedding_dedup", "op6_warc", "op8_secrets", "op13_exact_dedup"])
 def test_sql_of_the_operators(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
