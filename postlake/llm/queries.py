@@ -12,8 +12,10 @@ from postlake.llm.langid import fit_profiles, identify
 from postlake.llm.media import media_features, store_media
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.mixing import fit_rates
+from postlake.llm.prefix_trie import ordered_turns, prefix_trie, with_shared_beginnings
 from postlake.llm.quality import quality_scores
 from postlake.llm.secret_scan import scan_documents, span_digests
+from postlake.llm.spelling import LOWER, UPPER, spelling_groups, word_counts
 from postlake.llm.token_counts import count_tokens
 from postlake.llm.warc import read_archives, uri_of, write_archives
 from postlake.runtime import Scratch, table
@@ -80,6 +82,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents"), spoil=199))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    turns = ordered_turns(table(spark, sf_dir, "conversations"), scratch)
+    return prefix_trie(*with_shared_beginnings(turns, scratch), scratch)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -130,7 +142,7 @@ m as (select *,
   || '000000147374737a00000000000000c0' || {_hex("f")} || {_hex("16 + 4 * chunks")} || '7374636f00000000' || {_hex("chunks")} || {_LIST.format(n="chunks", value="first + 12288 * i")}
   || {_hex("8 + 192 * f")} || '6d646174' as head from o)"""
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op7_mixing, op8_secrets, op9_bpe, op10_language_id, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_media, op3_embedding_dedup, op4_quality, op5_token_counts, op6_warc, op7_mixing, op8_secrets, op9_bpe, op10_language_id, op11_spelling, op12_prefix_trie, op13_exact_dedup)}
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 with recursive words as (
@@ -208,6 +220,46 @@ select page_id, cast(strlen(h) as bigint) as payload_bytes,
       >> (3 - (5 * i) % 4)) & 31 as integer), 1)), '') as payload_digest,
   case when first < page_id then 'revisit' else 'response' end as record_type, case when first < page_id then first end as refers_to
 from s
+""",
+    "op11_spelling": rf"""
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')), '{UPPER}', '{LOWER}') as w from documents),
+u as (select w, d || ':' || w as x, count(*) as k from runs group by d, w),
+h as (select w, k, {_crc("list_transform(range(1, octet_length(encode(x)) + 1), lambda i: ('0x' || hex(encode(x))[2 * i - 1 : 2 * i])::bigint)")} as h from u),
+s as (select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, k from h),
+v as (select word, cast(sum(k) as bigint) as n from s group by word having sum(k) >= 5 and length(word) >= 6),
+c as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+r as (select word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as k from c),
+l as (select distinct word, n, substr(word, 1, i - 1) || substr(word, i + 1) as k from c),
+p as (
+  select a.word, a.n, b.word as other, b.n as other_n from r a join r b using (k) where a.word <> b.word
+  union select l.word, l.n, v.word, v.n from l join v on v.word = l.k
+  union select v.word, v.n, l.word, l.n from l join v on v.word = l.k),
+b as (select word, any_value(n) as n, count(*) as n_near, arg_min(other, (-other_n, other)) as best, max(other_n) as best_n from p group by word),
+f as (select word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * v.n then best end as form, case when best_n >= 5 * v.n then best_n end as form_n from v left join b using (word)),
+g as (select word, form, word as root, form as next from f union all select g.word, g.form, f.word, f.form from g join f on f.word = g.next)
+select f.word, f.form, g.root, f.n, f.n_near, f.form_n from f join g on g.word = f.word and g.next is null
+""",
+    "op12_prefix_trie": f"""
+with t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, x) - 1 as pos, x, n
+  from (select conv_id, turn, length(coalesce(text, '')) as n, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as x from conversations where conv_id is not null)),
+m as (select c, count(*) as m, {_crc("list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i::int, 1)))")} % 6 as h, c - c % 100 as base from t group by c),
+k as (select m.c, m.h, m.m, m.base, least(m.h, coalesce(b.m, 0)) as k from m left join m b on b.c = m.base),
+r as (
+  select k.c, pos + 1 as d, x, n from k join t on t.c = k.base and pos < h
+  union all
+  select k.c, pos - h + k + 1, x, n from k join t on t.c = k.c and pos >= h),
+p as (select c, d, n, string_agg(x, '') over (partition by c order by d) as p from r union all select c, 0, 0, '' from k),
+l as (select c, max(d) as l from p group by c),
+nodes as (
+  select d, p, any_value(n) as n, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(c::varchar, ',' order by c) filter (where d = l), '') as ends
+  from p join l using (c) group by d, p),
+below as (
+  select a.d, a.p, count(*) filter (where b.d = a.d + 1) as n_children, count(*) filter (where not exists (select 1 from nodes x where x.d = b.d + 1 and starts_with(x.p, b.p))) as n_leaves, sum((b.n_convs - 1) * b.n) as saved
+  from nodes a join nodes b on starts_with(b.p, a.p) group by a.d, a.p)
+select a.conv_id, cast(a.d as bigint) as depth, u.conv_id as parent_conv_id, a.n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(a.ends) as ends_sha256
+from nodes a join below using (d, p) left join nodes u on u.d = a.d - 1 and u.p = a.p[1 : 64 * u.d]
 """,
     "op13_exact_dedup": """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256

@@ -326,14 +326,14 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 def test_registration():
     names = list(__spark_entry__.queries())
-    assert [n for n in (f"op{i}_" for i in range(1, 11)) if sum(x.startswith(n) for x in names) != 1] == [] and "pipeline" in names
+    assert [n for n in (f"op{i}_" for i in range(1, 14)) if sum(x.startswith(n) for x in names) != 1] == [] and "pipeline" in names
     assert "op1_minhash_dedup" in __spark_entry__.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op2_media", "op3_embedding_dedup", "op6_warc", "op8_secrets", "op13_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op2_media", "op3_embedding_dedup", "op6_warc", "op8_secrets", "op11_spelling", "op12_prefix_trie", "op13_exact_dedup"])
 def test_sql_of_the_operators(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = __spark_entry__.queries()[name](spark, sf)
     want = con.sql(__spark_entry__.oracle_sql()[name])
