@@ -1,13 +1,15 @@
 """BPE encoding and decoding with a public byte-level vocabulary.
 
 A text is encoded as a tree: it is cut into halves down to leaves of ``LEAF`` characters, wherever these end, leaves
-are encoded on their own (those of a long text in parallel) by the ranked-merge encoder of the vocabulary file,
+are encoded on their own, side by side, by the ranked-merge encoder of the vocabulary file,
 and halves are joined.  At a join the tokens around it are encoded again, in a window that grows on
 either side until it reaches a place where both sides agree with the whole:
 
-* a place between a character that isn't white space and one that is.  No pre-token goes over it, whatever
-  stands around it, and pre-tokens on either side depend on nothing beyond it; hence the half's tokens up to there
-  (or from there on) are those of the whole.  The ends of the halves are such places too.
+* an edge: a place between characters of two kinds that the vocabulary's pattern never puts into one pre-token (a letter and
+  what is none, a digit and what is none, a symbol other than an apostrophe and a letter or digit, any of them and white space
+  after it), whatever stands around it.  Pre-tokens on either side depend on nothing beyond it; hence the half's tokens up to
+  there (or from there on) are those of the whole.  The ends of the halves are such places too.  A character that
+  this Python's tables don't know, and others might, makes no edge.
 * within one pre-token that is longer than a leaf (one long word, one long run of symbols or blanks) tokens are
   compared instead: the window grows until its first and last tokens are the very tokens that both sides already had
   there.  For a byte-level BPE whose tokens each encode to themselves, a token sequence is the encoding of
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import unicodedata
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from postlake.llm.streams import texts_of, tidy
 from postlake.runtime import ship_package
 
-#: Characters of a leaf; leaves from which those of a text are encoded in parallel.
-LEAF, PARALLEL = 1_024, 64
+#: Characters of a leaf.
+LEAF = 1_024
 
 
 class ByteBPE:
@@ -50,8 +53,8 @@ class ByteBPE:
         self.special = special
         self.core = tiktoken.Encoding("postlake", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=special)
         self.pieces = regex.compile(pattern)
-        # where no pre-token goes over: before the second of these characters
-        self.edge = regex.compile(r"[^\s\x1c-\x1f][ \t\r\n]")
+        # where no pre-token goes over: after these characters
+        self.edge = regex.compile(r"[^\s\x1c-\x1f](?=[ \t\r\n])|\p{L}(?=[^\p{L}\s\x1c-\x1f])|\p{N}(?=[^\p{N}\s\x1c-\x1f])|[^'\p{L}\p{N}\s\x1c-\x1f](?=[\p{L}\p{N}])")
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.threads = ThreadPoolExecutor(threads)
         top = max([*self.ranks.values(), *special.values()]) + 1
@@ -73,25 +76,33 @@ class ByteBPE:
 
     def encode_tree(self, text: str) -> np.ndarray:
         """Ids of a text without special tokens, by tree concatenation."""
+        if len(text) <= LEAF:
+            return self._leaf(text)
         level = [text[i : i + LEAF] for i in range(0, len(text), LEAF)]
-        each = self.threads.map if len(level) >= PARALLEL else map
-        nodes = list(zip(level, each(self._leaf, level), strict=True))
+        nodes = list(zip(level, self.threads.map(self._leaf, level), strict=True))
         while len(nodes) > 1:
             pairs = [(nodes[i], nodes[i + 1]) for i in range(0, len(nodes) - 1, 2)]
-            nodes = list(each(lambda p: self.join_texts(*p), pairs)) + nodes[2 * len(pairs) :]
+            nodes = list(self.threads.map(lambda p: self.join_texts(*p), pairs)) + nodes[2 * len(pairs) :]
         return nodes[0][1]
 
+    def _places(self, text: str, start: int = 0) -> Iterator[int]:
+        """Places of ``text`` that no pre-token goes over, of those from ``start`` on."""
+        for m in self.edge.finditer(text, start):
+            if unicodedata.category(text[m.start()]) != "Cn" != unicodedata.category(text[m.end()]):
+                yield m.end()
+
     def _edges(self, left: str, right: str) -> tuple[int, int]:
         """The last place in ``left`` and the first in ``right`` that no pre-token goes over."""
+        if next(self._places(left[-1:] + right[:1]), None):
+            return len(left), 0
         size = 32
         while True:
-            found = [m.start() + 1 for m in self.edge.finditer(left, max(0, len(left) - size))]
+            found = list(self._places(left, max(0, len(left) - size)))
             if found or size >= len(left):
                 a = found[-1] if found else 0
                 break
             size *= 2
-        found = self.edge.search(right)
-        return a, found.start() + 1 if found else len(right)
+        return a, next(self._places(right), len(right))
 
     def _count(self, ids: np.ndarray, size: int, step: int) -> int:
         """How many ids of one end (step -1: the last ones) make up ``size`` bytes."""
@@ -110,6 +121,8 @@ class ByteBPE:
         (left, a), (right, b) = one, two
         i, j = self._edges(left, right)
         tail, head = left[i:], right[:j]
+        if not tail and not head:
+            return left + right, np.concatenate([a, b])
         m, n = self._count(a, len(tail.encode()), -1), self._count(b, len(head.encode()), 1)
         a_tail, b_head = a[len(a) - m :], b[:n]
         if len(tail) + len(head) <= LEAF:
