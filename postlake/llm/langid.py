@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postlake.llm.streams import tidy
-from postlake.runtime import Scratch, ship_package
+from postlake.runtime import ship_package
 
 #: n-grams of a language's profile and of a document's.
 SIZE = 400
@@ -142,12 +143,11 @@ def fit_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "t
     ship_package(labelled.sparkSession)
     texts = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     total = texts.mapInArrow(tidy(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    scratch = Scratch(labelled.sparkSession, "langid")
-    total = scratch.keep(total, "ngrams")
+    # the rank's bound is applied before the shuffle, so a language sends ``size`` rows a task
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     profiles: dict[str, list[int]] = {}
-    for (lang,) in total.select("lang").distinct().orderBy("lang").collect():  # one top-k a language
-        profiles[lang] = [r["code"] for r in total.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(size).collect()]
-    scratch.drop("ngrams")
+    for r in total.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
+        profiles.setdefault(r["lang"], []).append(r["code"])
     return profiles
 
 
