@@ -13,10 +13,12 @@ by projected gradient steps from r = 1, in the metric that weighs a document wit
 r_d <- max(0, r_d - sum_k p_dk g_k).  The plain gradient is g_k = (A_k - T_k) / S_k: the matrix of this problem is
 stochastic, its largest eigenvalue is 1, so the step 1 descends.  Where posteriors overlap that is slow, so the gradient
 is scaled by the inverse of C + damping * S, C being the K x K curvature over the documents that have a rate: little
-damping meets the targets at once unless rates become 0, a damping of 1 always descends.  A step that wins nothing
-is taken back and damped more; one that wins nothing at full damping ends the fit.  Each step is
+damping meets the targets at once unless rates become 0.  A scaled step that wins next to nothing is taken back and damped
+more; where none wins any more, as at targets that no rates meet, plain steps follow, with momentum that begins anew
+whenever it leads upwards.  They end at the least squares optimum: where a step no longer moves the rates (the projected
+gradient is the step itself, so that is the optimality condition).  Each step is
 one distributed pass over (tokens, posteriors), which returns K totals and K x K curvatures; a document's rate
-depends only on its posteriors and the K numbers of each step so far, so those few numbers are all the state
+depends only on its posteriors and the K + 1 numbers of each step so far, so those few numbers are all the state
 there is: a lost executor recomputes rates from them.
 """
 
@@ -34,30 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from postlake.llm.streams import texts_of, tidy
+from postlake.llm.streams import Remembered, texts_of, tidy
 from postlake.runtime import Scratch, ship_package
 
 #: Labelled documents to train on, hashed features, passes over the sample.
 FIT, WIDTH, EPOCHS = 16_384, 1 << 16, 20
 #: Features that are used, documents that each is in at least, pull of the weights towards 0.
 CHOSEN, OFTEN, DECAY = 2_048, 4, 0.01
-#: The largest relative miss of a target at which steps end, the share of the objective that a step
+#: The largest relative miss of a target at which steps end, the share of the objective that a scaled step
 #: must still win, and the least damping.
 TOLERANCE, STILL, LEAST = 1e-4, 1e-2, 1e-9
+#: The mean move of a rate (root of the mean square over tokens) in a plain step at which steps end, their greatest number,
+#: and after how many scaled ones are tried again.
+MOVE, MOST, EVERY = 2e-5, 300, 10
 log = logging.getLogger(__name__)
 
 
-class WordBuckets(dict):
-    LIMIT = 100_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word) % WIDTH
-        return value
-
-
-_buckets = WordBuckets()
+_buckets = Remembered(lambda word: xxhash.xxh32_intdigest(word) % WIDTH)
 
 
 PUNCTUATION = b".,;:!?\"'()#$%&*-=_+~/\\|<>@^"
@@ -159,7 +154,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
     # the sample is at most FIT rows of two columns, whatever the size of the tables
     sample = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).join(F.broadcast(table), "i").select("i", "domain", "text")
-    rows = sample.mapInArrow(tidy(words, "postlake.llm.mixing._buckets"), "i long, domain string, words binary").limit(2 * FIT).collect()
+    found = sample.mapInArrow(tidy(words, "postlake.llm.mixing._buckets"), "i long, domain string, words binary")
+    rows = found.groupBy("i").agg(F.min("domain").alias("domain"), F.min("words").alias("words")).collect()  # of an id's rows always the same
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["i"])), r["words"]))
     return train([np.frombuffer(r["words"], np.int32) for r in rows], [r["domain"] for r in rows])
 
@@ -184,12 +180,21 @@ def with_membership(docs: DataFrame, classifier: Classifier, text_col: str = "te
     return docs.mapInArrow(tidy(run, "postlake.llm.mixing._buckets"), type(docs.schema)(list(docs.schema.fields)).add(tokens, "long").add(posteriors, ArrayType(DoubleType())))
 
 
-def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` (n x K) after the given gradient steps."""
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.maximum(0.0, r - p @ g)
-    return r
+Step = tuple[np.ndarray, float]
+
+
+def rates_before_last(p: np.ndarray, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors ``p`` (n x K) after the given steps (gradient, momentum), and where the last
+    step was taken from."""
+    r = last = start = np.ones(len(p))
+    for g, momentum in steps:
+        start = r + momentum * (r - last) if momentum else r
+        last, r = r, np.maximum(0.0, start - p @ g)
+    return r, start
+
+
+def rates_of(p: np.ndarray, steps: list[Step]) -> np.ndarray:
+    return rates_before_last(p, steps)[0]
 
 
 def _matrix(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
@@ -200,7 +205,7 @@ def _matrix(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
 class Fit:
     """Gradient steps, domain totals before, those that the rates give, and those that they should give."""
 
-    steps: list[np.ndarray]
+    steps: list[Step]
     natural: np.ndarray
     reached: np.ndarray
     target: np.ndarray
@@ -217,32 +222,37 @@ class Fit:
 
 
 def fit_steps(members: DataFrame, k: int, weights: np.ndarray, total: float | None = None) -> Fit:
-    """Steps until every target is met, or, where no rates meet them, until the objective has stopped falling; such
+    """Steps until every target is met, or, where no rates meet them, until they are as near as any rates come; such
     a miss is logged and is the fit's ``residual``.  Documents whose posteriors overlap much take many steps.
 
     ``weights`` are the targets' shares.  ``total`` is how many tokens they share out; by default as many as let
     the domain of the largest share keep what it has, so that its documents are neither dropped nor repeated much.
     """
 
-    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Domain totals, and the curvature over documents with a rate."""
+    ship_package(members.sparkSession)
+    n = k + k * k + 2
+
+    def totals(steps: list[Step]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Domain totals, the curvature over documents with a rate, and how far the last step moved the rates."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, curves = np.zeros(k), np.zeros((k, k))
+            sums, curves, moved, tokens = np.zeros(k), np.zeros((k, k)), 0.0, 0.0
             for batch in batches:
                 p, t = _matrix(batch, "posteriors", k), batch.column("tokens").to_numpy()
-                r = rates_of(p, steps)
+                r, start = rates_before_last(p, steps)
                 sums += (r * t) @ p
                 curves += (p * (t * (r > 0))[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(k + k * k), pa.int32()), pa.array(np.concatenate([sums, curves.ravel()]))], names=["k", "s"])
+                moved += float(t @ (r - start) ** 2)
+                tokens += float(t.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(np.concatenate([sums, curves.ravel(), [moved, tokens]]))], names=["k", "s"])
 
         rows = members.select("tokens", "posteriors").mapInArrow(tidy(run), "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-        out = np.zeros(k + k * k)
+        out = np.zeros(n)
         for r in rows:
             out[r["k"]] = r["s"]
-        return out[:k], out[k:].reshape(k, k)
+        return out[:k], out[k:-2].reshape(k, k), float(np.sqrt(out[-2] / out[-1])) if out[-1] else 0.0
 
-    natural, curves = totals([])
+    natural, curves, _ = totals([])
     now = natural
     used = np.where(natural > 0, weights, 0)
     if used.sum() <= 0:
@@ -254,19 +264,34 @@ def fit_steps(members: DataFrame, k: int, weights: np.ndarray, total: float | No
     target = used * total
     scale = np.where(natural > 0, natural, 1.0)
     objective = lambda x: float(((x - target) ** 2 / scale).sum())
-    steps: list[np.ndarray] = []
-    damping = LEAST
-    while np.abs(now - target).max() > TOLERANCE * total:
-        step = np.linalg.solve(curves + damping * np.diag(scale), now - target)
-        found = totals([*steps, step])
-        if objective(now) - objective(found[0]) > STILL * objective(now):
-            steps, (now, curves) = [*steps, step], found
-            damping = max(LEAST, damping / 10)
-        elif damping < 1:
-            damping = min(1.0, 30 * damping)
-        else:
-            log.warning("mixing: after %d steps the targets are missed by up to %.3g of all tokens: %s instead of %s", len(steps), np.abs(now - target).max() / total, now.tolist(), target.tolist())
-            break
+    missed = lambda: np.abs(now - target).max() > TOLERANCE * total
+    steps: list[Step] = []
+    damping, last, t, moved = LEAST, natural, 1.0, np.inf
+    while missed() and moved > MOVE and len(steps) < MOST:
+        if damping <= 1 or len(steps) % EVERY == 0:
+            step = (np.linalg.solve(curves + min(damping, 1.0) * np.diag(scale), now - target), 0.0)
+            found, curved, _ = totals([*steps, step])
+            if objective(now) - objective(found) > STILL * objective(now):
+                steps, last, now, curves, t = [*steps, step], found, found, curved, 1.0
+                damping = max(LEAST, damping / 10)
+                continue
+            damping *= 30
+            if damping <= 1:
+                continue
+        further = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        momentum = (t - 1) / further
+        # totals depend on rates in a line, so those of the point that momentum leads to needn't be counted
+        at = now + momentum * (now - last)
+        step = ((at - target) / scale, momentum)
+        found, curved, shift = totals([*steps, step])
+        if momentum and objective(found) > objective(now):
+            last, t = now, 1.0
+            continue
+        steps, last, now, curves, t, moved = [*steps, step], now, found, curved, further, shift
+        if len(steps) % EVERY == 0:
+            damping = min(damping, 1e-3)
+    if missed():
+        log.warning("mixing: after %d steps the targets are missed by up to %.3g of all tokens: %s instead of %s", len(steps), np.abs(now - target).max() / total, now.tolist(), target.tolist())
     return Fit(steps, natural, now, target)
 
 
