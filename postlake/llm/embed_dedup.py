@@ -1,8 +1,8 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells.
 
 Vectors are compared only within a label.  Copies (equal label and components) are collapsed first onto
-one numbered vector.  Each label, however small, is cut into cells by spherical k-means on a bounded sample of its
-own vectors; a cell that is still large is cut again, and so on, so neither the number of cells nor that of
+one numbered vector.  Each label is cut into cells by spherical k-means on a bounded sample of its
+own vectors (one of fewer than ``LEAST`` is one cell); a cell that is still large is cut again, and so on, so neither the number of cells nor that of
 levels is fixed.  How many cells a group gets is what costs least on the sample; a group that no cut makes
 cheaper (a dense ball) stays whole and is compared in blocks.
 

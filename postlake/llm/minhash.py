@@ -31,9 +31,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.window import Window
 
 from postlake.llm.components import connected_components
-from postlake.llm.streams import block_pairs, map_groups, roots, texts_of, tidy
+from postlake.llm.streams import Remembered, block_pairs, map_groups, roots, texts_of, tidy
 from postlake.runtime import Scratch
 
 ROWS, BANDS = 6, 32
@@ -41,19 +43,7 @@ PERMUTATIONS = ROWS * BANDS // 2
 U = np.uint64
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for the words a worker meets often."""
-
-    LIMIT = 100_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
+_words = Remembered(xxhash.xxh64_intdigest)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -356,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with their columns, one of each group: that of the smallest id.
 
-    Where rows repeat an id and a set of shingles one of them stays; rows of one id with unlike texts are judged one
+    Where rows repeat an id and a set of shingles the one whose text (then other columns) comes first stays; rows of one id with unlike texts are judged one
     by one.  Rows without an id and texts without words have no duplicates and all stay.  Texts are filtered by ids,
     only rows of repeated ids (few, or none) are compared by contents.
     """
@@ -377,7 +367,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     again = again.mapInArrow(_own_words(digests), type(docs.schema)(list(docs.schema.fields)).add(lo, "long").add(hi, "long"))
     wanted = groups.where("kept and doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias(i), F.col("lo").alias(x), F.col("hi").alias(y)).distinct()
-    unlike = again.where(F.col(lo).isNotNull()).join(wanted, (own == F.col(i)) & (F.col(lo) == F.col(x)) & (F.col(hi) == F.col(y)), "left_semi").dropDuplicates([id_col, lo, hi])
+    unlike = again.where(F.col(lo).isNotNull()).join(wanted, (own == F.col(i)) & (F.col(lo) == F.col(x)) & (F.col(hi) == F.col(y)), "left_semi")
+    rank = Window.partitionBy(id_col, lo, hi).orderBy(text_col, *(F.col(c) for c in docs.columns if c not in (id_col, text_col) and not isinstance(docs.schema[c].dataType, MapType | VariantType)))
+    unlike = unlike.withColumn(x, F.row_number().over(rank)).where(F.col(x) == 1)
     return once.unionByName(unlike.select(*docs.columns)).unionByName(again.where(F.col(lo).isNull()).select(*docs.columns))
 
 

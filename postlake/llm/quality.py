@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.streams import texts_of, tidy
+from postlake.llm.streams import Remembered, texts_of, tidy
 from postlake.runtime import Scratch, ship_package
 
 BITS = 16
@@ -41,19 +41,7 @@ LENGTH = 1_000.0
 UNIT, TEXTS, BINS = 1 << 16, 200, 4_096
 
 
-class WordHashes(dict):
-    """32-bit hashes of words, remembered for the words a worker meets often."""
-
-    LIMIT = 100_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word)
-        return value
-
-
-_words = WordHashes()
+_words = Remembered(xxhash.xxh32_intdigest)
 
 
 def features(text: bytes) -> np.ndarray:
@@ -196,7 +184,8 @@ def fit_selection(docs: DataFrame, labels: DataFrame, k: int | None = None, id_c
     if k is None:
         bad = _labelled_ids(labels, 0, CALIBRATE)
         ids = docs.sparkSession.createDataFrame([(i, True) for i in calibrate] + [(i, False) for i in bad], "doc_id long, good boolean")
-        held = scored.join(F.broadcast(ids), "doc_id").select("good", "log_weight").limit(8 * CALIBRATE).collect()
+        held = scored.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("good"), F.min("log_weight")).collect()  # at most 2 * CALIBRATE rows
+        held = [r[1:] for r in held]
         cut = best_cut(np.array([r[1] for r in held if r[0]]), np.array([r[1] for r in held if not r[0]]))
         k = scored.where(F.col("log_weight") >= cut).count()
     keys = scored.select(gumbel_key("log_weight", "doc_id").alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))

@@ -17,6 +17,24 @@ from postlake.runtime import Scratch
 Batches = Iterator[pa.RecordBatch]
 
 
+class Remembered(dict):
+    """What a function gives for the byte strings that a worker meets often, in bounded memory: strings of more than
+    ``LONGEST`` bytes are computed each time, and beyond ``LIMIT`` others all are forgotten."""
+
+    LONGEST, LIMIT = 64, 100_000
+
+    def __init__(self, compute: Callable[[bytes], int]):
+        self.compute = compute
+
+    def __missing__(self, key: bytes) -> int:
+        value = self.compute(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[key] = value
+        return value
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers are reused by later stages."""
     pa.default_memory_pool().release_unused()

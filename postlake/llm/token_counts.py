@@ -31,9 +31,9 @@ from postlake.runtime import Scratch, ship_package
 MARK = "▁"
 RANK_OFFSET, UNKNOWN = 3.0, 10.0
 #: Words whose counts every task gets, and their longest; words that a task counts before it hands on those that it met
-#: twice; words that a task scores; other words' counts that a task remembers; depth to which nodes of a path are kept for
+#: twice; words that a task scores; bytes of other words whose counts a task remembers (it forgets all beyond, but for those of the texts at hand); depth to which nodes of a path are kept for
 #: the next word (deeper ones are computed again); steps of a doubling in the histogram of frequencies.
-OFTEN, OFTEN_BYTES, HELD, SCORED, KNOWN, KEEP, STEPS = 200_000, 64, 200_000, 20_000, 200_000, 1_024, 16
+OFTEN, OFTEN_BYTES, HELD, SCORED, KNOWN, KEEP, STEPS = 200_000, 64, 200_000, 20_000, 40 << 20, 1_024, 16
 
 
 def public_pieces() -> str:
@@ -112,6 +112,11 @@ class TokenTrie:
         return node[1]
 
 
+def _weight(word: str) -> int:
+    """Bytes of a word and its place in a table, at most."""
+    return 150 + 4 * len(word)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pre-tokens that a stretch of text has more than once and how often, in bounded memory."""
     found: Counter = Counter()
@@ -123,7 +128,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text:
-                found.update(text.split())
+                words = text.split()
+                # longer ones aren't handed on, and mustn't be held
+                found.update(words if len(max(words, key=len, default="")) <= OFTEN_BYTES else [w for w in words if len(w) <= OFTEN_BYTES])
             if len(found) >= HELD:
                 yield some()
                 found.clear()
@@ -166,7 +173,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, trie = shared.value, TokenTrie(load_pieces(path))
-        rare: dict[str, int] = {}
+        rare, held = {}, 0  # and its bytes
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -174,9 +181,11 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                 found = [Counter((t or "").split()) for t in texts]
                 new = set().union(*found)
                 new.difference_update(often, rare)
-                if len(rare) + len(new) > KNOWN:
+                held += sum(map(_weight, new))
+                if held > KNOWN:
                     new.update(w for f in found for w in f if w in rare)
                     rare.clear()
+                    held = sum(map(_weight, new))
                 for w in sorted(new):
                     rare[w] = trie.count(MARK + w)
                 count = lambda w: often[w] if w in often else rare[w]

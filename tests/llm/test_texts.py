@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from postlake.llm import bpe, langid, media, secret_scan, token_counts
+from postlake.llm.streams import Remembered
 from postlake.runtime import Scratch
 from tests.llm.helpers import DOCS, ODD
 
@@ -278,7 +279,6 @@ def test_texts_of_the_tables_are_joined(docs, library, monkeypatch):
     monkeypatch.setattr(bpe.ByteBPE, "join_texts", lambda self, a, b: joins.append(1) or own(self, a, b))
     for leaf in (1024, 37, 3):
         monkeypatch.setattr(bpe, "LEAF", leaf)
-        monkeypatch.setattr(bpe, "PARALLEL", 64 if leaf == 1024 else 4)
         before = len(joins)
         for t in texts if leaf == 1024 else texts[::7]:
             assert e.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
@@ -298,6 +298,26 @@ def test_joins_anywhere_are_exact(seed, library, monkeypatch):
         assert e.decode(ids) == t
 
 
+TEXTS = {
+    "code": "a.b(c);" * 30_000,
+    "clauses": "".join("，" if i % 13 == 12 else chr(0x4E00 + i * 7919 % 20_000) for i in range(40_000)),
+    "prose": " ".join(f"w{'aeiou'[i % 5]}rd{'s' * (i % 3)}" for i in range(20_000)),
+    "one word": "abcde" * 8_000,
+    "marks": "e\u0301a\u0300" * 10_000,
+    "quotes": "don't'll've" * 4_000,
+}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_little_more_than_the_text_is_encoded(name, library, monkeypatch):
+    e, seen, text = bpe.load(*bpe.public_vocabulary()), [0], TEXTS[name]
+    leaf, piece = e._leaf, e._bytes
+    monkeypatch.setattr(e, "_leaf", lambda t: seen.append(len(t.encode())) or leaf(t))
+    monkeypatch.setattr(e, "_bytes", lambda b: seen.append(len(b)) or piece(b))
+    assert e.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(seen) < 1.1 * len(text.encode())
+
+
 # -- token counts ------------------------------------------------------------------------------------
 
 
@@ -331,6 +351,29 @@ def test_counts_equal_one_lattice_a_word(docs, odd, none):
     assert token_counts.count_tokens(none).collect() == []
 
 
+def test_long_distinct_words_are_held_within_a_bound(monkeypatch):
+    """Words of 10,000 characters, as in text without blanks: what tasks hold is bounded by bytes, not by their number."""
+    import pyarrow as pa
+
+    words = [chr(0x4E00 + i) * 10_000 for i in range(40)]
+    sizes = []
+
+    class Watched(token_counts.Counter):
+        def update(self, *a):
+            super().update(*a)
+            sizes.append(sum(map(len, self)))
+
+    monkeypatch.setattr(token_counts, "Counter", Watched)
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{w} short {w}"] * 2)], names=["text"]) for w in words]
+    (got,) = token_counts._repeated(iter(batches))
+    assert got.to_pydict() == {"word": ["short"], "n": [80]} and max(sizes) == 5
+    held = Remembered(len)
+    assert [held[w.encode()] for w in words] == [30_000] * 40 and not held
+    assert held[b"x"] == 1 and list(held) == [b"x"]
+    monkeypatch.setattr(Remembered, "LIMIT", 3)
+    assert [held[b"%d" % i] for i in range(10)] == [1] * 10 and len(held) <= 3
+
+
 def test_long_paths_are_computed_again(monkeypatch):
     pieces = {"▁": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "▁a": -1.5}
     monkeypatch.setattr(token_counts, "KEEP", 5)
@@ -356,7 +399,7 @@ def test_rare_and_long_words_count_like_frequent_ones(spark, docs, monkeypatch):
     rows = [(i, r["text"]) for i, r in enumerate(docs.limit(30).collect())] + [(50, "漢字" * 900), (51, "x" * 5000 + " y"), (51, "x" * 5000 + " y"), (None, "z" * 200), (52, None)]
     want = [(i, len(t or ""), len((t or "").split()), sum(best_count("▁" + w, pieces) for w in (t or "").split())) for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for often, held, known, scored in ((50, 100, 60, 10), (10**6, 10**6, 10**6, 10**6), (0, 10, 10, 1)):
+    for often, held, known, scored in ((50, 100, 60, 10), (10**6, 10**6, 10**8, 10**6), (0, 10, 10, 1)):
         for name, value in (("OFTEN", often), ("HELD", held), ("KNOWN", known), ("SCORED", scored)):
             monkeypatch.setattr(token_counts, name, value)
         few = token_counts.frequent_counts(df, Scratch(spark, "t"), token_counts.public_pieces())
