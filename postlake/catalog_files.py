@@ -33,6 +33,7 @@ from postlake.plans.nlq import rule_parser
 from postlake.plans.service import MailService, payload, shown
 from postlake.runtime import Scratch, ship_package, table
 from postlake.schema import EXTRACTION_VERSION
+from postlake.sources import eml
 from postlake.sources.mailfiles import confirmed_missing, count_messages, inside, list_messages, parse_messages
 from postlake.sources.store import Store, delete_paths, upsert_vectors
 from postlake.streaming.ingest import Ingest, StallWatch
@@ -287,12 +288,12 @@ def _plain_root(scratch: Scratch) -> str:
 
 def write_files(rows: DataFrame, root: str, at: float | None = None) -> None:
     """Writes (name, content) below a folder; on the local file system with a time of change."""
-    from postlake.sources.mailfiles import _folder
+    from postlake.sources.places import folder_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                store, folder, _ = _folder((root + name).rpartition("/")[0])
+                store, folder, _ = folder_of((root + name).rpartition("/")[0])
                 store.create_dir(folder, recursive=True)
                 with store.open_output_stream(f"{folder}/{name.rpartition('/')[2]}", compression=None) as f:
                     f.write(content)
@@ -332,6 +333,40 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.regexp_extract("file_path", r"(\d+)\.eml$", 1).cast("long").alias("k"), name.alias("name"), "subject", F.size("attachments").alias("files"), F.coalesce("listed", F.lit("early")).alias("listed"))
 
 
+@query(f"with s as ({SUPPLIERS}) select k, name, s_name as subject, cast(case when k % 3 = 0 then 3 else 0 end as integer) as files from s where k % 4 <> 0")
+def eml_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message files through the data source, by URI, with the time of change pushed into the walk."""
+    eml.register(spark)
+    root = _archive(spark, sf_dir, Scratch(spark, "eml"))
+    k = F.col("s_suppkey")
+    write_files(table(spark, sf_dir, "supplier").where(k % 4 == 0).select(_name(k).alias("name"), _message(k, F.col("s_name")).alias("content")), root, datetime(2024, 6, 1, tzinfo=UTC).timestamp())
+    files = spark.read.format("eml").load(f"file://{root}").where(F.col("file_mtime") < datetime(2024, 5, 20, tzinfo=UTC).timestamp())
+    records = parse_messages(files.repartition(spark.sparkContext.defaultParallelism))
+    return records.select(_number().alias("k"), F.substr("file_path", F.lit(len(root) + 1)).alias("name"), "subject", F.size("attachments").alias("files"))
+
+
+def _number() -> Column:
+    return F.regexp_extract("file_path", r"(\d+)\.eml$", 1).cast("long")
+
+
+@query(f"with s as ({SUPPLIERS}) select k, name, case when k % 5 = 1 then 'new ' || s_name else s_name end as subject from s")
+def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index kept by a stream over a folder's URI: all files, then those that changed, then nothing."""
+    scratch = Scratch(spark, "streamed-index")
+    root = _archive(spark, sf_dir, scratch)
+    ingest = Ingest(Store(spark, scratch.path("index"), buckets=8))
+    run = lambda: ingest.stream(f"file://{root}", scratch.path("progress")).awaitTermination()
+    run()
+    k = F.col("s_suppkey")
+    write_files(table(spark, sf_dir, "supplier").where(k % 5 == 1).select(_name(k).alias("name"), _message(k, text("new ", F.col("s_name"))).alias("content")), root)
+    run()
+    version = ingest.store.manifest()
+    run()
+    if ingest.store.manifest() != version:
+        raise ValueError("nothing had changed")
+    return ingest.store.table("emails").select(_number().alias("k"), F.substr("file_path", F.lit(len(root) + 1)).alias("name"), "subject")
+
+
 def _indexed(spark: SparkSession, sf_dir: str, scratch: Scratch, **settings) -> tuple[Ingest, str]:
     root = _archive(spark, sf_dir, scratch)
     n = table(spark, sf_dir, "supplier").count()
@@ -374,12 +409,12 @@ def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _remove(rows: DataFrame, root: str) -> None:
     from pyarrow import fs
 
-    from postlake.sources.mailfiles import _folder
+    from postlake.sources.places import folder_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("name").to_pylist():
-                store, path, _ = _folder(root + name)
+                store, path, _ = folder_of(root + name)
                 if store.get_file_info(path).type == fs.FileType.File:
                     store.delete_file(path)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import time
 
 from postlake.params import SETTINGS, Settings
 
@@ -24,15 +23,13 @@ def should_strip(text: str, s: Settings = SETTINGS) -> bool:
 
 def without_quotes(text: str, s: Settings = SETTINGS) -> str:
     """The text before the first reply intro, original-message rule or quoted header, without lines that begin
-    with ``>``.  Text that would be empty then, is too long, or takes longer than allowed, stays as it is."""
+    with ``>``.  Text that would be empty then, or is too long, stays as it is; each line is matched within
+    a bounded number of characters, so the work is bounded by lines."""
     if not text or not should_strip(text, s):
         return text
     lines = text.split("\n")
     end = len(lines)
-    late = time.monotonic() + s.quote_seconds
     for i, line in enumerate(lines):
-        if time.monotonic() > late:
-            return text
         two = line + " " + lines[i + 1].strip() if i + 1 < len(lines) and len(line) < 120 else line
         header = _HEADER.match(line) and any(_HEADER_NEXT.match(x) for x in lines[i + 1 : i + 4])
         if _INTRO.match(line) or (_INTRO.match(two) and re.match(r"(?i)\s*(on|le|am|el)\b", line)) or _RULE.match(line) or (header and i):

@@ -33,7 +33,6 @@ class Settings:
     quotes: bool = True
     quote_chars: int = 50_000
     quote_lines: int = 1_500
-    quote_seconds: float = 2.0
     link_scheme: str = "message"
     parser_default: bool = False
     rerank_default: bool = False

@@ -14,6 +14,7 @@ from postlake.functions.mime import parse_message
 from postlake.params import SETTINGS, Settings
 from postlake.runtime import ship_package
 from postlake.schema import PARSED
+from postlake.sources.places import folder_of, look_up, plain_name, planned, walked
 
 LONGEST_PATH = 4_096
 
@@ -24,7 +25,7 @@ def _reader(spark, directory: str, modified_after: datetime | str | None, stream
         r = r.option("modifiedAfter", modified_after if isinstance(modified_after, str) else modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
     if stream:
         r = r.schema("path string, modificationTime timestamp, length long, content binary")
-    return r.load(directory)
+    return r.load(plain_name(directory))
 
 
 def plain_path(column="path"):
@@ -36,69 +37,28 @@ def mtime(column="modificationTime"):
     return F.col(column).cast("double")
 
 
-#: Folders that the driver lists before the executors go on below them.
-SPREAD = 256
-
-
-def _folder(directory: str):
-    """The file system of a folder (a path or a URI), its path there, and what makes a full name of one."""
-    from pyarrow import fs
-
-    if directory.startswith("/"):
-        return fs.LocalFileSystem(), directory.rstrip("/") or "/", lambda p: p
-    if directory.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + directory.removeprefix("file:").strip("/"), lambda p: p
-    store, path = fs.FileSystem.from_uri(directory)
-    head = directory[: len(directory.rstrip("/")) - len(path.strip("/"))].rstrip("/") + "/"
-    return store, path, lambda p: head + p.lstrip("/")
-
-
-def _children(store, folder: str) -> tuple[list[str], list]:
-    """Folders and message files in a folder; hidden ones, and what can't be read, are left out."""
-    from pyarrow import fs
-
-    try:
-        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    except OSError:
-        return [], []
-    seen = [i for i in found if not i.base_name.startswith(".")]
-    return [i.path for i in seen if i.type == fs.FileType.Directory], [i for i in seen if i.type == fs.FileType.File and i.base_name.endswith(".eml")]
-
-
 def list_messages(spark: SparkSession, directory: str, modified_after: datetime | str | None = None) -> DataFrame:
-    """file_path, file_mtime, file_size of every ``.eml`` below a directory.  The contents aren't read.
+    """file_path, file_mtime, file_size of every ``.eml`` below a directory, given by path or URI.  The contents aren't read.
 
     The driver lists no more than the topmost folders; executors walk what is below them, so nothing holds the
-    names of a whole archive.  Times are whole milliseconds, as Spark's own file sources have them.
+    names of a whole archive, and a flat folder of many files is walked by several tasks.
     """
     ship_package(spark)
     if isinstance(modified_after, str):
         modified_after = datetime.fromisoformat(modified_after)
     after = None if modified_after is None else (modified_after if modified_after.tzinfo else modified_after.replace(tzinfo=UTC)).timestamp()
-    store, top, _ = _folder(directory)
-    level, tasks = [top], []  # a folder and whether what is below it is walked too
-    while level and len(level) + len(tasks) < SPREAD:
-        tasks += [(f, False) for f in level]
-        level = [c for f in level for c in _children(store, f)[0]]
-    tasks += [(f, True) for f in level]
+    names = ["file_path", "file_mtime", "file_size"]
+    pieces = planned(directory)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _, full_name = _folder(directory)
-        names = ["file_path", "file_mtime", "file_size"]
         for batch in batches:
-            open_folders = list(zip(batch.column("folder").to_pylist(), batch.column("deep").to_pylist(), strict=True))
-            while open_folders:
-                folder, deep = open_folders.pop()
-                folders, files = _children(store, folder)
-                if deep:
-                    open_folders += [(f, True) for f in folders]
-                rows = [(full_name(i.path), i.mtime_ns // 1_000_000 / 1000, i.size) for i in files if i.mtime_ns is not None]
-                rows = [r for r in rows if after is None or r[1] > after]
-                for at in range(0, len(rows), 10_000):
-                    some = list(zip(*rows[at : at + 10_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array(some[1], pa.float64()), pa.array(some[2], pa.int64())], names=names)
-
-    folders = spark.createDataFrame(tasks, "folder string, deep boolean").repartition(max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism)))
+            for piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for rows in walked(directory, piece, None if after is None else lambda _, changed, size: changed > after):
+                    for at in range(0, len(rows), 10_000):
+                        some = list(zip(*rows[at : at + 10_000], strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array(some[1], pa.float64()), pa.array(some[2], pa.int64())], names=names)
+
+    folders = spark.createDataFrame(pieces, "folder string, deep boolean, share int, shares int").repartition(max(1, min(len(pieces), 4 * spark.sparkContext.defaultParallelism)))
     return folders.mapInArrow(walk, "file_path string, file_mtime double, file_size long")
 
 
@@ -114,7 +74,7 @@ def read_messages(spark: SparkSession, directory: str, modified_after: datetime
 
 def inside(directory: str, column="file_path"):
     """Whether a path lies in a directory (not in one whose name merely begins alike) and isn't too long."""
-    return F.startswith(F.col(column), F.lit(directory.rstrip("/") + "/")) & (F.length(column) <= LONGEST_PATH) & ~F.col(column).rlike(r"(^|/)\.\.(/|$)")
+    return F.startswith(F.col(column), F.lit(plain_name(directory).rstrip("/") + "/")) & (F.length(column) <= LONGEST_PATH) & ~F.col(column).rlike(r"(^|/)\.\.(/|$)")
 
 
 def unchanged_removed(candidates: DataFrame, emails: DataFrame) -> DataFrame:
@@ -134,13 +94,11 @@ def read_paths(spark: SparkSession, wanted: DataFrame, bytes_per_task: int = 64
     tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // bytes_per_task))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             held: list[bytes | None] = []
             start = size = 0
             for i, path in enumerate(batch.column("file_path").to_pylist()):
-                store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+                store, name, _ = folder_of(path)
                 try:
                     with store.open_input_stream(name, compression=None) as f:
                         held.append(f.read())
@@ -166,8 +124,7 @@ def confirmed_missing(rows: DataFrame) -> DataFrame:
         for batch in batches:
             gone = []
             for path in batch.column("file_path").to_pylist():
-                store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
-                gone.append(store.get_file_info(name).type == fs.FileType.NotFound)
+                gone.append(look_up(path).type == fs.FileType.NotFound)
             yield pa.RecordBatch.from_arrays([batch.column("file_path").filter(pa.array(gone))], names=["file_path"])
 
     return rows.select("file_path").mapInArrow(run, "file_path string")

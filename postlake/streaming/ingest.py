@@ -10,9 +10,9 @@ import traceback
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
-from pathlib import Path
 from typing import IO, Any
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -25,7 +25,9 @@ from postlake.operators.search import Embed, embed_column, hashing_embedder
 from postlake.params import SETTINGS, Settings
 from postlake.runtime import Scratch, sweep
 from postlake.schema import EXTRACTION_VERSION
-from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_messages, read_messages, read_paths, unchanged_removed
+from postlake.sources import eml
+from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_messages, read_paths, unchanged_removed
+from postlake.sources.places import ENDING, look_up, plain_name
 from postlake.sources.store import Store, bucket_of
 
 
@@ -173,23 +175,28 @@ class Ingest:
         if buckets != m["buckets"]:
             self.store.rebucket(buckets)
 
+    def _file_row(self, path: str, seen) -> DataFrame | None:
+        """A message file that was looked up, as a row of a listing; none for what is no message file."""
+        if seen.type != FileType.File or not path.endswith(ENDING):
+            return None
+        return self.spark.createDataFrame([(path, seen.mtime_ns // 1_000_000 / 1000, seen.size)], "file_path string, file_mtime double, file_size long")
+
     def index_file(self, path: str) -> dict[str, Any]:
         """One file: indexed, moved, skipped, not_found or failed."""
-        p = Path(path).resolve()
-        if not p.exists():
-            return {"status": "not_found", "file_path": str(p), "message": "There is no such file."}
-        stat = p.stat()
-        known = by_path(self.store.table("emails", [str(p)]), str(p)).select("file_mtime").first()
-        row = list_messages(self.spark, str(p.parent)).where(F.col("file_path") == str(p))
-        seen = row.first()
-        if seen is None or stat.st_size > self.s.largest_message:
-            return {"status": "failed", "file_path": str(p), "message": "The file is no message, or too large."}
-        if known is not None and known[0] == seen["file_mtime"]:
-            return {"status": "skipped", "file_path": str(p), "message": "The index holds it as it is."}
+        p = plain_name(path)
+        seen = look_up(p)
+        if seen.type == FileType.NotFound:
+            return {"status": "not_found", "file_path": p, "message": "There is no such file."}
+        row = self._file_row(p, seen)
+        if row is None or seen.size > self.s.largest_message:
+            return {"status": "failed", "file_path": p, "message": "The file is no message, or too large."}
+        known = by_path(self.store.table("emails", [p]), p).select("file_mtime").first()
+        if known is not None and known[0] == row.first()["file_mtime"]:
+            return {"status": "skipped", "file_path": p, "message": "The index holds it as it is."}
         with self.store.locked("index-file"):
             run = self.write(read_paths(self.spark, row))
         status = "failed" if run.failed or not run.indexed else "moved" if run.moved else "indexed"
-        return {"status": status, "file_path": str(p), "message": f"{run.indexed} indexed, {run.moved} moved, {run.failed} failed"}
+        return {"status": status, "file_path": p, "message": f"{run.indexed} indexed, {run.moved} moved, {run.failed} failed"}
 
     def reextract(self, limit: int | None = None) -> dict[str, int]:
         """Parse again what an older version extracted (with a limit, those of the smallest ids), in batches;
@@ -210,13 +217,13 @@ class Ingest:
         if not file_path and not message_id:
             raise ValueError("a file_path or a message_id is needed")
         emails = self.store.table("emails")
-        row = (by_path(emails, file_path) if file_path else by_message_id(emails, message_id)).first()
+        row = (by_path(emails, plain_name(file_path)) if file_path else by_message_id(emails, message_id)).first()
         if row is None:
             return {"status": "not_indexed", "file_path": file_path or ""}
-        if not Path(row["file_path"]).exists():
+        found = self._file_row(row["file_path"], look_up(row["file_path"]))
+        if found is None:
             return {"status": "missing_file", "file_path": row["file_path"]}
         with self.store.locked("reextract"):
-            found = list_messages(self.spark, str(Path(row["file_path"]).parent)).where(F.col("file_path") == row["file_path"])
             run = self.write(read_paths(self.spark, found))
         if not run.indexed:
             return {"status": "parse_failed", "file_path": row["file_path"]}
@@ -238,7 +245,7 @@ class Ingest:
     def prune(self, directory: str, dry_run: bool = False) -> dict[str, int]:
         """Delete rows whose file is gone: it is neither found by a scan of the directory nor there when looked
         for.  A directory that is missing or holds no message is refused: it is more likely not mounted than empty."""
-        if not Path(directory).is_dir():
+        if look_up(directory).type != FileType.Directory:
             raise ValueError(f"{directory} is no directory")
         scratch = Scratch(self.spark, "prune")
         present = scratch.keep(list_messages(self.spark, directory).select("file_path"), "present")
@@ -255,6 +262,7 @@ class Ingest:
         """Move indexed paths to another prefix; embeddings are kept, a second run changes nothing."""
         with self.store.locked("migrate-paths"):
             emails, vectors = self.store.table("emails"), self.store.table("vectors")
+            old, new = plain_name(old), plain_name(new)
             n = emails.where(F.startswith(F.col("file_path"), F.lit(old.rstrip("/") + "/"))).count()
             if n:
                 e, v = migrate_paths(emails, vectors, old, new)
@@ -267,13 +275,19 @@ class Ingest:
             return {"removed": self.store.vacuum(hours), "scratch": sweep(self.spark, max(hours, 48))}
 
     def stream(self, directory: str, checkpoint: str, available_now: bool = True):
-        """The same ingest as a streaming query: the file source remembers what it has seen, each micro-batch is one
-        version, and a batch that fails is tried again as a whole."""
-        files = read_messages(self.spark, directory, stream=True, s=self.s).drop("path")
+        """The same ingest as a streaming query: the source goes on from the moment of its last batch, looking back for late
+        files, of which those that the index holds are dropped.  Each micro-batch is one version, and one that
+        fails is tried again as a whole."""
+        eml.register(self.spark)
+        files = self.spark.readStream.format("eml").option("content", "false").option("maxBytes", str(self.s.largest_message)).option("overlapSeconds", str(self.s.overlap_seconds)).load(plain_name(directory))
 
         def write(batch: DataFrame, _: int) -> None:
             with self.store.locked("stream"):
-                self.write(batch)
+                scratch = Scratch(self.spark, "streamed")
+                found = scratch.keep(unchanged_removed(batch.where(inside(directory)), self.store.table("emails")), "files")
+                if not found.isEmpty():
+                    self.write(read_paths(self.spark, found))
+                scratch.drop("files")
 
         w = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         return (w.trigger(availableNow=True) if available_now else w).start()

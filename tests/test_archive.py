@@ -551,7 +551,7 @@ def test_a_run_without_progress_says_where_it_is(spark):
 
 
 def test_listing_is_spread_over_tasks(spark, tmp_path, monkeypatch):
-    from postlake.sources import mailfiles
+    from postlake.sources import mailfiles, places
 
     want = set()
     for i in range(5):
@@ -563,8 +563,9 @@ def test_listing_is_spread_over_tasks(spark, tmp_path, monkeypatch):
                 want.add((str(p), p.stat().st_size, p.stat().st_mtime_ns // 10**6 / 1000))
     (tmp_path / "m" / ".hidden").mkdir()
     (tmp_path / "m" / ".hidden" / "no.eml").write_text("")
-    for spread in (1, 4, 256):
-        monkeypatch.setattr(mailfiles, "SPREAD", spread)
+    planned = places.planned
+    for spread, share in ((1, 1), (4, 1), (256, 1), (256, 5_000)):
+        monkeypatch.setattr(mailfiles, "planned", lambda d, spread=spread, share=share: planned(d, spread, share))
         assert {(r["file_path"], r["file_size"], r["file_mtime"]) for r in list_messages(spark, str(tmp_path / "m")).collect()} == want
     assert list_messages(spark, f"file://{tmp_path}/m").count() == len(want) and list_messages(spark, str(tmp_path / "none")).isEmpty()
 
