@@ -13,10 +13,11 @@ from postlake.functions.embedtext import embedding_text
 from postlake.functions.html import html_to_text
 from postlake.operators import listing, maintain, search
 from postlake.operators.staging import numbered_names
+from postlake.operators.vectorindex import VectorIndex
 from postlake.params import SETTINGS, Filters
 from postlake.plans.mapping import DOCS_SQL, EMAILS_SQL, document_emails, embedding_vectors, line_attachments, order_emails
 from postlake.plans.nlq import coerced_columns
-from postlake.runtime import ship_package, table
+from postlake.runtime import Scratch, ship_package, table
 from postlake.streaming.ingest import late_candidates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +213,28 @@ def knn_topk(spark, sf_dir):
     return search.nearest(embedding_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(docs(f"select vec_id, label, round({DISTANCE}, 6) as distance from vectors, q order by {DISTANCE}, id limit 25"))
+def vector_index_topk(spark, sf_dir):
+    """The nearest vectors by an index of cells and rings; cells that the k-th distance closes aren't read."""
+    index = VectorIndex.build(embedding_vectors(spark, sf_dir), Scratch(spark, "vector-index").path("index"))
+    return index.nearest(_query_vector(spark, sf_dir), 25).select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    docs(f"""
+, h as (select v.id, vec_id, {DISTANCE} as distance, coalesce(nullif(d.message_id, ''), concat('row', v.id)) as m from q, vectors v join document_emails d on md5(d.file_path) = v.id where d.subject = 'en')
+select vec_id, round(distance, 6) as distance from (select *, row_number() over (partition by m order by distance, id) as n from h) where n = 1 order by distance, id limit 20""")
+)
+def vector_index_messages(spark, sf_dir):
+    """The index under a filter and without duplicates: the nearest messages, whatever has to be opened for them."""
+    v = embedding_vectors(spark, sf_dir)
+    index = VectorIndex.build(v, Scratch(spark, "vector-index").path("index"))
+    wanted = listing.matching(document_emails(spark, sf_dir), line_attachments(spark, sf_dir), Filters(subject="en"))
+    query = _query_vector(spark, sf_dir)
+    found, _ = index.search(query, 20, lambda rows: search.best_messages(rows, wanted, 20, True))
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query(docs("select vec_id, round(1 - list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))), 6) as distance from vectors, q"))
 def vector_distances(spark, sf_dir):
     one = table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.col("embedding").alias("query_vector"))

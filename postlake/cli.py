@@ -82,6 +82,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--hash")
     sub.add_parser("vacuum", help="remove files that only old versions of the index name").add_argument("--hours", type=float, default=24)
     sub.add_parser("rebucket", help="spread the index over another number of buckets").add_argument("buckets", type=int)
+    sub.add_parser("index-vectors", help="build the vector index that searches read")
     p = sub.add_parser("migrate-paths")
     p.add_argument("old")
     p.add_argument("new")
@@ -124,6 +125,8 @@ def run(args: argparse.Namespace, spark) -> Any:
         return ingest.prune(args.directory, args.dry_run)
     if c == "vacuum":
         return ingest.vacuum(args.hours)
+    if c == "index-vectors":
+        return ingest.index_vectors()
     if c == "rebucket":
         with service.store.locked("rebucket"):
             service.store.rebucket(args.buckets)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from postlake.functions.text import rerank_text
 from postlake.functions.vector import cosine_distance, literal_cosine_distance, sign_bucket
 from postlake.operators.listing import matching, newest
 from postlake.operators.maintain import best_per_message
+from postlake.operators.vectorindex import VectorIndex
 from postlake.params import SETTINGS, Filters, Settings, filtered_widths, retrieval_width, search_limit
 from postlake.runtime import Scratch, ship_package
 
@@ -76,72 +77,30 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, vector_col: str
     return ranked.where("distance is not null").orderBy("distance", id_col).limit(k)
 
 
-QUERY_BLOCK = 10_000  # queries sent to the tasks at once
-PAIRS = 4_000_000  # distances that a task holds at once
-
-
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id") -> DataFrame:
-    """Top-k of each query (query_id, query_vector), ties by id: blocks of vectors are multiplied with blocks of queries,
-    each task keeps k rows a query, so what is shuffled doesn't grow with the table.
+    """query_id, id, distance, rank: the k nearest of each query (query_id, query_vector), ties by id.
 
-    The queries pass through the driver, at most ``QUERY_BLOCK`` of them at a time, and are sent to every task.  One
-    block stays lazy; of more, each is searched by itself and its hits are written to the shared folder.
+    The vectors are indexed in the shared folder and joined with the queries cell by cell (``VectorIndex.join``); where an
+    index is kept, its own ``join`` does the same without building one.  Neither side passes through the driver.
     """
-    ship_package(vectors.sparkSession)
-    rows = queries.select("query_id", "query_vector").where("query_vector is not null").toLocalIterator()
-    block, following = list(islice(rows, QUERY_BLOCK)), list(islice(rows, QUERY_BLOCK))
-    search = lambda some: _nearest_block(vectors, some, k, vector_col, id_col, queries.schema["query_id"].dataType.simpleString())
-    if not following:
-        return search(block)
-    scratch, n = Scratch(vectors.sparkSession, "nearest"), 0
-    while block:
-        kept = scratch.keep(search(block), f"block-{n}")
-        block, following, n = following, list(islice(rows, QUERY_BLOCK)), n + 1
-    return vectors.sparkSession.read.schema(kept.schema).parquet(*(scratch.path(f"block-{i}") for i in range(n)))
-
-
-def _nearest_block(vectors: DataFrame, rows: list, k: int, vector_col: str, id_col: str, q_type: str) -> DataFrame:
-    raw = np.array([r["query_vector"] for r in rows], np.float64)
-    names = [r["query_id"] for r in rows]
-    size = np.linalg.norm(raw, axis=1) if len(raw) else raw
-    with np.errstate(invalid="ignore", divide="ignore"):
-        q = raw / size[:, None] if len(raw) else raw
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    step = max(1, PAIRS // max(1, len(names)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # the best so far: query, distance and id of at most k rows a query, and each query's k-th distance
-        of, dist, ids, worst = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.full(len(names), np.inf)
-        for b in batches:
-            b = b[b[vector_col].notna()]
-            if not len(b) or not names:
-                continue
-            x_all, id_all = np.array(b[vector_col].tolist(), np.float64), b[id_col].to_numpy(object)
-            n_all = np.linalg.norm(x_all, axis=1)
-            x_all, id_all, n_all = x_all[n_all > 0], id_all[n_all > 0], n_all[n_all > 0]
-            for at in range(0, len(x_all), step):
-                x, n, own = x_all[at : at + step], n_all[at : at + step], id_all[at : at + step]
-                d = 1 - q @ (x / n[:, None]).T
-                # what may be among the k best; equal vectors must tie, so these are computed again one by one
-                bound = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], worst) if len(x) >= k else worst
-                qi, xi = np.nonzero(d <= bound[:, None] + 1e-9)
-                exact = np.empty(len(qi))
-                for s in range(0, len(qi), 65_536):
-                    i, j = qi[s : s + 65_536], xi[s : s + 65_536]
-                    exact[s : s + 65_536] = 1 - np.add.accumulate(raw[i] * x[j], axis=1)[:, -1] / (size[i] * n[j])
-                of, dist, ids = np.concatenate([of, qi]), np.concatenate([dist, exact]), np.concatenate([ids, own[xi]])
-                order = np.lexsort((pd.factorize(ids, sort=True)[0], dist, of))
-                of, dist, ids = of[order], dist[order], ids[order]
-                place = np.arange(len(of)) - np.searchsorted(of, of)
-                of, dist, ids, place = (a[place < k] for a in (of, dist, ids, place))
-                worst[of[place == k - 1]] = dist[place == k - 1]
-        yield pd.DataFrame({"query_id": [names[i] for i in of], "id": ids, "distance": dist})
+    scratch = Scratch(vectors.sparkSession, "nearest")
+    index = VectorIndex.build(vectors.select(id_col, vector_col), scratch.path("index"), id_col, vector_col)
+    return index.join(queries, k, scratch)
 
-    from pyspark.sql.window import Window
 
-    local = vectors.select(id_col, vector_col).mapInPandas(run, f"query_id {q_type}, id {id_type}, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index of the vectors of some version of a store, and what has changed since: rows of buckets that were written anew
+    are looked at as they are, and what the index holds of those buckets counts no more."""
+
+    index: VectorIndex
+    fresh: list[int]
+    changed: DataFrame | None
+
+    def search(self, query: Sequence[float], k: int, best: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        known = F.col("bucket").isNull() | F.col("bucket").isin(self.fresh)
+        extra = None if self.changed is None else self.changed.withColumn("bucket", F.lit(None).cast("int"))
+        return self.index.search(query, k, lambda rows: best(rows.where(known).drop("bucket")), extra)[0]
 
 
 def with_buckets(vectors: DataFrame, planes: int = 8, dims: int = 64, vector_col: str = "embedding", seed: int = 7) -> DataFrame:
@@ -154,10 +113,10 @@ def hydrate(hits: DataFrame, emails: DataFrame) -> DataFrame:
     """Hits with their messages.  Where there is a message all its columns win, null ones too, and ``similarity``
     is 1 - distance; a hit without one keeps its own fields and has no similarity.
 
-    Hits are at most a few hundred rows after their top-k, so their side is broadcast.
+    Hits are few rows after their top-k; Spark broadcasts them where they are.
     """
     ids = hits.select(F.col("id").alias("_hit"), *(F.col(c).alias(f"_h_{c}") for c in hits.columns if c != "id"))
-    own = emails.join(F.broadcast(ids.select("_hit")), F.col("file_hash") == F.col("_hit"), "left_semi").withColumn("_found", F.lit(True))
+    own = emails.join(ids.select("_hit"), F.col("file_hash") == F.col("_hit"), "left_semi").withColumn("_found", F.lit(True))
     joined = ids.join(own, F.col("_hit") == F.col("file_hash"), "left")
     pairs = {"subject": "subject", "from_addr": "from", "to_addrs": "to", "message_id": "message_id", "file_path": "file_path", "attachment_count": "attachment_count"}
     columns = [F.col("_hit").alias("vector_id")]
@@ -185,13 +144,18 @@ def nearest_messages(vectors: DataFrame, query: Sequence[float], messages: DataF
     The minimum of (distance, id) is combined before the shuffle, so a message with very many copies makes no long task.
     """
     scored = vectors.withColumn("distance", literal_cosine_distance("embedding", query)).where("distance is not null")
-    own = F.col("message_id") if "message_id" in vectors.columns else F.lit(None).cast("string")
+    return best_messages(scored, messages, k, known_only)
+
+
+def best_messages(scored: DataFrame, messages: DataFrame, k: int, known_only: bool = False) -> DataFrame:
+    """``nearest_messages`` of vectors that have their ``distance``."""
+    own = F.col("message_id") if "message_id" in scored.columns else F.lit(None).cast("string")
     ids = messages.select(F.col("file_hash").alias("id"), F.col("message_id").alias("_mid"), F.lit(True).alias("_found"))
     named = scored.select("id", "distance", own.alias("_own")).join(ids, "id", "inner" if known_only else "left")
     name = F.nullif(F.when(F.col("_found"), F.col("_mid")).otherwise(F.col("_own")), F.lit(""))
     key = F.coalesce(name, F.concat(F.lit("\x00row:"), F.col("id").cast("string")))
     best = named.groupBy(key.alias("_key")).agg(F.min(F.struct("distance", "id")).alias("_best")).select("_best.*")
-    return scored.join(F.broadcast(best.orderBy("distance", "id").limit(k)), ["id", "distance"], "left_semi")
+    return scored.join(best.orderBy("distance", "id").limit(k), ["id", "distance"], "left_semi")
 
 
 def rerank(results: DataFrame, query: str, score: Scorer, top_k: int, s: Settings = SETTINGS) -> DataFrame:
@@ -229,19 +193,26 @@ def hybrid_search(
     query: str = "",
     scorer: Scorer | None = None,
     s: Settings = SETTINGS,
+    index: StoredIndex | None = None,
 ) -> DataFrame:
     """Semantic search: filters, nearest vectors, their messages, without duplicates, reranked or cut.
 
     ``prefilter`` searches exactly the vectors of matching messages, however many, and removes duplicates before it
     cuts.  ``postfilter`` behaves as an index that can't filter: the newest ``filtered_cap`` matches, a global top-k,
     widened once if too few are left; duplicates are removed from what was cut to twice the limit.
+
+    With an ``index`` of the vectors ``prefilter`` reads only the cells that it must, and gives the same.
     """
     filters = filters or Filters()
     top = search_limit(limit, s)
     want = retrieval_width(top, scorer is not None, s)
     if mode == "prefilter":
         wanted = matching(emails, attachments, filters) if filters.any() else emails
-        hits = nearest_messages(vectors, query_vector, wanted, want if scorer is not None else top, filters.any())
+        k = want if scorer is not None else top
+        if index is None:
+            hits = nearest_messages(vectors, query_vector, wanted, k, filters.any())
+        else:
+            hits = index.search(query_vector, k, lambda rows: best_messages(rows, wanted, k, filters.any()))
     elif not filters.any():
         hits = nearest(vectors, query_vector, want)
     else:

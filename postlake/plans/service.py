@@ -120,7 +120,7 @@ class MailService:
             out.message = NO_MATCH
             return out
         vector = self.embed([resolved.query])[0]
-        found = search.hybrid_search(emails, attachments, vectors, vector, resolved.filters, search_limit(resolved.limit, self.s), resolved.mode, resolved.query, self.scorer if rerank else None, self.s)
+        found = search.hybrid_search(emails, attachments, vectors, vector, resolved.filters, search_limit(resolved.limit, self.s), resolved.mode, resolved.query, self.scorer if rerank else None, self.s, self.store.vector_index())
         rows = records(listing.with_links(found))
         nested = self._attachments([r["id"] for r in rows if r["id"] is not None])
         for r in rows:

@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 
 from postlake.functions.embedtext import fallback_document
 from postlake.functions.text import attachment_types, cut, file_extension, file_hash
+from postlake.operators.search import StoredIndex
+from postlake.operators.vectorindex import VectorIndex
 from postlake.params import SETTINGS, Settings
 from postlake.runtime import Files, Scratch
 from postlake.schema import ATTACHMENTS, EMAILS, EXTRACTION_VERSION, TABLES, VECTORS, conform, empty
@@ -118,14 +120,37 @@ class Store:
 
     def vacuum(self, hours: float = 24) -> int:
         """Remove folders that the manifest doesn't name and that are older than readers of old versions run."""
-        named = {p.rsplit("/", 1)[0] for parts in self.manifest()["tables"].values() for p in parts.values()}
+        m = self.manifest()
+        named = {p.rsplit("/", 1)[0] for parts in m["tables"].values() for p in parts.values()} | {m.get("vector_index", {}).get("folder")}
         gone = 0
-        for name in TABLES:
+        for name in [*TABLES, "vector-index"]:
             for folder, changed in self.files.entries(name).items():
                 if f"{name}/{folder}" not in named and changed < time.time() - 3600 * hours:
                     gone += self.files.delete(f"{name}/{folder}")
         return gone
 
+    # -- the vector index -----------------------------------------------------------------------
+
+    def build_vector_index(self, **how: Any) -> VectorIndex:
+        """Index the vectors of the current version; the manifest remembers which buckets it is of."""
+        m = self.manifest()
+        folder = f"vector-index/v-{uuid.uuid4().hex}"
+        rows = self._read(m, "vectors").withColumn("bucket", bucket_of("id", m["buckets"]))
+        built = VectorIndex.build(rows, f"{self.root}/{folder}", **how)
+        self.files.replace("manifest.json", json.dumps(self.manifest() | {"vector_index": {"folder": folder, "of": m["tables"].get("vectors", {})}}))
+        return built
+
+    def vector_index(self) -> StoredIndex | None:
+        """The index as it counts for the current version; none where none was built."""
+        m = self.manifest()
+        known = m.get("vector_index")
+        if known is None:
+            return None
+        now = m["tables"].get("vectors", {})
+        fresh = [int(b) for b, p in now.items() if known["of"].get(b) == p]
+        changed = [int(b) for b in now if int(b) not in set(fresh)]
+        return StoredIndex(VectorIndex(self.spark, f"{self.root}/{known['folder']}"), fresh, self._read(m, "vectors", changed) if changed else None)
+
     # -- writes ---------------------------------------------------------------------------------
 
     def upsert(self, parsed: DataFrame, embedded: DataFrame | None = None, s: Settings = SETTINGS, gone: DataFrame | None = None) -> None:

@@ -269,6 +269,12 @@ class Ingest:
                 self.store.commit(emails=e, attachments=self.store.table("attachments"), vectors=v)
             return {"moved": n}
 
+    def index_vectors(self) -> dict[str, int]:
+        """Build the vector index anew.  Searches use it from then on; what is written later is looked at beside it."""
+        with self.store.locked("index-vectors"):
+            built = self.store.build_vector_index()
+            return {"vectors": int(built.n.sum()), "cells": len(built.n)}
+
     def vacuum(self, hours: float = 24) -> dict[str, int]:
         """Remove what old versions alone hold, and scratch tables of drivers that were killed."""
         with self.store.locked("vacuum"):

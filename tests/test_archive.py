@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions.attachments import attachment_text
 from postlake.functions.mime import parse_message
-from postlake.operators import listing, maintain, search, staging
+from postlake.operators import listing, maintain, search, staging, vectorindex
 from postlake.params import Filters
 from postlake.schema import EXTRACTION_VERSION
 from postlake.sources.mailfiles import count_messages, inside, list_messages
@@ -289,8 +289,7 @@ def test_every_hundredth_vector_is_a_query(spark, sf):
 
 
 def test_more_queries_than_a_block(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(search, "PAIRS", 50)
+    monkeypatch.setattr(vectorindex, "QUERIES", 7)
     rng = np.random.default_rng(3)
     rows = [(f"{i:03}", rng.standard_normal(8).tolist()) for i in range(60)]
     rows += [(f"{i:03}", rows[i % 2][1]) for i in range(60, 90)] + [("zero", [0.0] * 8), ("null", None)]
