@@ -12,6 +12,7 @@ from postlake.functions import text as T
 from postlake.functions.embedtext import embedding_text
 from postlake.functions.html import html_to_text
 from postlake.operators import listing, maintain, search
+from postlake.operators.likeindex import LikeIndex
 from postlake.operators.staging import numbered_names
 from postlake.operators.vectorindex import VectorIndex
 from postlake.params import SETTINGS, Filters
@@ -113,6 +114,28 @@ def meta_query_truncated(spark, sf_dir):
     return listing.truncated(order_emails(spark, sf_dir), line_attachments(spark, sf_dir), Filters(subject_like="HIGH"), 100)
 
 
+@query(
+    mail("""
+select 'from' as what, id from order_emails where from_addr ilike '%#00000001%'
+union all select 'wildcard', id from order_emails where from_addr ilike '%CUSTOMER#0000_00%' and subject ilike '%LOW%'
+union all select 'recipient', id from order_emails where (to_addrs ilike '%f-desk@EXAMPLE%' or cc_addrs ilike '%f-desk@EXAMPLE%' or bcc_addrs ilike '%f-desk@EXAMPLE%') and subject ilike '%urgent%'
+union all select 'short', id from order_emails where subject ilike '%5-%' and from_addr ilike '%77%'
+union all select 'none', id from order_emails where from_addr ilike '%nobody%'
+union all select 'file', id from order_emails e where exists (select 1 from line_attachments a where a.email_id = e.id and a.file_extension = 'pdf' and a.filename ilike '%DOC-37%')""")
+)
+def indexed_like(spark, sf_dir):
+    """LIKE filters by way of trigram postings: selective, with wildcards, of several fields, too short, of attachments."""
+    emails, files = order_emails(spark, sf_dir), line_attachments(spark, sf_dir)
+    index = LikeIndex.build(emails, files, Scratch(spark, "like").path("index"))
+    asked = {"from": Filters(from_addr="#00000001"), "wildcard": Filters(from_addr="CUSTOMER#0000_00", subject_like="LOW"), "recipient": Filters(to_addr="f-desk@EXAMPLE", subject_like="urgent")}
+    asked |= {"short": Filters(subject_like="5-", from_addr="77"), "none": Filters(from_addr="nobody"), "file": Filters(attachment_type="pdf", attachment_name="DOC-37")}
+    found = [index.matching(emails, files, f).select(F.lit(what).alias("what"), "id") for what, f in asked.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query(
     mail("""
 select e.id, cast(count(a.id) as bigint) as n, coalesce(string_agg(a.filename, ',' order by a.id, a.filename), '') as names
