@@ -32,7 +32,7 @@ from postlake.plans.mapping import document_emails, line_attachments, order_emai
 from postlake.plans.nlq import rule_parser
 from postlake.plans.service import MailService, payload, shown
 from postlake.runtime import Scratch, ship_package, table
-from postlake.schema import EXTRACTION_VERSION
+from postlake.schema import EXTRACTION_VERSION, PARSED, conform
 from postlake.sources import eml
 from postlake.sources.mailfiles import confirmed_missing, count_messages, inside, list_messages, parse_messages
 from postlake.sources.store import Store, delete_paths, upsert_vectors
@@ -422,6 +422,23 @@ def _remove(rows: DataFrame, root: str) -> None:
     rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+@query(mail("""
+select cast((select count(*) from order_emails where id % 10 <> 3) as bigint) as total_emails, cast((select count(*) from order_emails where id % 10 <> 3 and id % 10 <> 4 and has_attachments) as bigint) as emails_with_attachments,
+  (select min(date) from order_emails where id % 10 <> 3) as min_date, (select max(date) from order_emails where id % 10 <> 3) as max_date, (select max(file_mtime) + 5 from order_emails where id % 10 = 4) as max_file_mtime,
+  cast((select count(*) from line_attachments where email_id % 10 <> 3 and email_id % 10 <> 4) as bigint) as total_attachments, cast(0 as bigint) as total_indexed_emails, true as senders_near"""))
+def store_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status from the figures that writes keep of their buckets, merged: after a first write, replacements and deletions."""
+    store = Store(spark, Scratch(spark, "status").path("index"), buckets=8)
+    emails, attachments = order_emails(spark, sf_dir, True), line_attachments(spark, sf_dir)
+    store.commit(emails=emails.withColumn("file_mtime", F.col("file_mtime") - 1e9), attachments=attachments)
+    again = emails.where("id % 10 = 4")
+    store.upsert(conform(again.select("file_path", "message_id", "subject", F.col("from_addr").alias("from"), "date", (F.col("file_mtime") + 5).alias("file_mtime")), PARSED))
+    store.delete(emails.where("id % 10 = 3").select("file_path"))
+    senders = store.table("emails").agg(F.countDistinct("from_addr").alias("exact"))
+    out = store.statistics().crossJoin(senders)
+    return out.withColumn("senders_near", F.abs(F.col("senders") - F.col("exact")) <= 0.1 * F.col("exact")).drop("senders", "exact")
+
+
 @query("""
 with n as (select count(*) as n, count(*) filter (where s_suppkey % 4 = 0) as stale, count(*) filter (where s_suppkey % 4 = 0 and s_suppkey % 12 = 0) as gone from supplier)
 select 'candidates' as name, cast(n as bigint) as value from n union all select 'indexed', n from n union all select 'batches', case when n > 0 then 3 end from n union all select 'batch_errors', 1 from n

@@ -152,8 +152,7 @@ class MailService:
         return InboxResponse({k: v.isoformat() if isinstance(v, datetime) else v for k, v in asdict(request).items()}, records(listing.with_links(page).orderBy(listing.F.desc_nulls_last("date"), "id")))
 
     def status(self) -> StatusResponse:
-        emails, attachments, vectors = self._tables()
-        r = listing.statistics(emails, attachments, vectors).first()
+        r = self.store.statistics().first()
         dates = {"min": r["min_date"] and r["min_date"].isoformat(), "max": r["max_date"] and r["max_date"].isoformat()}
         root = str(self.store.root)
         return StatusResponse(self.model, self.directory, f"{root}/vectors", root, r["total_indexed_emails"], r["total_emails"], r["total_attachments"], r["emails_with_attachments"], dates, 64, self.s.search_default)

@@ -2,7 +2,9 @@
 
 Messages, their attachments and vectors lie in the bucket that a hash of the message's path says.  A write reads and
 replaces only the buckets of the paths that it is about, in new folders, then flips the manifest; buckets that it
-doesn't touch are named again as they are.  The files of the current version are never changed, so readers and failed
+doesn't touch are named again as they are.  With every bucket the write keeps what it holds in figures (counts, extremes,
+a sketch of its senders), which can be merged, so the status of an archive scans none of its rows; and Parquet bloom filters
+on what single messages are looked up by, so a lookup reads no row group that can't have them.  The files of the current version are never changed, so readers and failed
 writers are safe, and all tables of a version become visible together.  ``vacuum`` removes folders that no
 manifest names any more.  All of it goes through the file system that Spark reaches the root by.
 """
@@ -27,6 +29,7 @@ from pyspark.sql.window import Window
 
 from postlake.functions.embedtext import fallback_document
 from postlake.functions.text import attachment_types, cut, file_extension, file_hash
+from postlake.operators.listing import statistics
 from postlake.operators.search import StoredIndex
 from postlake.operators.vectorindex import VectorIndex
 from postlake.params import SETTINGS, Settings
@@ -35,6 +38,12 @@ from postlake.schema import ATTACHMENTS, EMAILS, EXTRACTION_VERSION, TABLES, VEC
 
 #: Within a bucket messages are sorted by date, so that date filters skip row groups.
 ORDERED_BY = {"emails": ["date"], "attachments": ["email_id"], "vectors": ["id"]}
+#: Columns with a bloom filter.
+LOOKED_UP = {"emails": ["message_id", "file_hash", "id"], "attachments": ["email_id"], "vectors": ["id"]}
+#: What is kept of a bucket of a table.
+FIGURES = "name string, bucket int, version string, n long, with_attachments long, min_date timestamp, max_date timestamp, max_file_mtime double, min_id long, max_id long, senders binary"
+#: Bits of the sketch of senders: its error is about 1.04 / sqrt(2 ** SKETCH) of their number.
+SKETCH = 11
 
 
 class LockedError(RuntimeError):
@@ -81,7 +90,10 @@ class Store:
 
         def put(name: str) -> None:
             rows = tables[name].select(*(F.col(f.name) for f in TABLES[name]), "bucket")
-            rows.repartition("bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, [])).write.partitionBy("bucket").parquet(f"{self.root}/{folders[name]}")
+            out = rows.repartition("bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, [])).write
+            for column in LOOKED_UP.get(name, []):  # as large as a bucket grows, smaller where fewer will do
+                out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(SETTINGS.bucket_messages))
+            out.option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{self.root}/{folders[name]}")
 
         with ThreadPoolExecutor(len(TABLES)) as side_by_side:
             list(side_by_side.map(put, tables))
@@ -89,8 +101,69 @@ class Store:
             parts = {b: p for b, p in m["tables"].get(name, {}).items() if b not in touched}
             written = {n.removeprefix("bucket=") for n in self.files.entries(folder) if n.startswith("bucket=")}
             m["tables"][name] = parts | {b: f"{folder}/bucket={b}" for b in written}
+        if figures := [self._figures(name, f"{self.root}/{folder}") for name, folder in folders.items() if m["tables"][name]]:
+            version = f"figures/v-{uuid.uuid4().hex}"
+            rows = figures[0]
+            for more in figures[1:]:
+                rows = rows.unionByName(more)
+            rows.coalesce(1).write.parquet(f"{self.root}/{version}")
+            for name, folder in folders.items():
+                kept = {b: v for b, v in m.setdefault("figures", {}).get(name, {}).items() if b in m["tables"][name]}
+                m["figures"][name] = kept | {b: version for b, p in m["tables"][name].items() if p.startswith(f"{folder}/")}
         self.files.replace("manifest.json", json.dumps(m))
 
+    def _figures(self, name: str, folder: str) -> DataFrame:
+        """What the buckets of a written folder hold."""
+        rows = self.spark.read.schema(type(TABLES[name])(list(TABLES[name].fields)).add("bucket", "integer")).parquet(folder)
+        none = lambda kind: F.lit(None).cast(kind)
+        emails = name == "emails"
+        own = {
+            "n": F.count(F.lit(1)),
+            "with_attachments": F.count_if("has_attachments") if emails else none("long"),
+            "min_date": F.min("date") if emails else none("timestamp"),
+            "max_date": F.max("date") if emails else none("timestamp"),
+            "max_file_mtime": F.max("file_mtime") if emails else none("double"),
+            "min_id": F.min("id") if emails else none("long"),
+            "max_id": F.max("id") if emails else none("long"),
+            "senders": F.hll_sketch_agg("from_addr", SKETCH) if emails else none("binary"),
+        }
+        return rows.groupBy("bucket").agg(*(c.alias(n) for n, c in own.items())).select(F.lit(name).alias("name"), "bucket", *own)
+
+    def figures(self) -> DataFrame | None:
+        """name, bucket and what each current bucket holds; None where an older writer has kept none of some bucket."""
+        m = self.manifest()
+        current = [(n, int(b), m.get("figures", {}).get(n, {}).get(b)) for n, parts in m["tables"].items() for b in parts]
+        if any(v is None for *_, v in current):
+            return None
+        if not current:
+            return self.spark.createDataFrame([], FIGURES).drop("version")
+        rows = None
+        for version in sorted({v for *_, v in current}):  # as many as there are writes of which some bucket is left
+            one = self.spark.read.parquet(f"{self.root}/{version}").withColumn("version", F.lit(version))
+            rows = one if rows is None else rows.unionByName(one)
+        known = self.spark.createDataFrame(current, "name string, bucket int, version string")
+        return rows.join(F.broadcast(known), ["name", "bucket", "version"], "left_semi").drop("version")
+
+    def statistics(self) -> DataFrame:
+        """One row: ``listing.statistics`` of the current version and an estimate of its distinct senders, from the buckets'
+        figures alone; where they aren't known, from the rows."""
+        found = self.figures()
+        if found is None:
+            emails = self.table("emails")
+            senders = emails.agg(F.hll_sketch_estimate(F.hll_sketch_agg("from_addr", SKETCH)).alias("senders"))
+            return statistics(emails, self.table("attachments"), self.table("vectors")).crossJoin(senders)
+        of = lambda name, column="n": F.coalesce(F.sum(F.when(F.col("name") == name, F.col(column))), F.lit(0).cast("long"))
+        return found.agg(
+            of("emails").alias("total_emails"),
+            of("emails", "with_attachments").alias("emails_with_attachments"),
+            F.min("min_date").alias("min_date"),
+            F.max("max_date").alias("max_date"),
+            F.max("max_file_mtime").alias("max_file_mtime"),
+            of("attachments").alias("total_attachments"),
+            of("vectors").alias("total_indexed_emails"),
+            F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("senders")), F.lit(0).cast("long")).alias("senders"),
+        )
+
     def _bucketed(self, m: dict[str, Any], tables: dict[str, DataFrame], emails: DataFrame) -> dict[str, DataFrame]:
         """Rows with their bucket; an attachment's is that of its message."""
         own = {"emails": "file_hash", "vectors": "id"}
@@ -123,7 +196,8 @@ class Store:
         m = self.manifest()
         named = {p.rsplit("/", 1)[0] for parts in m["tables"].values() for p in parts.values()} | {m.get("vector_index", {}).get("folder")}
         gone = 0
-        for name in [*TABLES, "vector-index"]:
+        named |= {v for parts in m.get("figures", {}).values() for v in parts.values()}
+        for name in [*TABLES, "vector-index", "figures"]:
             for folder, changed in self.files.entries(name).items():
                 if f"{name}/{folder}" not in named and changed < time.time() - 3600 * hours:
                     gone += self.files.delete(f"{name}/{folder}")
