@@ -7,13 +7,16 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postlake.functions import text as T
 from postlake.functions.embedtext import embedding_text
 from postlake.functions.html import html_to_text
 from postlake.operators import listing, maintain, search
+from postlake.operators.asof import asof_join
 from postlake.operators.likeindex import LikeIndex
 from postlake.operators.staging import numbered_names
+from postlake.operators.threads import threads
 from postlake.operators.vectorindex import VectorIndex
 from postlake.params import SETTINGS, Filters
 from postlake.plans.mapping import DOCS_SQL, EMAILS_SQL, document_emails, embedding_vectors, line_attachments, order_emails
@@ -452,6 +455,37 @@ def incremental_candidates(spark, sf_dir):
     return late_candidates(table(spark, sf_dir, "events"), "2024-01-20", SETTINGS.overlap_seconds).select("event_id", "ts")
 
 
+# -- threads and times -------------------------------------------------------------------------------
+
+
+@query("""
+with recursive e as (select event_id, lag(event_id) over (partition by user_id order by ts, event_id) as prev, lag(event_id, 2) over (partition by user_id order by ts, event_id) as prev2 from events),
+p as (select event_id as id, case event_id % 20 when 19 then null when 18 then prev2 else prev end as parent from e),
+r as (select id, id as root_id, cast(0 as bigint) as depth from p where parent is null union all select p.id, r.root_id, r.depth + 1 from p join r on p.parent = r.id),
+s as (select root_id, count(*) as size from r group by root_id)
+select id, root_id, depth, size from r join s using (root_id)""")
+def message_threads(spark, sf_dir):
+    """Threads of messages made of events, each an answer to its user's event before (named by either header, or to the one before
+    that, as the first is unknown), every twentieth a new thread."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(w).alias("prev"), F.lag("event_id", 2).over(w).alias("prev2"))
+    name = lambda c: F.concat(F.lit("<e"), F.col(c).cast("string"), F.lit("@ex.org>"))
+    k = F.col("event_id") % 20
+    reply = F.when(k < 10, name("prev")).when(k == 18, F.lit("<lost@ex.org>"))
+    references = F.when((k >= 10) & (k < 18), F.concat_ws(" ", name("prev2"), name("prev"))).when(k == 18, F.concat_ws(" ", name("prev2"), F.lit("<gone@ex.org>")))
+    return threads(e.select(F.col("event_id").alias("id"), name("event_id").alias("message_id"), reply.alias("in_reply_to"), references.alias("references_header")))
+
+
+@query("""
+with p as (select user_id, ts, max(event_id) as event_id, arg_max(value, event_id) as value from events where event_type = 'purchase' group by user_id, ts)
+select e.event_id, e.event_type, p.event_id as last_event_id, p.value as last_value from events e asof left join p on e.user_id = p.user_id and e.ts > p.ts""")
+def events_asof(spark, sf_dir):
+    """Every event with the last purchase of its user before it."""
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    return asof_join(events, bought, "user_id", "ts", "event_id", strict=True, prefix="last_").select("event_id", "event_type", "last_event_id", "last_value")
+
+
 # -- text --------------------------------------------------------------------------------------------
 
 ENCODED = "replace(replace(replace(replace(url_encode({}), '%40', '@'), '%2F', '/'), '%7E', '~'), '+', '%20')"
