@@ -23,6 +23,7 @@ from postlake.plans.mapping import DOCS_SQL, EMAILS_SQL, document_emails, embedd
 from postlake.plans.nlq import coerced_columns
 from postlake.runtime import Scratch, ship_package, table
 from postlake.streaming.ingest import late_candidates
+from postlake.streaming.moves import moves_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -455,6 +456,27 @@ def incremental_candidates(spark, sf_dir):
     return late_candidates(table(spark, sf_dir, "events"), "2024-01-20", SETTINGS.overlap_seconds).select("event_id", "ts")
 
 
+@query(docs("""
+select message_id, old_path, file_path as new_path, date as moved_at
+from (select *, lag(file_path) over (partition by message_id order by date, file_path) as old_path from document_emails where message_id is not null) where old_path <> file_path"""))
+def streamed_moves(spark, sf_dir):
+    """Messages that show up under another path, found by a stream of several micro-batches with a path for each id as its state."""
+    scratch = Scratch(spark, "moves")
+    seen = document_emails(spark, sf_dir).select("message_id", "file_path", F.col("date").alias("seen_at"))
+    at = F.unix_timestamp("seen_at")
+    first, last = seen.agg(F.min(at), F.max(at)).first()
+    step = ((last or 0) - (first or 0)) // 3 + 1
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for i in range(3):  # thirds of the time, one after the other
+            seen.where(F.floor((at - (first or 0)) / step) == i).write.mode("append").parquet(scratch.path("sightings"))
+            found = moves_stream(spark.readStream.schema(seen.schema).parquet(scratch.path("sightings")), "1 hour", keep_days=100_000)
+            found.writeStream.format("parquet").option("checkpointLocation", scratch.path("progress")).outputMode("append").trigger(availableNow=True).start(scratch.path("moves")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(found.schema).parquet(scratch.path("moves"))
+
+
 # -- threads and times -------------------------------------------------------------------------------
 
 
