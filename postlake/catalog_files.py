@@ -36,7 +36,7 @@ from postlake.schema import EXTRACTION_VERSION, PARSED, conform
 from postlake.sources import eml
 from postlake.sources.mailfiles import confirmed_missing, count_messages, inside, list_messages, parse_messages
 from postlake.sources.store import Store, delete_paths, upsert_vectors
-from postlake.streaming.ingest import Ingest, StallWatch
+from postlake.streaming.ingest import Ingest
 
 # -- messages built from tables ----------------------------------------------------------------------
 
@@ -472,83 +472,29 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(values.items()), "name string, value long")
 
 
-@query("""
-select 'a_not_found' as step, 'not_found' as answer union all select 'b_indexed', 'indexed' union all select 'c_skipped', 'skipped' union all select 'd_changed', 'indexed' union all select 'e_moved', 'moved' union all select 'f_failed', 'failed'
-union all select 'g_reextracted', 'ok 1 3' union all select 'h_missing', 'missing_file' union all select 'i_unknown', 'not_indexed' union all select 'j_prune_missing', 'refused' union all select 'k_prune_empty', 'refused' union all select 'l_nothing_to_do', '0 True'""")
+@query(f"""
+with s as ({SUPPLIERS})
+select k, case k % 4 when 3 then 'not_found' when 2 then 'failed' else 'indexed' end as first,
+  case when k % 4 = 3 then 'not_found' when k % 4 = 2 then 'failed' when k % 8 = 0 then 'indexed' when k % 8 = 4 then 'skipped' when k % 8 = 1 then 'moved' else 'not_found' end as second from s""")
 def single_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file at a time: its status, reextraction of one message, what prune refuses, a run that finds nothing."""
+    """Files by name: what becomes of each when all are asked for, and again once some changed, moved or went."""
     scratch = Scratch(spark, "single")
-    root = _plain_root(scratch)
-    k = F.lit(1)
-    put = lambda name, subject, at: write_files(spark.range(1).select(F.lit(name).alias("name"), _message(k, F.lit(subject)).alias("content")), root, at)
-    ingest = Ingest(Store(spark, scratch.path("index"), buckets=4))
-    steps = {"a_not_found": ingest.index_file(f"{root}/1.eml")["status"]}
-    put("/1.eml", "one", 1e9)
-    steps["b_indexed"], steps["c_skipped"] = ingest.index_file(f"{root}/1.eml")["status"], ingest.index_file(f"{root}/1.eml")["status"]
-    put("/1.eml", "two", 1.1e9)
-    steps["d_changed"] = ingest.index_file(f"{root}/1.eml")["status"]
-    _remove(spark.range(1).select(F.lit("/1.eml").alias("name")), root)
-    put("/2.eml", "two", 1.1e9)
-    steps["e_moved"] = ingest.index_file(f"{root}/2.eml")["status"]
-    put("/x.txt", "no", 1e9)
-    steps["f_failed"] = ingest.index_file(f"{root}/x.txt")["status"]
-    ingest.store.commit(emails=ingest.store.table("emails").withColumn("extraction_version", F.lit(1)))
-    out = ingest.reextract_one(message_id="s1@ex.org")
-    steps["g_reextracted"] = " ".join([out["status"], *map(str, out.get("version", []))])
-    _remove(spark.range(1).select(F.lit("/2.eml").alias("name")), root)
-    steps["h_missing"] = ingest.reextract_one(file_path=f"{root}/2.eml")["status"]
-    steps["i_unknown"] = ingest.reextract_one(file_path="/nowhere")["status"]
-    for step, folder in (("j_prune_missing", root + "/none"), ("k_prune_empty", root)):
-        try:
-            ingest.prune(folder)
-            steps[step] = "done"
-        except ValueError:
-            steps[step] = "refused"
-    run = ingest.index(root)
-    steps["l_nothing_to_do"] = f"{run.candidates} {run.watermark is not None}"
-    return spark.createDataFrame(list(steps.items()), "step string, answer string")
+    root, k, rows = _plain_root(scratch), F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    ending = F.when(k % 4 == 2, ".txt").otherwise(".eml")
+    name = lambda folder: text(folder, k.cast("string"), ending)
+    put = lambda some, folder, at: write_files(some.select(name(folder).alias("name"), _message(k, F.col("s_name")).alias("content")), root, at)
+    ingest = Ingest(Store(spark, scratch.path("index"), buckets=8))
+    answer = lambda folder, step: scratch.keep(ingest.index_files(rows.select(text("file://", root, name(folder)).alias("file_path"))).select(_any_number().alias("k"), F.col("status").alias(step)), step)
+    put(rows.where("s_suppkey % 4 <> 3"), "/a/", 1e9)
+    first = answer("/a/", "first")
+    put(rows.where("s_suppkey % 8 = 0"), "/a/", 1.1e9)
+    put(rows.where("s_suppkey % 8 = 1"), "/b/", 1e9)
+    _remove(rows.where("s_suppkey % 8 in (1, 5)").select(name("/a/").alias("name")), root)
+    return first.join(answer(F.when(k % 8 == 1, "/b/").otherwise("/a/"), "second"), "k").select("k", "first", "second")
 
 
-@query("""
-select 'a_free' as step, 'none' as answer union all select 'b_taken', 'index' union all select 'c_again', 'none' union all select 'd_nested', 'index' union all select 'e_foreign', 'prune' union all select 'f_not_mine', 'False'
-union all select 'g_dead', 'none' union all select 'h_garbage', 'none' union all select 'i_released', 'True' union all select 'j_state', '2024-05-01T00:00:00+00:00' union all select 'k_bad_state', 'none' union all select 'l_stalled', 'writing batch 2'""")
-def lock_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The writer's lock, its state file, and what a stalled run says."""
-    import time
-
-    scratch = Scratch(spark, "lock")
-    store = Store(spark, scratch.path("index"))
-    kind = lambda h: "none" if h is None else h["kind"]
-    steps = {"a_free": kind(store.lock_holder())}
-    store.acquire("index")
-    steps["b_taken"], steps["c_again"] = kind(store.lock_holder()), kind(store.acquire("index"))
-    with store.locked("inner"):
-        pass
-    steps["d_nested"] = kind(store.lock_holder())
-    store.release()
-    store.acquire("prune", pid=os.getppid())
-    steps["e_foreign"], steps["f_not_mine"] = kind(store.acquire("index")), str(store.release())
-    store.release(pid=os.getppid())
-    store.acquire("old", pid=2**22 + 5)  # above the largest process id
-    steps["g_dead"] = kind(store.acquire("index"))
-    store.release()
-    store.files.create("writer.lock", "{broken", overwrite=True)
-    steps["h_garbage"] = kind(store.lock_holder())
-    store.acquire("index")
-    steps["i_released"] = str(store.release())
-    store.set_state("scan_watermark", "2024-05-01T00:00:00+00:00")
-    steps["j_state"] = store.watermark().isoformat()
-    store.files.create("state.json", "broken", overwrite=True)
-    steps["k_bad_state"] = str(store.watermark()).lower()
-    said = io.StringIO()
-    with StallWatch(spark, 0.1, said) as watch:
-        watch.mark("writing batch 2")
-        for _ in range(100):
-            time.sleep(0.05)
-            if watch.dumps:
-                break
-    steps["l_stalled"] = said.getvalue().partition("\n")[0].partition("while ")[2]
-    return spark.createDataFrame(list(steps.items()), "step string, answer string")
+def _any_number() -> Column:
+    return F.regexp_extract("file_path", r"(\d+)\.[a-z]+$", 1).cast("long")
 
 
 @query(f"""
@@ -673,22 +619,6 @@ def request_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", shown_date(k).alias("shown"), valid(k).alias("valid"))
 
 
-@query("""
-select * from (values ('BGE-base-en-v1.5', 'BAAI/bge-base-en-v1.5'), ('BGE-small-en-v1.5', 'BAAI/bge-small-en-v1.5'), ('nomic-embed-text-v1', 'nomic-ai/nomic-embed-text-v1'),
-  ('all-MiniLM-L6-v2', 'sentence-transformers/all-MiniLM-L6-v2'), ('my/model', 'my/model'), ('local', 'local'), ('remote', 'remote again')) as t (name, model)""")
-def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short names of models, and loading from the local cache before anywhere else."""
-
-    def load(name: str, local_files_only: bool = False) -> str:
-        if name == "remote" and local_files_only:
-            raise OSError("not in the cache")
-        return name if local_files_only else f"{name} again"
-
-    names = ["BGE-base-en-v1.5", "BGE-small-en-v1.5", "nomic-embed-text-v1", "all-MiniLM-L6-v2", "my/model"]
-    rows = [(n, search.resolve_model(n)) for n in names] + [(n, search.load_local_first(n, load)) for n in ("local", "remote")]
-    return spark.createDataFrame(rows, "name string, model string")
-
-
 @query("""
 with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as w from documents),
 h as (select doc_id, ('0x' || substr(md5(w), 1, 2))::int % 64 as slot, case when ('0x' || substr(md5(w), 15, 2))::int >= 128 then 1.0 else -1.0 end as s from w),

@@ -7,11 +7,12 @@ import sys
 import threading
 import time
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from typing import IO, Any
 
+import pyarrow as pa
 from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,15 +109,19 @@ class Ingest:
         first: several plans read them, and none should parse again.  A message has moved only where its old file isn't
         there."""
         scratch = Scratch(self.spark, "ingest")
-        parsed = scratch.keep(parse_messages(files, self.s), "parsed")
+        run, _ = self._write_parsed(scratch.keep(parse_messages(files, self.s), "parsed"), scratch)
+        scratch.drop("parsed", "moved", "embedded")
+        return run
+
+    def _write_parsed(self, parsed: DataFrame, scratch: Scratch) -> tuple[Run, DataFrame]:
+        """Write a written table of parsed files; also the old paths (file_path) that others replace."""
         good = parsed.where("parse_error is null")
         run = Run(failed=parsed.where("parse_error is not null").count())
         gone = scratch.keep(confirmed_missing(moved(self.store.table("emails"), good)), "moved")
         run.moved, run.indexed = gone.count(), good.count()
         if run.indexed:
             self.store.upsert(good, scratch.keep(self.embedded(good), "embedded"), self.s, gone if run.moved else None)
-        scratch.drop("parsed", "moved", "embedded")
-        return run
+        return run, gone
 
     def write_batches(self, found: DataFrame, phase: str = "indexing") -> Run:
         """Read, parse and write the files of a written table (file_path, file_mtime, file_size) in batches, each a version of
@@ -198,6 +203,37 @@ class Ingest:
         status = "failed" if run.failed or not run.indexed else "moved" if run.moved else "indexed"
         return {"status": status, "file_path": p, "message": f"{run.indexed} indexed, {run.moved} moved, {run.failed} failed"}
 
+    def index_files(self, paths: DataFrame) -> DataFrame:
+        """file_path, status of any number of files by name (file_path, as path or URI), written in one version: ``not_found``,
+        ``failed`` (no message file, too large, or not to be parsed), ``skipped`` (the index holds it as it is), ``moved`` (it
+        replaces another path that is gone) or ``indexed``.  The executors look the files up; names that repeat count once."""
+        scratch = Scratch(self.spark, "named-files")
+        most = self.s.largest_message
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = [plain_name(p) for p in batch.column("file_path").to_pylist()]
+                seen = [look_up(p) for p in names]
+                files = [i.type == FileType.File and n.endswith(ENDING) and i.size <= most for n, i in zip(names, seen, strict=True)]
+                state = ["not_found" if i.type == FileType.NotFound else "found" if ok else "failed" for i, ok in zip(seen, files, strict=True)]
+                columns = [names, state, [i.mtime_ns // 1_000_000 / 1000 if ok else None for i, ok in zip(seen, files, strict=True)], [i.size if ok else None for i, ok in zip(seen, files, strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["file_path", "state", "file_mtime", "file_size"])
+
+        asked = paths.select("file_path").where("file_path is not null").distinct().mapInArrow(look, "file_path string, state string, file_mtime double, file_size long")
+        with self.store.locked("index-files"):
+            emails = self.store.table("emails")
+            known = emails.select("file_path", F.col("file_mtime").alias("known"))
+            state = F.when((F.col("state") == "found") & (F.col("file_mtime") == F.col("known")), "skipped").otherwise(F.col("state"))
+            found = scratch.keep(asked.dropDuplicates(["file_path"]).join(known, "file_path", "left").withColumn("state", state).drop("known"), "found")
+            parsed = scratch.keep(parse_messages(read_paths(self.spark, found.where("state = 'found'")), self.s), "parsed")
+            _, gone = self._write_parsed(parsed, scratch)
+            old = emails.join(gone, "file_path", "left_semi").select("message_id").distinct().withColumn("moved", F.lit(True))
+            read = parsed.select("file_path", F.col("parse_error").isNotNull().alias("bad"), "message_id").join(old, "message_id", "left")
+            status = F.when(F.col("state") != "found", F.col("state")).when(F.col("bad").isNull(), "not_found").when(F.col("bad"), "failed").when(F.col("moved"), "moved").otherwise("indexed")
+            out = scratch.keep(found.join(read, "file_path", "left").select("file_path", status.alias("status")), "statuses")
+        scratch.drop("found", "parsed", "moved", "embedded")
+        return out
+
     def reextract(self, limit: int | None = None) -> dict[str, int]:
         """Parse again what an older version extracted (with a limit, those of the smallest ids), in batches;
         resumable, since each batch is written with its version."""
