@@ -40,13 +40,17 @@ from postlake.streaming.ingest import Ingest
 
 # -- messages built from tables ----------------------------------------------------------------------
 
-CLEAN_SQL = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,\\n]', '', 'g'), '\\s+', ' ', 'g'))"
+#: A whole text in one line: every run of white space is a blank.
+LINE_SQL = "trim(regexp_replace(coalesce(text, ''), '[\\x09-\\x0D\\x20]+', ' ', 'g'))"
 
 
-def clean(column: str = "text") -> Column:
-    """Text of letters, digits, commas and full stops in one line."""
-    kept = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[^A-Za-z0-9 .,\n]", "")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+def line(column: str = "text") -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[\x09-\x0D\x20]+", " "))
+
+
+def marked_up(c: Column) -> Column:
+    """Text as it stands in markup."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def text(*parts) -> Column:
@@ -84,27 +88,27 @@ def mime_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with c as (select doc_id, {CLEAN_SQL} as c from documents)
+with c as (select doc_id, {LINE_SQL} as c from documents)
 select doc_id, md5(case doc_id % 5 when 0 then 'plain ' || c when 1 then c when 2 then case when length(c) >= 30 then c else trim('plain ' || c) end when 3 then trim('plain ' || c) else trim('plain ' || c) || chr(10) || 'second' end) as digest from c""")
 def mime_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which part of a message becomes its body: plain only, HTML only, both, HTML that says nothing, two plain parts in an
     unknown character set."""
-    k, c = F.col("doc_id") % 5, clean()
+    k, c = F.col("doc_id") % 5, line()
     part = lambda kind, body, charset="utf-8": lines("--=b", text("Content-Type: ", kind, "; charset=", charset), "Content-Transfer-Encoding: 8bit", "", body)
-    plain, html, tiny = part("text/plain", F.trim(text("plain ", c))), part("text/html", text("<html><body><p>", c, "</p></body></html>")), part("text/html", "<p>tiny</p>")
+    plain, html, tiny = part("text/plain", F.trim(text("plain ", c))), part("text/html", text("<html><body><p>", marked_up(c), "</p></body></html>")), part("text/html", "<p>tiny</p>")
     parts = F.when(k == 0, plain).when(k == 1, html).when(k == 2, lines(plain, html)).when(k == 3, lines(plain, tiny)).otherwise(lines(part("text/plain", F.trim(text("plain ", c)), "x-none"), part("text/plain", "second")))
     found = parsed(table(spark, sf_dir, "documents"), lines("Subject: s", "MIME-Version: 1.0", 'Content-Type: multipart/alternative; boundary="=b"', "", parts, "--=b--", ""))
     return found.select(key().alias("doc_id"), F.md5(F.trim("body")).alias("digest"))
 
 
 @query(f"""
-with c as (select doc_id, {CLEAN_SQL} as c from documents)
+with c as (select doc_id, {LINE_SQL} as c from documents)
 select doc_id, pos, case pos when 0 then 'résumé-' || cast(doc_id as varchar) || '.txt' when 1 then 'data ' || cast(doc_id as varchar) || '.csv' else 'logo.png' end as filename,
-  case pos when 0 then 'text/plain' when 1 then 'text/csv' else 'image/png' end as content_type, cast(length(c) as bigint) as size, case when pos < 2 and c <> '' then md5(c) end as digest
+  case pos when 0 then 'text/plain' when 1 then 'text/csv' else 'image/png' end as content_type, cast(octet_length(encode(c)) as bigint) as size, case when pos < 2 and c <> '' then md5(c) end as digest
 from c, (select unnest([0, 1, 2]) as pos) where pos <= doc_id % 3""")
 def mime_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in RFC 2231 form and quoted, sizes, texts of plain and CSV files; images and bodies have no text."""
-    i, data = F.col("doc_id").cast("string"), F.base64(F.encode(clean(), "UTF-8"))
+    i, data = F.col("doc_id").cast("string"), F.base64(F.encode(line(), "UTF-8"))
     part = lambda kind, disposition: lines("--=b", text("Content-Type: ", kind), text("Content-Disposition: ", disposition), "Content-Transfer-Encoding: base64", "", data)
     first = part("text/plain; charset=utf-8", text("attachment; filename*=utf-8''r%C3%A9sum%C3%A9-", i, ".txt"))
     second = part("text/csv", text('attachment; filename="data ', i, '.csv"'))
@@ -117,7 +121,7 @@ def mime_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with c as (select doc_id, {CLEAN_SQL} as c from documents)
+with c as (select doc_id, {LINE_SQL} as c from documents)
 select doc_id, md5(trim(c || chr(10) || 'mine')) as digest from c""")
 def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies above quoted replies of four kinds."""
@@ -131,7 +135,7 @@ def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         return x.map(lambda t: without_quotes(t, s))
 
     rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.md5(F.trim(stripped(text(clean(), "\nmine\n\n", tail)))).alias("digest"))
+    return rows.select("doc_id", F.md5(F.trim(stripped(text(line(), "\nmine\n\n", tail)))).alias("digest"))
 
 
 # -- markup ------------------------------------------------------------------------------------------
@@ -140,7 +144,7 @@ LONG_LINK = "https://ex.org/" + "x" * 150
 
 
 @query(f"""
-with c as (select doc_id, coalesce(source, '') as source, {CLEAN_SQL} as c from documents),
+with c as (select doc_id, coalesce(source, '') as source, {LINE_SQL} as c from documents),
 h as (select doc_id, '## ' || source || chr(10) || case when c <> '' then c || chr(10) else '' end || 'logo' || chr(10) || '  * one' || chr(10) || '  * two & <b>' || chr(10) || 'See [here](https://ex.org/' || cast(doc_id as varchar) || ') or there or https://ex.org/' || cast(doc_id as varchar) || chr(10) || 'a | b' || chr(10) || 'line' || chr(10) || 'next' as head from c)
 select doc_id, md5(case when length(head) >= 200 then head else head || chr(10) || 'Unsubscribe now' || chr(10) || 'after' end) as digest from h""")
 def html_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +152,7 @@ def html_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id").cast("string")
     html = text(
         "<html><head><title>T</title><style>p{}</style></head><body><script>x('<p>')</script><div style='color:red; display : none'>HID<p>DEN</p></div><span class='my-Preheader'>PRE</span>",
-        "<div style='visibility:hidden'><p>H2</p></div><noscript>NO</noscript><h2>", F.coalesce("source", F.lit("")), "</h2><p>", clean(), "</p><img src=x alt=' logo '><img src=y><ul><li>one<li>two &amp; &lt;b&gt;</ul><p>See <a href='https://ex.org/",
+        "<div style='visibility:hidden'><p>H2</p></div><noscript>NO</noscript><h2>", F.coalesce("source", F.lit("")), "</h2><p>", marked_up(line()), "</p><img src=x alt=' logo '><img src=y><ul><li>one<li>two &amp; &lt;b&gt;</ul><p>See <a href='https://ex.org/",
         i, f"'>here</a> or <a href='{LONG_LINK}'>there</a> or <a href='https://ex.org/", i, "'>https://ex.org/", i, "</a></p><table><tr><td>a</td><td>b</td></tr></table>line<br>next<p>Unsubscribe now</p><p>after</p></body></html>",
     )
     ship_package(spark)
@@ -157,7 +161,7 @@ def html_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with c as (select doc_id, {CLEAN_SQL} as c from documents)
+with c as (select doc_id, {LINE_SQL} as c from documents)
 select doc_id, md5(case doc_id % 3 when 0 then '' when 1 then trim(c || chr(10) || 'two', chr(10)) else '<p>' || c || '</p>' end) as digest from c""")
 def html_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left when readers fail: nothing of nothing, then the bare text, then the markup itself."""
@@ -181,7 +185,7 @@ def html_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(markup: pd.Series, kind: pd.Series) -> pd.Series:
         return pd.Series([read(m, n) for m, n in zip(markup, kind, strict=True)])
 
-    html = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, text("<p>", clean(), "</p>two")).otherwise(text("<p>", clean(), "</p>"))
+    html = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, text("<p>", marked_up(line()), "</p>two")).otherwise(text("<p>", line(), "</p>"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(run(html, k.cast("int"))).alias("digest"))
 
 
