@@ -14,6 +14,7 @@ from postlake.functions.embedtext import embedding_text
 from postlake.functions.html import html_to_text
 from postlake.operators import listing, maintain, search
 from postlake.operators.asof import asof_join
+from postlake.operators.fulltext import TextIndex
 from postlake.operators.likeindex import LikeIndex
 from postlake.operators.staging import numbered_names
 from postlake.operators.threads import threads
@@ -477,6 +478,20 @@ def streamed_moves(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(scratch.path("moves"))
 
 
+@query(r"""
+with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents where doc_id is not null),
+n as (select count(*) as n, avg(len(w)) as l from w),
+t as (select doc_id, len(w) as size, x.t as term, len(list_filter(w, lambda y: y = x.t)) as tf from w, (values ('the'), ('that'), ('with'), ('secret')) as x (t)),
+f as (select term, count(*) filter (where tf > 0) as df from t group by term)
+select doc_id, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / n.l))), 6) as score
+from t join f using (term), n where tf > 0 group by doc_id order by sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / n.l))) desc, doc_id limit 50""")
+def fulltext_bm25(spark, sf_dir):
+    """The best texts for some words by BM25, over an index of all documents that skips blocks."""
+    index = TextIndex.build(table(spark, sf_dir, "documents"), Scratch(spark, "fulltext").path("index"), "doc_id", block=256)
+    found, _ = index.search("The secret, that WITH the", 50)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 # -- threads and times -------------------------------------------------------------------------------
 
 
