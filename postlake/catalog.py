@@ -15,6 +15,7 @@ from postlake.functions.html import html_to_text
 from postlake.operators import listing, maintain, search
 from postlake.operators.asof import asof_join
 from postlake.operators.fulltext import TextIndex
+from postlake.operators.intervals import overlap_join
 from postlake.operators.likeindex import LikeIndex
 from postlake.operators.staging import numbered_names
 from postlake.operators.threads import threads
@@ -513,6 +514,19 @@ def message_threads(spark, sf_dir):
     return threads(e.select(F.col("event_id").alias("id"), name("event_id").alias("message_id"), reply.alias("in_reply_to"), references.alias("references_header")))
 
 
+@query("""
+with o as (select o_orderkey, o_custkey % 150 as user_id, timestamp '2024-01-01' + to_minutes(cast(o_orderkey * 7919 % 43200 as int)) as opened, case when o_orderkey % 50 = 0 then 20000 else o_orderkey % 600 end as minutes from orders)
+select o_orderkey, event_id, e.user_id from o join events e on o.user_id = e.user_id and e.ts >= opened and e.ts <= opened + to_minutes(cast(minutes as int))""")
+def events_within(spark, sf_dir):
+    """Events within the intervals of their user's orders, of which some are long."""
+    k = F.col("o_orderkey")
+    start = F.lit(1_704_067_200_000_000) + k * 7919 % 43_200 * 60_000_000
+    minutes = F.when(k % 50 == 0, 20_000).otherwise(k % 600)
+    orders = table(spark, sf_dir, "orders").select(k, (F.col("o_custkey") % 150).alias("user_id"), start.alias("opened"), (start + minutes * 60_000_000).alias("closed"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return overlap_join(orders, events, ("opened", "closed"), ("at", "at"), ("user_id",)).select("o_orderkey", "event_id", "user_id")
+
+
 @query("""
 with p as (select user_id, ts, max(event_id) as event_id, arg_max(value, event_id) as value from events where event_type = 'purchase' group by user_id, ts)
 select e.event_id, e.event_type, p.event_id as last_event_id, p.value as last_value from events e asof left join p on e.user_id = p.user_id and e.ts > p.ts""")
