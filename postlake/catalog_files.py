@@ -64,7 +64,9 @@ def lines(*parts) -> Column:
 def parsed(rows: DataFrame, content: Column, key: str = "doc_id") -> DataFrame:
     """Records of messages built from rows; ``file_path`` is the row's key."""
     raw = F.encode(content, "UTF-8")
-    return parse_messages(rows.select(F.col(key).cast("string").alias("file_path"), F.lit(0.0).alias("file_mtime"), F.length(raw).cast("long").alias("file_size"), raw.alias("content")))
+    # parsing is what takes long, and a short table may be one partition
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return parse_messages(dealt.select(F.col(key).cast("string").alias("file_path"), F.lit(0.0).alias("file_mtime"), F.length(raw).cast("long").alias("file_size"), raw.alias("content")))
 
 
 def key() -> Column:

@@ -62,20 +62,31 @@ def date_of(raw: str) -> tuple[datetime | None, int | None]:
     return (d.replace(tzinfo=UTC), None) if ahead is None else (d.astimezone(UTC), int(ahead.total_seconds() // 60))
 
 
-def body_of(msg: Message, s: Settings = SETTINGS) -> str:
-    plain = "\n".join(t for p in msg.walk() if p.get_content_type() == "text/plain" and not p.is_multipart() and (t := part_text(p)))
-    html = next((t for p in msg.walk() if p.get_content_type() == "text/html" and (t := part_text(p))), "")
+Part = tuple[Message, str]
+
+
+def parts_of(msg: Message) -> list[Part]:
+    """The parts of a message, itself included, with their content types: each is asked for once, since its header is parsed
+    anew each time."""
+    return [(p, p.get_content_type()) for p in msg.walk()]
+
+
+def body_of(parts: list[Part], s: Settings = SETTINGS) -> str:
+    plain = "\n".join(t for p, kind in parts if kind == "text/plain" and not p.is_multipart() and (t := part_text(p)))
+    html = next((t for p, kind in parts if kind == "text/html" and (t := part_text(p))), "")
     cleaned = html_to_text(html)
     body = cleaned if cleaned and (not plain or len(cleaned.strip()) >= LEAST_HTML) else plain
     return without_quotes(body, s)
 
 
-def attachments_of(msg: Message, s: Settings = SETTINGS) -> list[dict[str, Any]]:
+def attachments_of(parts: list[Part], s: Settings = SETTINGS) -> list[dict[str, Any]]:
     """Parts whose disposition says attachment or inline; those that are too large without their text."""
     found = []
-    for part in msg.walk():
+    for part, kind in parts:
+        if part.is_multipart():
+            continue
         disposition = str(part.get("Content-Disposition", "") or "")
-        if part.is_multipart() or not any(x in disposition.lower() for x in ("attachment", "inline")):
+        if not any(x in disposition.lower() for x in ("attachment", "inline")):
             continue
         name = part.get_filename()
         name = decode_words(name, "") if name else ""
@@ -83,8 +94,8 @@ def attachments_of(msg: Message, s: Settings = SETTINGS) -> list[dict[str, Any]]
         size = int(stated) if stated.isdigit() else 0
         data = part.get_payload(decode=True) if size <= s.largest_attachment else None
         size = size or len(data or b"")
-        text = attachment_text(data, part.get_content_type(), name, largest=s.largest_attachment) if data and size <= s.largest_attachment else None
-        found.append({"filename": name, "content_type": part.get_content_type() or "", "content_disposition": disposition, "size": size, "extracted_text": text or None})
+        text = attachment_text(data, kind, name, largest=s.largest_attachment) if data and size <= s.largest_attachment else None
+        found.append({"filename": name, "content_type": kind or "", "content_disposition": disposition, "size": size, "extracted_text": text or None})
     return found
 
 
@@ -94,6 +105,7 @@ def parse_message(content: bytes, s: Settings = SETTINGS) -> dict[str, Any]:
         msg = email.message_from_bytes(content, policy=email.policy.default)
         subject = header(msg, "Subject")
         raw = header(msg, "Date")
+        parts = parts_of(msg)
         date, ahead = date_of(raw) if raw else (None, None)
         return {
             "subject": decode_words(subject, " ") if subject else "",
@@ -105,8 +117,8 @@ def parse_message(content: bytes, s: Settings = SETTINGS) -> dict[str, Any]:
             "date_offset": ahead,
             "date_raw": raw,
             "message_id": header(msg, "Message-ID"),
-            "body": body_of(msg, s),
-            "attachments": attachments_of(msg, s),
+            "body": body_of(parts, s),
+            "attachments": attachments_of(parts, s),
             "in_reply_to": header(msg, "In-Reply-To"),
             "references": header(msg, "References"),
             "parse_error": None,

@@ -116,9 +116,10 @@ class Ingest:
     def _write_parsed(self, parsed: DataFrame, scratch: Scratch) -> tuple[Run, DataFrame]:
         """Write a written table of parsed files; also the old paths (file_path) that others replace."""
         good = parsed.where("parse_error is null")
-        run = Run(failed=parsed.where("parse_error is not null").count())
+        failed, n = parsed.agg(F.count_if(F.col("parse_error").isNotNull()), F.count_if(F.col("parse_error").isNull())).first()
+        run = Run(failed=failed, indexed=n)
         gone = scratch.keep(confirmed_missing(moved(self.store.table("emails"), good)), "moved")
-        run.moved, run.indexed = gone.count(), good.count()
+        run.moved = gone.count()
         if run.indexed:
             self.store.upsert(good, scratch.keep(self.embedded(good), "embedded"), self.s, gone if run.moved else None)
         return run, gone
