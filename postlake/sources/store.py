@@ -94,6 +94,7 @@ class Store:
             for column in LOOKED_UP.get(name, []):  # as large as a bucket grows, smaller where fewer will do
                 out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(SETTINGS.bucket_messages))
             out.option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{self.root}/{folders[name]}")
+            self._figures(name, f"{self.root}/{folders[name]}").coalesce(1).write.parquet(f"{self.root}/figures/{folders[name]}")
 
         with ThreadPoolExecutor(len(TABLES)) as side_by_side:
             list(side_by_side.map(put, tables))
@@ -101,15 +102,8 @@ class Store:
             parts = {b: p for b, p in m["tables"].get(name, {}).items() if b not in touched}
             written = {n.removeprefix("bucket=") for n in self.files.entries(folder) if n.startswith("bucket=")}
             m["tables"][name] = parts | {b: f"{folder}/bucket={b}" for b in written}
-        if figures := [self._figures(name, f"{self.root}/{folder}") for name, folder in folders.items() if m["tables"][name]]:
-            version = f"figures/v-{uuid.uuid4().hex}"
-            rows = figures[0]
-            for more in figures[1:]:
-                rows = rows.unionByName(more)
-            rows.coalesce(1).write.parquet(f"{self.root}/{version}")
-            for name, folder in folders.items():
-                kept = {b: v for b, v in m.setdefault("figures", {}).get(name, {}).items() if b in m["tables"][name]}
-                m["figures"][name] = kept | {b: version for b, p in m["tables"][name].items() if p.startswith(f"{folder}/")}
+            kept = {b: v for b, v in m.setdefault("figures", {}).get(name, {}).items() if b in m["tables"][name]}
+            m["figures"][name] = kept | {b: f"figures/{folder}" for b in written}
         self.files.replace("manifest.json", json.dumps(m))
 
     def _figures(self, name: str, folder: str) -> DataFrame:
@@ -197,7 +191,7 @@ class Store:
         named = {p.rsplit("/", 1)[0] for parts in m["tables"].values() for p in parts.values()} | {m.get("vector_index", {}).get("folder")}
         gone = 0
         named |= {v for parts in m.get("figures", {}).values() for v in parts.values()}
-        for name in [*TABLES, "vector-index", "figures"]:
+        for name in [*TABLES, "vector-index", *(f"figures/{n}" for n in TABLES)]:
             for folder, changed in self.files.entries(name).items():
                 if f"{name}/{folder}" not in named and changed < time.time() - 3600 * hours:
                     gone += self.files.delete(f"{name}/{folder}")

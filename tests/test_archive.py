@@ -461,7 +461,7 @@ def test_vacuum_and_other_buckets(ingest, archive):
     assert sorted(table(ingest, "emails").drop("indexed_at").collect(), key=lambda r: r["id"]) == rows
     assert sorted(tuple(r) for r in table(ingest, "attachments").collect()) == files
     assert ingest.vacuum()["removed"] == 0  # too young
-    assert ingest.vacuum(hours=-1)["removed"] == 4 and ingest.vacuum(hours=-1)["removed"] == 0
+    assert ingest.vacuum(hours=-1)["removed"] == 6 and ingest.vacuum(hours=-1)["removed"] == 0
     assert sorted(tuple(r) for r in table(ingest, "attachments").collect()) == files and table(ingest, "vectors").count() == 3
 
 
