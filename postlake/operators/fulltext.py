@@ -1,7 +1,8 @@
 """Full text search with BM25 over an inverted index that skips blocks of documents.
 
-Documents are dealt to blocks of about ``BLOCK`` by a hash of their id.  The index has a posting for each term and document (its
-impact: what the term's frequency is worth in a text of that length), the greatest impact of each term in each block, and
+Documents are taken in blocks, of at most ``BLOCK`` that one task reads one after the other.  The index has a list for each term and
+block (ids, frequencies and lengths of the documents that have the term; made within the task, so no single word is shuffled), the
+greatest impact of each term in each block (what the term's frequency is worth in a text of that length), and
 the number of documents of each term.  A document's score is the sum of its terms' impacts times their inverse document
 frequency, so no document of a block scores more than the sum of the block's greatest impacts.  A search opens the blocks
 that promise most, takes the k-th score that it finds there, and then opens only blocks that promise as much: the result is that of scoring
@@ -10,11 +11,20 @@ all documents.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from postlake.runtime import ship_package
 
-#: Usual constants of BM25, documents of a block, files of postings, blocks opened at first.
-K1, B, BLOCK, FILES, FIRST = 1.2, 0.75, 2_048, 16, 4
+#: Usual constants of BM25, documents of a block and entries at which one is closed before, files of postings, blocks opened
+#: at first.
+K1, B, BLOCK, ENTRIES, FILES, FIRST = 1.2, 0.75, 2_048, 400_000, 16, 4
 
 
 def terms_of(text: Column) -> Column:
@@ -26,38 +36,73 @@ def _file_of(term: Column) -> Column:
     return F.pmod(F.crc32(term), F.lit(FILES)).cast("int")
 
 
+def _impact(tf: Column, size: Column, length: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / length))
+
+
 class TextIndex:
     """An index at a folder: ``postings``, ``blocks``, ``terms`` and ``totals``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.documents = spark.read.parquet(f"{self.root}/totals").first()["documents"]
+        self.documents, self.length = spark.read.parquet(f"{self.root}/totals").select("documents", "length").first()
 
     @classmethod
     def build(cls, docs: DataFrame, root: str, id_col: str = "id", text_col: str = "text", block: int = BLOCK) -> TextIndex:
         """Index whole texts.  Null texts are empty; empty ones count as documents and match nothing; rows without an id are left
-        out.  Ids must be distinct."""
+        out.  Ids are strings or whole numbers and must be distinct."""
         spark, root = docs.sparkSession, root.rstrip("/")
+        ship_package(spark)
         words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), terms_of(F.col(text_col)).alias("words"))
-        n, length = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
-        spark.createDataFrame([(n, float(length or 0))], "documents long, length double").coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
-        blocks = max(1, -(-n // block))
-        # a document's terms are counted within it, so no word is shuffled before it is counted
-        counted = words.select("id", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-        scale = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("size") / F.lit(length or 1.0))
-        postings = counted.select("id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + scale)).alias("impact"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), _file_of(F.col("term")).alias("file"))
+        kind = pa.string() if isinstance(words.schema["id"].dataType, StringType) else pa.int64()
+        names = ["term", "block", "ids", "tfs", "sizes"]
+
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, tuple[list, list, list]] = {}
+            number, n, entries, total = TaskContext.get().partitionId() << 32, 0, 0, 0
+
+            def closed() -> pa.RecordBatch:
+                held[""] = ([], [n], [total])  # how many documents, and words
+                terms = sorted(held)
+                columns = [pa.array(terms, pa.string()), pa.array([number] * len(terms), pa.int64())]
+                return pa.RecordBatch.from_arrays([*columns, *(pa.array([held[t][i] for t in terms], pa.list_(k)) for i, k in enumerate((kind, pa.int64(), pa.int64())))], names=names)
+
+            for batch in batches:
+                for i, found in zip(batch.column("id").to_pylist(), batch.column("words"), strict=True):
+                    found = found.as_py()
+                    for t, tf in Counter(found).items():
+                        ids, tfs, sizes = held.setdefault(t, ([], [], []))
+                        ids.append(i)
+                        tfs.append(tf)
+                        sizes.append(len(found))
+                        entries += 1
+                    n, total = n + 1, total + len(found)
+                    if n >= block or entries >= ENTRIES:
+                        yield closed()
+                        held, number, n, entries, total = {}, number + 1, 0, 0, 0
+            if n:
+                yield closed()
+
+        id_type = "string" if kind == pa.string() else "long"
+        made = words.mapInArrow(lists, f"term string, block long, ids array<{id_type}>, tfs array<long>, sizes array<long>").withColumn("file", _file_of(F.col("term")))
         # by range, so that a term of very many documents is split by blocks
-        ranged = postings.repartitionByRange("file", "term", "block").sortWithinPartitions("file", "term", "block", "id")
+        ranged = made.repartitionByRange("file", "term", "block").sortWithinPartitions("file", "term", "block")
+        spark.createDataFrame([], made.schema).write.mode("overwrite").parquet(f"{root}/columns")
         ranged.write.mode("overwrite").option("compression", "zstd").partitionBy("file").parquet(f"{root}/postings")
+        kept = spark.read.schema(made.schema).parquet(f"{root}/postings")
+        whole = kept.where((F.col("file") == _file_of(F.lit(""))) & (F.col("term") == ""))
+        n, size = whole.agg(F.coalesce(F.sum(F.col("tfs")[0]), F.lit(0)), F.coalesce(F.sum(F.col("sizes")[0]), F.lit(0))).first()
+        length = size / n if n else 1.0
+        spark.createDataFrame([(n, float(length or 1.0))], "documents long, length double").coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
+        most = F.array_max(F.zip_with("tfs", "sizes", lambda tf, size: _impact(tf, size, float(length or 1.0))))
+        best = kept.where(F.col("term") != "").select("term", "block", most.alias("most"), F.size("ids").cast("long").alias("n"))
+        best.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{root}/blocks")
         out = cls(spark, root)
-        best = out.postings().groupBy("term", "block").agg(F.max("impact").alias("most"), F.count(F.lit(1)).alias("n"))
-        best.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{root}/blocks")
         out.blocks().groupBy("term").agg(F.sum("n").alias("n")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
         return out
 
     def postings(self) -> DataFrame:
-        kept = self.spark.read.parquet(f"{self.root}/postings") if self.documents else None
-        return kept if kept is not None and kept.columns else self.spark.createDataFrame([], "id long, term string, impact double, block int, file int")
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.root}/columns").schema).parquet(f"{self.root}/postings")
 
     def blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/blocks")
@@ -75,7 +120,7 @@ class TextIndex:
         weights = self.weights(query)
         kept = self.postings()
         if not weights or k <= 0:
-            return kept.select("id", F.lit(0.0).alias("score")).limit(0), 0
+            return kept.select(F.explode("ids").alias("id"), F.lit(0.0).alias("score")).limit(0), 0
         idf = F.element_at(F.create_map(*(F.lit(x) for t, w in sorted(weights.items()) for x in (t, w))), F.col("term"))
         some = F.col("term").isin(sorted(weights))
         files = [r[0] for r in self.spark.createDataFrame([(t,) for t in weights], "term string").select(_file_of(F.col("term"))).distinct().collect()]
@@ -83,7 +128,8 @@ class TextIndex:
 
         def scored(opened: DataFrame) -> DataFrame:
             rows = kept.where(F.col("file").isin(files) & some).join(opened.select("block"), "block", "left_semi")
-            return rows.groupBy("id").agg(F.sum(F.col("impact") * idf).alias("score"))
+            each = rows.select("term", F.explode(F.arrays_zip("ids", "tfs", "sizes")).alias("d"))
+            return each.groupBy(F.col("d.ids").alias("id")).agg(F.sum(_impact(F.col("d.tfs"), F.col("d.sizes"), self.length) * idf).alias("score"))
 
         first = promised.orderBy(F.desc("most"), "block").limit(max(FIRST, -(-2 * k // BLOCK)))
         found = [r[0] for r in scored(first).orderBy(F.desc("score")).limit(k).select("score").collect()]
