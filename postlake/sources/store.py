@@ -131,10 +131,9 @@ class Store:
             return None
         if not current:
             return self.spark.createDataFrame([], FIGURES).drop("version")
-        rows = None
-        for version in sorted({v for *_, v in current}):  # as many as there are writes of which some bucket is left
-            one = self.spark.read.parquet(f"{self.root}/{version}").withColumn("version", F.lit(version))
-            rows = one if rows is None else rows.unionByName(one)
+        # of as many writes as some bucket is left of
+        rows = self.spark.read.parquet(*(f"{self.root}/{v}" for v in sorted({v for *_, v in current})))
+        rows = rows.withColumn("version", F.regexp_extract(F.col("_metadata.file_path"), r"(figures/[^/]+/v-[0-9a-f]+)/[^/]+$", 1))
         known = self.spark.createDataFrame(current, "name string, bucket int, version string")
         return rows.join(F.broadcast(known), ["name", "bucket", "version"], "left_semi").drop("version")
 
