@@ -85,10 +85,10 @@ class TextIndex:
 
         id_type = "string" if kind == pa.string() else "long"
         made = words.mapInArrow(lists, f"term string, block long, ids array<{id_type}>, tfs array<long>, sizes array<long>").withColumn("file", _file_of(F.col("term")))
-        # by range, so that a term of very many documents is split by blocks
-        ranged = made.repartitionByRange("file", "term", "block").sortWithinPartitions("file", "term", "block")
+        # a term of very many documents is split by its blocks; not by range, since sampling would make all lists twice
+        dealt = made.repartition("file", "term", F.pmod(F.xxhash64("block"), F.lit(64))).sortWithinPartitions("file", "term", "block")
         spark.createDataFrame([], made.schema).write.mode("overwrite").parquet(f"{root}/columns")
-        ranged.write.mode("overwrite").option("compression", "zstd").partitionBy("file").parquet(f"{root}/postings")
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("file").parquet(f"{root}/postings")
         kept = spark.read.schema(made.schema).parquet(f"{root}/postings")
         whole = kept.where((F.col("file") == _file_of(F.lit(""))) & (F.col("term") == ""))
         n, size = whole.agg(F.coalesce(F.sum(F.col("tfs")[0]), F.lit(0)), F.coalesce(F.sum(F.col("sizes")[0]), F.lit(0))).first()
