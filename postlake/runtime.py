@@ -160,3 +160,8 @@ def sweep(spark: SparkSession, hours: float = 48) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, some tasks each, for steps that take long over a row: a short table may be one partition."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
