@@ -2,8 +2,13 @@
 
 from email.headerregistry import ContentTypeHeader
 
+from pyspark.sql import functions as F
+
 from postlake.catalog import QUERIES
 from postlake.functions.mime import parse_message
+from postlake.operators.likeindex import LikeIndex, like_rows
+from postlake.runtime import Scratch
+from postlake.schema import ATTACHMENTS, EMAILS, conform, empty
 
 
 def test_rows_of_a_short_table_are_dealt_to_all_cores(spark, sf):
@@ -18,3 +23,10 @@ def test_headers_of_one_wording_are_parsed_once(monkeypatch):
     for _ in range(2):
         assert parse_message("\r\n".join(lines).encode())["body"] == "body\nbody\nbody"
     assert len(parsed) == 2
+
+
+def test_postings_of_like_are_of_texts_not_of_rows(spark):
+    emails = conform(spark.range(2_000).select("id", F.concat(F.lit("Sender "), (F.col("id") % 3).cast("string")).alias("from_addr"), F.lit("Ann@ex.org").alias("to_addrs")), EMAILS)
+    index = LikeIndex.build(emails, empty(spark, ATTACHMENTS), Scratch(spark, "like").path("index"))
+    assert spark.read.parquet(f"{index.root}/postings").count() == 3 * 6 + 8
+    assert index.candidates("from_addr", "sender") is None and like_rows(index, emails, "from_addr", "R 2").count() == 666
