@@ -90,7 +90,8 @@ class Store:
 
         def put(name: str) -> None:
             rows = tables[name].select(*(F.col(f.name) for f in TABLES[name]), "bucket")
-            out = rows.repartition("bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, [])).write
+            # a bucket is as many tasks and files as it is long
+            out = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, [])).write
             for column in LOOKED_UP.get(name, []):  # as large as a bucket grows, smaller where fewer will do
                 out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(SETTINGS.bucket_messages))
             out.option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{self.root}/{folders[name]}")

@@ -9,6 +9,7 @@ from postlake.functions.mime import parse_message
 from postlake.operators.likeindex import LikeIndex, like_rows
 from postlake.runtime import Scratch
 from postlake.schema import ATTACHMENTS, EMAILS, conform, empty
+from postlake.sources.store import Store
 
 
 def test_rows_of_a_short_table_are_dealt_to_all_cores(spark, sf):
@@ -30,3 +31,15 @@ def test_postings_of_like_are_of_texts_not_of_rows(spark):
     index = LikeIndex.build(emails, empty(spark, ATTACHMENTS), Scratch(spark, "like").path("index"))
     assert spark.read.parquet(f"{index.root}/postings").count() == 3 * 6 + 8
     assert index.candidates("from_addr", "sender") is None and like_rows(index, emails, "from_addr", "R 2").count() == 666
+
+
+def test_a_long_bucket_is_written_by_several_tasks(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    store = Store(spark, Scratch(spark, "long").path("index"), buckets=1)
+    rows = spark.range(0, 4_000, 1, 8).select("id", F.concat(F.lit("/m/"), F.col("id").cast("string")).alias("file_path"), F.sha2(F.col("id").cast("string"), 512).alias("subject")).withColumn("file_hash", F.md5("file_path"))
+    spark.conf.set(name, "64k")
+    try:
+        store.commit(emails=conform(rows, EMAILS))
+    finally:
+        spark.conf.unset(name)
+    assert store.table("emails").count() == 4_000 and len(store.table("emails").inputFiles()) > 1
