@@ -11,10 +11,11 @@ all documents.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,9 @@ from pyspark.sql.types import StringType
 
 from postlake.runtime import ship_package
 
-#: Usual constants of BM25, documents of a block and entries at which one is closed before, files of postings, blocks opened
+#: Usual constants of BM25, documents of a block and words at which one is closed before, files of postings, blocks opened
 #: at first.
-K1, B, BLOCK, ENTRIES, FILES, FIRST = 1.2, 0.75, 2_048, 400_000, 16, 4
+K1, B, BLOCK, WORDS, FILES, FIRST = 1.2, 0.75, 2_048, 1_000_000, 16, 4
 
 
 def terms_of(text: Column) -> Column:
@@ -58,28 +59,46 @@ class TextIndex:
         names = ["term", "block", "ids", "tfs", "sizes"]
 
         def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[str, tuple[list, list, list]] = {}
-            number, n, entries, total = TaskContext.get().partitionId() << 32, 0, 0, 0
+            held: list[pa.RecordBatch] = []
+            number, n, entries = TaskContext.get().partitionId() << 32, 0, 0
 
             def closed() -> pa.RecordBatch:
-                held[""] = ([], [n], [total])  # how many documents, and words
-                terms = sorted(held)
-                columns = [pa.array(terms, pa.string()), pa.array([number] * len(terms), pa.int64())]
-                return pa.RecordBatch.from_arrays([*columns, *(pa.array([held[t][i] for t in terms], pa.list_(k)) for i, k in enumerate((kind, pa.int64(), pa.int64())))], names=names)
+                ids = pa.concat_arrays([b.column("id") for b in held]).cast(kind)
+                found = pa.concat_arrays([b.column("words") for b in held])
+                sizes = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = found.flatten().dictionary_encode()
+                by_name = np.asarray(pc.sort_indices(coded.dictionary))
+                rank = np.empty(len(by_name), np.int64)
+                rank[by_name] = np.arange(len(by_name))
+                pairs = rank[coded.indices.to_numpy(zero_copy_only=False)] * n + np.repeat(np.arange(n), sizes)
+                each, tfs = np.unique(pairs, return_counts=True)  # by term, then by place in the block
+                term, place = each // n, each % n
+                # the empty term comes first: how many documents, and words
+                ends = np.concatenate([[0, 1], 1 + np.searchsorted(term, np.arange(1, len(by_name) + 1))]).astype(np.int32)
+                lists_of = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
+                none = pa.array([None], kind)
+                columns = [
+                    pa.concat_arrays([pa.array([""]), coded.dictionary.take(pa.array(by_name)).cast(pa.string())]),
+                    pa.array(np.full(len(by_name) + 1, number)),
+                    lists_of(pa.concat_arrays([none, ids.take(pa.array(place))])),
+                    lists_of(pa.array(np.concatenate([[n], tfs]).astype(np.int64))),
+                    lists_of(pa.array(np.concatenate([[sizes.sum()], sizes[place]]).astype(np.int64))),
+                ]
+                return pa.RecordBatch.from_arrays(columns, names=names)
 
             for batch in batches:
-                for i, found in zip(batch.column("id").to_pylist(), batch.column("words"), strict=True):
-                    found = found.as_py()
-                    for t, tf in Counter(found).items():
-                        ids, tfs, sizes = held.setdefault(t, ([], [], []))
-                        ids.append(i)
-                        tfs.append(tf)
-                        sizes.append(len(found))
-                        entries += 1
-                    n, total = n + 1, total + len(found)
-                    if n >= block or entries >= ENTRIES:
+                ends = np.cumsum(batch.column("words").value_lengths().to_numpy(zero_copy_only=False))
+                start = 0
+                while start < batch.num_rows:
+                    before = ends[start - 1] if start else 0
+                    # up to the document that fills the block, itself included
+                    full = int(np.searchsorted(ends, before + WORDS - entries)) + 1
+                    stop = min(batch.num_rows, start + block - n, full)
+                    held.append(batch.slice(start, stop - start))
+                    n, entries, start = n + stop - start, entries + int(ends[stop - 1] - before), stop
+                    if n >= block or entries >= WORDS:
                         yield closed()
-                        held, number, n, entries, total = {}, number + 1, 0, 0, 0
+                        held, number, n, entries = [], number + 1, 0, 0
             if n:
                 yield closed()
 
@@ -95,8 +114,9 @@ class TextIndex:
         length = size / n if n else 1.0
         spark.createDataFrame([(n, float(length or 1.0))], "documents long, length double").coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
         most = F.array_max(F.zip_with("tfs", "sizes", lambda tf, size: _impact(tf, size, float(length or 1.0))))
-        best = kept.where(F.col("term") != "").select("term", "block", most.alias("most"), F.size("ids").cast("long").alias("n"))
-        best.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{root}/blocks")
+        best = kept.where(F.col("term") != "").select("term", "block", most.alias("most"), F.size("tfs").cast("long").alias("n"))
+        # lists lie sorted in their files, so they are read in order
+        best.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{root}/blocks")
         out = cls(spark, root)
         out.blocks().groupBy("term").agg(F.sum("n").alias("n")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
         return out
