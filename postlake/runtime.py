@@ -83,6 +83,11 @@ class Scratch:
             path, store = self._store(self.path(name))
             store.delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables, where no later plan reads any."""
+        path, store = self._store(self.root)
+        store.delete(path, True)
+
     def _store(self, path: str):
         """A path and the file system it lies in, as Spark sees them."""
         sc = self.spark.sparkContext

@@ -2,7 +2,8 @@
 
 Messages, their attachments and vectors lie in the bucket that a hash of the message's path says.  A write reads and
 replaces only the buckets of the paths that it is about, in new folders, then flips the manifest; buckets that it
-doesn't touch are named again as they are.  With every bucket the write keeps what it holds in figures (counts, extremes,
+doesn't touch are named again as they are.  Rows that stay go from the old folder to the new one without a shuffle: only keys
+are joined, and what they hit is left out by its place in its file.  With every bucket the write keeps what it holds in figures (counts, extremes,
 a sketch of its senders), which can be merged, so the status of an archive scans none of its rows; and Parquet bloom filters
 on what single messages are looked up by, so a lookup reads no row group that can't have them.  The files of the current version are never changed, so readers and failed
 writers are safe, and all tables of a version become visible together.  ``vacuum`` removes folders that no
@@ -42,6 +43,9 @@ ORDERED_BY = {"emails": ["date"], "attachments": ["email_id"], "vectors": ["id"]
 LOOKED_UP = {"emails": ["message_id", "file_hash", "id"], "attachments": ["email_id"], "vectors": ["id"]}
 #: What is kept of a bucket of a table.
 FIGURES = "name string, bucket int, version string, n long, with_attachments long, min_date timestamp, max_date timestamp, max_file_mtime double, min_id long, max_id long, senders binary"
+#: Rows of a file that one bitmap of places is about (``bitmap_construct_agg`` says so), and bytes of bitmaps that a write
+#: broadcasts: half a billion rows, at a bit each.  More are joined by a shuffle.
+PLACES, BROADCAST = 32_768, 64 << 20
 #: Bits of the sketch of senders: its error is about 1.04 / sqrt(2 ** SKETCH) of their number.
 SKETCH = 11
 
@@ -71,9 +75,12 @@ class Store:
         except ValueError:
             return {"buckets": self._new, "next": {"emails": 0, "attachments": 0}, "tables": {}}
 
-    def _read(self, m: dict[str, Any], name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+    def _paths(self, m: dict[str, Any], name: str, buckets: Iterable[int] | None = None) -> list[str]:
         wanted = None if buckets is None else set(buckets)
-        paths = [f"{self.root}/{p}" for b, p in sorted(m["tables"].get(name, {}).items()) if wanted is None or int(b) in wanted]
+        return [f"{self.root}/{p}" for b, p in sorted(m["tables"].get(name, {}).items()) if wanted is None or int(b) in wanted]
+
+    def _read(self, m: dict[str, Any], name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        paths = self._paths(m, name, buckets)
         if not paths:
             return empty(self.spark, TABLES[name])
         return conform(self.spark.read.schema(TABLES[name]).parquet(*paths), TABLES[name])
@@ -83,22 +90,39 @@ class Store:
         m = self.manifest()
         return self._read(m, name, None if paths is None else {int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % m["buckets"] for p in paths})
 
-    def _write(self, m: dict[str, Any], tables: dict[str, DataFrame], touched: Iterable[int]) -> None:
-        """Replace buckets of tables (rows with ``bucket``) and make the new version current."""
-        touched = {str(b) for b in touched}
-        folders = {name: f"{name}/v-{uuid.uuid4().hex}" for name in tables}
-
-        def put(name: str) -> None:
-            rows = tables[name].select(*(F.col(f.name) for f in TABLES[name]), "bucket")
-            # a bucket is as many tasks and files as it is long
-            out = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *ORDERED_BY.get(name, [])).write
-            for column in LOOKED_UP.get(name, []):  # as large as a bucket grows, smaller where fewer will do
-                out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(SETTINGS.bucket_messages))
-            out.option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{self.root}/{folders[name]}")
-            self._figures(name, f"{self.root}/{folders[name]}").coalesce(1).write.parquet(f"{self.root}/figures/{folders[name]}")
-
+    def _placed(self, m: dict[str, Any], name: str, buckets: Iterable[int]) -> DataFrame:
+        """Rows of a table with their bucket and their place: the file and their number within it."""
+        paths, path = self._paths(m, name, buckets), F.col("_metadata.file_path")
+        if not paths:
+            return self._nothing(name).select("*", F.lit("").alias("_file"), F.lit(0).cast("long").alias("_row"))
+        # files of one task have the same name in each bucket
+        place = F.regexp_extract(path, r"/bucket=(\d+)/[^/]+$", 1).cast("int").alias("bucket"), F.regexp_extract(path, r"/bucket=(\d+/[^/]+)$", 1).alias("_file"), F.col("_metadata.row_index").alias("_row")
+        return self.spark.read.schema(TABLES[name]).parquet(*paths).select("*", *place)
+
+    def _put(self, name: str, rows: DataFrame, kept: DataFrame | None = None) -> str:
+        """Write rows of a table (with ``bucket``) to a new folder, with their figures.  ``kept`` are rows that lie in the files of
+        their bucket already, so they are dealt as those are."""
+        folder = f"{name}/v-{uuid.uuid4().hex}"
+        columns = [*(F.col(f.name) for f in TABLES[name]), "bucket"]
+        # a bucket is as many tasks and files as it is long
+        rows = rows.select(*columns).hint("rebalance", "bucket")
+        if kept is not None:
+            rows = kept.select(*columns).unionByName(rows)
+        out = rows.sortWithinPartitions("bucket", *ORDERED_BY.get(name, [])).write.option("compression", "zstd")
+        for column in LOOKED_UP.get(name, []):  # as large as a bucket grows, smaller where fewer will do
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(SETTINGS.bucket_messages))
+        out.option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        self._figures(name, f"{self.root}/{folder}").coalesce(1).write.parquet(f"{self.root}/figures/{folder}")
+        return folder
+
+    def _write(self, m: dict[str, Any], tables: dict[str, tuple[DataFrame, DataFrame | None]], touched: Iterable[int]) -> None:
+        """Replace buckets of tables (new rows and kept ones, as ``_put`` has them) and make the new version current."""
         with ThreadPoolExecutor(len(TABLES)) as side_by_side:
-            list(side_by_side.map(put, tables))
+            folders = dict(zip(tables, side_by_side.map(lambda name: self._put(name, *tables[name]), tables), strict=True))
+        self._publish(m, folders, touched)
+
+    def _publish(self, m: dict[str, Any], folders: dict[str, str], touched: Iterable[int]) -> None:
+        touched = {str(b) for b in touched}
         for name, folder in folders.items():
             parts = {b: p for b, p in m["tables"].get(name, {}).items() if b not in touched}
             written = {n.removeprefix("bucket=") for n in self.files.entries(folder) if n.startswith("bucket=")}
@@ -118,8 +142,8 @@ class Store:
             "min_date": F.min("date") if emails else none("timestamp"),
             "max_date": F.max("date") if emails else none("timestamp"),
             "max_file_mtime": F.max("file_mtime") if emails else none("double"),
-            "min_id": F.min("id") if emails else none("long"),
-            "max_id": F.max("id") if emails else none("long"),
+            "min_id": F.min("id") if name != "vectors" else none("long"),
+            "max_id": F.max("id") if name != "vectors" else none("long"),
             "senders": F.hll_sketch_agg("from_addr", SKETCH) if emails else none("binary"),
         }
         return rows.groupBy("bucket").agg(*(c.alias(n) for n, c in own.items())).select(F.lit(name).alias("name"), "bucket", *own)
@@ -158,32 +182,42 @@ class Store:
             F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("senders")), F.lit(0).cast("long")).alias("senders"),
         )
 
-    def _bucketed(self, m: dict[str, Any], tables: dict[str, DataFrame], emails: DataFrame) -> dict[str, DataFrame]:
-        """Rows with their bucket; an attachment's is that of its message."""
-        own = {"emails": "file_hash", "vectors": "id"}
-        out = {}
-        for name, df in tables.items():
-            df = conform(df, TABLES[name])
-            if name in own:
-                out[name] = df.withColumn("bucket", bucket_of(own[name], m["buckets"]))
-            else:
-                out[name] = df.join(emails.select(F.col("id").alias("email_id"), bucket_of("file_hash", m["buckets"]).alias("bucket")), "email_id")
-        return out
+    def _bucketed(self, name: str, rows: DataFrame, buckets: int) -> DataFrame:
+        """Messages or vectors with their bucket."""
+        return conform(rows, TABLES[name]).withColumn("bucket", bucket_of("file_hash" if name == "emails" else "id", buckets))
+
+    def _replaced(self, m: dict[str, Any], tables: dict[str, DataFrame]) -> None:
+        """Write whole tables, and publish them.  An attachment lies in the bucket of its message: messages are written first, and
+        the attachments joined with what was written."""
+        folders = {}
+        if "emails" in tables:
+            folders["emails"] = self._put("emails", self._bucketed("emails", tables["emails"], m["buckets"]))
+            emails = self.spark.read.schema(type(EMAILS)(list(EMAILS.fields)).add("bucket", "integer")).parquet(f"{self.root}/{folders['emails']}")
+        else:
+            emails = self._bucketed("emails", self._read(m, "emails"), m["buckets"])
+        rows = {n: self._bucketed(n, df, m["buckets"]) for n, df in tables.items() if n == "vectors"}
+        if "attachments" in tables:
+            rows["attachments"] = conform(tables["attachments"], ATTACHMENTS).join(emails.select(F.col("id").alias("email_id"), "bucket"), "email_id")
+        with ThreadPoolExecutor(len(TABLES)) as side_by_side:
+            folders |= dict(zip(rows, side_by_side.map(lambda n: self._put(n, rows[n]), rows), strict=True))
+        for n in ("emails", "attachments"):
+            if n in folders:
+                top = self.spark.read.schema(FIGURES).parquet(f"{self.root}/figures/{folders[n]}").agg(F.max("max_id")).first()[0]
+                m["next"][n] = max(m["next"].get(n, 0), top or 0)
+        self._publish(m, folders, range(m["buckets"]))
 
     def commit(self, **tables: DataFrame) -> None:
-        """Replace whole tables.  Attachments of messages that aren't there are left out."""
+        """Replace whole tables.  Attachments of messages that aren't there are left out, those that the index holds too."""
         m = self.manifest()
-        m["next"] = {n: max(m["next"].get(n, 0), tables[n].agg(F.max("id")).first()[0] or 0) if n in tables else m["next"].get(n, 0) for n in ("emails", "attachments")}
-        self._write(m, self._bucketed(m, tables, tables.get("emails", self._read(m, "emails"))), range(m["buckets"]))
+        if "emails" in tables and "attachments" not in tables and m["tables"].get("attachments"):
+            tables["attachments"] = self._read(m, "attachments")
+        self._replaced(m, tables)
 
     def rebucket(self, buckets: int) -> None:
         """Another number of buckets: every table is written anew."""
         m = self.manifest()
         old = {n: self._read(m, n) for n in m["tables"]}
-        emails = self._read(m, "emails")
-        m["buckets"] = buckets
-        m["tables"] = {}
-        self._write(m, self._bucketed(m, old, emails), range(buckets))
+        self._replaced(m | {"buckets": buckets, "tables": {}}, old)
 
     def vacuum(self, hours: float = 24) -> int:
         """Remove folders that the manifest doesn't name and that are older than readers of old versions run."""
@@ -227,27 +261,69 @@ class Store:
         scratch = Scratch(self.spark, "upsert")
         m = self.manifest()
         about = parsed.select("file_path") if gone is None else parsed.select("file_path").unionByName(gone.select("file_path"))
-        touched = [r[0] for r in about.select(bucket_of(file_hash("file_path"), m["buckets"])).distinct().collect()]  # at most all buckets
-        emails, attachments, vectors = (self._read(m, n, touched) for n in ("emails", "attachments", "vectors"))
-        if gone is not None:
-            emails, attachments, vectors = delete_paths(emails, attachments, vectors, gone)
-        emails, attachments, more = upsert_messages(emails, attachments, parsed, s, scratch, m["next"]["emails"], m["next"]["attachments"])
-        tables = {"emails": emails, "attachments": attachments}
-        if embedded is not None:
-            tables["vectors"] = upsert_vectors(vectors, embedded, s)
-        elif gone is not None:
-            tables["vectors"] = vectors
+        touched = self._buckets_of(m, about)
+        new = scratch.keep(new_emails(parsed, s), "new")
+        replaced = new.select("file_path") if gone is None else new.select("file_path").unionByName(gone.select("file_path"))
+        kept, hit = self._without(m, touched, replaced, scratch)
+        known = hit if gone is None else hit.join(gone.select("file_path").distinct(), "file_path", "left_anti")
+        emails, attachments, more = numbered_messages(new, known, scratch, m["next"]["emails"], m["next"]["attachments"])
+        tables = {"emails": (self._bucketed("emails", emails, m["buckets"]), kept["emails"])}
+        if embedded is not None or gone is not None:
+            ids = [] if gone is None else [gone.select(file_hash("file_path").alias("id"))]
+            rows = empty(self.spark, VECTORS)
+            if embedded is not None:
+                rows = to_vector_rows(latest_per_path(embedded), s)
+                ids.append(embedded.select(file_hash("file_path").alias("id")))
+            stored = self._placed(m, "vectors", touched)
+            left = self._left(stored, self._hit(stored, ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1]), "id"), scratch, "vectors")
+            tables["vectors"] = self._bucketed("vectors", rows, m["buckets"]), left
+        # attachments of new messages get the bucket of their message
+        tables["attachments"] = attachments.withColumn("bucket", bucket_of("file_hash", m["buckets"])), kept["attachments"]
         for n, k in zip(("emails", "attachments"), more, strict=True):
             m["next"][n] += k
-        self._write(m, self._bucketed(m, tables, emails), touched)
-        scratch.drop("ranges-file_path", "ranges-email_id")
+        self._write(m, tables, touched)
+        scratch.clear()
 
     def delete(self, paths: DataFrame) -> None:
         """Delete messages by path (a written table with file_path), with their attachments and vectors."""
+        scratch = Scratch(self.spark, "delete")
         m = self.manifest()
-        touched = [r[0] for r in paths.select(bucket_of(file_hash("file_path"), m["buckets"])).distinct().collect()]
-        emails, attachments, vectors = delete_paths(*(self._read(m, n, touched) for n in ("emails", "attachments", "vectors")), paths)
-        self._write(m, self._bucketed(m, {"emails": emails, "attachments": attachments, "vectors": vectors}, emails), touched)
+        touched = self._buckets_of(m, paths)
+        kept, _ = self._without(m, touched, paths.select("file_path"), scratch)
+        stored = self._placed(m, "vectors", touched)
+        kept["vectors"] = self._left(stored, self._hit(stored, paths.select(file_hash("file_path").alias("id")), "id"), scratch, "vectors")
+        self._write(m, {n: (self._nothing(n), rows) for n, rows in kept.items()}, touched)
+        scratch.clear()
+
+    def _nothing(self, name: str) -> DataFrame:
+        return empty(self.spark, TABLES[name]).withColumn("bucket", F.lit(0))
+
+    def _buckets_of(self, m: dict[str, Any], paths: DataFrame) -> list[int]:
+        return [r[0] for r in paths.select(bucket_of(file_hash("file_path"), m["buckets"])).distinct().collect()]  # at most all buckets
+
+    def _without(self, m: dict[str, Any], touched: list[int], paths: DataFrame, scratch: Scratch) -> tuple[dict[str, DataFrame], DataFrame]:
+        """The messages of buckets but those of ``paths``, and their attachments; also the messages that go (id, file_path)."""
+        emails, attachments = self._placed(m, "emails", touched), self._placed(m, "attachments", touched)
+        hit = scratch.keep(self._hit(emails, paths, "file_path", "id"), "hit")
+        gone = self._hit(attachments, hit.select(F.col("id").alias("email_id")), "email_id")
+        return {"emails": self._left(emails, hit, scratch, "emails"), "attachments": self._left(attachments, gone, scratch, "attachments")}, hit
+
+    def _hit(self, stored: DataFrame, keys: DataFrame, key: str, *more: str) -> DataFrame:
+        """Key and place of the rows with one of the keys; no other column is shuffled."""
+        return stored.select(key, *more, "_file", "_row").join(keys.select(key).distinct(), key, "left_semi")
+
+    def _left(self, stored: DataFrame, hit: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """Stored rows but those hit, read where they lie: a bit a row says which go."""
+        block = F.floor(F.col("_row") / PLACES).alias("_block")
+        bits = hit.groupBy("_file", block).agg(F.bitmap_construct_agg(F.col("_row") % PLACES).alias("_bits"))
+        bits = scratch.keep(bits, f"bits-{name}")
+        size = bits.agg(F.sum(F.length("_bits"))).first()[0] or 0
+        if not size:
+            return stored
+        at = F.col("_row") % PLACES
+        byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        stays = F.col("_bits").isNull() | (F.getbit(byte, (at % 8).cast("int")) == 0)
+        return stored.withColumn("_block", block).join(F.broadcast(bits) if size <= BROADCAST else bits, ["_file", "_block"], "left").where(stays)
 
     # -- state ----------------------------------------------------------------------------------
 
@@ -395,19 +471,33 @@ def upsert_messages(
     """Emails and attachments after replacing by path: ids stay, new paths get the next ids, every other column
     is the new row's (null ones too), and attachments are replaced as a whole.  ``emails`` may be those of the buckets
     that the paths are in; the last ids given then come with them.  Also how many ids were given."""
-    new = to_email_rows(latest_per_path(parsed.where("parse_error is null") if "parse_error" in parsed.columns else parsed), s)
-    known = emails.select(F.col("id").alias("old_id"), "file_path")
-    joined = new.join(known, "file_path", "left")
-    top = (emails.agg(F.max("id")).first()[0] or 0) if last_email is None else last_email
-    scratch = scratch or Scratch(emails.sparkSession, "upsert")
-    fresh, n_emails = numbered(joined.where("old_id is null").drop("old_id"), top, ["file_path"], scratch)
+    new = new_emails(parsed, s)
+    known = emails.select("id", "file_path")
+    last = (emails.agg(F.max("id")).first()[0] or 0) if last_email is None else last_email
+    last_file = (attachments.agg(F.max("id")).first()[0] or 0) if last_attachment is None else last_attachment
+    written, rows, more = numbered_messages(new, known, scratch or Scratch(emails.sparkSession, "upsert"), last, last_file)
+    kept = emails.join(new.select("file_path"), "file_path", "left_anti")
+    left = attachments.join(written.select(F.col("id").alias("email_id")), "email_id", "left_anti")
+    return conform(kept, EMAILS).unionByName(conform(written, EMAILS)), conform(left, ATTACHMENTS).unionByName(conform(rows, ATTACHMENTS)), more
+
+
+def new_emails(parsed: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """The rows of ``emails`` that parsed records make, without ids and with their attachments."""
+    rows = to_email_rows(latest_per_path(parsed.where("parse_error is null") if "parse_error" in parsed.columns else parsed), s)
+    return rows.withColumn("attachments", F.transform("attachments", lambda a: F.struct(*(a[n].alias(n) for n in ("filename", "content_type", "size", "content_disposition")))))
+
+
+def numbered_messages(new: DataFrame, known: DataFrame, scratch: Scratch, last_email: int, last_attachment: int) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """New rows with the ids of those known (id, file_path) or the next ones, their attachments (with ``file_hash`` of their
+    message), and how many ids were given."""
+    joined = new.join(known.select(F.col("id").alias("old_id"), "file_path"), "file_path", "left")
+    fresh, n_emails = numbered(joined.where("old_id is null").drop("old_id"), last_email, ["file_path"], scratch)
     again = joined.where("old_id is not null").withColumnRenamed("old_id", "id")
     written = again.unionByName(fresh)
-    kept = emails.join(new.select("file_path"), "file_path", "left_anti")
-    out = conform(kept, EMAILS).unionByName(conform(written, EMAILS))
-    rows = written.select(F.col("id").alias("email_id"), F.posexplode("attachments").alias("pos", "a"))
+    rows = written.select(F.col("id").alias("email_id"), "file_hash", F.posexplode("attachments").alias("pos", "a"))
     rows = rows.select(
         F.col("email_id"),
+        "file_hash",
         "pos",
         F.col("a.filename").alias("filename"),
         F.col("a.content_type").alias("content_type"),
@@ -415,11 +505,9 @@ def upsert_messages(
         F.col("a.size").alias("size"),
         F.col("a.content_disposition").alias("content_disposition"),
     )
-    top = (attachments.agg(F.max("id")).first()[0] or 0) if last_attachment is None else last_attachment
     # increasing with the message and its position
-    rows, n_attachments = numbered(rows, top, ["email_id", "pos"], scratch)
-    left = attachments.join(written.select(F.col("id").alias("email_id")), "email_id", "left_anti")
-    return out, conform(left, ATTACHMENTS).unionByName(conform(rows, ATTACHMENTS)), (n_emails, n_attachments)
+    rows, n_attachments = numbered(rows, last_attachment, ["email_id", "pos"], scratch)
+    return written, rows, (n_emails, n_attachments)
 
 
 def to_vector_rows(embedded: DataFrame, s: Settings = SETTINGS) -> DataFrame:

@@ -8,7 +8,7 @@ from postlake.catalog import QUERIES
 from postlake.functions.mime import parse_message
 from postlake.operators.likeindex import LikeIndex, like_rows
 from postlake.runtime import Scratch
-from postlake.schema import ATTACHMENTS, EMAILS, conform, empty
+from postlake.schema import ATTACHMENTS, EMAILS, PARSED, VECTORS, conform, empty
 from postlake.sources.store import Store
 
 
@@ -43,3 +43,52 @@ def test_a_long_bucket_is_written_by_several_tasks(spark):
     finally:
         spark.conf.unset(name)
     assert store.table("emails").count() == 4_000 and len(store.table("emails").inputFiles()) > 1
+
+
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_rows_that_stay_are_not_shuffled_by_writes(spark):
+    scratch = Scratch(spark, "stays")
+    store, n = Store(spark, scratch.path("index"), buckets=1), 40_000  # more than a bitmap has places
+    long = F.sha2(F.col("id").cast("string"), 512)
+    rows = spark.range(n).select("id", F.concat(F.lit("/m/"), F.col("id").cast("string")).alias("file_path"), F.concat(long, long).alias("subject"), long.alias("from_addr")).withColumn("file_hash", F.md5("file_path"))
+    files = rows.select("id", F.col("id").alias("email_id"), F.concat("subject", "subject").alias("filename"))
+    before = shuffled(spark)
+    store.commit(emails=conform(rows, EMAILS), attachments=conform(files, ATTACHMENTS), vectors=conform(rows.select(F.col("file_hash").alias("id"), F.col("subject").alias("document")), VECTORS))
+    whole = shuffled(spark) - before
+    gone = scratch.keep(rows.where("id % 10 = 3").select("file_path"), "gone")
+    again = scratch.keep(conform(rows.where("id % 10 = 4").select("file_path", F.lit("again").alias("subject")), PARSED), "again")
+    before = shuffled(spark)
+    store.delete(gone)
+    store.upsert(again)
+    assert shuffled(spark) - before < 0.2 * whole
+    left = [i for i in range(n) if i % 10 != 3]
+    emails = store.table("emails").select("id", "file_path", "subject").collect()
+    assert sorted(r["id"] for r in emails) == left and all(r["file_path"] == f"/m/{r['id']}" and (r["subject"] == "again") == (r["id"] % 10 == 4) for r in emails)
+    assert sorted(r["id"] for r in store.table("attachments").select("id").collect()) == [i for i in left if i % 10 != 4]
+    assert store.table("vectors").count() == len(left)
+
+
+def test_bitmaps_too_long_to_broadcast_are_joined_by_a_shuffle(spark, monkeypatch):
+    from postlake.sources import store as module
+
+    monkeypatch.setattr(module, "BROADCAST", 0)
+    scratch = Scratch(spark, "shuffled")
+    store = Store(spark, scratch.path("index"), buckets=2)
+    rows = spark.range(1_000).select("id", F.concat(F.lit("/m/"), F.col("id").cast("string")).alias("file_path")).withColumn("file_hash", F.md5("file_path"))
+    store.commit(emails=conform(rows, EMAILS), attachments=conform(rows.select("id", F.col("id").alias("email_id")), ATTACHMENTS))
+    store.delete(scratch.keep(rows.where("id % 3 = 0").select("file_path"), "gone"))
+    for name in ("emails", "attachments"):
+        assert sorted(r[0] for r in store.table(name).select("id").collect()) == [i for i in range(1_000) if i % 3]
+
+
+def test_messages_replaced_as_a_whole_take_their_attachments_along(spark):
+    store = Store(spark, Scratch(spark, "whole").path("index"), buckets=2)
+    rows = spark.range(6).select("id", F.concat(F.lit("/m/"), F.col("id").cast("string")).alias("file_path")).withColumn("file_hash", F.md5("file_path"))
+    store.commit(emails=conform(rows, EMAILS), attachments=conform(rows.select("id", F.col("id").alias("email_id")), ATTACHMENTS))
+    store.commit(emails=conform(rows.where("id < 4"), EMAILS))
+    assert sorted(r[0] for r in store.table("attachments").select("email_id").collect()) == [0, 1, 2, 3]
+    assert store.manifest()["next"] == {"emails": 5, "attachments": 5}
