@@ -54,8 +54,8 @@ def list_messages(spark: SparkSession, directory: str, modified_after: datetime
         for batch in batches:
             for piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for rows in walked(directory, piece, None if after is None else lambda _, changed, size: changed > after):
-                    for at in range(0, len(rows), 10_000):
-                        some = list(zip(*rows[at : at + 10_000], strict=True))
+                    if rows:
+                        some = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array(some[1], pa.float64()), pa.array(some[2], pa.int64())], names=names)
 
     folders = spark.createDataFrame(pieces, "folder string, deep boolean, share int, shares int").repartition(max(1, min(len(pieces), 4 * spark.sparkContext.defaultParallelism)))
@@ -89,28 +89,38 @@ def read_paths(spark: SparkSession, wanted: DataFrame, bytes_per_task: int = 64
     ``wanted`` (file_path, file_mtime, file_size) is a short table of long files, so it is dealt anew: tasks of
     about ``bytes_per_task``, at least one a core.  Each task opens its own files, so that only those chosen are read.
     """
+    return _chosen(spark, wanted, bytes_per_task).mapInArrow(_contents, "file_path string, file_mtime double, file_size long, content binary")
+
+
+def parse_paths(spark: SparkSession, wanted: DataFrame, s: Settings = SETTINGS, bytes_per_task: int = 64 << 20) -> DataFrame:
+    """``parse_messages`` of ``read_paths``, as one step: a task needs one Python worker, and contents stay within it."""
+    return _chosen(spark, wanted, bytes_per_task).mapInArrow(lambda batches: _records(_contents(batches), s), PARSED)
+
+
+def _chosen(spark: SparkSession, wanted: DataFrame, bytes_per_task: int) -> DataFrame:
     ship_package(spark)
     n, size = wanted.agg(F.count(F.lit(1)), F.sum("file_size")).first()
     tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // bytes_per_task))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[bytes | None] = []
-            start = size = 0
-            for i, path in enumerate(batch.column("file_path").to_pylist()):
-                store, name, _ = folder_of(path)
-                try:
-                    with store.open_input_stream(name, compression=None) as f:
-                        held.append(f.read())
-                    size += len(held[-1])
-                except OSError:
-                    held.append(None)
-                if len(held) == 64 or size > 4 << 20 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(held)) for c in batch.columns), pa.array(held, pa.binary())], names=[*batch.schema.names, "content"])
-                    start, held, size = i + 1, [], 0
-
-    chosen = wanted.select("file_path", "file_mtime", "file_size").repartition(tasks)
-    return chosen.mapInArrow(run, "file_path string, file_mtime double, file_size long, content binary").where("content is not null")
+    return wanted.select("file_path", "file_mtime", "file_size").repartition(tasks)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of listed files with their content, but those that can't be read."""
+    for batch in batches:
+        held: list[bytes | None] = []
+        start = size = 0
+        for i, path in enumerate(batch.column("file_path").to_pylist()):
+            store, name, _ = folder_of(path)
+            try:
+                with store.open_input_stream(name, compression=None) as f:
+                    held.append(f.read())
+                size += len(held[-1])
+            except OSError:
+                held.append(None)
+            if len(held) == 64 or size > 4 << 20 or i + 1 == batch.num_rows:
+                found = pa.RecordBatch.from_arrays([*(c.slice(start, len(held)) for c in batch.columns), pa.array(held, pa.binary())], names=[*batch.schema.names, "content"])
+                yield found.filter(found.column("content").is_valid())
+                start, held, size = i + 1, [], 0
 
 
 def confirmed_missing(rows: DataFrame) -> DataFrame:
@@ -133,23 +143,22 @@ def confirmed_missing(rows: DataFrame) -> DataFrame:
 def parse_messages(files: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """One record a file (schema ``PARSED``); what can't be parsed has a ``parse_error`` instead of fields."""
     ship_package(files.sparkSession)
-    arrow = _arrow(PARSED)
-    names = PARSED.names
+    return files.select("file_path", "file_mtime", "file_size", "content").mapInArrow(lambda batches: _records(batches, s), PARSED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = [parse_message(c, s) for c in part.column("content").to_pylist()]
-                columns = []
-                for f in arrow:
-                    if f.name in ("file_path", "file_mtime", "file_size"):
-                        columns.append(part.column(f.name).cast(f.type))
-                    else:
-                        columns.append(pa.array([r.get(f.name) for r in rows], f.type))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return files.select("file_path", "file_mtime", "file_size", "content").mapInArrow(run, PARSED)
+
+def _records(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    arrow = _arrow(PARSED)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            rows = [parse_message(c, s) for c in part.column("content").to_pylist()]
+            columns = []
+            for f in arrow:
+                if f.name in ("file_path", "file_mtime", "file_size"):
+                    columns.append(part.column(f.name).cast(f.type))
+                else:
+                    columns.append(pa.array([r.get(f.name) for r in rows], f.type))
+            yield pa.RecordBatch.from_arrays(columns, names=PARSED.names)
 
 
 def _arrow(schema: StructType) -> pa.Schema:

@@ -10,9 +10,11 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 
-#: Folders that are listed one after the other before the walk below them is dealt out, and files of one folder that a
-#: task takes.
-SPREAD, SHARE = 256, 5_000
+#: Folders that are listed one after the other before the walk below them is dealt out, files of one folder that a
+#: task takes, and tasks that one folder is dealt to at most: each reads all of its names.
+SPREAD, SHARE, SHARES = 256, 5_000, 64
+#: Files that a walk hands on at a time.
+ROWS = 10_000
 ENDING = ".eml"
 
 
@@ -48,16 +50,24 @@ def parent_of(path: str) -> str:
     return plain_name(path).rpartition("/")[0] or "/"
 
 
-def children(store, folder: str) -> tuple[list[str], list]:
-    """Folders and message files in a folder; hidden ones, and what can't be read, are left out."""
+def children(store, folder: str) -> Iterator[tuple[str, bool, Callable[[], tuple[int | None, int]]]]:
+    """Folders and message files in a folder, one after the other: path, whether it is a folder, and a look at its time of change
+    (nanoseconds) and size; hidden ones, and what can't be read, are left out.  Local folders are never held as a whole."""
     from pyarrow import fs
 
     try:
-        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(folder) as found:
+                for e in found:
+                    if not e.name.startswith(".") and (e.is_dir() or (e.name.endswith(ENDING) and e.is_file())):
+                        yield e.path, e.is_dir(), lambda e=e: (lambda s: (s.st_mtime_ns, s.st_size))(e.stat())
+            return
+        seen = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
     except OSError:
-        return [], []
-    seen = [i for i in found if not i.base_name.startswith(".")]
-    return [i.path for i in seen if i.type == fs.FileType.Directory], [i for i in seen if i.type == fs.FileType.File and i.base_name.endswith(ENDING)]
+        return
+    for i in seen:
+        if not i.base_name.startswith(".") and (i.type == fs.FileType.Directory or (i.type == fs.FileType.File and i.base_name.endswith(ENDING))):
+            yield i.path, i.type == fs.FileType.Directory, lambda i=i: (i.mtime_ns, i.size)
 
 
 def planned(directory: str, spread: int = SPREAD, share: int = SHARE) -> list[tuple[str, bool, int, int]]:
@@ -71,24 +81,39 @@ def planned(directory: str, spread: int = SPREAD, share: int = SHARE) -> list[tu
     while level and len(level) + len(pieces) < spread:
         below = []
         for folder in level:
-            folders, files = children(store, folder)
-            n = max(1, -(-len(files) // share))
-            pieces += [(folder, False, i, n) for i in range(n if files else 0)]
-            below += folders
+            files = 0
+            for path, deep, _ in children(store, folder):
+                if deep:
+                    below.append(path)
+                else:
+                    files += 1
+            n = min(SHARES, -(-files // share))
+            pieces += [(folder, False, i, n) for i in range(n)]
         level = below
     return pieces + [(f, True, 0, 1) for f in level]
 
 
 def walked(directory: str, piece: tuple[str, bool, int, int], wanted: Callable[[str, float, int], bool] | None = None) -> Iterator[list[tuple[str, float, int]]]:
-    """(name, time of change in seconds, size) of a piece's message files, folder by folder.  Times are whole milliseconds, as
+    """(name, time of change in seconds, size) of a piece's message files, some at a time.  Times are whole milliseconds, as
     Spark's own file sources have them."""
     store, _, full_name = folder_of(directory)
     folder, deep, share, shares = piece
-    left = [folder]
+    left, rows = [folder], []
     while left:
-        folder = left.pop()
-        folders, files = children(store, folder)
-        if deep:
-            left += folders
-        rows = [(full_name(i.path), i.mtime_ns // 1_000_000 / 1000, i.size) for i in files if i.mtime_ns is not None and (shares == 1 or zlib.crc32(i.base_name.encode()) % shares == share)]
-        yield rows if wanted is None else [r for r in rows if wanted(*r)]
+        for path, is_folder, look in children(store, left.pop()):
+            if is_folder:
+                if deep:
+                    left.append(path)
+                continue
+            if shares > 1 and zlib.crc32(path.rpartition("/")[2].encode()) % shares != share:
+                continue
+            try:
+                changed, size = look()
+            except OSError:  # gone meanwhile
+                continue
+            if changed is not None and (wanted is None or wanted(full_name(path), changed // 1_000_000 / 1000, size)):
+                rows.append((full_name(path), changed // 1_000_000 / 1000, size))
+            if len(rows) == ROWS:
+                yield rows
+                rows = []
+    yield rows

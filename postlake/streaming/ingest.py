@@ -27,7 +27,7 @@ from postlake.params import SETTINGS, Settings
 from postlake.runtime import Scratch, sweep
 from postlake.schema import EXTRACTION_VERSION
 from postlake.sources import eml
-from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_messages, read_paths, unchanged_removed
+from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_paths, unchanged_removed
 from postlake.sources.places import ENDING, look_up, plain_name
 from postlake.sources.store import Store, bucket_of
 
@@ -105,11 +105,11 @@ class Ingest:
         return embed_column(text, "document", self.embed)
 
     def write(self, files: DataFrame) -> Run:
-        """Parse files and write them in one version.  Parsed and embedded rows are written to the shared folder
+        """Read and parse files (file_path, file_mtime, file_size) and write them in one version.  Parsed and embedded rows are written to the shared folder
         first: several plans read them, and none should parse again.  A message has moved only where its old file isn't
         there."""
         scratch = Scratch(self.spark, "ingest")
-        run, _ = self._write_parsed(scratch.keep(parse_messages(files, self.s), "parsed"), scratch)
+        run, _ = self._write_parsed(scratch.keep(parse_paths(self.spark, files, self.s), "parsed"), scratch)
         scratch.drop("parsed", "moved", "embedded")
         return run
 
@@ -138,7 +138,7 @@ class Ingest:
             for i in range(batches if n else 0):
                 watch.mark(f"{phase} batch {i + 1} of {batches}")
                 try:
-                    run.add(self.write(read_paths(self.spark, dealt.where(F.col("_batch") == i).drop("_batch"))))
+                    run.add(self.write(dealt.where(F.col("_batch") == i).drop("_batch")))
                 except Exception:
                     log.warning("%s: batch %d of %d failed; the others stay", phase, i + 1, batches, exc_info=True)
                     run.batch_errors += 1
@@ -200,7 +200,7 @@ class Ingest:
         if known is not None and known[0] == row.first()["file_mtime"]:
             return {"status": "skipped", "file_path": p, "message": "The index holds it as it is."}
         with self.store.locked("index-file"):
-            run = self.write(read_paths(self.spark, row))
+            run = self.write(row)
         status = "failed" if run.failed or not run.indexed else "moved" if run.moved else "indexed"
         return {"status": status, "file_path": p, "message": f"{run.indexed} indexed, {run.moved} moved, {run.failed} failed"}
 
@@ -226,7 +226,7 @@ class Ingest:
             known = emails.select("file_path", F.col("file_mtime").alias("known"))
             state = F.when((F.col("state") == "found") & (F.col("file_mtime") == F.col("known")), "skipped").otherwise(F.col("state"))
             found = scratch.keep(asked.dropDuplicates(["file_path"]).join(known, "file_path", "left").withColumn("state", state).drop("known"), "found")
-            parsed = scratch.keep(parse_messages(read_paths(self.spark, found.where("state = 'found'")), self.s), "parsed")
+            parsed = scratch.keep(parse_paths(self.spark, found.where("state = 'found'"), self.s), "parsed")
             _, gone = self._write_parsed(parsed, scratch)
             old = emails.join(gone, "file_path", "left_semi").select("message_id").distinct().withColumn("moved", F.lit(True))
             read = parsed.select("file_path", F.col("parse_error").isNotNull().alias("bad"), "message_id").join(old, "message_id", "left")
@@ -261,7 +261,7 @@ class Ingest:
         if found is None:
             return {"status": "missing_file", "file_path": row["file_path"]}
         with self.store.locked("reextract"):
-            run = self.write(read_paths(self.spark, found))
+            run = self.write(found)
         if not run.indexed:
             return {"status": "parse_failed", "file_path": row["file_path"]}
         new = by_path(self.store.table("emails", [row["file_path"]]), row["file_path"]).first()
@@ -329,7 +329,7 @@ class Ingest:
                 scratch = Scratch(self.spark, "streamed")
                 found = scratch.keep(unchanged_removed(batch.where(inside(directory)), self.store.table("emails")), "files")
                 if not found.isEmpty():
-                    self.write(read_paths(self.spark, found))
+                    self.write(found)
                 scratch.drop("files")
 
         w = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

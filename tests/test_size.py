@@ -92,3 +92,27 @@ def test_messages_replaced_as_a_whole_take_their_attachments_along(spark):
     store.commit(emails=conform(rows.where("id < 4"), EMAILS))
     assert sorted(r[0] for r in store.table("attachments").select("email_id").collect()) == [0, 1, 2, 3]
     assert store.manifest()["next"] == {"emails": 5, "attachments": 5}
+
+
+def test_a_flat_folder_is_never_held_as_a_whole(tmp_path, monkeypatch):
+    from postlake.sources import places
+
+    for i in range(100):
+        (tmp_path / f"{i}.eml").write_text("")
+    monkeypatch.setattr(places, "ROWS", 10)
+    pieces = places.planned(str(tmp_path), share=1)
+    assert len(pieces) == places.SHARES  # each task reads all names, so their number is bounded
+    rows = [r for p in pieces for r in places.walked(str(tmp_path), p)]
+    assert sum(map(len, rows)) == len({n for r in rows for n, *_ in r}) == 100
+    assert max(map(len, places.walked(str(tmp_path), (str(tmp_path), False, 0, 1)))) == 10
+
+
+def test_files_are_read_and_parsed_by_one_python_worker_a_task(spark, tmp_path):
+    from postlake.sources.mailfiles import list_messages, parse_messages, parse_paths, read_paths
+
+    for i in range(3):
+        (tmp_path / f"{i}.eml").write_bytes(f"Subject: s{i}\r\n\r\nbody".encode())
+    found = Scratch(spark, "read").keep(list_messages(spark, str(tmp_path)).unionByName(spark.createDataFrame([(str(tmp_path / "none.eml"), 0.0, 9)], "file_path string, file_mtime double, file_size long")), "files")
+    rows = parse_paths(spark, found)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r["subject"] for r in rows.collect()) == ["s0", "s1", "s2"] == sorted(r["subject"] for r in parse_messages(read_paths(spark, found)).collect())
