@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from postlake.runtime import ship_package
+from postlake.runtime import given, ship_package
 
 #: Usual constants of BM25, documents of a block and words at which one is closed before, files of postings, blocks opened
 #: at first.
@@ -106,13 +106,13 @@ class TextIndex:
         made = words.mapInArrow(lists, f"term string, block long, ids array<{id_type}>, tfs array<long>, sizes array<long>").withColumn("file", _file_of(F.col("term")))
         # a term of very many documents is split by its blocks; not by range, since sampling would make all lists twice
         dealt = made.repartition("file", "term", F.pmod(F.xxhash64("block"), F.lit(64))).sortWithinPartitions("file", "term", "block")
-        spark.createDataFrame([], made.schema).write.mode("overwrite").parquet(f"{root}/columns")
+        given(spark, [], made.schema).write.mode("overwrite").parquet(f"{root}/columns")
         dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("file").parquet(f"{root}/postings")
         kept = spark.read.schema(made.schema).parquet(f"{root}/postings")
         whole = kept.where((F.col("file") == _file_of(F.lit(""))) & (F.col("term") == ""))
         n, size = whole.agg(F.coalesce(F.sum(F.col("tfs")[0]), F.lit(0)), F.coalesce(F.sum(F.col("sizes")[0]), F.lit(0))).first()
         length = size / n if n else 1.0
-        spark.createDataFrame([(n, float(length or 1.0))], "documents long, length double").coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
+        given(spark, [(n, float(length or 1.0))], "documents long, length double").coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
         most = F.array_max(F.zip_with("tfs", "sizes", lambda tf, size: _impact(tf, size, float(length or 1.0))))
         best = kept.where(F.col("term") != "").select("term", "block", most.alias("most"), F.size("tfs").cast("long").alias("n"))
         # lists lie sorted in their files, so they are read in order
@@ -143,7 +143,7 @@ class TextIndex:
             return kept.select(F.explode("ids").alias("id"), F.lit(0.0).alias("score")).limit(0), 0
         idf = F.element_at(F.create_map(*(F.lit(x) for t, w in sorted(weights.items()) for x in (t, w))), F.col("term"))
         some = F.col("term").isin(sorted(weights))
-        files = [r[0] for r in self.spark.createDataFrame([(t,) for t in weights], "term string").select(_file_of(F.col("term"))).distinct().collect()]
+        files = [r[0] for r in given(self.spark, [(t,) for t in weights], "term string").select(_file_of(F.col("term"))).distinct().collect()]
         promised = self.blocks().where(some).groupBy("block").agg(F.sum(F.col("most") * idf).alias("most"))
 
         def scored(opened: DataFrame) -> DataFrame:

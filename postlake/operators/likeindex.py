@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from postlake.functions.text import contains_like
 from postlake.operators.listing import attachment_predicate, email_predicate
 from postlake.params import Filters
+from postlake.runtime import given
 
 #: Fields of messages, and of attachments, that patterns are asked of.
 FIELDS = {"emails": ("from_addr", "to_addrs", "cc_addrs", "bcc_addrs", "subject"), "attachments": ("filename",)}
@@ -73,7 +74,7 @@ class LikeIndex:
         kept = spark.read.schema(POSTINGS).parquet(f"{root}/postings")
         kept.groupBy("field", "gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).sortWithinPartitions("field", "gram").write.mode("overwrite").parquet(f"{root}/frequencies")
         counts = [(kind, rows.count()) for kind, rows in sides]
-        spark.createDataFrame(counts, "kind string, n long").coalesce(1).write.mode("overwrite").parquet(f"{root}/rows")
+        given(spark, counts, "kind string, n long").coalesce(1).write.mode("overwrite").parquet(f"{root}/rows")
         return cls(spark, root)
 
     def candidates(self, field: str, pattern: str) -> DataFrame | None:
@@ -86,7 +87,7 @@ class LikeIndex:
         known = {r["gram"]: (r["n"], r["texts"]) for r in self.spark.read.parquet(f"{self.root}/frequencies").where((F.col("field") == field) & F.col("gram").isin(grams)).collect()}
         probed = sorted(grams, key=lambda g: (known.get(g, (0, 0)), g))[:PROBED]
         if probed[0] not in known:  # no row has it
-            return self.spark.createDataFrame([], "value long")
+            return given(self.spark, [], "value long")
         if known[probed[0]][0] > COMMON * rows:
             return None
         files = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(F.array(*(_file_of(F.lit(g)) for g in probed))))).collect()]

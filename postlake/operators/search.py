@@ -9,8 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, FloatType
 
 from postlake.functions.text import rerank_text
 from postlake.functions.vector import cosine_distance, literal_cosine_distance, sign_bucket
@@ -59,14 +62,16 @@ def hashing_embedder(texts: list[str], dims: int = 64) -> list[list[float]]:
 
 
 def embed_column(df: DataFrame, text: str, embed: Embed = hashing_embedder, name: str = "embedding", batch: int = 64) -> DataFrame:
-    """Embeds a text column in Arrow batches; an embedder that loads a model does so once a worker."""
+    """Embeds a text column in Arrow batches; an embedder that loads a model does so once a worker.  No more than ``batch`` texts and
+    vectors are Python's objects at a time: its floats take eight times as much as the column's."""
     ship_package(df.sparkSession)
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            texts = s.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(texts), batch) for v in embed(texts[i : i + batch])])
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = to_arrow_type(ArrayType(FloatType()))
+        for texts in batches:
+            some = [pa.array(list(embed(texts.slice(i, batch).fill_null("").to_pylist())), kind, from_pandas=True) for i in range(0, len(texts), batch)]
+            yield pa.concat_arrays([pa.array([], kind), *some])
 
     return df.withColumn(name, run(F.col(text)))
 

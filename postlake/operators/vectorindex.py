@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postlake.functions.vector import literal_cosine_distance
-from postlake.runtime import ship_package
+from postlake.runtime import given, ship_package
 
 #: Vectors to fit centroids on (those with the smallest hashes of their ids), cells at most, vectors of a ring.
 SAMPLE, CELLS, RING = 16_384, 1_024, 4_096
@@ -102,7 +102,7 @@ class VectorIndex:
         x = x[good]
         wanted = max(1, min(cells or round(n**0.5), CELLS, -(-len(x) // 4)))
         centroids = fit_cells(x, wanted) if len(x) else np.zeros((0, d))
-        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{root}/cells")
+        given(spark, [(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{root}/cells")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -130,7 +130,7 @@ class VectorIndex:
         schema = type(vectors.schema)(list(vectors.schema.fields)).add("cell", "integer").add("radius", "double")
         dealt = vectors.mapInArrow(assign, schema).repartitionByRange("cell", "radius").sortWithinPartitions("cell", "radius")
         kept = type(schema)(list(schema.fields)).add("ring", "long")
-        spark.createDataFrame([], kept).write.mode("overwrite").parquet(f"{root}/columns")
+        given(spark, [], kept).write.mode("overwrite").parquet(f"{root}/columns")
         dealt.mapInArrow(cut, kept).write.mode("overwrite").option("compression", "zstd").partitionBy("cell").parquet(f"{root}/vectors")
         rings = _written(spark, root).groupBy("cell", "ring").agg(F.min("radius").alias("low"), F.max("radius").alias("high"), F.count(F.lit(1)).alias("n"))
         rings.write.mode("overwrite").parquet(f"{root}/rings")
@@ -234,7 +234,7 @@ class VectorIndex:
         asked = queries.where("query_id is not null and query_vector is not null").groupBy("query_id").agg(F.min(F.col("query_vector").cast("array<double>")).alias("query_vector"))
         asked = scratch.keep(asked, f"{name}-queries")
         if not self.d:
-            return self.spark.createDataFrame([], f"query_id {q_type}, id {id_type}, distance double, rank int")
+            return given(self.spark, [], f"query_id {q_type}, id {id_type}, distance double, rank int")
 
         def pairs_of(cells: DataFrame) -> DataFrame:
             return cells.join(self.rings, "cell").select("query_id", "ring", "n", least.alias("least"))

@@ -9,11 +9,14 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterable
 from contextlib import closing
 from pathlib import Path
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -167,6 +170,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def given(spark: SparkSession, rows: Iterable[tuple], schema: StructType | str) -> DataFrame:
+    """A table of a few rows that the driver has, by way of Arrow.  From a list Spark would make it in Python workers, and with an
+    environment of their own: executors would hold a second set of them beside the one that reads and parses."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kinds = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), schema)
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows dealt to all cores, some tasks each, for steps that take long over a row: a short table may be one partition."""
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from postlake.runtime import given
+
 #: Version of the extraction; rows of a lower one are stale.
 EXTRACTION_VERSION = 3
 
@@ -94,7 +96,7 @@ TABLES = {"emails": EMAILS, "attachments": ATTACHMENTS, "vectors": VECTORS, "sta
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return given(spark, [], schema)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

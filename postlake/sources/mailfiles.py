@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from postlake.functions.mime import parse_message
 from postlake.params import SETTINGS, Settings
-from postlake.runtime import ship_package
+from postlake.runtime import given, ship_package
 from postlake.schema import PARSED
 from postlake.sources.places import folder_of, look_up, plain_name, planned, walked
 
@@ -58,7 +58,7 @@ def list_messages(spark: SparkSession, directory: str, modified_after: datetime
                         some = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array(some[1], pa.float64()), pa.array(some[2], pa.int64())], names=names)
 
-    folders = spark.createDataFrame(pieces, "folder string, deep boolean, share int, shares int").repartition(max(1, min(len(pieces), 4 * spark.sparkContext.defaultParallelism)))
+    folders = given(spark, pieces, "folder string, deep boolean, share int, shares int").repartition(max(1, min(len(pieces), 4 * spark.sparkContext.defaultParallelism)))
     return folders.mapInArrow(walk, "file_path string, file_mtime double, file_size long")
 
 

@@ -34,7 +34,7 @@ from postlake.operators.listing import statistics
 from postlake.operators.search import StoredIndex
 from postlake.operators.vectorindex import VectorIndex
 from postlake.params import SETTINGS, Settings
-from postlake.runtime import Files, Scratch
+from postlake.runtime import Files, Scratch, given
 from postlake.schema import ATTACHMENTS, EMAILS, EXTRACTION_VERSION, TABLES, VECTORS, conform, empty
 
 #: Within a bucket messages are sorted by date, so that date filters skip row groups.
@@ -155,11 +155,11 @@ class Store:
         if any(v is None for *_, v in current):
             return None
         if not current:
-            return self.spark.createDataFrame([], FIGURES).drop("version")
+            return given(self.spark, [], FIGURES).drop("version")
         # of as many writes as some bucket is left of
         rows = self.spark.read.parquet(*(f"{self.root}/{v}" for v in sorted({v for *_, v in current})))
         rows = rows.withColumn("version", F.regexp_extract(F.col("_metadata.file_path"), r"(figures/[^/]+/v-[0-9a-f]+)/[^/]+$", 1))
-        known = self.spark.createDataFrame(current, "name string, bucket int, version string")
+        known = given(self.spark, current, "name string, bucket int, version string")
         return rows.join(F.broadcast(known), ["name", "bucket", "version"], "left_semi").drop("version")
 
     def statistics(self) -> DataFrame:

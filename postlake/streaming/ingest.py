@@ -24,7 +24,7 @@ from postlake.operators.listing import by_message_id, by_path, stale
 from postlake.operators.maintain import migrate_paths, moved, orphans, surplus_rows
 from postlake.operators.search import Embed, embed_column, hashing_embedder
 from postlake.params import SETTINGS, Settings
-from postlake.runtime import Scratch, sweep
+from postlake.runtime import Scratch, given, sweep
 from postlake.schema import EXTRACTION_VERSION
 from postlake.sources import eml
 from postlake.sources.mailfiles import confirmed_missing, inside, list_messages, parse_paths, unchanged_removed
@@ -185,7 +185,7 @@ class Ingest:
         """A message file that was looked up, as a row of a listing; none for what is no message file."""
         if seen.type != FileType.File or not path.endswith(ENDING):
             return None
-        return self.spark.createDataFrame([(path, seen.mtime_ns // 1_000_000 / 1000, seen.size)], "file_path string, file_mtime double, file_size long")
+        return given(self.spark, [(path, seen.mtime_ns // 1_000_000 / 1000, seen.size)], "file_path string, file_mtime double, file_size long")
 
     def index_file(self, path: str) -> dict[str, Any]:
         """One file: indexed, moved, skipped, not_found or failed."""

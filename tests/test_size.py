@@ -1,5 +1,6 @@
 """Steps whose figures must grow no faster than their input."""
 
+import weakref
 from email.headerregistry import ContentTypeHeader
 
 from pyspark.sql import functions as F
@@ -116,3 +117,44 @@ def test_files_are_read_and_parsed_by_one_python_worker_a_task(spark, tmp_path):
     rows = parse_paths(spark, found)
     assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(r["subject"] for r in rows.collect()) == ["s0", "s1", "s2"] == sorted(r["subject"] for r in parse_messages(read_paths(spark, found)).collect())
+
+
+def test_tables_of_the_driver_need_no_python_workers(spark, tmp_path):
+    from postlake.sources.mailfiles import list_messages
+
+    (tmp_path / "1.eml").write_text("")
+    store = Store(spark, Scratch(spark, "given").path("index"), buckets=1)
+    for rows in (store.table("emails"), empty(spark, VECTORS), store.figures(), list_messages(spark, str(tmp_path))):
+        assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_the_driver_are_what_lists_make(spark, tmp_path):
+    from postlake.runtime import given
+
+    schema = "s string, n long, i int, x double, b binary, v array<double>, t boolean"
+    rows = [("a", 1, 2, 2.5, bytearray(b"xy"), [1.0, 2.0], True), (None,) * 7]
+    for some in (rows, []):
+        ours, listed = given(spark, some, schema), spark.createDataFrame(some, schema)
+        assert ours.schema == listed.schema and ours.collect() == listed.collect()
+    for kept in (EMAILS, ATTACHMENTS, VECTORS):
+        assert empty(spark, kept).schema == kept and empty(spark, kept)._jdf.schema().json() == spark.createDataFrame([], kept)._jdf.schema().json()
+    given(spark, [], VECTORS).write.parquet(str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).columns == VECTORS.names
+
+
+def test_vectors_of_one_call_at_a_time_are_held_as_objects(spark):
+    from postlake.operators.search import embed_column
+
+    class Vector(list):
+        pass
+
+    made = []
+
+    def embed(texts):
+        out = [Vector([float(sum(v() is not None for v in made)), float(len(t))]) for t in texts]
+        made.extend(map(weakref.ref, out))
+        return out
+
+    rows = embed_column(spark.range(0, 500, 1, 1).select("id", F.when(F.col("id") > 0, F.col("id").cast("string")).alias("t")), "t", embed, batch=16).collect()
+    assert [(r["id"], r["embedding"][1]) for r in rows] == [(i, float(len(str(i)) if i else 0)) for i in range(500)]
+    assert {r["embedding"][0] for r in rows} == {0.0}
